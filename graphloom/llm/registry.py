@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup
+from graphloom.functions.ship import shipped
+from graphloom.llm import exact_dedup, toxicity
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op10_toxicity": toxicity.query,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.SQL,

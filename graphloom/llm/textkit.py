@@ -15,6 +15,9 @@ import pyarrow as pa
 BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Letters: ASCII ones, and every byte of characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,15 +73,15 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, ptr): runs of bytes outside the six ASCII spaces.
+def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, ptr): runs of bytes of ``inside``, else of those that are none of the six ASCII spaces.
 
     Words of text d are ptr[d] to ptr[d + 1]. Words end at text ends.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    ink = ~_SPACE[data]
+    ink = inside[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cut = offs[(offs > 0) & (offs < n)]
