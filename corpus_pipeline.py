@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.ship import shipped
 from graphloom.llm.common import materialize
 from graphloom.llm.exact_dedup import exact_dedup
 
@@ -15,7 +16,7 @@ def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 
-STAGES = [("exact_dedup", keep_exact)]
+STAGES = [(name, shipped(stage)) for name, stage in [("exact_dedup", keep_exact)]]
 ORACLE_SQL = None
 
 
