@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, toxicity
+from graphloom.llm import exact_dedup, quality_rules, toxicity
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_toxicity": toxicity.query,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
+    "op4_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
