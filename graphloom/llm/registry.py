@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, quality_rules, toxicity
+from graphloom.llm import exact_dedup, packing, quality_rules, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op10_toxicity": toxicity.query,
 }
