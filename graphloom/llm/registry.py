@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, packing, quality_rules, sharding, toxicity
+from graphloom.llm import exact_dedup, packing, quality_model, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_sharding": sharding.query,
+    "op9_quality_classifier": quality_model.query,
     "op10_toxicity": toxicity.query,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
