@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, packing, quality_model, quality_rules, sharding, toxicity
+from graphloom.llm import exact_dedup, lm_scoring, packing, quality_model, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op4_quality_rules": quality_rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
