@@ -45,9 +45,9 @@ def powers(n: int) -> np.ndarray:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"")
     n, at = len(column), column.offset
     _, offs, data = column.buffers()
     if not n:
