@@ -50,8 +50,9 @@ def _rows(pieces: dict) -> pa.RecordBatch:
     )
 
 
-def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
-    """The "seen again" bits of the only column of ``hashes``, and the filter's size in bits."""
+def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS, again: bool = True) -> tuple[np.ndarray, int]:
+    """The "seen again" bits of the only column of ``hashes`` ("seen" ones if not ``again``), and the filter's size in bits."""
+    plane = "again" if again else "once"
     bits = 1 << 14
     while bits < max_bits and bits < BITS_PER_ROW * rows:
         bits *= 2
@@ -78,12 +79,12 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> t
             for piece, once, again in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 _merge(pieces, piece, np.frombuffer(once, np.uint8), np.frombuffer(again, np.uint8))
         if pieces:
-            yield _rows(pieces).select(["piece", "again"])
+            yield _rows(pieces).select(["piece", plane])
 
     parts = hashes.mapInArrow(first, "piece int, once binary, again binary").repartition(min(width(hashes.sparkSession), max(1, bits // 8 // SLICE)), "piece")
     out = np.zeros(bits // 8, np.uint8)
-    for piece, again in parts.mapInArrow(merged, "piece int, again binary").collect():  # at most bits / 8 bytes
-        out[piece * len(again) : (piece + 1) * len(again)] = np.frombuffer(bytes(again), np.uint8)
+    for piece, held in parts.mapInArrow(merged, f"piece int, {plane} binary").collect():  # at most bits / 8 bytes
+        out[piece * len(held) : (piece + 1) * len(held)] = np.frombuffer(bytes(held), np.uint8)
     return out, bits
 
 
