@@ -86,17 +86,18 @@ class MaxEnt:
         group = np.where(found, rank // IN_CLASS, OWN + shape)
         word = np.where(found, rank % IN_CLASS, -1)
         pair = (back[0] * 7919 + back[1] * 104729) % 1000003
-        features = np.stack([np.zeros(len(h), np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair % TRIGRAMS], 1)
+        features = np.stack([np.zeros(len(h), np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair % TRIGRAMS], 1).astype(np.uint16)
         own = np.where(found, group, 0)
-        word_features = np.stack([own, OWN + (back[0] * 31 + own * 2477) % (WORD_ROWS - OWN), OWN + (pair * 17 + own * 2477 + 4099) % (WORD_ROWS - OWN)], 1)
+        word_features = np.stack([own, OWN + (back[0] * 31 + own * 2477) % (WORD_ROWS - OWN), OWN + (pair * 17 + own * 2477 + 4099) % (WORD_ROWS - OWN)], 1).astype(np.uint16)
         return group, word, features, word_features
 
     @staticmethod
     def _softmax(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shifted logits, log of the sum of their exponentials)."""
-        logits = weights[features[:, 0]]
+        logits = np.take(weights, features[:, 0], axis=0)
+        more = np.empty_like(logits)
         for k in range(1, features.shape[1]):
-            logits += weights[features[:, k]]
+            logits += np.take(weights, features[:, k], axis=0, out=more, mode="clip")
         logits -= logits.max(1, keepdims=True)
         return logits, np.log(np.exp(logits).sum(1))
 
@@ -131,10 +132,14 @@ class MaxEnt:
         error = np.exp(logits - total[:, None].astype(np.float32))
         error[np.arange(len(target)), target] -= 1
         for k in range(features.shape[1]):
-            order = np.argsort(features[:, k], kind="stable")
-            f = features[order, k]
-            begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-            grad, rows = np.add.reduceat(error[order], begin, axis=0), f[begin]
+            f = features[:, k]
+            if f[0] == f[-1] and (f == f[0]).all():  # the feature that all tokens have
+                grad, rows = error.sum(0, keepdims=True), f[:1]
+            else:
+                order = np.argsort(f, kind="stable")
+                f = f[order]
+                begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+                grad, rows = np.add.reduceat(np.take(error, order, axis=0), begin, axis=0), f[begin]
             squares[rows] += grad * grad
             weights[rows] -= RATE * grad / (np.sqrt(squares[rows]) + 1e-6)
 
@@ -217,12 +222,19 @@ def score(docs: DataFrame, model: MaxEnt, counts: DataFrame, totals: dict, id_co
     not read. Without training texts every token is unseen.
     """
     spark = docs.sparkSession
-    frequent = counts.orderBy(F.col("n").desc(), "h").limit(known).select("h", "n").toArrow()
+    least_n = 1 << 62  # no word, until one count fits
+    at_least = 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).toLocalIterator():
+        at_least += row["words"]
+        if at_least > known:
+            break
+        least_n = row["n"]
+    frequent = counts.filter(F.col("n") >= least_n).select("h", "n").toArrow()  # at most ``known`` rows
     keys, n = frequent["h"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((model, tk.Index(keys[order]), np.log10(n[order] + 0.5)))
     least = np.log10(totals["n"] + 0.5 * (totals["v"] + 1))
-    complete = len(keys) < known  # then no word is anywhere else
+    complete = at_least <= known  # then no word is anywhere else
 
     def scored(batches):
         model, index, log_count = shared.value
