@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, lm_scoring, ngram_join, packing, quality_model, quality_rules, sharding, toxicity
+from graphloom.llm import exact_dedup, lm_scoring, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_ngram_jaccard": ngram_join.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
