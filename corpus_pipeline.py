@@ -1,4 +1,10 @@
-"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing."""
+"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs. All but the last
+return the columns of documents. Rows are matched by id and, where that
+matters, by text, so rows with a null id or a repeated one are not lost.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +12,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.ship import shipped
-from graphloom.llm.common import materialize
+from graphloom.llm import toxicity
+from graphloom.llm.common import materialize, table
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.ngram_join import similar_groups
+from graphloom.llm.packing import pack_documents
+from graphloom.llm.suffix_dedup import remove_repeats
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models score 0.7 or more go."""
+    return toxicity.keep_ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (sha == gone["gone_text"]), "left_anti")
+
+
+def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    gone = similar_groups(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of strings of 100 bytes are cut out of the texts; bytes of a character cut in two go with it."""
+    cut = remove_repeats(docs)
+    # a cut within a character leaves bytes that try_validate_utf8 refuses; make_valid_utf8 marks them, and the mark is taken out
+    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(
+        F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    )
+    rest = cut.schema["rest"].dataType.names
+    columns = {"doc_id": F.col("doc_id"), "text": text, **{c: F.col(f"rest.`{c}`") for c in rest}}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(columns[c].alias(c) for c in docs.columns))
+
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    return pack_documents(docs)
 
-def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, that with the largest doc_id."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
+STAGES = [
+    (name, shipped(stage))
+    for name, stage in (
+        ("toxicity", drop_toxic),
+        ("exact_dedup", keep_one_exact),
+        ("ngram_jaccard_join", keep_one_similar),
+        ("suffix_array_dedup", cut_repeats),
+        ("best_fit_packing", pack),
+    )
+]
 
-STAGES = [(name, shipped(stage)) for name, stage in [("exact_dedup", keep_exact)]]
+#: Class-conditional models can't be stated in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
