@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.functions.ship import shipped
-from graphloom.llm import exact_dedup, lm_scoring, ngram_join, packing, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from graphloom.llm import exact_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_sentencepiece": pieces.query,
     "op8_sharding": sharding.query,
     "op9_quality_classifier": quality_model.query,
     "op10_toxicity": toxicity.query,
