@@ -22,10 +22,13 @@ Equal sets are one vertex from the start. All signatures are shuffled once. Of t
 similar sets, one with n signatures shares at least n - H of them, so by the
 prefix principle each set may drop the n - H - 1 signatures that most sets
 share, and the two still meet: a set whose signatures are nearly all its own
-drops the rest, and common lines join nobody. What is kept is first compared
-with the smallest vertex that shares it (a star, not all pairs). Components of
-what is verified then leave only those signatures open that join different
-components, and only pairs across components are compared there. Every
+drops the rest, and common lines join nobody. For the few vertices that are
+left the same is done once more with single elements. What is kept is first
+compared with the smallest vertex that shares it (a star, not all pairs), then
+with another drawn for each signature. Components of what is verified leave
+only those signatures open that join different components. Vertices that these
+connect are compared in blocks of bounded size, those outside the largest
+component with all; a block gives only the links that connect something. Every
 comparison is exact, of whole sets.
 """
 
@@ -34,6 +37,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,12 +164,12 @@ def _longs(x: np.ndarray) -> pa.Array:
 def _described(batches):
     for batch in batches:
         for i, j, data, offs in tk.blocks(batch.column(1)):
-            h, at, n, whole = sets(data, offs)
-            _, _, slack = signatures(h, at, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _longs(whole), _longs(slack[:, 0]), _longs(slack[:, 1])], ["doc_id", "n", "node", "slack0", "slack1"])
+            _, _, n, whole = sets(data, offs)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _longs(whole)], ["doc_id", "n", "node"])
 
 
 def _signed(batches):
+    """Signatures of vertices, slack -1, and for each vertex a row of its own with its two slacks in one long."""
     seen: set[int] = set()  # equal sets are signed once a task
     for batch in batches:
         for _, _, data, offs in tk.blocks(batch.column(0)):
@@ -177,17 +181,16 @@ def _signed(batches):
                     new[d] = True
             if new.any():
                 keep = new[at]
-                sig, of, _ = signatures(h[keep], at[keep], np.where(new, n, 0))
-                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(whole[of])], ["sig", "node"])
+                sig, of, slack = signatures(h[keep], at[keep], np.where(new, n, 0))
+                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(whole[of]), pa.array(np.full(len(sig), -1))], ["sig", "node", "slack"])
+                loose = np.flatnonzero(new & slack.any(1))
+                yield pa.RecordBatch.from_arrays([_longs(tk.mix(whole[loose])), _longs(whole[loose]), pa.array(slack[loose, 0] << 31 | slack[loose, 1])], ["sig", "node", "slack"])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: vertices) whose sets are similar."""
-    spark = texts.sparkSession
-    pairs = materialize(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _elements(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, elements) of the vertices in ``wanted``, by a bounded filter and an exact join."""
     bloom, bits = repeated_filter(wanted, wanted.count(), again=False)
-    shared = spark.sparkContext.broadcast(bloom)
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
 
     def given(batches):
         seen: set[int] = set()
@@ -204,13 +207,95 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)), _longs(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([_longs(whole[rows]), lists], ["node", "elements"])
 
-    whole = materialize(texts.mapInArrow(given, "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
-    left = pairs.join(whole.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(whole.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+    return materialize(texts.mapInArrow(given, "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
+
+
+def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: vertices) whose sets are similar."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    left = pairs.join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
+    both = left.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+BLOCK = 1024  # vertices of one side of a block
+
+
+def _narrowed(elements: DataFrame) -> DataFrame:
+    """(sig, node) after the prefix principle on single elements: of n elements the n - H - 1 that most vertices share are dropped."""
+    each = elements.select("node", F.size("elements").alias("n"), F.explode("elements").alias("sig"))
+    shared = each.withColumn("rows", F.count("*").over(Window.partitionBy("sig"))).filter("rows > 1")
+    loose = F.expr("n - (n + cast(4 * n div 3 as int)) div 7 - 1")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("rows").desc(), "sig"))
+    kept = shared.withColumn("place", place).filter(F.col("place") > loose).select("sig", "node")
+    return kept.withColumn("rows", F.count("*").over(Window.partitionBy("sig"))).filter("rows > 1").select("sig", "node")
+
+
+def _block_links(key, frame):
+    """Links across roots between the two sides of a block, as many as connect what they connect."""
+    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    tokens, at = np.unique(np.concatenate([*right["elements"], np.zeros(0, np.int64)]), return_inverse=True)
+    size = np.array([len(x) for x in right["elements"]], np.int64)
+    owner = np.repeat(np.arange(len(right)), size)[np.argsort(at, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))])
+    parent = {r: r for r in frame["root"]}
+
+    def top(r):
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
+    out = []
+    for node, root, x in zip(left["node"], left["root"], left["elements"], strict=True):
+        i, found = tk.lookup(tokens, x)
+        i = i[found]
+        count = first[i + 1] - first[i]
+        places = np.repeat(first[i] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(i) else np.zeros(0, np.int64)
+        common = np.bincount(owner[places], minlength=len(right))
+        for j in np.flatnonzero(100 * common >= 75 * (len(x) + size - common)):
+            a, b = top(root), top(roots[j])
+            if a != b:
+                parent[a] = b
+                out.append((node, nodes[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
+    """(node, root) of vertices that are linked, from ``open_`` (sig, node: vertices that share signatures)."""
+    links = None
+    for k in range(2):
+        # one vertex for all signatures of a group first, then one drawn for each signature
+        lot = F.struct("node") if k == 0 else F.struct(F.xxhash64("node", "sig").alias("lot"), "node")
+        drawn = open_.groupBy("sig").agg(F.min(lot).alias("drawn"))
+        if k:
+            drawn = drawn.join(roots.withColumnRenamed("root", "drawn_root"), F.col("drawn.node") == roots["node"], "left").select("sig", "drawn", F.coalesce("drawn_root", "drawn.node").alias("drawn_root"))
+            stars = rows.join(drawn, "sig").filter("root != drawn_root")
+        else:
+            stars = open_.join(drawn, "sig").filter("node != drawn.node")
+        found = _verified(elements, stars.select(F.col("drawn.node").alias("a"), F.col("node").alias("b")))
+        links = materialize(links.union(found) if k else found, "jaccard-links")
+        roots = components(links)
+        rows = open_.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("sig")
+        rows = materialize(rows.join(mixed, "sig"), "jaccard-parted")
+        open_ = rows.select("sig", "node")
+    # what may still be similar is connected by shared signatures: those neighbourhoods are compared in blocks
+    least = rows.groupBy("sig").agg(F.min("node").alias("a"))
+    near = components(rows.join(least, "sig").select("a", F.col("node").alias("b")))
+    placed = rows.select("node", "root").distinct().join(near.select("node", F.col("root").alias("place")), "node")
+    by_root = placed.groupBy("place", "root").agg(F.count("*").alias("k"))
+    by_place = by_root.groupBy("place").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).select("place", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.k")).alias("minor"))
+    placed = placed.join(by_place, "place").withColumns({"chunks": F.ceil(F.col("n") / BLOCK), "minors": F.ceil(F.col("minor") / BLOCK)})
+    chunk, minor = F.pmod(F.xxhash64("node"), "chunks"), F.pmod(F.xxhash64("node"), "minors")
+    right = placed.select("place", "node", "root", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m"), F.lit(1).alias("side"))
+    left = placed.filter("root != major").select("place", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), minor.alias("m"), F.lit(0).alias("side"))
+    blocks = left.unionByName(right).join(elements, "node")
+    more = blocks.groupBy("place", "c", "m").applyInPandas(_block_links, "a long, b long")
+    return components(links.union(more))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -221,27 +306,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.select("text")
-    described = materialize(rows.mapInArrow(_described, "doc_id long, n long, node long, slack0 long, slack1 long"), "jaccard-described")
-    signed = texts.mapInArrow(_signed, "sig long, node long")
+    described = materialize(rows.mapInArrow(_described, "doc_id long, n long, node long"), "jaccard-described")
+    signed = texts.mapInArrow(_signed, "sig long, node long, slack long")
     bucket = Window.partitionBy("sig")
     # distinct vertices that share a signature, and how many rows it has: a common measure for all who share it
-    shared = signed.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "rows": F.count("*").over(bucket)}).filter("low != high").select("sig", "node", "rows")
+    shared = signed.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "rows": F.count("*").over(bucket)}).filter("low != high or slack >= 0").select("sig", "node", "slack", "rows")
     shared = materialize(shared.distinct(), "jaccard-shared")
-    slack = described.filter("n > 0").groupBy("node").agg(F.min("slack0").alias("slack0"), F.min("slack1").alias("slack1"))
+    slack = shared.filter("slack >= 0").select("node", "slack").distinct()
     band = F.col("sig").bitwiseAND(F.lit(1))
     place = F.row_number().over(Window.partitionBy("node", band).orderBy(F.col("rows").desc(), "sig"))
-    kept = shared.join(slack, "node").withColumn("place", place).filter(F.col("place") > F.when(band == 0, F.col("slack0")).otherwise(F.col("slack1")))
-    open_ = kept.select("sig", "node").withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).filter("low != high").select("sig", "node", "low")
-    open_ = materialize(open_, "jaccard-open")
-    links = materialize(_verified(texts, open_.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()), "jaccard-links")
-    roots = components(links)
-    # signatures that still join different components
-    labelled = open_.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"), "low")
-    parted = labelled.withColumns({"r0": F.min("root").over(bucket), "r1": F.max("root").over(bucket)}).filter("r0 != r1").select("sig", "node", "root", "low")
-    parted = materialize(parted.filter("node != low").distinct(), "jaccard-parted")
-    x, y = (parted.select("sig", F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
-    more = _verified(texts, x.join(y, "sig").filter("a < b and a_root != b_root").select("a", "b").distinct())
-    roots = materialize(components(links.union(more)), "jaccard-roots")
+    loose = F.coalesce(F.when(band == 0, F.shiftright("slack", 31)).otherwise(F.col("slack").bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0))
+    kept = shared.filter("slack < 0").drop("slack").join(slack, "node", "left").withColumn("place", place).filter(F.col("place") > loose).select("sig", "node")
+    nodes = kept.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).filter("low != high").select("node")
+    elements = _elements(texts, materialize(nodes.distinct(), "jaccard-nodes"))
+    roots = materialize(_linked(elements, materialize(_narrowed(elements), "jaccard-open")), "jaccard-roots")
     # the smallest id of each vertex, then of each component: one row a task before the shuffle
     smallest = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = materialize(smallest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "jaccard-placed")
