@@ -17,14 +17,17 @@ its text; the bytes over that run are its context.
    gram, and a suffix array over each such group (ranks by doubling, cut at
    ``MIN`` bytes) gives longest-previous-factor arrays by previous and next
    smaller positions in suffix order.
-3. A gram with more than ``MOST`` contexts is not laid into one array: each
-   start becomes a row with the 128-bit hash of its string, and the first start
-   of each string is found by aggregation. That is exact too, for any size.
+3. A gram with more than ``MOST`` contexts is not laid into one array: the
+   bytes that ``STEP`` neighbouring starts have in common become a row with
+   their 128-bit hash, starts whose row is not alone become rows in turn, and
+   the first start of each string is found by aggregation. That is exact too,
+   for any size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ GRAM = 24
 MOST = 4000  # contexts of one gram in one suffix array
 ARRAY = 1 << 20  # bytes of one suffix array, where grams are small
 CHUNK = 1 << 18  # starts looked at together; a longer text is taken in overlapping chunks
+STEP = 8  # neighbouring starts that are looked at together where a gram is very frequent
+SIDE = 36  # a string of MIN bytes has so many beside its gram, on the left or on the right
 _BITS = 20
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
@@ -268,18 +273,27 @@ def _spans(marks: np.ndarray, base: int) -> list[tuple[int, int]]:
     return [(int(a) + base, int(b) + base + MIN) for a, b in zip(first, last, strict=True)]
 
 
+def _worth(held: list[tuple]) -> list[tuple]:
+    """Those contexts that share the bytes left or right of their gram with another; no other can match."""
+    sides = []
+    for gram, _, at, text in held:
+        a = at & 255
+        sides.append(((gram, 0, text[a - SIDE : a]) if a >= SIDE else None, (gram, 1, text[a + GRAM : a + GRAM + SIDE]) if a + GRAM + SIDE <= len(text) else None))
+    many = Counter(side for both in sides for side in both if side)
+    return [row for row, (x, y) in zip(held, sides, strict=True) if x and many[x] > 1 or y and many[y] > 1]
+
+
 def _arrays(batches):
     """Rows sorted by gram -> covered spans; whole grams together, several small ones in one array."""
     held: list[tuple] = []
 
     def settle():
-        grams = np.unique([r[0] for r in held], return_inverse=True)[1]
-        order = np.lexsort(([r[2] for r in held], [r[1] for r in held]))
-        rank = np.empty(len(held), np.int64)
-        rank[order] = np.arange(len(held))
-        del grams
+        near = _worth(held)
+        order = np.lexsort(([r[2] for r in near], [r[1] for r in near]))
+        rank = np.empty(len(near), np.int64)
+        rank[order] = np.arange(len(near))
         rows = []
-        for (_, key, at, _), marks in zip(held, lpf_marks([r[3] for r in held], rank), strict=True):
+        for (_, key, at, _), marks in zip(near, lpf_marks([r[3] for r in near], rank) if near else (), strict=True):
             rows += [(key, a, b) for a, b in _spans(marks, at >> 16)]
         keys, a, b = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "first", "end"])
@@ -305,14 +319,35 @@ def _contexts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["gram", "key", "at", "bytes", "hot"])
 
 
-def _starts(batches):
-    """Contexts -> a row per start with the 128-bit hash of its string."""
+def _steps(batches):
+    """Contexts -> for each STEP starts a row with the 128-bit hash of the bytes that their strings have in common."""
     for batch in batches:
         rows = []
         for key, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(hashlib.blake2b(text[k : k + MIN], digest_size=16).digest(), key, (at >> 16) + k) for k in range(len(text) - MIN + 1)]
+            anchor, last = at & 255, len(text) - MIN
+            k = 0
+            while k <= last:
+                # steps end at fixed distances from the anchor, so equal strings fall into equal steps
+                stop = k + STEP - (k - anchor) % STEP
+                # the strings of a whole step share the bytes from its last start to its first one's end
+                low = stop - STEP
+                common = (low - anchor).to_bytes(2, "little", signed=True) + text[stop - 1 : low + MIN]
+                rows.append((hashlib.blake2b(common, digest_size=16).digest(), key, at, k))
+                k = stop
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["string", "key", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["step", "key", "at", "k"])
+
+
+def _starts(batches):
+    """Contexts with asked steps -> a row per start with the 128-bit hash of its string."""
+    for batch in batches:
+        rows = []
+        for key, at, text, steps in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k in steps:
+                stop = k + STEP - (k - (at & 255)) % STEP
+                rows += [(hashlib.blake2b(text[i : i + MIN], digest_size=16).digest(), key, (at >> 16) + i) for i in range(k, min(stop, len(text) - MIN + 1))]
+        for i in range(0, len(rows), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + (1 << 18)], strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["string", "key", "first"])
 
 
 def _cut(batches):
@@ -343,7 +378,11 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     asked = settled.filter("kind > 0").groupBy("key").agg(F.collect_list(F.struct("gram", "at", (F.col("kind") == 2).alias("hot"))).alias("asked"))  # at most one for each start of the text
     beside = materialize(texts.join(asked, "key").select("key", "text", "asked").mapInArrow(_contexts, "gram long, key long, at long, bytes binary, hot boolean"), "suffix-contexts")
     small = beside.filter("not hot").select("gram", "key", "at", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_arrays, "key long, first long, end long")
-    starts = beside.filter("hot").select("key", "at", "bytes").mapInArrow(_starts, "string binary, key long, first long")
+    hot = beside.filter("hot").select("key", "at", "bytes")
+    steps = hot.mapInArrow(_steps, "step binary, key long, at long, k int")
+    several = materialize(steps.groupBy("step").agg(F.count("*").alias("n")).filter("n > 1").select("step"), "suffix-steps")
+    open_ = steps.join(several, "step").groupBy("key", "at").agg(F.collect_list("k").alias("steps"))  # at most MIN - GRAM + 1
+    starts = hot.join(open_, ["key", "at"]).select("key", "at", "bytes", "steps").mapInArrow(_starts, "string binary, key long, first long")
     least = materialize(starts.groupBy("string").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "suffix-strings")
     large = starts.join(least.select("string", "least"), "string").filter(F.struct("key", "first") != F.col("least")).select("key", "first", (F.col("first") + MIN).alias("end"))
     return covered.unionByName(small).unionByName(large)
