@@ -1,6 +1,222 @@
-"""Every query by name, with the SQL that states the same result."""
+"""Every query of the engine by name, with the SQL that states the same result.
+
+The queries run the operators over the test graph; ``QUERIES`` and
+``ORACLE_SQL`` have the same keys but where SQL can't state the result.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths
+from graphloom.operators import analysis as A
+from graphloom.operators import cycles as C
+from graphloom.operators import reach as R
+from graphloom.operators import symbols as S
+from graphloom.plans import testgraph as G
+from graphloom.schema import broken, guarded
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = G.oracle(sql)
+        return f
+
+    return put
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+BUSIEST = "SELECT dst AS root FROM edges WHERE type = 'calls' AND dst IS NOT NULL GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 3"
+TEST = "path LIKE 'tests/%'"
+AS_OF = "(SELECT max(ts) FROM commits)"
+
+
+def busiest(edges):
+    """The three functions that are called most."""
+    into = edges.filter("type = 'calls' and dst is not null").groupBy("dst").agg(F.count("*").alias("n"))
+    return into.orderBy(F.col("n").desc(), "dst").limit(3).select(F.col("dst").alias("root"))
+
+
+query("graph_nodes", "SELECT * FROM nodes")(lambda s, d: G.nodes(s, d))
+query("graph_edges", "SELECT * FROM edges")(lambda s, d: guarded(G.edges(s, d)))
+query("node_counts_by_type", "SELECT type, count(*) AS n FROM nodes GROUP BY type")(lambda s, d: G.nodes(s, d).groupBy("type").agg(F.count("*").alias("n")))
+query("edge_counts_by_type", "SELECT type, count(*) AS n FROM edges GROUP BY type")(lambda s, d: G.edges(s, d).groupBy("type").agg(F.count("*").alias("n")))
+query("edge_counts_by_confidence", "SELECT confidence, count(*) AS n FROM edges GROUP BY confidence")(lambda s, d: G.edges(s, d).groupBy("confidence").agg(F.count("*").alias("n")))
+query("edge_guard_violations", "SELECT count(*) AS violations FROM edges WHERE (confidence = 'resolved') <> (dst IS NOT NULL)")(lambda s, d: broken(G.edges(s, d)).agg(F.count("*").alias("violations")))
+query("files_by_language", "SELECT language, count(*) AS n FROM nodes WHERE type = 'file' GROUP BY language")(lambda s, d: G.nodes(s, d).filter("type = 'file'").groupBy("language").agg(F.count("*").alias("n")))
+query("external_modules", "SELECT name FROM nodes WHERE type = 'module' AND external ORDER BY name")(lambda s, d: G.nodes(s, d).filter("type = 'module' and external").select("name").orderBy("name"))
+query("ambiguous_hotspots", "SELECT callee_text, count(*) AS n FROM edges WHERE confidence = 'ambiguous' AND callee_text IS NOT NULL GROUP BY 1 ORDER BY n DESC, callee_text LIMIT 6")(lambda s, d: A.ambiguous_hotspots(G.edges(s, d)))
+query("most_imported_files", "SELECT substr(dst, 3) AS path, count(*) AS n FROM edges WHERE type = 'imports' AND dst LIKE 'f:%' GROUP BY dst ORDER BY n DESC, dst LIMIT 5")(lambda s, d: A.most_imported(G.edges(s, d)))
+query("dependent_counts", "SELECT dst AS id, count(*) AS dependents FROM edges WHERE type IN ('calls', 'imports', 'inherits') AND confidence = 'resolved' GROUP BY dst")(lambda s, d: A.dependent_counts(G.edges(s, d)))
+query("inbound_reference_count", f"SELECT root AS id, (SELECT count(*) FROM edges WHERE dst = root AND type IN ('calls', 'imports', 'inherits', 'references') AND confidence = 'resolved') AS n FROM ({BUSIEST})")(
+    lambda s, d: (lambda e: busiest(e).join(e.filter("type in ('calls', 'imports', 'inherits', 'references') and confidence = 'resolved'"), F.col("root") == F.col("dst")).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")))(G.edges(s, d))
+)
+
+_WALK = f"""WITH RECURSIVE roots AS ({BUSIEST}),
+dep AS (SELECT DISTINCT dst, src FROM edges WHERE type IN ('calls', 'imports', 'inherits') AND confidence = 'resolved'),
+walk AS (SELECT root, src AS node, 1 AS depth FROM roots JOIN dep ON dst = root
+  UNION SELECT root, src, depth + 1 FROM walk JOIN dep ON dst = node WHERE depth < 80),
+sure AS (SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, node),
+loose AS (SELECT DISTINCT root, src AS node FROM edges JOIN nodes n ON true JOIN roots ON n.id = root
+  WHERE confidence = 'ambiguous' AND split_part(callee_text, '.', -1) = n.name),
+every AS (SELECT root, node, depth, 'resolved' AS via FROM sure
+  UNION ALL SELECT root, node, CAST(1 AS INT), 'ambiguous' FROM loose WHERE NOT EXISTS (SELECT 1 FROM sure WHERE sure.root = loose.root AND sure.node = loose.node))
+"""
+
+
+def _blast(s, d):
+    edges = G.edges(s, d)
+    return R.blast_radius(G.nodes(s, d), edges, busiest(edges))
+
+
+query("blast_radius", _WALK + "SELECT * FROM every")(lambda s, d: _blast(s, d).select("root", "node", "depth", "via"))
+query("blast_radius_confirmed", _WALK + "SELECT root, node, depth FROM sure")(lambda s, d: (lambda e: R.confirmed(e, busiest(e)).select("root", "node", "depth"))(G.edges(s, d)))
+query("blast_radius_ambiguous", _WALK + "SELECT root, node FROM every WHERE via = 'ambiguous'")(lambda s, d: _blast(s, d).filter("via = 'ambiguous'").select("root", "node"))
+query("blast_radius_summary", _WALK + "SELECT root, depth, via, count(*) AS n FROM every GROUP BY root, depth, via")(lambda s, d: _blast(s, d).groupBy("root", "depth", "via").agg(F.count("*").alias("n")))
+
+_DEAD = f"""WITH used AS (SELECT DISTINCT dst FROM edges WHERE type IN ('calls', 'inherits') AND confidence = 'resolved'),
+loose AS (SELECT DISTINCT split_part(callee_text, '.', -1) AS name FROM edges WHERE confidence = 'ambiguous'),
+ref AS (SELECT DISTINCT dst FROM edges WHERE type = 'references' AND confidence = 'resolved'),
+dead AS (SELECT id, type, name, path, CASE WHEN name IN (SELECT name FROM loose) THEN 'no-resolved-references'
+    WHEN id IN (SELECT dst FROM ref) THEN 'referenced-but-uncalled' ELSE 'confirmed-unreferenced' END AS tier
+  FROM nodes WHERE NOT external AND NOT exported AND type IN ('function', 'class') AND NOT {TEST} AND path NOT LIKE 'src/index.%'
+    AND id NOT IN (SELECT dst FROM used))
+"""
+query("dead_code", _DEAD + "SELECT * FROM dead")(lambda s, d: A.dead_code(G.nodes(s, d), G.edges(s, d)))
+query("dead_code_by_tier", _DEAD + "SELECT tier, count(*) AS n FROM dead GROUP BY tier")(lambda s, d: A.dead_code(G.nodes(s, d), G.edges(s, d)).groupBy("tier").agg(F.count("*").alias("n")))
+query("dead_methods", _DEAD + """SELECT m.id, m.name, m.path, e.src AS owner, CASE WHEN m.name IN (SELECT name FROM loose) THEN 'no-resolved-references' ELSE 'confirmed-unreferenced' END AS tier
+  FROM nodes m JOIN edges e ON e.dst = m.id AND e.type = 'defines' JOIN dead ON dead.id = e.src AND dead.type = 'class' AND dead.tier = 'confirmed-unreferenced'
+  WHERE m.type = 'method' AND m.id NOT IN (SELECT dst FROM used)""")(lambda s, d: A.dead_methods(G.nodes(s, d), G.edges(s, d), A.dead_code(G.nodes(s, d), G.edges(s, d))))
+
+
+def _scc(kind: str, where: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = '{kind}' AND confidence = 'resolved' AND {where} AND src <> dst),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT min(q.b) AS component, p.a AS id FROM r p JOIN r q ON q.a = p.b AND q.b = p.a WHERE p.a <> p.b GROUP BY p.a"""
+
+
+# the smallest member: of those that each reaches and is reached by, itself included
+def _scc_named(kind: str, where: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = '{kind}' AND confidence = 'resolved' AND {where} AND src <> dst),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src),
+m AS (SELECT p.a, p.b FROM r p JOIN r q ON q.a = p.b AND q.b = p.a WHERE p.a <> p.b)
+SELECT least(a, min(b)) AS component, a AS id FROM m GROUP BY a"""
+
+
+query("call_cycles_scc", _scc_named("calls", "dst NOT LIKE 'x%'"))(lambda s, d: C.components(C.cycle_edges(G.edges(s, d), "calls")))
+query("import_cycles_scc", _scc_named("imports", "dst LIKE 'f:%'"))(lambda s, d: C.components(C.cycle_edges(G.edges(s, d), "imports")))
+
+
+@query("representative_cycles")
+def _cycles(s, d):
+    edges = C.cycle_edges(G.edges(s, d), "calls")
+    return C.representative_cycles(edges, C.components(edges))
+
+
+_COVER = f"""WITH RECURSIVE imp AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'imports' AND confidence = 'resolved'),
+tests AS (SELECT id FROM nodes WHERE type = 'file' AND {TEST}),
+r AS (SELECT id AS test, dst AS node FROM tests JOIN imp ON src = id UNION SELECT test, dst FROM r JOIN imp ON src = node),
+pairs AS (SELECT substr(r.test, 3) AS test, path FROM r JOIN nodes ON id = node WHERE type = 'file' AND NOT {TEST})
+"""
+
+
+def _pairs(s, d):
+    return R.coverage_pairs(G.nodes(s, d), G.edges(s, d), paths.is_test)
+
+
+query("test_coverage_pairs", _COVER + "SELECT * FROM pairs")(_pairs)
+query("test_coverage_summary", _COVER + f"""SELECT test_files, source_files, covered_files, round(covered_files / source_files, 4) AS ratio FROM (
+  SELECT count(*) FILTER ({TEST}) AS test_files, count(*) FILTER (NOT {TEST}) AS source_files, (SELECT count(DISTINCT path) FROM pairs) AS covered_files FROM nodes WHERE type = 'file')""")(lambda s, d: A.coverage_summary(G.nodes(s, d), _pairs(s, d)))
+query("uncovered_files", _COVER + f"SELECT path FROM nodes WHERE type = 'file' AND NOT {TEST} AND path NOT IN (SELECT path FROM pairs)")(lambda s, d: A.uncovered(G.nodes(s, d), _pairs(s, d)))
+
+
+def _history(s, d):
+    commits = G.commits(s, d).withColumn("date_iso", F.date_format("ts", "yyyy-MM-dd"))
+    as_of = commits.agg(F.max("ts")).first()[0]
+    return A.churn(commits, F.lit(as_of))
+
+
+def _facts(s, d):
+    return G.complexity(s, d)
+
+
+_CHURN = f"""SELECT path, count(*) AS commits_total, count(*) FILTER (ts >= {AS_OF} - INTERVAL 90 DAY) AS commits_in_window,
+  strftime(max(ts), '%Y-%m-%d') AS last_modified FROM commits GROUP BY path"""
+query("file_churn", _CHURN)(_history)
+
+
+def _risk_sql(measured: str) -> str:
+    return _COVER + f""", h AS ({_CHURN}), t AS (SELECT path, list_sort(list(DISTINCT test)) AS tests FROM pairs GROUP BY path), m AS ({measured}),
+scores AS (SELECT n.path, CAST(round(least(coalesce(commits_in_window, 0), 10) / 10 * 70) + CASE WHEN t.path IS NULL THEN 30 ELSE 0 END
+    + round(least(coalesce(c, 0), 15) / 15 * 30) AS BIGINT) AS score, coalesce(commits_in_window, 0) AS commits_in_window, h.path IS NULL AS untracked, t.path IS NOT NULL AS tested,
+    coalesce(array_to_string(tests, ','), '') AS tests, CAST(coalesce(c, 0) AS INT) AS max_complexity
+  FROM nodes n LEFT JOIN h ON h.path = n.path LEFT JOIN t ON t.path = n.path LEFT JOIN m ON m.path = n.path WHERE n.type = 'file' AND NOT n.{TEST})
+"""
+
+
+_PLAIN = "SELECT NULL::VARCHAR AS path, NULL::INT AS c"
+_MEASURED = "SELECT path, max(complexity) AS c FROM complexity GROUP BY path"
+
+
+def _risk(s, d, measured=False):
+    scores = A.risk(G.nodes(s, d), _history(s, d), _pairs(s, d), A.complexity_by_file(_facts(s, d)) if measured else None)
+    return scores.withColumn("tests", F.array_join("tests", ","))
+
+
+query("risk_scores", _risk_sql(_PLAIN) + "SELECT * FROM scores")(lambda s, d: _risk(s, d))
+query("risk_with_complexity", _risk_sql(_MEASURED) + "SELECT * FROM scores")(lambda s, d: _risk(s, d, True))
+query("riskiest_files_top5", _risk_sql(_MEASURED) + "SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 5")(lambda s, d: A.riskiest(_risk(s, d, True), 5).select("path", "score"))
+query("untested_churning_files", _risk_sql(_PLAIN) + "SELECT path, commits_in_window FROM scores WHERE NOT tested AND commits_in_window > 0")(lambda s, d: _risk(s, d).filter("not tested and commits_in_window > 0").select("path", "commits_in_window"))
+query("complexity_file_max", "SELECT path, max(complexity) AS max_complexity, count(*) AS functions FROM complexity GROUP BY path")(lambda s, d: A.complexity_by_file(_facts(s, d)))
+query("complexity_top_functions", "SELECT path, name, complexity FROM complexity ORDER BY complexity DESC, path, name LIMIT 10")(lambda s, d: _facts(s, d).orderBy(F.col("complexity").desc(), "path", "name").limit(10).select("path", "name", "complexity"))
+
+query("find_symbol_exact", "SELECT id, type, name, path FROM nodes WHERE lower(name) = lower('CUSTOMER#000000007') OR lower(name) = 'europe' ORDER BY id LIMIT 20")(lambda s, d: S.find_exact(G.nodes(s, d), ["CUSTOMER#000000007", "europe"]))
+query("find_symbol_substring", "SELECT id, type, name, path FROM nodes WHERE contains(lower(name), 'er#00000001') ORDER BY id LIMIT 20")(lambda s, d: S.find_symbol(G.nodes(s, d), "ER#00000001"))
+query("resolve_target", """SELECT 'p7.py' AS target, CASE count(*) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found' ELSE 'multiple' END AS status, min(id) AS id FROM nodes WHERE type = 'file' AND path LIKE '%/p7.py'
+  UNION ALL SELECT 'nowhere', 'not-found', NULL UNION ALL SELECT 'Asia', CASE count(*) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found' ELSE 'multiple' END, min(id) FROM nodes WHERE lower(name) = 'asia' AND NOT external
+  UNION ALL SELECT 'f:src/geo.py', 'found', 'f:src/geo.py' UNION ALL SELECT 'xm:outside', 'not-found', NULL""")(lambda s, d: S.resolve_targets(G.nodes(s, d), ["p7.py", "nowhere", "Asia", "f:src/geo.py", "xm:outside"]))
+query("enclosing_symbol", """WITH places AS (SELECT DISTINCT path, start_line + 1 AS line FROM nodes WHERE type = 'function')
+  SELECT p.path, p.line, arg_min(id, struct_pack(w := end_line - start_line, i := id)) AS id FROM places p JOIN nodes n ON n.path = p.path AND start_line <= line AND end_line >= line GROUP BY p.path, p.line""")(
+    lambda s, d: (lambda n: A.enclosing_symbol(n, n.filter("type = 'function'").select("path", (F.col("start_line") + 1).alias("line")).distinct()))(G.nodes(s, d))
+)
+
+_NOW = "SELECT path, CASE WHEN hash_key % 7 = 0 THEN 'new' ELSE 'same' END AS content_hash FROM (SELECT path, TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS hash_key FROM nodes WHERE type = 'file' AND path <> 'src/geo.py') x WHERE hash_key % 11 <> 0"
+_OLD = "SELECT path, 'same' AS content_hash FROM (SELECT path, TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS hash_key FROM nodes WHERE type = 'file' AND path <> 'src/geo.py') x WHERE hash_key % 13 <> 0"
+_DIFF = f"""WITH o AS ({_OLD}), n AS ({_NOW}), diff AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+  WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path)
+"""
+
+
+def _diff(s, d):
+    nodes = G.nodes(s, d)
+    return A.incremental_diff(s.sql(_OLD.replace("FROM nodes", "FROM {nodes}"), nodes=nodes), s.sql(_NOW.replace("FROM nodes", "FROM {nodes}"), nodes=nodes))
+
+
+query("incremental_diff", _DIFF + "SELECT * FROM diff")(_diff)
+query("reverse_dependents", _DIFF + """SELECT DISTINCT substr(src, 3) AS path FROM edges JOIN diff t ON dst = 'f:' || t.path AND t.change IN ('changed', 'removed')
+  JOIN diff u ON src = 'f:' || u.path AND u.change = 'unchanged' WHERE type = 'imports'""")(lambda s, d: A.reverse_dependents(G.edges(s, d), _diff(s, d)))
+query("change_debounce_sessions", """WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  numbered AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+  SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM numbered GROUP BY user_id, k""")(lambda s, d: A.debounced(_table(s, d, "events"), "user_id", "1 hour"))
+query("page_link_imports", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM pages""")(
+    lambda s, d: _table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("specifier"))
+)
+
+_SCOPES = "SELECT 'f:src/geo.py' AS scope UNION ALL SELECT 'cls:src/geo.py#FRANCE'"
+_SEEDS = f"""WITH RECURSIVE scopes AS ({_SCOPES}), seeds AS (SELECT scope, scope AS id FROM scopes UNION SELECT scope, dst FROM seeds JOIN edges ON src = id AND type = 'defines')
+"""
+
+
+def _scopes(s):
+    return s.createDataFrame([("f:src/geo.py",), ("cls:src/geo.py#FRANCE",)], "scope string")
+
+
+query("scope_seeds", _SEEDS + "SELECT * FROM seeds")(lambda s, d: R.scope_seeds(G.edges(s, d), _scopes(s)))
