@@ -7,7 +7,8 @@ segmentation out of the queue each time. The text is the model's: a space
 before it, spaces as U+2581. A character that no piece holds costs ``UNKNOWN``
 more than the worst piece and is coded by its byte pieces, so decoding gives
 back every text. Scores are used as the file has them (a merge rank for a BPE
-file), and a segmentation's score is their sum; ties go to the lesser ids.
+file), and a segmentation's score is their sum; of equal ones that with the longer last
+piece counts as best.
 
 Two places keep this fast without changing a result. No piece spans certain
 pairs of characters, so the lattice falls apart there, and its parts are
@@ -77,68 +78,76 @@ class Lattice:
                     into[j].append((i, self.worst, tuple(self.bytes_of[b] for b in part[i].encode())))
         return into
 
-    def n_best(self, part: str, n: int) -> list[tuple[float, tuple]]:
-        """The n best (score, ids), best first: forward Viterbi, then A* from the end."""
+    def n_best(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids), best first: forward Viterbi, then A* from the end.
+
+        No place is left more than n times, for the n best ways to the end pass
+        it at most so often; with equal scores the queue prefers what is nearer
+        to the start.
+        """
         into = self.edges(part)
         ahead = [0.0] * len(into)
         for j in range(1, len(into)):
             ahead[j] = max(ahead[i] + score for i, score, _ in into[j])
-        queue = [(-ahead[-1], (), len(part), 0.0)]
-        found: list[tuple[float, tuple]] = []
-        while queue and (len(found) < n or -queue[0][0] >= found[-1][0]):
-            _, ids, j, done = heapq.heappop(queue)
+        queue, made = [(-ahead[-1], len(part), 0, 0.0, None)], 0
+        left = [0] * len(into)
+        found: list[tuple[float, bytes]] = []
+        while queue and len(found) < n:
+            _, j, _, done, way = heapq.heappop(queue)
             if j == 0:
-                found.append((done, ids))
+                ids: list[int] = []
+                while way:
+                    ids += way[0]
+                    way = way[1]
+                found.append((done, array("I", ids).tobytes()))
+                continue
+            if left[j] == n:
+                continue
+            left[j] += 1
             for i, score, own in into[j]:
-                heapq.heappush(queue, (-(done + score + ahead[i]), own + ids, i, done + score))
-        found.sort(key=lambda x: (-x[0], x[1]))
-        return found[:n]
+                made += 1
+                heapq.heappush(queue, (-(done + score + ahead[i]), i, made, done + score, (own, way)))
+        return found
 
     def _part(self, part: str) -> tuple:
         """(score, ids, loss of the second best or None): the two best scores of every place, and the way of the best."""
         found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = self._search(part) or self._exact(part)
-        return found
-
-    def _search(self, part: str) -> tuple | None:
-        """As ``_part``; None where two ways tie or a character has no piece."""
+        if found is not None:
+            return found
         get, longest, none = self.pieces.get, self.longest, -1e300
-        best, second, way = [0.0], [none], [(0, 0)]
+        best, second, way = [0.0], [none], [(0, ())]
         for j in range(1, len(part) + 1):
-            one, two, came, ties = none, none, None, False
+            one, two, came = none, none, (j, ())
             for i in range(j - longest if j > longest else 0, j):
                 piece = get(part[i:j])
-                if piece:
-                    score = piece[0]
-                    value = best[i] + score
-                    if value > one:
-                        two, one, came, ties = one, value, (i, piece[1]), False
-                    elif value > two:
-                        ties = value == one
-                        two = value
-                    value = second[i] + score
-                    if value > two:
-                        two = value
-            if came is None or ties or two == one:
-                return None
+                if not piece:
+                    if i < j - 1:
+                        continue
+                    piece = (self.worst, None)
+                score = piece[0]
+                value = best[i] + score
+                if value > one:
+                    two, one, came = one, value, (i, piece[1])
+                elif value > two:
+                    two = value
+                value = second[i] + score
+                if value > two:
+                    two = value
             best.append(one)
             second.append(two)
             way.append(came)
-        ids, j = [], len(part)
+        ids: list[int] = []
+        j = len(part)
         while j:
-            j, i = way[j]
-            ids.append(i)
+            i, piece = way[j]
+            if piece is None:
+                ids.extend(self.bytes_of[b] for b in reversed(part[i].encode()))
+            else:
+                ids.append(piece)
+            j = i
         ids.reverse()
-        return best[-1], array("I", ids).tobytes(), best[-1] - second[-1] if second[-1] > -1e290 else None
-
-    def _exact(self, part: str) -> tuple:
-        """As ``_part``, with whole ways kept, so that ties go to the lesser ids."""
-        best: list[list[tuple]] = [[(0.0, ())]]
-        for ends in self.edges(part)[1:]:
-            best.append(sorted((b - score, ids + own) for i, score, own in ends for b, ids in best[i])[:2])
-        last = best[-1]
-        return -last[0][0], np.array(last[0][1], "<u4").tobytes(), last[1][0] - last[0][0] if len(last) > 1 else None
+        found = self.parts[part] = (best[-1], array("I", ids).tobytes(), best[-1] - second[-1] if second[-1] > -1e290 else None)
+        return found
 
     def _word(self, word: str) -> tuple:
         """As ``_part``, of a run of parts."""
@@ -169,7 +178,10 @@ class Lattice:
         score = sum(c[0] for c in coded)
         loose = heapq.nsmallest(n - 1, ((c[2], k) for k, c in enumerate(coded) if c[2] is not None))
         loose.sort(key=lambda x: x[1])
-        choices = [[(s, np.array(ids, "<u4").tobytes()) for s, ids in self.n_best(words[k], n)] for _, k in loose]
+        choices = []
+        for _, k in loose:  # the best as remembered, and then others
+            others = [c for c in self.n_best(words[k], n) if c[1] != coded[k][1]]
+            choices.append([(coded[k][0], coded[k][1]), *others][:n])
         # A* over the loose words from the last one: what is ahead is their best
         ahead = [0.0]
         for c in choices:
