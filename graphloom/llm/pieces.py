@@ -33,7 +33,7 @@ from graphloom.llm.common import table
 
 N_BEST = 3
 UNKNOWN = 10.0
-CACHE = 400_000
+CACHE = 600_000  # words that a worker remembers, and half as many again of their parts
 SPACE = "▁"
 
 
@@ -61,6 +61,8 @@ class Lattice:
         self.pieces = normal
         self.longest = max(map(len, normal))
         self.worst = min(score for score, _ in normal.values()) - UNKNOWN
+        # pieces, and False for what only begins one
+        self.starts = {p[:k]: False for p in normal for k in range(1, len(p))} | normal
         self.pairs = {p[k : k + 2] for p in normal for k in range(len(p) - 1)}
         self.parts: dict[str, tuple] = {}  # part -> (score, ids, loss of the second best)
         self.words: dict[str, tuple] = {}
@@ -114,28 +116,27 @@ class Lattice:
         found = self.parts.get(part)
         if found is not None:
             return found
-        get, longest, none = self.pieces.get, self.longest, -1e300
-        best, second, way = [0.0], [none], [(0, ())]
-        for j in range(1, len(part) + 1):
-            one, two, came = none, none, (j, ())
-            for i in range(j - longest if j > longest else 0, j):
+        get, longest, none, n = self.starts.get, self.longest, -1e300, len(part)
+        best, second, way = [none] * (n + 1), [none] * (n + 1), [(0, None)] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            first, other = best[i], second[i]
+            for j in range(i + 1, (i + longest if i + longest < n else n) + 1):
                 piece = get(part[i:j])
                 if not piece:
-                    if i < j - 1:
+                    if j > i + 1:
+                        if piece is None:
+                            break
                         continue
                     piece = (self.worst, None)
-                score = piece[0]
-                value = best[i] + score
-                if value > one:
-                    two, one, came = one, value, (i, piece[1])
-                elif value > two:
-                    two = value
-                value = second[i] + score
-                if value > two:
-                    two = value
-            best.append(one)
-            second.append(two)
-            way.append(came)
+                value = first + piece[0]
+                if value > best[j]:
+                    second[j], best[j], way[j] = best[j], value, (i, piece[1])
+                elif value > second[j]:
+                    second[j] = value
+                value = other + piece[0]
+                if value > second[j]:
+                    second[j] = value
         ids: list[int] = []
         j = len(part)
         while j:
@@ -150,12 +151,12 @@ class Lattice:
         return found
 
     def _word(self, word: str) -> tuple:
-        """As ``_part``, of a run of parts."""
-        pairs = self.pairs
-        cut = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
-        if not cut:
+        """As ``_part``, of a word, in two parts where no piece spans its last letter and the marks after it."""
+        core = word.rstrip(_MARKS)
+        k = len(core)
+        if not core or k == len(word) or word[k - 1 : k + 1] in self.pairs:
             return self._part(word)
-        parts = [self._part(word[i:j]) for i, j in zip([0, *cut], [*cut, len(word)], strict=True)]
+        parts = self._part(core), self._part(word[k:])
         losses = [p[2] for p in parts if p[2] is not None]
         return sum(p[0] for p in parts), b"".join(p[1] for p in parts), min(losses) if losses else None
 
@@ -212,6 +213,7 @@ class Lattice:
 
 #: spaces and what follows them: pieces with a space inside are all spaces
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n\r\t"
 _LATTICES: dict[str, Lattice] = {}
 
 
