@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
+from graphloom.functions import questions as Q
 from graphloom.operators import analysis as A
 from graphloom.operators import cycles as C
+from graphloom.operators import guard as U
 from graphloom.operators import reach as R
 from graphloom.operators import symbols as S
 from graphloom.plans import testgraph as G
@@ -220,3 +222,43 @@ def _scopes(s):
 
 
 query("scope_seeds", _SEEDS + "SELECT * FROM seeds")(lambda s, d: R.scope_seeds(G.edges(s, d), _scopes(s)))
+_USED = _SEEDS + """, used AS (SELECT scope, e.* FROM edges e JOIN seeds ON src = id)
+"""
+query("allowlist_symbols", _USED + """SELECT scope, id, arg_max(via, r) AS via FROM (SELECT scope, dst AS id, type AS via, CASE type WHEN 'calls' THEN 1 WHEN 'imports' THEN 2 ELSE 3 END AS r
+  FROM used WHERE confidence = 'resolved' AND type IN ('calls', 'imports', 'inherits') UNION ALL SELECT scope, id, 'defines', 0 FROM seeds WHERE id <> scope) GROUP BY scope, id""")(lambda s, d: U.allowlist(G.edges(s, d), _scopes(s))[0])
+
+
+def _callers(s, edges):
+    """Scopes with unresolved calls: the first functions that have any."""
+    return edges.filter("confidence = 'ambiguous'").select(F.col("src").alias("scope")).distinct().orderBy("scope").limit(5)
+
+
+query("allowlist_unresolved", "WITH scopes AS (SELECT DISTINCT src AS scope FROM edges WHERE confidence = 'ambiguous' ORDER BY 1 LIMIT 5) SELECT DISTINCT scope, src, callee_text, line FROM edges JOIN scopes ON scope = src WHERE confidence = 'ambiguous'")(
+    lambda s, d: (lambda e: U.allowlist(e, _callers(s, e))[2])(G.edges(s, d))
+)
+
+_MODULES = "SELECT DISTINCT src, CASE k % 4 WHEN 0 THEN 'node:fs' WHEN 1 THEN 'https' WHEN 2 THEN 'child_process' ELSE 'left-pad' END AS module FROM (SELECT src, CAST(regexp_extract(dst, '([0-9]+)', 1) AS BIGINT) AS k FROM edges WHERE type = 'imports' AND dst LIKE 'xm:%') x"
+
+
+def _module_edges(s, d):
+    """Imports of the test graph's modules, under names of real ones."""
+    edges = G.edges(s, d)
+    return s.sql(f"SELECT src, 'xm:' || module AS dst, 'imports' AS type, 1 AS line, CAST(NULL AS STRING) AS callee_text, 'resolved' AS confidence FROM ({_MODULES.replace('FROM edges', 'FROM {edges}')}) y", edges=edges)
+
+
+query("derived_grants", f"SELECT src AS scope, CASE module WHEN 'node:fs' THEN 'filesystem' WHEN 'https' THEN 'network' ELSE 'subprocess' END AS category, module FROM ({_MODULES}) WHERE module <> 'left-pad'")(
+    lambda s, d: (lambda e: U.derived_grants(e, e.select(F.col("src").alias("scope")).distinct()))(_module_edges(s, d))
+)
+
+_WANTED = (("./geo", 1), ("../up", 2), ("fs", 3), ("node:https", 4), ("os", 5), ("left-pad", 6), ("chalk", 7), ("./missing.js", 8), ("src/geo.py", 9))
+query("module_access_breaches", """SELECT * FROM (VALUES ('../up', 2::BIGINT, 'unverifiable-import', 'files'), ('node:https', 4, 'ungranted-resource', 'resources.network'), ('os', 5, 'disallowed-import', NULL),
+  ('chalk', 7, 'disallowed-import', 'symbols'), ('./missing.js', 8, 'disallowed-import', 'files'), ('src/geo.py', 9, 'disallowed-import', 'symbols')) t(specifier, line, kind, area)""")(
+    lambda s, d: U.module_breaches(s.createDataFrame(_WANTED, "specifier string, line long"), G.nodes(s, d).filter("type = 'file'").select("path"), s.createDataFrame([("filesystem",)], "category string"), s.createDataFrame([("left-pad",)], "module string"))
+)
+
+_ASKED = ("What depends on src/a.py?", "is `x` dead", "Is helper dead code?", "is m:a#B.c unused", "what's the riskiest file in src/", "which file is the riskiest", "What is untested in lib?", "untested files", "what lacks coverage", "tell me a story")
+query("question_intents", """SELECT * FROM (VALUES ('What depends on src/a.py?', 'blast-radius', 'src/a.py', NULL), ('is `x` dead', NULL, NULL, NULL), ('Is helper dead code?', 'dead-code-check', 'helper', NULL),
+  ('is m:a#B.c unused', 'dead-code-check', 'm:a#B.c', NULL), ('what''s the riskiest file in src/', 'riskiest-file', NULL, 'src'), ('which file is the riskiest', 'riskiest-file', NULL, NULL), ('What is untested in lib?', 'untested', NULL, 'lib'),
+  ('untested files', 'untested', NULL, NULL), ('what lacks coverage', 'untested', NULL, NULL), ('tell me a story', NULL, NULL, NULL)) t(question, intent, target, scope)""")(
+    lambda s, d: s.createDataFrame([(q,) for q in _ASKED], "question string").withColumn("i", Q.intent(F.col("question"))).select("question", "i.intent", "i.target", "i.scope")
+)
