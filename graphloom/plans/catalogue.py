@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions import questions as Q
+from graphloom.functions.ship import ship
 from graphloom.operators import analysis as A
 from graphloom.operators import cycles as C
 from graphloom.operators import guard as U
 from graphloom.operators import reach as R
+from graphloom.operators import resolve
 from graphloom.operators import symbols as S
 from graphloom.plans import testgraph as G
 from graphloom.schema import broken, guarded
+from graphloom.sources import facts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -262,3 +265,32 @@ query("question_intents", """SELECT * FROM (VALUES ('What depends on src/a.py?',
   ('untested files', 'untested', NULL, NULL), ('what lacks coverage', 'untested', NULL, NULL), ('tell me a story', NULL, NULL, NULL)) t(question, intent, target, scope)""")(
     lambda s, d: s.createDataFrame([(q,) for q in _ASKED], "question string").withColumn("i", Q.intent(F.col("question"))).select("question", "i.intent", "i.target", "i.scope")
 )
+query("import_candidates_first_match", """WITH c AS (SELECT k, 'src/p' || k || '.py' AS candidate, 0 AS ordinal FROM (SELECT p_partkey AS k FROM part) UNION ALL SELECT k, 'tests/p' || k || '.py', 1 FROM (SELECT p_partkey AS k FROM part)
+  UNION ALL SELECT k, 'src/geo.py', 2 FROM (SELECT p_partkey AS k FROM part)) SELECT k, arg_min(candidate, ordinal) AS target FROM c WHERE candidate IN (SELECT path FROM nodes WHERE type = 'file') GROUP BY k""")(
+    lambda s, d: A.first_match(
+        _table(s, d, "part").select(F.col("p_partkey").alias("k"), F.posexplode(F.array(F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")), F.concat(F.lit("tests/p"), "p_partkey", F.lit(".py")), F.lit("src/geo.py"))).alias("ordinal", "candidate")),
+        G.nodes(s, d).filter("type = 'file'").select("path"), ["k"],
+    )
+)
+
+# A small repository of our own, for what SQL can't state.
+_SOURCES = (
+    ("app/core.py", "class Base:\n    def run(self):\n        return self.step()\n\n    def step(self):\n        return 1\n\n\ndef helper(x):\n    return 1 if x else 2\n"),
+    ("app/use.py", "import os\nfrom app.core import Base, helper\n\n\nclass Child(Base):\n    def go(self):\n        self.run()\n        helper(os.getcwd())\n        unknown()\n"),
+)
+
+
+def _records(s):
+    ship(s)
+    files = s.createDataFrame([(p, "python", t.encode()) for p, t in _SOURCES], "path string, language string, content binary")
+    return facts.extract(files.withColumn("content_hash", F.sha2("content", 256)))
+
+
+@query("extract_python_symbols")
+def _symbols(s, d):
+    return resolve.local_names(_records(s))
+
+
+@query("resolved_source_edges")
+def _resolved(s, d):
+    return resolve.build_graph(_records(s))[1]
