@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphloom.schema import FILES
-from graphloom.sources import python_facts
+from graphloom.sources import brace_facts, python_facts
 
 #: Readers by language; files of a language without one get an empty record.
-READERS = {"python": python_facts.read}
+READERS = {"python": python_facts.read} | {name: brace_facts.reader(name) for name in ("javascript", "typescript", "tsx", "go", "rust")}
 
 
 def extract(files: DataFrame) -> DataFrame:
