@@ -294,3 +294,90 @@ def _symbols(s, d):
 @query("resolved_source_edges")
 def _resolved(s, d):
     return resolve.build_graph(_records(s))[1]
+
+
+# File records made from the tables: parts are files, their customers functions, lines imports, orders calls and references.
+_FUNCTIONS = "SELECT path, name, start_line, end_line, exported FROM ({FUNCTION}) f"
+_IMPORTED = "SELECT DISTINCT a.path, b.path AS target, replace(replace(b.path, '.py', ''), '/', '.') AS specifier FROM ({LINES}) l JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part WHERE l_orderkey % 40 = 0 AND a.path <> b.path"
+_SITES = "SELECT f.path, f.name AS container, g.name, c.line FROM ({CALLS}) c JOIN ({FUNCTION}) f ON f.k = caller JOIN ({FUNCTION}) g ON g.k = callee"
+_NAMED = "SELECT f.path, g.name, CAST(a.o_custkey % 90 + 1 AS INT) AS line FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1 JOIN ({FUNCTION}) f ON f.k = a.o_custkey JOIN ({FUNCTION}) g ON g.k = b.o_custkey WHERE a.o_orderkey % 3 = 0"
+_PLAIN_TABLES = {t: t for t in G.BASE}
+
+
+def _table_records(s, d):
+    """The records as a frame; lists are in order of their fields, so that order is the same everywhere."""
+    sql = lambda text: s.sql(G.expand(text, {t: f"parquet.`{d}/{t}.parquet`" for t in G.BASE}))
+    listed = lambda df, name, fields: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    own = sql(_FUNCTIONS)
+    functions = listed(own, "functions", ["name", "start_line", "end_line", "exported"])
+    names = own.groupBy(F.col("path").alias("target")).agg(F.sort_array(F.collect_list("name")).alias("named_imports"))
+    bound = sql(_IMPORTED).join(names, "target", "left")
+    none = F.lit(None).cast("string")
+    imports = listed(bound, "imports", ["specifier", none.alias("default_import"), none.alias("namespace_import"), F.coalesce("named_imports", F.array().cast("array<string>")).alias("named_imports"), F.lit(1).alias("line")])
+    calls = listed(sql(_SITES), "calls", [F.lit("plain").alias("kind"), none.alias("object"), "name", "line", "container"])
+    references = listed(sql(_NAMED), "references", ["name", "line", F.lit("<file>").alias("container")])
+    rows = sql("SELECT path, 'python' AS language FROM ({PART}) p").join(functions, "path", "left").join(imports, "path", "left").join(calls, "path", "left").join(references, "path", "left")
+    empty = {
+        "functions": "array<struct<name:string,start_line:int,end_line:int,exported:boolean>>", "imports": "array<struct<specifier:string,default_import:string,namespace_import:string,named_imports:array<string>,line:int>>",
+        "calls": "array<struct<kind:string,object:string,name:string,line:int,container:string>>", "references": "array<struct<name:string,line:int,container:string>>",
+    }
+    none_of = {"classes": "array<struct<name:string,start_line:int,end_line:int,exported:boolean,methods:array<struct<name:string,start_line:int,end_line:int>>,extends:array<string>>>", "exports": "array<struct<kind:string,names:array<string>,line:int>>"}
+    filled = {k: F.coalesce(F.col(k).cast(kind), F.array().cast(kind)) for k, kind in empty.items()} | {k: F.array().cast(kind) for k, kind in none_of.items()}
+    return rows.withColumns(filled)
+
+
+def _records_oracle(sql: str) -> str:
+    views = {"fns": "SELECT path, name, exported FROM ({FUNCTION}) f", "imported": _IMPORTED, "sites": _SITES, "named": _NAMED, "parts": "SELECT path FROM ({PART}) p"}
+    return "WITH " + ", ".join(f"{k} AS ({G.expand(v, _PLAIN_TABLES)})" for k, v in views.items()) + " " + sql
+
+
+def _table_calls(s, d):
+    files = _table_records(s, d)
+    resolved = resolve.resolve_imports(files)
+    bound, exported = resolve.bindings(files, resolved), resolve.exported_symbols(files)
+    return resolve.call_edges(files, bound, exported, resolve.inherit_edges(files, bound, exported))
+
+
+QUERIES["import_resolution"] = lambda s, d: resolve.resolve_imports(_table_records(s, d))
+ORACLE_SQL["import_resolution"] = _records_oracle("SELECT i.path, specifier, p.path AS target FROM imported i LEFT JOIN parts p ON p.path = replace(specifier, '.', '/') || '.py'")
+QUERIES["call_resolution_plain"] = lambda s, d: _table_calls(s, d).select("src", "dst", "line", "callee_text", "confidence")
+ORACLE_SQL["call_resolution_plain"] = _records_oracle("""
+, hits AS (SELECT i.path, g.name, min_by(CASE WHEN p.path IS NULL THEN 'xf:' || specifier || '#' || g.name ELSE 'fn:' || p.path || '#' || g.name END, specifier) AS hit
+  FROM imported i JOIN fns g ON g.path = i.target LEFT JOIN parts p ON p.path = replace(specifier, '.', '/') || '.py' WHERE p.path IS NULL OR g.exported GROUP BY i.path, g.name),
+done AS (SELECT s.*, coalesce('fn:' || f.path || '#' || f.name, hit) AS dst FROM sites s LEFT JOIN fns f ON f.path = s.path AND f.name = s.name LEFT JOIN hits h ON h.path = s.path AND h.name = s.name)
+SELECT 'fn:' || path || '#' || container AS src, dst, line, CASE WHEN dst IS NULL THEN name END AS callee_text, CASE WHEN dst IS NULL THEN 'ambiguous' ELSE 'resolved' END AS confidence FROM done""")
+QUERIES["reference_edges"] = lambda s, d: resolve.reference_edges(_table_records(s, d)).select("src", "dst", "line")
+ORACLE_SQL["reference_edges"] = _records_oracle("SELECT 'f:' || n.path AS src, 'fn:' || n.path || '#' || n.name AS dst, min(line) AS line FROM named n JOIN fns f ON f.path = n.path AND f.name = n.name GROUP BY n.path, n.name")
+
+_CLASSES = """SELECT 'src/c' || CAST(n_nationkey % 7 AS STRING) || '.py' AS path, n_name AS name, r_name AS base, n_nationkey + 1 AS line FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
+UNION ALL SELECT 'src/c' || CAST(r_regionkey AS STRING) || '.py', r_name, NULL, r_regionkey + 100 FROM {region} UNION ALL SELECT 'src/c6.py', r_name, NULL, r_regionkey + 200 FROM {region} WHERE r_regionkey < 2"""
+
+
+def _class_records(s, d):
+    rows = s.sql(G.expand(_CLASSES, {t: f"parquet.`{d}/{t}.parquet`" for t in G.BASE}))
+    methods = F.array(F.struct(F.concat(F.lit("of_"), "name").alias("name"), "line", "line"))
+    kinds = "struct<name:string,start_line:int,end_line:int,exported:boolean,methods:array<struct<name:string,start_line:int,end_line:int>>,extends:array<string>>"
+    one = F.struct("name", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(True).alias("exported"), methods.alias("methods"), F.array_compact(F.array("base")).alias("extends")).cast(kinds)
+    # each nation's method calls its own, its base's, and one that nobody has
+    sites = F.flatten(F.transform(F.collect_list(F.when(F.col("base").isNotNull(), F.struct("name", "base", "line"))), lambda x: F.transform(F.array(x["name"], x["base"], F.lit("NOBODY")), lambda m: F.struct(F.lit("self").alias("kind"), F.lit("self").alias("object"), F.concat(F.lit("of_"), m).alias("name"), x["line"].alias("line"), F.concat(x["name"], F.lit(".of_"), x["name"]).alias("container")))))
+    files = rows.groupBy("path").agg(F.collect_list(one).alias("classes"), sites.alias("calls"))
+    empty = {"functions": "array<struct<name:string,start_line:int,end_line:int,exported:boolean>>", "imports": "array<struct<specifier:string,default_import:string,namespace_import:string,named_imports:array<string>,line:int>>", "exports": "array<struct<kind:string,names:array<string>,line:int>>"}
+    return files.withColumn("language", F.lit("python")).withColumns({k: F.array().cast(v) for k, v in empty.items()})
+
+
+def _class_edges(s, d):
+    files = _class_records(s, d)
+    resolved = resolve.resolve_imports(files)
+    bound, exported = resolve.bindings(files, resolved), resolve.exported_symbols(files)
+    return files, bound, exported, resolve.inherit_edges(files, bound, exported)
+
+
+_CLASS_VIEWS = f"""WITH c AS ({G.expand(_CLASSES, _PLAIN_TABLES)}), single AS (SELECT name, min('cls:' || path || '#' || name) AS id FROM c GROUP BY name HAVING count(*) = 1),
+inh AS (SELECT c.path, c.name, c.base, c.line, coalesce('cls:' || o.path || '#' || o.name, s.id) AS dst FROM c LEFT JOIN c o ON o.path = c.path AND o.name = c.base LEFT JOIN single s ON s.name = c.base WHERE c.base IS NOT NULL)
+"""
+QUERIES["inherits_resolution"] = lambda s, d: _class_edges(s, d)[3].select("src", "dst", "line", "callee_text", "confidence")
+ORACLE_SQL["inherits_resolution"] = _CLASS_VIEWS + "SELECT 'cls:' || path || '#' || name AS src, dst, line, CASE WHEN dst IS NULL THEN base END AS callee_text, CASE WHEN dst IS NULL THEN 'ambiguous' ELSE 'resolved' END AS confidence FROM inh"
+QUERIES["call_resolution_chain"] = lambda s, d: resolve.call_edges(*_class_edges(s, d)).select("src", "dst", "line", "callee_text")
+ORACLE_SQL["call_resolution_chain"] = _CLASS_VIEWS + """, asked AS (SELECT path, name, line, dst AS up, unnest([name, base, 'NOBODY']) AS m, base FROM inh)
+SELECT 'm:' || path || '#' || name || '.of_' || name AS src, CASE WHEN m = name THEN 'm:' || path || '#' || name || '.of_' || name WHEN m = base AND up IS NOT NULL THEN 'm:' || substr(up, 5) || '.of_' || base END AS dst, line,
+  CASE WHEN m = 'NOBODY' OR m = base AND up IS NULL THEN 'self.of_' || m END AS callee_text FROM asked"""
