@@ -174,7 +174,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rules = rules or CASCADE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.coalesce("text", F.lit("")).alias("text")).toArrow()["text"]
+    # ids alone are sorted; the texts of those picked come by a broadcast of at most SAMPLE ids
+    picked = rows.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in picked], "doc_id long")
+    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").limit(SAMPLE).select(F.coalesce("text", F.lit("")).alias("text")).toArrow()["text"]
     order = order_rules(sample.combine_chunks(), rules)
 
     def judged(batches):
