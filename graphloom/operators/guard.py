@@ -78,3 +78,27 @@ def module_breaches(wanted: DataFrame, files: DataFrame, grants: DataFrame, exte
     )
     area = F.when(F.col("class") == "relative", "files").when(kind == "ungranted-resource", F.concat(F.lit("resources."), "category")).when(F.col("class") == "package", "symbols")
     return rows.select("specifier", "line", kind.alias("kind"), area.alias("area")).filter("kind is not null")
+
+
+def static_gate(spark, code: str, files: DataFrame, symbols: DataFrame, grants: DataFrame, categories: DataFrame) -> DataFrame:
+    """(line, kind, area, attempted) of everything a JavaScript snippet asks for and is not allowed, by line; none: it may run.
+
+    files (path), symbols (name, and module where a package gives it), grants
+    as ``sources.resources`` loads them, categories (category). Nothing is run
+    here; an address needs a network grant, and what can't be read is refused.
+    """
+    from graphloom.sources import resources
+    from graphloom.sources.snippet_facts import scan
+
+    found = scan(code)
+    if found["failed_line"] is not None:
+        return spark.createDataFrame([(found["failed_line"], "parse-failure", None, code.split("\n")[found["failed_line"] - 1].strip())], "line int, kind string, area string, attempted string")
+    rows = lambda items, ddl: spark.createDataFrame([tuple(x.values())[: ddl.count(",") + 1] for x in items], ddl)
+    imports = module_breaches(rows(found["imports"], "specifier string, line int"), files, categories, symbols.filter("module is not null").select("module"))
+    told = imports.select("line", "kind", "area", F.coalesce("specifier", F.lit("a module that is not written out")).alias("attempted"))
+    env = resources.ungranted_env(rows(found["env"], "name string, mode string, line int"), grants)
+    told = told.unionByName(env.select("line", F.lit("ungranted-resource").alias("kind"), F.lit("resources.environment").alias("area"), F.concat_ws(" ", "mode", F.coalesce("name", F.lit("a computed variable"))).alias("attempted")))
+    urls = resources.ungranted_urls(rows(found["urls"], "url string, line int"), grants)
+    told = told.unionByName(urls.select("line", F.lit("ungranted-resource").alias("kind"), F.lit("resources.network").alias("area"), F.coalesce("url", F.lit("an address that is not written out")).alias("attempted")))
+    names = rows(found["names"], "name string, line int").join(symbols.select("name"), "name", "left_anti")
+    return told.unionByName(names.select("line", F.lit("unknown-reference").alias("kind"), F.lit("symbols").alias("area"), F.col("name").alias("attempted"))).orderBy("line", "kind", "attempted")
