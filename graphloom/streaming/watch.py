@@ -13,7 +13,7 @@ from graphloom.functions.paths import language
 
 def debounced(events: DataFrame, gap: str = "120 milliseconds", late: str = "1 second") -> DataFrame:
     """Sessions of a stream of (ts, root, path): one row per burst, when no event can join it any more."""
-    wanted = events.filter(language(F.col("path")).isNotNull() & ~F.col("path").rlike(r"(^|/)\.(git|mri)(/|$)"))
+    wanted = events.filter(language(F.col("path")).isNotNull() & ~F.col("path").rlike(r"(^|/)\.(git|graphloom)(/|$)"))
     burst = wanted.withWatermark("ts", late).groupBy("root", F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("changes"), F.max("ts").alias("last"))
     return burst.select("root", "changes", F.col("burst.start").alias("first"), "last")
 
