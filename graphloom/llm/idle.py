@@ -1,0 +1,37 @@
+"""Give a worker's remembered words back when it has had no text for a while.
+
+Python workers outlive a stage. What one remembers helps its next task of the
+same stage, and only takes memory from other stages afterwards.
+"""
+
+from __future__ import annotations
+
+import threading
+import time
+from collections.abc import Callable
+
+SECONDS = 3.0
+
+
+class Idle:
+    """Calls ``forget`` once ``touch`` has not been called for SECONDS."""
+
+    def __init__(self, forget: Callable[[], None]):
+        self.forget, self.last, self.watch = forget, 0.0, None
+        self.lock = threading.Lock()
+
+    def touch(self) -> None:
+        self.last = time.monotonic()
+        with self.lock:
+            if self.watch is None:
+                self.watch = threading.Thread(target=self._wait, daemon=True)
+                self.watch.start()
+
+    def _wait(self) -> None:
+        while True:
+            time.sleep(SECONDS / 2)
+            with self.lock:
+                if time.monotonic() - self.last > SECONDS:
+                    self.forget()
+                    self.watch = None
+                    return

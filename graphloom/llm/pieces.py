@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
 from graphloom.llm.common import table
+from graphloom.llm.idle import Idle
 
 N_BEST = 3
 UNKNOWN = 10.0
@@ -66,6 +67,11 @@ class Lattice:
         self.pairs = {p[k : k + 2] for p in normal for k in range(len(p) - 1)}
         self.parts: dict[str, tuple] = {}  # part -> (score, ids, loss of the second best)
         self.words: dict[str, tuple] = {}
+        self.idle = Idle(self.forget)
+
+    def forget(self) -> None:
+        # new dictionaries, so that a text at work keeps those it has
+        self.parts, self.words = {}, {}
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple]]]:
         """For each place the pieces that end there: (start, score, ids)."""
@@ -165,17 +171,18 @@ class Lattice:
         if not text:
             return [(0.0, b"")]
         words = _WORD.findall(SPACE + text.replace(" ", SPACE))
+        known = self.words
         try:
-            coded = list(map(self.words.__getitem__, words))
+            coded = list(map(known.__getitem__, words))
         except KeyError:
-            if len(self.words) > CACHE:
-                self.words.clear()
+            if len(known) > CACHE:
+                known.clear()
             if len(self.parts) > CACHE * 3 // 2:
                 self.parts.clear()
             for word in set(words):
-                if word not in self.words:
-                    self.words[word] = self._word(word)
-            coded = list(map(self.words.__getitem__, words))
+                if word not in known:
+                    known[word] = self._word(word)
+            coded = list(map(known.__getitem__, words))
         score = sum(c[0] for c in coded)
         loose = heapq.nsmallest(n - 1, ((c[2], k) for k, c in enumerate(coded) if c[2] is not None))
         loose.sort(key=lambda x: x[1])
@@ -245,6 +252,7 @@ def segment_documents(docs: DataFrame, n: int = N_BEST, path: str | None = None,
         lattice = lattice_of(path)
         for batch in batches:
             for i, j, _, _ in tk.blocks(batch.column(1)):
+                lattice.idle.touch()
                 out = []
                 for text in batch.column(1).slice(i, j - i).to_pylist():
                     text = text or ""
