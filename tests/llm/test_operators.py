@@ -275,7 +275,7 @@ def test_language_model_base_and_sums(docs, texts):
 def test_classifiers_learn(spark):
     ship(spark)
     r = random.Random(6)
-    plain = [f"w{k}" for k in range(50)]
+    plain = ["w" + chr(97 + k // 8) + chr(97 + k % 8) for k in range(50)]  # toxicity takes runs of letters as words
     rows, labels = [], []
     for i in range(400):
         bad = i % 3 == 0
