@@ -298,9 +298,9 @@ def _resolved(s, d):
 
 # File records made from the tables: parts are files, their customers functions, lines imports, orders calls and references.
 _FUNCTIONS = "SELECT path, name, start_line, end_line, exported FROM ({FUNCTION}) f"
-_IMPORTED = "SELECT DISTINCT a.path, b.path AS target, replace(replace(b.path, '.py', ''), '/', '.') AS specifier FROM ({LINES}) l JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part WHERE l_orderkey % 40 = 0 AND a.path <> b.path"
+_IMPORTED = "SELECT DISTINCT a.path, b.path AS target, replace(replace(b.path, '.py', ''), '/', '.') AS specifier FROM ({LINES}) l JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part WHERE a.path <> b.path"
 _SITES = "SELECT f.path, f.name AS container, g.name, c.line FROM ({CALLS}) c JOIN ({FUNCTION}) f ON f.k = caller JOIN ({FUNCTION}) g ON g.k = callee"
-_NAMED = "SELECT f.path, g.name, CAST(a.o_custkey % 90 + 1 AS INT) AS line FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1 JOIN ({FUNCTION}) f ON f.k = a.o_custkey JOIN ({FUNCTION}) g ON g.k = b.o_custkey WHERE a.o_orderkey % 3 = 0"
+_NAMED = "SELECT f.path, g.name, CAST(a.o_custkey % 90 + 1 AS INT) AS line FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1 JOIN ({FUNCTION}) f ON f.k = a.o_custkey JOIN ({FUNCTION}) g ON g.k = b.o_custkey"
 _PLAIN_TABLES = {t: t for t in G.BASE}
 
 

@@ -36,18 +36,18 @@ UNION ALL SELECT 'm:src/geo.py#' || n_name || '.' || s_name, 'method', s_name, '
 LINES = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS next_part
-FROM {lineitem} WHERE l_orderkey % 40 IN (0, 1)"""
+FROM {lineitem}"""
 
 # a call goes from an order's customer to the next order's
 CALLS = """
 SELECT DISTINCT a.o_custkey AS caller, b.o_custkey AS callee, a.o_orderstatus = 'P' AS ambiguous, CAST(a.o_orderkey % 500 + 1 AS INT) AS line
-FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 10 = 0"""
+FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1"""
 
 EDGES = """
 SELECT 'f:' || a.path AS src, 'f:' || b.path AS dst, 'imports' AS type, min(CAST(l_linenumber AS INT)) AS line, CAST(NULL AS STRING) AS callee_text, 'resolved' AS confidence
-FROM ({LINES}) JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part WHERE l_orderkey % 40 = 0 GROUP BY a.path, b.path
+FROM ({LINES}) JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part GROUP BY a.path, b.path
 UNION ALL SELECT DISTINCT 'f:' || a.path, 'xm:' || s_name, 'imports', CAST(1 AS INT), NULL, 'resolved'
-FROM ({LINES}) JOIN ({PART}) a ON a.k = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_orderkey % 40 = 1
+FROM ({LINES}) JOIN ({PART}) a ON a.k = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
 UNION ALL SELECT f.id, CASE WHEN ambiguous THEN NULL ELSE g.id END, 'calls', c.line, CASE WHEN ambiguous THEN 'obj.' || g.name END, CASE WHEN ambiguous THEN 'ambiguous' ELSE 'resolved' END
 FROM ({CALLS}) c JOIN ({FUNCTION}) f ON f.k = caller JOIN ({FUNCTION}) g ON g.k = callee
 UNION ALL SELECT 'f:' || path, id, 'defines', start_line, NULL, 'resolved' FROM ({FUNCTION})
@@ -56,15 +56,15 @@ UNION ALL SELECT 'f:src/geo.py', 'cls:src/geo.py#' || r_name, 'defines', r_regio
 UNION ALL SELECT 'cls:src/geo.py#' || n_name, 'm:src/geo.py#' || n_name || '.' || s_name, 'defines', CAST(s_suppkey + 100 AS INT), NULL, 'resolved' FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
 UNION ALL SELECT 'cls:src/geo.py#' || n_name, 'cls:src/geo.py#' || r_name, 'inherits', n_nationkey + 20, NULL, 'resolved' FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0
 UNION ALL SELECT DISTINCT 'f:' || f.path, g.id, 'references', CAST(o_custkey % 90 + 1 AS INT), NULL, 'resolved'
-FROM {orders} JOIN ({FUNCTION}) f ON f.k = o_custkey JOIN ({FUNCTION}) g ON g.k = o_custkey WHERE o_orderkey % 10 = 3 AND g.exported = false"""
+FROM {orders} JOIN ({FUNCTION}) f ON f.k = o_custkey JOIN ({FUNCTION}) g ON g.k = o_custkey WHERE g.exported = false"""
 
 COMMITS = """
 SELECT DISTINCT o_orderkey AS seq, o_orderdate AS ts, p.path
-FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN ({PART}) p ON p.k = l_partkey WHERE l_orderkey % 20 = 0"""
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN ({PART}) p ON p.k = l_partkey"""
 
 COMPLEXITY = """
 SELECT p.path, 'fn' || CAST(l_linenumber AS STRING) AS name, CAST(l_linenumber * 10 AS INT) AS start_line, CAST(max(l_quantity) AS INT) AS complexity
-FROM {lineitem} JOIN ({PART}) p ON p.k = l_partkey WHERE l_orderkey % 20 = 0 GROUP BY p.path, l_linenumber"""
+FROM {lineitem} JOIN ({PART}) p ON p.k = l_partkey GROUP BY p.path, l_linenumber"""
 
 BASE = ("part", "customer", "supplier", "orders", "lineitem", "nation", "region", "events")
 VIEWS = {"PART": PART, "FUNCTION": FUNCTION, "LINES": LINES, "CALLS": CALLS, "NODES": NODES, "EDGES": EDGES, "COMMITS": COMMITS, "COMPLEXITY": COMPLEXITY}
