@@ -5,14 +5,21 @@ class, both log-linear in hashed features of the three words before it: the
 word before (bigram), the two before (trigram), and the second and third before
 alone (skips). The ``TOP`` most frequent tokens, in classes of ``IN_CLASS``,
 have a softmax of their own in their class; every other word belongs to a class
-by the look of its end, and has there the add-half share of its training count,
-with room for one unseen word. All probabilities of a context sum to one.
+by the look of its end, and is found there by the digits of its hash: each digit
+is a softmax over ``BRANCH`` branches, which starts from the branches' training
+counts and has features of the words before. There are as many digits as it
+takes to tell the counted words apart, but for a few; words that share all
+digits part by their add-half counts, and each class has room for one unseen word. All
+probabilities of a context sum to one. Words outside the top ones are told
+apart as history too, by hashed rows.
 
 Training is distributed: in each of ``ROUNDS`` rounds every task takes the
 current weights, makes AdaGrad updates over its own texts, and returns how far
-its weights moved; the moves are added up, weighted by tokens, in slices on the
-executors. A round takes its own share of the training texts, so training reads
-each of them once. The weights have a fixed size (``ROWS`` and ``WORD_ROWS``).
+its weights moved; the moves of each row are added up, weighted by the tokens that
+used it, in slices on the executors. A round takes its own share of the training
+texts, so training reads each of them once. The hashed rows of words grow with
+the root of the training tokens (``hashed_rows``), the digits' starting points
+with the number of words.
 
 Counts cover the whole training part. Words are told apart by 64-bit hashes.
 The ``KNOWN`` most frequent words and their counts are broadcast (16 MB at
@@ -36,12 +43,33 @@ SYMBOLS = TOP + SHAPES + 1  # the last: before the text
 TRIGRAMS = 4096
 ROWS = 1 + 3 * SYMBOLS + TRIGRAMS
 WORD_ROWS = OWN + 8192
+BRANCH, BITS = 32, 5
 KNOWN = 1 << 20
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.08
+DAMPED = 4.0  # squares that a hashed row begins with
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
-_SLICE = 1 << 13  # floats
+_SLICE = 1 << 8  # rows
+_MIX, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def hashed_rows(tokens: float) -> int:
+    """Rows of hashed word features: a power of two that grows with the root of the training tokens."""
+    return 1 << max(12, int(np.ceil(np.log2(4 * np.sqrt(max(tokens, 1))))))
+
+
+def digits(words: float) -> int:
+    """Digits that leave four words of so many, at most, to a place on average: a place takes memory, used or not."""
+    n = 1
+    while 4 * SHAPES * BRANCH**n < words:
+        n += 1
+    return n
+
+
+def leaves(h: np.ndarray, shape: np.ndarray, depth: int) -> np.ndarray:
+    """The place of each word after all its digits; a shape's first place is the unseen word's too."""
+    return shape * BRANCH**depth + (h * _MIX >> np.uint64(64 - BITS * depth)).astype(np.int64)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,21 +87,34 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, shape, ptr + np.arange(n + 1)
 
 
+TABLES = ("weights", "word_weights", "tail_weights")
+
+
 class MaxEnt:
-    def __init__(self, top: np.ndarray, top_count: np.ndarray, shape_n: np.ndarray, shape_v: np.ndarray):
-        """top: hashes of the most frequent tokens, best first, with counts; tokens and words of each shape without them."""
+    def __init__(self, top: np.ndarray, top_count: np.ndarray, shape_n: np.ndarray, shape_v: np.ndarray, leaf: np.ndarray, leaf_room: np.ndarray, depth: int, hashed: int):
+        """top: hashes of the most frequent tokens, best first, with counts; tokens and words of each shape, and the add-half counts of places of ``leaves``, without them."""
         self.rank = np.argsort(top)
         self.index = tk.Index(top[self.rank])
         self.room = shape_n + 0.5 * (shape_v + 1)  # what the share of a word in its shape is of
         counts = np.zeros(TOP)
         counts[: len(top)] = top_count
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.depth, self.hashed = depth, hashed
+        self.leaf_room = np.zeros(SHAPES * BRANCH**depth, np.float32)
+        self.leaf_room[leaf] = leaf_room
+        self.leaf_room[:: BRANCH**depth] += 0.5  # the unseen word
+        levels = [self.leaf_room.reshape(SHAPES * BRANCH**k, BRANCH, -1).sum(2) for k in range(depth)]
+        self.level = np.cumsum([0, *(len(x) for x in levels)])
+        share = np.concatenate(levels)
+        self.parted = (share > 0).sum(1) > 1  # elsewhere a digit is certain
+        self.prior = np.log(share + 1e-9).astype(np.float32)
+        self.tail_weights = np.zeros((hashed, BRANCH), np.float32)
+        self.weights = np.zeros((ROWS + hashed, CLASSES), np.float32)
         self.weights[0] = np.log(np.concatenate([counts.reshape(OWN, IN_CLASS).sum(1), self.room]) + 1e-3)
         self.word_weights = np.zeros((WORD_ROWS, IN_CLASS), np.float32)
         self.word_weights[:OWN] = np.log(counts.reshape(OWN, IN_CLASS) + 1e-3)
 
     def encode(self, h: np.ndarray, shape: np.ndarray, ptr: np.ndarray):
-        """(class, word in class or -1, features (n, 5), word features (n, 3)) of every token."""
+        """(class, word in class or -1, features (n, 6), word features (n, 3)) of every token."""
         at, found = self.index.find(h)
         rank = self.rank[at] if len(self.rank) else at
         symbol = np.where(found, rank, TOP + shape)
@@ -86,23 +127,60 @@ class MaxEnt:
         group = np.where(found, rank // IN_CLASS, OWN + shape)
         word = np.where(found, rank % IN_CLASS, -1)
         pair = (back[0] * 7919 + back[1] * 104729) % 1000003
-        features = np.stack([np.zeros(len(h), np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair % TRIGRAMS], 1).astype(np.uint16)
+        features = np.stack([np.zeros(len(h), np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair % TRIGRAMS, ROWS + self._row(self.before(h, ptr, 1), _MIX_2)], 1).astype(np.int32)
         own = np.where(found, group, 0)
         word_features = np.stack([own, OWN + (back[0] * 31 + own * 2477) % (WORD_ROWS - OWN), OWN + (pair * 17 + own * 2477 + 4099) % (WORD_ROWS - OWN)], 1).astype(np.uint16)
         return group, word, features, word_features
 
     @staticmethod
-    def _softmax(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def before(h: np.ndarray, ptr: np.ndarray, k: int) -> np.ndarray:
+        """The hash of the k-th word before each token, 0 before the text."""
+        out = np.zeros(len(h), np.uint64)
+        out[k:] = h[:-k] if k < len(h) else out[k:]
+        for i in range(k):
+            at = ptr[:-1] + i
+            out[at[at < ptr[1:]]] = 0
+        return out
+
+    def _row(self, what: np.ndarray, salt: np.uint64) -> np.ndarray:
+        x = (what ^ (what >> np.uint64(29))) * salt
+        return ((x ^ (x >> np.uint64(32))) * _MIX >> np.uint64(65 - self.hashed.bit_length())).astype(np.int64)
+
+    def tail(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """For each digit (tokens whose digit is not certain, rows of prior, features (n, 2), digits); one, two: hashes of the words before."""
+        for k in range(self.depth):
+            node = self.level[k] + (leaf >> BITS * (self.depth - k))
+            at = np.flatnonzero(self.parted[node])
+            node = node[at]
+            salted = node.astype(np.uint64) * _MIX
+            features = np.stack([self._row(one[at] + salted, _MIX_2), self._row(one[at] * _MIX_2 + two[at] + salted, _MIX)], 1)
+            yield at, node, features, leaf[at] >> BITS * (self.depth - k - 1) & BRANCH - 1
+
+    def tail_log(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logs of a place's probability in its shape, without the share of the word's count in it."""
+        out = -np.log(self.leaf_room[leaf] + 1e-30)
+        for i in range(0, len(leaf), BATCH):
+            s = slice(i, i + BATCH)
+            for at, node, features, digit in self.tail(leaf[s], one[s], two[s]):
+                if len(at):
+                    logits, total = self._softmax(self.tail_weights, features, self.prior[node])
+                    out[i + at] += logits[np.arange(len(at)), digit] - total
+        return out
+
+    @staticmethod
+    def _softmax(weights: np.ndarray, features: np.ndarray, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(shifted logits, log of the sum of their exponentials)."""
         logits = np.take(weights, features[:, 0], axis=0)
+        if base is not None:
+            logits += base
         more = np.empty_like(logits)
         for k in range(1, features.shape[1]):
             logits += np.take(weights, features[:, k], axis=0, out=more, mode="clip")
         logits -= logits.max(1, keepdims=True)
         return logits, np.log(np.exp(logits).sum(1))
 
-    def log_probability(self, h: np.ndarray, shape: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(natural logs without the counts of words outside the top ones, whether a token is a top one)."""
+    def log_probability(self, h: np.ndarray, shape: np.ndarray, ptr: np.ndarray, unseen: np.ndarray, doubtful: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(natural logs without the counts of words outside the top ones, whether a token is a top one, what is added if a doubtful one is unseen)."""
         out, own = np.zeros(len(h)), np.zeros(len(h), bool)
         group, word, features, word_features = self.encode(h, shape, ptr)
         for i in range(0, len(h), BATCH):
@@ -114,32 +192,45 @@ class MaxEnt:
             out[i + top] += logits[np.arange(len(top)), word[s][top]] - total
         own = word >= 0
         rest = np.flatnonzero(~own)
-        out[rest] -= np.log(self.room[group[rest] - OWN])
-        return out, own
-
-    def update(self, state: list[np.ndarray], h: np.ndarray, shape: np.ndarray, ptr: np.ndarray) -> None:
-        """AdaGrad over the tokens in sparse batches; state: sums of squares for both tables."""
+        one, two = self.before(h, ptr, 1), self.before(h, ptr, 2)
+        first = shape * BRANCH**self.depth
+        leaf = np.where(unseen, first, leaves(h, shape, self.depth))
+        out[rest] += self.tail_log(leaf[rest], one[rest], two[rest])
+        doubtful = np.flatnonzero(doubtful)
+        more = self.tail_log(first[doubtful], one[doubtful], two[doubtful]) - self.tail_log(leaf[doubtful], one[doubtful], two[doubtful])
+        return out, own, more
+
+    def update(self, state: list[tuple[np.ndarray, np.ndarray]], h: np.ndarray, shape: np.ndarray, ptr: np.ndarray) -> None:
+        """AdaGrad over the tokens in sparse batches; state: (sums of squares, uses of rows) for each table."""
         group, word, features, word_features = self.encode(h, shape, ptr)
+        one, two, leaf = self.before(h, ptr, 1), self.before(h, ptr, 2), leaves(h, shape, self.depth)
         for i in range(0, len(h), BATCH):
             s = slice(i, i + BATCH)
             self._step(self.weights, state[0], features[s], group[s])
             top = np.flatnonzero(word[s] >= 0)
             if len(top):
                 self._step(self.word_weights, state[1], word_features[s][top], word[s][top])
-
-    def _step(self, weights: np.ndarray, squares: np.ndarray, features: np.ndarray, target: np.ndarray) -> None:
-        logits, total = self._softmax(weights, features)
+            rest = i + np.flatnonzero(word[s] < 0)
+            for at, node, tail_features, digit in self.tail(leaf[rest], one[rest], two[rest]):
+                if len(at):
+                    self._step(self.tail_weights, state[2], tail_features, digit, self.prior[node])
+
+    def _step(self, weights: np.ndarray, state: tuple[np.ndarray, np.ndarray], features: np.ndarray, target: np.ndarray, base: np.ndarray | None = None) -> None:
+        squares, uses = state
+        logits, total = self._softmax(weights, features, base)
         error = np.exp(logits - total[:, None].astype(np.float32))
         error[np.arange(len(target)), target] -= 1
         for k in range(features.shape[1]):
             f = features[:, k]
             if f[0] == f[-1] and (f == f[0]).all():  # the feature that all tokens have
                 grad, rows = error.sum(0, keepdims=True), f[:1]
+                uses[rows] += len(f)
             else:
                 order = np.argsort(f, kind="stable")
                 f = f[order]
                 begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
                 grad, rows = np.add.reduceat(np.take(error, order, axis=0), begin, axis=0), f[begin]
+                uses[rows] += np.diff(begin, append=len(f))
             squares[rows] += grad * grad
             weights[rows] -= RATE * grad / (np.sqrt(squares[rows]) + 1e-6)
 
@@ -171,26 +262,29 @@ def train_round(texts: DataFrame, model: MaxEnt) -> MaxEnt:
     def moved(batches):
         start = shared.value
         mine = MaxEnt.__new__(MaxEnt)
-        mine.__dict__ = start.__dict__ | {"weights": start.weights.copy(), "word_weights": start.word_weights.copy()}
-        state = [np.zeros_like(mine.weights), np.zeros_like(mine.word_weights)]
-        seen = 0
+        mine.__dict__ = start.__dict__ | {name: getattr(start, name).copy() for name in TABLES}
+        state = [(np.zeros_like(w), np.zeros(len(w), np.float32)) for w in (getattr(mine, name) for name in TABLES)]
+        # rows of hashed words move little on few tokens
+        state[0][0][ROWS:] = state[2][0][:] = DAMPED
         for batch in batches:
             for _, _, data, offs in tk.blocks(batch.column(0)):
-                h, shape, ptr = tokens(data, offs)
-                mine.update(state, h, shape, ptr)
-                seen += len(h)
-        if seen:
-            move = np.concatenate([(mine.weights - start.weights).ravel(), (mine.word_weights - start.word_weights).ravel(), [1.0]]).astype(np.float32) * np.float32(seen)
-            cut = range(0, len(move), _SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(list(range(len(cut))), pa.int32()), pa.array([move[i : i + _SLICE].tobytes() for i in cut], pa.binary())], ["slice", "move"])
-
-    sums = texts.mapInArrow(moved, "slice int, move binary").repartition(width(spark), "slice").mapInArrow(_summed, "slice int, move binary").collect()  # as large as the weights
-    if sums:
-        move = np.concatenate([np.frombuffer(bytes(r["move"]), np.float32) for r in sorted(sums, key=lambda r: r["slice"])])
-        move = move[:-1] / max(move[-1], 1)
-        n = model.weights.size
-        model.weights = model.weights + move[:n].reshape(model.weights.shape)
-        model.word_weights = model.word_weights + move[n:].reshape(model.word_weights.shape)
+                mine.update(state, *tokens(data, offs))
+        for k, name in enumerate(TABLES):
+            old, new, uses = getattr(start, name), getattr(mine, name), state[k][1]
+            for i in range(0, len(uses), _SLICE):
+                n = uses[i : i + _SLICE, None]
+                if n.any():
+                    move = np.concatenate([(new[i : i + _SLICE] - old[i : i + _SLICE]) * n, n], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([i * len(TABLES) + k], pa.int32()), pa.array([move.tobytes()], pa.binary())], ["slice", "move"])
+
+    # each task gives moves as large as the weights, so there are only as many as the root of the tokens asks for
+    tasks = max(spark.sparkContext.defaultParallelism, model.hashed >> 12)
+    sums = texts.coalesce(tasks).mapInArrow(moved, "slice int, move binary").repartition(width(spark), "slice").mapInArrow(_summed, "slice int, move binary").collect()  # as large as the weights
+    for row in sums:
+        i, k = divmod(row["slice"], len(TABLES))
+        weights = getattr(model, TABLES[k])
+        move = np.frombuffer(bytes(row["move"]), np.float32).reshape(-1, weights.shape[1] + 1)
+        weights[i : i + _SLICE] += move[:, :-1] / np.maximum(move[:, -1:], 1)
     shared.destroy()
     return model
 
@@ -208,7 +302,16 @@ def train(texts: DataFrame, key: str, text_col: str = "text", rounds: int = ROUN
     np.subtract.at(shape_n, best["shape"].to_numpy(np.int64), best["n"].to_numpy(float))
     np.subtract.at(shape_v, best["shape"].to_numpy(np.int64), 1.0)
     totals = {"n": sum(r["n"] for r in shapes.values()), "v": sum(r["v"] for r in shapes.values())}
-    model = MaxEnt(best["h"].to_numpy(np.int64).view(np.uint64), best["n"].to_numpy(float), shape_n, shape_v)
+    depth, top = digits(totals["v"]), best["h"].to_numpy(np.int64)
+
+    def placed(batches):
+        for batch in batches:
+            h, shape, n = (batch.column(k).to_numpy() for k in range(3))
+            rest = ~np.isin(h, top)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves(h.view(np.uint64), shape, depth)[rest]), pa.array(n[rest] + 0.5)], ["leaf", "room"])
+
+    places = counts.mapInArrow(placed, "leaf long, room double").groupBy("leaf").agg(F.sum("room").alias("room")).toArrow()  # a row a word at most
+    model = MaxEnt(top.view(np.uint64), best["n"].to_numpy(float), shape_n, shape_v, places["leaf"].to_numpy(), places["room"].to_numpy(), depth, hashed_rows(totals["n"]))
     for k in range(rounds):
         model = train_round(texts.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).select(text_col), model)
     return model, counts, totals
@@ -244,26 +347,27 @@ def score(docs: DataFrame, model: MaxEnt, counts: DataFrame, totals: dict, id_co
                 of = np.repeat(np.arange(j - i), np.diff(ptr))
                 at, found = index.find(h)
                 logs = np.where(found, log_count[at] if len(log_count) else 0.0, np.log10(0.5) if complete else 0.0)
-                score, own = model.log_probability(h, shape, ptr)
+                rare = ~found & (not complete)
+                score, own, more = model.log_probability(h, shape, ptr, ~found & complete, rare)
                 score = score / np.log(10) + np.where(own, 0.0, logs)
-                rare = np.flatnonzero(~found & (not complete))
+                rare = np.flatnonzero(rare)
                 cut = np.searchsorted(of[rare], np.arange(j - i + 1))
                 sums = [np.bincount(of, v, j - i) for v in (logs, score)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(ptr).astype(np.int64)), pa.array(np.bincount(of, found, j - i).astype(np.int64)),
-                        pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h[rare].view(np.int64))),
+                        pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(more / np.log(10))], ["h", "unseen"])),
                     ],
                     ["row_key", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(rows.mapInArrow(scored, "row_key long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<long>"), "lm-scored")
+    rows = materialize(rows.mapInArrow(scored, "row_key long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<struct<h:long,unseen:double>>"), "lm-scored")
     if not complete:
         # words beyond the frequent ones: no such word has many rows
-        asked = rows.select("row_key", F.explode("rare").alias("h"))
-        found = asked.join(counts.select("h", "n"), "h", "left").groupBy("row_key").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"))
-        rows = rows.join(found, "row_key", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "logs": F.col("logs") + F.coalesce("rest", F.lit(0.0)), "score": F.col("score") + F.coalesce("rest", F.lit(0.0))})
+        asked = rows.select("row_key", F.inline("rare"))
+        found = asked.join(counts.select("h", "n"), "h", "left").groupBy("row_key").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n").isNull(), F.col("unseen"))).alias("unseen"))
+        rows = rows.join(found, "row_key", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "logs": F.col("logs") + F.coalesce("rest", F.lit(0.0)), "score": F.col("score") + F.coalesce("rest", F.lit(0.0)) + F.coalesce("unseen", F.lit(0.0))})
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(float(least))).alias("base_score"), "score")
 
 

@@ -292,3 +292,21 @@ def test_classifiers_learn(spark):
         got = {x["doc_id"]: x["predicted"] for x in module.score(docs, module.train(docs, known)).collect()}
         held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
         assert sum(got[i] == labels[i][label] for i in held) >= 0.95 * len(held)
+
+
+def test_language_model_knows_the_words_before_beyond_the_top_ones(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}x{i * 7919 % 1000}" for i in range(3000)]
+    follows = dict(zip(vocabulary, r.sample(vocabulary, len(vocabulary)), strict=True))
+    rows = [(i, " ".join(x for w in r.choices(vocabulary, k=60) for x in (w, follows[w]))) for i in range(3000)]
+    model, counts, totals = lm_scoring.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "doc_id")
+    told = [w for w in vocabulary if not model.index.find(lm_scoring.tokens(*tk.buffers(pa.array([w])))[0])[1][0] and not model.index.find(lm_scoring.tokens(*tk.buffers(pa.array([follows[w]])))[0])[1][0]][:200]
+    pairs = [(0, f"{w} {follows[w]}") for w in told] + [(1, f"{w} {follows[v]}") for w, v in zip(told, told[1:] + told[:1], strict=True)]
+    scored = lm_scoring.score(spark.createDataFrame(pairs, "doc_id long, text string"), model, counts, totals)
+    mean = {x["doc_id"]: x["s"] for x in scored.groupBy("doc_id").agg(F.avg("score").alias("s")).collect()}
+    assert mean[0] > mean[1] + 0.3  # the same words, in pairs as in training and not
+    # the places of a shape that have words share out one
+    inside = np.arange(lm_scoring.BRANCH**model.depth) + 5 * lm_scoring.BRANCH**model.depth
+    inside = inside[model.leaf_room[inside] > 0]
+    one, two = (np.full(len(inside), x, np.uint64) for x in (12345, 678))
+    assert np.isclose(np.exp(model.tail_log(inside, one, two) + np.log(model.leaf_room[inside])).sum(), 1, atol=1e-3)
