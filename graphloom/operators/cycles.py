@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keep import keep
+from graphloom.operators.reach import closure
 from graphloom.schema import RESOLVED
 
 SMALL = 200_000
-LONGEST = 10_000  # members of a component whose representative cycle is looked for
+LONGEST = 10_000  # members of a component that one task searches; larger ones are searched in rounds
 
 
 def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
@@ -125,7 +126,7 @@ def _shortest(key, frame: pd.DataFrame) -> pd.DataFrame:
     for src, dst in frame.sort_values(["src", "dst"])[["src", "dst"]].itertuples(index=False):
         out.setdefault(src, []).append(dst)
     before, queue, path = {start: None}, deque([start]), [start]
-    while queue and size <= LONGEST:
+    while queue:
         node = queue.popleft()
         if start in out.get(node, ()):
             path = []
@@ -141,7 +142,34 @@ def _shortest(key, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(start, size, len(path), path)], columns=["component", "size", "length", "path"])
 
 
-def representative_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(component, size, length, path): one cycle of each component, largest component first."""
-    inside = edges.join(members.select(F.col("id").alias("src"), "component"), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").filter("component = other")
-    return inside.select("component", "src", "dst").groupBy("component").applyInPandas(_shortest, "component string, size long, length long, path array<string>")
+def _in_rounds(inside: DataFrame) -> DataFrame:
+    """As ``_shortest`` for components of any size: a distributed search from each smallest member, and its ways back.
+
+    The members of a path are found by jumps of 1, 2, 4 and so on to the
+    parents, so that a long path takes few joins.
+    """
+    starts = inside.select(F.col("component").alias("root"), F.col("component").alias("node")).distinct()
+    ways = keep(closure(starts, inside.select("src", "dst", F.lit("").alias("relation"))))
+    closing = keep(ways.filter("node = root"))  # where an edge leads back to the start
+    length = closing.agg(F.max("depth")).first()[0]
+    jumps = [ways.filter("node != root").select("root", "node", "parent")]
+    while 1 << len(jumps) < length:
+        on = jumps[-1].select("root", F.col("node").alias("parent"), F.col("parent").alias("above"))
+        jumps.append(keep(jumps[-1].join(on, ["root", "parent"]).select("root", "node", F.col("above").alias("parent"))))
+    path = closing.select("root", F.col("parent").alias("node"))
+    for jump in reversed(jumps):
+        path = keep(path.union(path.join(jump, ["root", "node"]).select("root", F.col("parent").alias("node"))).distinct())
+    placed = path.join(ways.select("root", "node", "depth"), ["root", "node"]).withColumn("depth", F.when(F.col("node") == F.col("root"), 0).otherwise(F.col("depth")))
+    paths = placed.groupBy(F.col("root").alias("component")).agg(F.array_sort(F.collect_list(F.struct("depth", "node")))["node"].alias("path"))
+    sizes = inside.select("component", "size").distinct()
+    return paths.join(sizes, "component").select("component", "size", F.size("path").cast("long").alias("length"), "path")
+
+
+def representative_cycles(edges: DataFrame, members: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(component, size, length, path): a shortest cycle through the smallest member of each component; an edge of a member to itself is none."""
+    inside = edges.join(members.select(F.col("id").alias("src"), "component"), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").filter("component = other and src != dst")
+    sizes = members.groupBy("component").agg(F.count_distinct("id").alias("size"))
+    inside = keep(inside.select("component", "src", "dst").join(sizes, "component"))
+    found = inside.filter(F.col("size") <= longest).select("component", "src", "dst").groupBy("component").applyInPandas(_shortest, "component string, size long, length long, path array<string>")
+    large = inside.filter(F.col("size") > longest)
+    return found if large.isEmpty() else found.unionByName(_in_rounds(large))

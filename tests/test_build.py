@@ -99,6 +99,19 @@ def test_distributed_components_equal_the_driver_ones(spark):
     assert {tuple(r["path"]) for r in rows} == {("a", "b", "c"), ("d", "e")}
 
 
+def test_representative_cycles_of_large_components(spark):
+    from graphloom.operators import cycles
+
+    ship(spark)
+    ring = [f"n{i:05}" for i in range(cycles.LONGEST + 5)]
+    pairs = [*zip(ring, ring[1:] + ring[:1], strict=True), ("n00006", "n00000"), ("n00000", "n00000"), ("y", "z"), ("z", "y"), ("y", "y")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    members = cycles.components(edges)
+    for longest in (cycles.LONGEST, 1):
+        rows = {r["component"]: (r["size"], r["length"], r["path"]) for r in cycles.representative_cycles(edges, members, longest).collect()}
+        assert rows == {"n00000": (len(ring), 7, ring[:7]), "y": (2, 2, ["y", "z"])}
+
+
 def test_git_history_and_risk(spark, tmp_path):
     run = lambda *a, **e: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, env={"PATH": "/usr/bin:/bin", "GIT_AUTHOR_DATE": e.get("at", ""), "GIT_COMMITTER_DATE": e.get("at", "")})
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
