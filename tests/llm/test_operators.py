@@ -294,6 +294,16 @@ def test_classifiers_learn(spark):
         assert sum(got[i] == labels[i][label] for i in held) >= 0.95 * len(held)
 
 
+def test_special_markers_are_as_by_a_plain_call():
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|startoftext|>one", "a<|endoftext|>b <|ENDOFTEXT|> c", "x  <|endoftext|><|startoftext|>\n y!", "<|endoftext|>'s it's <|endoftext"]
+    plain = Tokenizer.from_file(packing.vocabulary())
+    coded = packing.WordTokens(packing.vocabulary()).encode([t.encode() for t in texts])
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(coded[0], "<u4").tolist() == [637, 49407, 1237]
+
+
 def test_language_model_knows_the_words_before_beyond_the_top_ones(spark):
     r = random.Random(3)
     vocabulary = [f"w{i}x{i * 7919 % 1000}" for i in range(3000)]
