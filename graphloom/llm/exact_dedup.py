@@ -25,6 +25,7 @@ MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
 PROBES = 2
 SLICE = 1 << 14  # bytes of one piece of a filter
+HELD = 1 << 20  # hashes that a task holds before it sets their bits
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -33,6 +34,14 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(h >> np.uint64(32 * i)) & np.uint64(bits - 1) for i in range(PROBES)]).astype(np.int64)
 
 
+def held_in(array: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Whether all bits of each hash are set."""
+    out = np.ones(len(h), bool)
+    for slot in _slots(h.view(np.uint64), bits):
+        out &= (array[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def _merge(into: dict, piece: int, once: np.ndarray, again: np.ndarray) -> None:
     if piece in into:
         seen, twice = into[piece]
@@ -58,18 +67,30 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS, agai
         bits *= 2
 
     def first(batches):
-        # the bits that this task has set, kept as pieces of the whole array
+        # the bits that this task has set, kept as pieces of the whole array; each piece is touched once a flush
         size = min(SLICE, bits // 8)
         pieces: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for slot in _slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                slot, count = np.unique(slot, return_counts=True)
-                for piece in np.unique(slot // (8 * size)):
-                    mine = slot // (8 * size) == piece
+        held: list[np.ndarray] = []
+
+        def flush():
+            for probe in range(PROBES):
+                slot, count = np.unique(np.concatenate([h[probe] for h in held]), return_counts=True)
+                cut = np.flatnonzero(np.append(True, slot[1:] // (8 * size) != slot[:-1] // (8 * size)))
+                for i, j in zip(cut, np.append(cut[1:], len(slot)), strict=True):
+                    piece = int(slot[i]) // (8 * size)
                     once, again = np.zeros(8 * size, np.uint8), np.zeros(8 * size, np.uint8)
-                    once[slot[mine] - piece * 8 * size] = 1
-                    again[slot[mine & (count > 1)] - piece * 8 * size] = 1
-                    _merge(pieces, int(piece), np.packbits(once), np.packbits(again))
+                    once[slot[i:j] - piece * 8 * size] = 1
+                    again[slot[i:j][count[i:j] > 1] - piece * 8 * size] = 1
+                    _merge(pieces, piece, np.packbits(once), np.packbits(again))
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(_slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            if sum(h.shape[1] for h in held) >= HELD:
+                flush()
+        if held:
+            flush()
         if pieces:
             yield _rows(pieces)
 
@@ -88,27 +109,31 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS, agai
     return out, bits
 
 
+def _maybe(docs: DataFrame, h, max_bits: int):
+    """A function of a hash: whether more than one row of ``docs`` may have it. ``h``: the column that gives a row's hash."""
+    again, bits = repeated_filter(docs.select(h.alias("h")), docs.count(), max_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(again)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(held_in(shared.value, bits, h.to_numpy()))
+
+    return maybe
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when they are identical; null counts as empty. The row with
-    the largest id of each group stays. Rows that repeat an id keep a row each
-    in the result; a null id never wins over another. Other columns, whatever
+    Texts are equal when they are identical; null counts as empty, and a text
+    of any length is hashed whole. The row with the largest id of each group
+    stays; a tie of rows with that id and text, or with null ids alone, marks
+    all of them kept, for they are told apart by nothing (``keep_last`` keeps
+    one of them). A null id never wins over another. Other columns, whatever
     their names, are left alone. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    maybe = _maybe(docs, F.xxhash64(text), max_bits)
     lean = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h"))
-    again, bits = repeated_filter(lean.select("h"), docs.count(), max_bits)
-    shared = spark.sparkContext.broadcast(again)
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        array, out = shared.value, np.ones(len(h), bool)
-        for slot in _slots(h.to_numpy().view(np.uint64), bits):
-            out &= (array[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(out)
-
     marked = materialize(lean.withColumn("maybe", maybe("h")).select("doc_id", F.unhex("sha").alias("sha"), "maybe"), "dedup-marked")
     alone = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     asked = marked.filter("maybe")
@@ -122,6 +147,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with one row for each text, the one with the largest id, with all its columns.
+
+    Null counts as empty, and a null id comes before all others; of rows that
+    share id and text one stays, by a hash of the other columns. Rows outside
+    the filter pass straight through; the others are one row per text and task
+    before they are shuffled. An empty table gives an empty table.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    maybe = _maybe(docs, F.xxhash64(text), max_bits)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(*names).alias("all"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h")).withColumn("maybe", maybe("h"))
+    last = rows.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct("own_id", "all")).alias("row"))
+    return rows.filter("not maybe").select("row").unionByName(last.select("row")).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
