@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.ship import shipped
 from graphloom.llm import toxicity
 from graphloom.llm.common import materialize, table
-from graphloom.llm.exact_dedup import exact_dedup
-from graphloom.llm.ngram_join import similar_groups
+from graphloom.llm.exact_dedup import keep_last
+from graphloom.llm.ngram_join import keep_first
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.suffix_dedup import remove_repeats
 
@@ -26,16 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (sha == gone["gone_text"]), "left_anti")
+    """Of equal texts the row with the largest doc_id stays, and one of those that share it; null counts as empty."""
+    return keep_last(docs)
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    gone = similar_groups(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each group of near-duplicates the row with the smallest doc_id stays; texts without words all stay."""
+    return keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,33 +2,39 @@
 
 Two sets of sizes r and s with Jaccard similarity of at least 3/4 differ in at
 most H = (r + s) / 7 elements. Sets are put into size bands, and in a band
-every element hashes to one of m segments. A differing element spoils one
-segment, so when one of the sets has more than H segments with elements, the
-two have such a segment in common: the hash of a segment's subset is a
-signature, and sets that share none are not similar. What the bands do:
-
-* the smallest sets, where H is 0: the whole set is the signature;
-* the next, where H is 1: the whole set and its one-deletion neighbourhood, the
-  sets that lack one element, in one segment;
-* all others: ``m`` is allocated by cost, the expected number of signatures of
-  a set, with each element a segment of its own as one choice. A set that by
-  chance fills too few segments (which the choice of m makes rare) also gives
-  each of its elements as a signature; two such sets meet there.
+every element hashes to one of m segments of the universe. A segment's subset
+(its elements in a set) is indexed whole, or with its one-deletion
+neighbourhood (all that is left when one element goes), or not at all:
+
+* a whole subset covers 1: one differing element in the segment spoils it;
+* with its neighbourhood, a subset of two or more covers 2: of two subsets that
+  differ in one element, one whole is in the other's neighbourhood;
+* what is not indexed covers 0.
+
+If a set's indexed segments cover H + 1, a similar set shares a signature with
+it. Which segments are indexed, and how, is allocated by cost. A first pass
+measures in each segment of each band, over all documents, how many rows its
+signatures have and how many partners a row meets there, by signed sums whose
+squares estimate the sum of squared counts. From that every band gets one
+order of steps ("index segment i whole", "add the neighbourhoods of segment
+i") by cost per unit of cover. A set goes through that order until it covers
+H + 1; common lines come last and are hardly ever reached. Of two similar sets
+the one that stops first has its guarantee from steps that the other took too,
+so the two meet. A set that can't cover H + 1 takes all steps and gives each of
+its elements besides; two such sets meet there. The two smallest bands have a
+single segment: whole where H is 0, with its neighbourhood where H is 1.
 
 A set near the lower end of its band may resemble smaller sets, so it also
 gives its signatures in the band below.
 
-Equal sets are one vertex from the start. All signatures are shuffled once. Of two
-similar sets, one with n signatures shares at least n - H of them, so by the
-prefix principle each set may drop the n - H - 1 signatures that most sets
-share, and the two still meet: a set whose signatures are nearly all its own
-drops the rest, and common lines join nobody. For the few vertices that are
-left the same is done once more with single elements. What is kept is first
-compared with the smallest vertex that shares it (a star, not all pairs), then
-with another drawn for each signature. Components of what is verified leave
-only those signatures open that join different components. Vertices that these
-connect are compared in blocks of bounded size, those outside the largest
-component with all; a block gives only the links that connect something. Every
+Equal sets are one vertex from the start. Signatures are shuffled as arrays, in
+buckets of bounded size; a signature that many sets of one task share is taken
+out of the buckets but for a marker. Only those of two vertices or more come
+out, and of signatures with the same vertices one stands for all. Their
+vertices are compared with the smallest (a star, not all pairs), then with one
+drawn for each signature. Components of what is verified leave only those
+signatures open that join different components; these are compared in blocks
+of bounded size, vertices outside a signature's largest component with all. Every
 comparison is exact, of whole sets.
 """
 
@@ -39,50 +45,48 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import materialize, table, width
 from graphloom.llm.components import components
-from graphloom.llm.exact_dedup import _slots, repeated_filter
+from graphloom.llm.exact_dedup import held_in, repeated_filter
 
 K = 5
 BANDS = [(1, 2), (3, 5)] + [(6 << i, (12 << i) - 1) for i in range(40)]
 _LOW = np.array([lo for lo, _ in BANDS])
 _SEED = np.uint64(0xA24BAED4963EE407)
+SLOTS = 1 << 12  # segments of a band whose costs are told apart
+SIGNS = 4  # signed sums of a segment
+PARTNER = 1.0  # cost of a partner that a row meets, in rows
+FLUSH = 1 << 20  # signatures that a task holds before it sends them, and about as many go to a bucket
+HOT = 256  # sets of one flush with the same signature from which it goes apart
 
 
-def _differ(r: int, s: int) -> int:
-    return (r + s) // 7
+def _need(size, hi: int):
+    """Cover that a set must reach in a band that ends at hi: one more than what differs between it and any set it meets there."""
+    return (size + np.minimum(4 * size // 3, 4 * hi // 3)) // 7 + 1
 
 
-def _largest(s: int, hi: int) -> int:
-    """The most elements that differ between a set of s and any set it meets in a band that ends at hi."""
-    return _differ(s, min(4 * s // 3, 4 * hi // 3))
-
-
-def _allocate(lo: int, hi: int) -> int:
-    """Number of segments with the least expected signatures; 0: each element is one."""
-    sizes = sorted({int(lo + (hi - lo) * q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)})
-    best, chosen = float(sum(sizes)), 0
-    for i in range(24):
-        m = int(hi * (0.3 + 0.05 * i))
-        cost = 0.0
+def _segments(lo: int, hi: int) -> int:
+    """The fewest segments that leave sets of the band a seventh more filled segments than they need, all but one in a hundred."""
+    sizes = np.unique((lo + (hi - lo) * np.linspace(0, 1, 5)).astype(int))
+    for i in range(60):
+        m = max(2, int(hi * (0.3 + 0.05 * i)))
+        short = 0.0
         for s in sizes:
-            load = s / max(m, 1)
-            mean, empty = m * (1 - math.exp(-load)), math.exp(-load)
+            load = s / m
+            empty = math.exp(-load)
             spread = math.sqrt(max(1e-9, m * empty * (1 - (1 + load) * empty)))
-            short = 0.5 * math.erfc((mean - _largest(s, hi) - 0.5) / spread / math.sqrt(2))
-            cost += mean + short * s
-        if m and cost < best:
-            best, chosen = cost, m
-    return chosen
+            short = max(short, 0.5 * math.erfc((m * (1 - empty) - 8 / 7 * int(_need(s, hi)) + 0.5) / spread / math.sqrt(2)))
+        if short < 0.01:
+            break
+    return m
 
 
-SEGMENTS = np.array([0, 0] + [_allocate(lo, hi) for lo, hi in BANDS[2:16]] + [0] * 26)
-for _i in range(16, 42):  # the same share of the band's size further on
-    SEGMENTS[_i] = SEGMENTS[15] << (_i - 15)
+SEGMENTS = [1, 1] + [_segments(lo, hi) for lo, hi in BANDS[2:16]]
+SEGMENTS += [SEGMENTS[15] << i for i in range(1, 27)]  # the same share of the band's size further on
 
 
 def sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,60 +105,131 @@ def sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, at, n, whole & np.uint64((1 << 63) - 1)
 
 
-def signatures(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, text numbers, slack) of sets given as by ``sets``.
-
-    The last bit of a signature is that of its band, so it tells a set's own
-    band from the one below. slack[d, bit]: how many signatures text d may drop
-    among those with that bit.
-    """
-    out, of = [], []
-    slack = np.zeros((len(n), 2), np.int64)
-    bit = lambda sig, k: (sig & ~np.uint64(1)) | np.uint64(k & 1)
+class Cells:
+    """Of the sets of one band: their filled segments and what is in them."""
+
+    def __init__(self, k: int, docs: np.ndarray, size: np.ndarray, h: np.ndarray, e: np.ndarray):
+        """docs: set numbers; h, e: elements and their hashes, set by set."""
+        m = SEGMENTS[k]
+        self.k, self.docs, self.size = k, docs, size
+        self.base = tk.mix(np.array([k + 1], np.uint64))
+        mine = np.repeat(np.arange(len(docs)), size)
+        cell = mine * m + (tk.mix(h ^ self.base) % np.uint64(m)).astype(np.int64) if m > 1 else mine
+        order = np.argsort(cell, kind="stable")
+        cell, self.e = cell[order], e[order]
+        self.start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.count = np.diff(self.start, append=len(cell))
+        self.of, self.segment = cell[self.start] // m, cell[self.start] % m
+        with np.errstate(over="ignore"):
+            self.salt = self.base + (self.segment + 1).astype(np.uint64) * _SEED
+            self.subset = np.add.reduceat(self.e, self.start)
+
+    @property
+    def slots(self) -> int:
+        return min(SEGMENTS[self.k], SLOTS)
+
+    def whole(self, cells: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return tk.mix(self.subset[cells] + self.salt[cells])
+
+    def deletions(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures of the one-deletion neighbourhoods, cell of each)."""
+        n = self.count[cells]
+        of = np.repeat(cells, n)
+        at = np.arange(n.sum()) + np.repeat(self.start[cells] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(cells) else cells
+        with np.errstate(over="ignore"):
+            return tk.mix(self.subset[of] - self.e[at] + self.salt[of]), of
+
+
+def bands(h: np.ndarray, n: np.ndarray):
+    """``Cells`` of each band that the sets have signatures in; h: their elements, set by set."""
     band = np.searchsorted(_LOW, n, "right") - 1  # -1: no elements
     first = np.concatenate([[0], np.cumsum(n)])
     with np.errstate(over="ignore"):
         e = tk.mix(h + _SEED)
-        for below in (0, 1):
-            b = band - below
-            ask = n > 0 if not below else (band > 0) & (-(-3 * n // 4) < _LOW[np.maximum(band, 0)])
-            for k in np.unique(b[ask]):
-                docs = np.flatnonzero(ask & (b == k))
-                size = n[docs]
-                mine = np.repeat(np.arange(len(docs)), size)
-                x = np.repeat(first[docs], size) + np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                base = tk.mix(np.array([k + 1], np.uint64))
-                begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-                if k < 2:
-                    total = np.add.reduceat(e[x], begin)
-                    out.append(bit(tk.mix(total + base), k))
-                    of.append(docs)
-                    if k == 1:
-                        out.append(bit(tk.mix(total[mine] - e[x] + base), k))
-                        of.append(docs[mine])
-                    continue
-                m, hi = int(SEGMENTS[k]), BANDS[k][1]
-                alone = np.ones(len(docs), bool)
-                need = (size + np.minimum(4 * size // 3, 4 * hi // 3)) // 7 + 1
-                filled = size
-                if m:
-                    segment = (tk.mix(h[x] ^ base) % np.uint64(m)).astype(np.int64)
-                    cell = mine * m + segment
-                    order = np.argsort(cell, kind="stable")
-                    cell = cell[order]
-                    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                    subset = np.add.reduceat(e[x][order], start)
-                    cell = cell[start]
-                    out.append(bit(tk.mix(subset + base + (cell % m + 1).astype(np.uint64) * _SEED), k))
-                    of.append(docs[cell // m])
-                    filled = np.bincount(cell // m, minlength=len(docs))
-                    alone = filled < need
-                slack[docs, k & 1] = np.maximum(0, filled - need)
-                if alone.any():
-                    pick = alone[mine]
-                    out.append(bit(tk.mix(e[x][pick] ^ base), k))
-                    of.append(docs[mine[pick]])
-    return (np.concatenate(out), np.concatenate(of), slack) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), slack)
+    for below in (0, 1):
+        b = band - below
+        ask = n > 0 if not below else (band > 0) & (-(-3 * n // 4) < _LOW[np.maximum(band, 0)])
+        for k in np.unique(b[ask]):
+            docs = np.flatnonzero(ask & (b == k))
+            size = n[docs]
+            x = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            yield Cells(int(k), docs, size, h[x], e[x])
+
+
+class Costs:
+    """Rows and signed sums of each segment (those of a band by number modulo ``SLOTS``), and the steps that follow from them."""
+
+    WIDTH = 3 + 2 * SIGNS  # subsets, those of two or more, their elements; signed sums of subsets and of deletions
+
+    def __init__(self):
+        self.sums: dict[int, np.ndarray] = {}
+
+    def add(self, cells: Cells) -> None:
+        if cells.k < 2:
+            return
+        slot, slots = cells.segment % cells.slots, cells.slots
+        many = np.flatnonzero(cells.count > 1)
+        gone, of = cells.deletions(many)
+        parts = [np.bincount(slot, minlength=slots), np.bincount(slot[many], minlength=slots), np.bincount(slot[many], cells.count[many], slots)]
+        for sig, at in ((cells.whole(np.arange(len(slot))), slot), (gone, slot[of])):
+            parts += [np.bincount(at, 1.0 - 2.0 * ((sig >> np.uint64(r + 20)) & np.uint64(1)), slots) for r in range(SIGNS)]
+        self.merge(cells.k, np.array(parts, float))
+
+    def merge(self, k: int, sums: np.ndarray) -> None:
+        self.sums[k] = self.sums[k] + sums if k in self.sums else sums
+
+    def steps(self) -> dict[int, np.ndarray]:
+        """For each band (2, slots): the places of both steps of a segment in the order by cost per unit of cover."""
+        out = {}
+        for k, s in self.sums.items():
+            rows, many, inside = (np.maximum(x, 1e-9) for x in s[:3])
+            partners = [np.maximum((signed**2).mean(0) - n, 0) / n for signed, n in ((s[3 : 3 + SIGNS], rows), (s[3 + SIGNS :], inside))]
+            whole = 1 + PARTNER * partners[0]
+            more = inside * (1 + PARTNER * partners[1]) / many  # rows of neighbourhoods for each set that they cover another unit of
+            cost = np.concatenate([whole, np.maximum(more, whole)])
+            place = np.empty(len(cost), np.int64)
+            place[np.argsort(cost, kind="stable")] = np.arange(len(cost))  # of equal cost the whole comes first
+            out[k] = place.reshape(2, -1)
+        return out
+
+
+def signatures(h: np.ndarray, n: np.ndarray, steps: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, set numbers) of sets of n elements each, given set by set in h; similar sets share one."""
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for cells in bands(h, n):
+        k, every = cells.k, np.arange(len(cells.start))
+        if k < 2:
+            out.append(cells.whole(every))
+            of.append(cells.docs)
+            if k == 1:
+                sig, at = cells.deletions(every)
+                out.append(sig)
+                of.append(cells.docs[at])
+            continue
+        slots = cells.slots
+        rounds = -(-SEGMENTS[k] // slots)
+        place = steps.get(k, np.arange(2 * slots).reshape(2, slots))
+        many = np.flatnonzero(cells.count > 1)
+        which, level = np.concatenate([every, many]), np.repeat([0, 1], [len(every), len(many)])
+        rank = place[level, cells.segment[which] % slots] * rounds + cells.segment[which] // slots
+        order = np.argsort(cells.of[which] * (2 * slots * rounds) + rank)
+        which, level = which[order], level[order]
+        who = cells.of[which]
+        steps_of = np.bincount(who, minlength=len(cells.docs))
+        before = np.concatenate([[0], np.cumsum(steps_of)[:-1]])
+        need = _need(cells.size, BANDS[k][1])
+        taken = np.arange(len(who)) - before[who] < need[who]
+        picked = which[taken & (level == 0)]
+        out.append(cells.whole(picked))
+        of.append(cells.docs[cells.of[picked]])
+        sig, at = cells.deletions(which[taken & (level == 1)])
+        out.append(sig)
+        of.append(cells.docs[cells.of[at]])
+        alone = np.repeat((steps_of < need)[cells.of], cells.count)
+        out.append(tk.mix(cells.e[alone] ^ cells.base))
+        of.append(np.repeat(cells.docs[cells.of], cells.count)[alone])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -162,52 +237,158 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _described(batches):
+    """A row for each text, and at the end one for each band with the sums of its costs."""
+    costs = Costs()
     for batch in batches:
         for i, j, data, offs in tk.blocks(batch.column(1)):
-            _, _, n, whole = sets(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _longs(whole)], ["doc_id", "n", "node"])
+            h, _, n, whole = sets(data, offs)
+            for cells in bands(h, n):
+                costs.add(cells)
+            empty = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _longs(whole), batch.column(2).slice(i, j - i), *empty], _DESCRIBED)
+    yield from _sums(costs, _DESCRIBED)
+
+
+_DESCRIBED = ["doc_id", "n", "node", "h", "band", "sums"]
+
+
+def _sums(costs: Costs, names: list[str]):
+    if costs.sums:
+        of = len(costs.sums)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(of, pa.int64()) for _ in names[:-2]), pa.array(list(costs.sums), pa.int32()), pa.array([x.tobytes() for x in costs.sums.values()], pa.binary())], names)
+
+
+def _merged(batches):
+    costs = Costs()
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            costs.merge(k, np.frombuffer(raw).reshape(Costs.WIDTH, -1))
+    yield from _sums(costs, ["band", "sums"])
+
+
+def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of signatures, in the order of the signatures."""
+    return ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(sig: np.ndarray, node: np.ndarray, buckets: int):
+    """Batches of (bucket, sigs, nodes, hot): signatures in order and their vertices as arrays, hot ones apart.
+
+    Of a signature that more than ``HOT`` of the sets have, all rows go in
+    pieces of their own to buckets drawn by vertex, and one marker, with hot
+    set, goes to the signature's bucket.
+    """
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    count = np.diff(start, append=len(sig))
+    many = count > HOT
+    apart = np.repeat(many, count)
+    rows = []
+    for i in range(0, int(apart.sum()), FLUSH // 8):
+        s, v = sig[apart][i : i + FLUSH // 8], node[apart][i : i + FLUSH // 8]
+        rows.append((int(v[0] % np.uint64(buckets)), s.tobytes(), v.tobytes(), None))
+    hot = np.zeros(len(sig), bool)
+    hot[start[many]] = True
+    stay = ~apart | hot
+    sig, node, hot = sig[stay], node[stay], hot[stay]
+    bucket = _bucket(sig, buckets)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True):
+        rows.append((int(bucket[i]), sig[i:j].tobytes(), node[i:j].tobytes(), np.packbits(hot[i:j]).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "nodes", "hot"])
+
+
+def _shared(parts: list[tuple[bytes, bytes, bytes]]):
+    """(sig, node, likeness) batches of one bucket: of signatures with two vertices or more, or with rows apart; equal likeness: the same vertices."""
+    sig, node = (np.concatenate([np.frombuffer(p[k], np.uint64) for p in parts]) for k in (0, 1))
+    hot = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in parts]).astype(bool)
+    order = np.lexsort((node, sig))
+    sig, node, hot = sig[order], node[order], hot[order]
+    new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+    hot = np.logical_or.reduceat(hot, np.flatnonzero(new))
+    sig, node = sig[new], node[new]
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    count = np.diff(start, append=len(sig))
+    marked = np.logical_or.reduceat(hot, start)
+    with np.errstate(over="ignore"):
+        alike = tk.chain(count.astype(np.uint64), np.add.reduceat(tk.mix(node), start))
+    alike = np.where(marked, tk.mix(sig[start]), alike)
+    keep = np.repeat((count > 1) | marked, count)
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([_longs(sig[keep]), _longs(node[keep]), _longs(np.repeat(alike, count)[keep])], ["sig", "node", "alike"])
 
 
-def _signed(batches):
-    """Signatures of vertices, slack -1, and for each vertex a row of its own with its two slacks in one long."""
-    seen: set[int] = set()  # equal sets are signed once a task
+def _gathered(batches):
+    """``_shared`` of each bucket; buckets come one after the other."""
+    bucket, parts = None, []
     for batch in batches:
-        for _, _, data, offs in tk.blocks(batch.column(0)):
-            h, at, n, whole = sets(data, offs)
-            new = np.zeros(len(n), bool)
-            for d in np.flatnonzero(n):
-                if int(whole[d]) not in seen:
-                    seen.add(int(whole[d]))
-                    new[d] = True
-            if new.any():
-                keep = new[at]
-                sig, of, slack = signatures(h[keep], at[keep], np.where(new, n, 0))
-                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(whole[of]), pa.array(np.full(len(sig), -1))], ["sig", "node", "slack"])
-                loose = np.flatnonzero(new & slack.any(1))
-                yield pa.RecordBatch.from_arrays([_longs(tk.mix(whole[loose])), _longs(whole[loose]), pa.array(slack[loose, 0] << 31 | slack[loose, 1])], ["sig", "node", "slack"])
-
-
-def _elements(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the vertices in ``wanted``, by a bounded filter and an exact join."""
-    bloom, bits = repeated_filter(wanted, wanted.count(), again=False)
-    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+        for own, sigs, nodes, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if own != bucket and parts:
+                yield from _shared(parts)
+                parts = []
+            bucket = own
+            if hot is None:  # rows apart are shared
+                sig, node = (np.frombuffer(x, np.uint64) for x in (sigs, nodes))
+                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(node), _longs(tk.mix(sig))], ["sig", "node", "alike"])
+            else:
+                parts.append((sigs, nodes, hot))
+    if parts:
+        yield from _shared(parts)
+
+
+def _candidates(texts: DataFrame, steps: dict[int, np.ndarray], elements: int) -> DataFrame:
+    """(sig, node): vertices that share a signature; of signatures with the same vertices one stands for all."""
+    buckets = max(4 * width(texts.sparkSession), elements // FLUSH)
+
+    def signed(batches):
+        seen: set[int] = set()  # equal sets are signed once a task
+        sigs, nodes, size = [], [], 0
+        for batch in batches:
+            for _, _, data, offs in tk.blocks(batch.column(0)):
+                h, at, n, whole = sets(data, offs)
+                new = np.zeros(len(n), bool)
+                for d in np.flatnonzero(n):
+                    if int(whole[d]) not in seen:
+                        seen.add(int(whole[d]))
+                        new[d] = True
+                sig, of = signatures(h[new[at]], np.where(new, n, 0), steps)
+                sigs.append(sig)
+                nodes.append(whole[of])
+                size += len(sig)
+                if size >= FLUSH:
+                    yield from _sent(np.concatenate(sigs), np.concatenate(nodes), buckets)
+                    sigs, nodes, size = [], [], 0
+        if size:
+            yield from _sent(np.concatenate(sigs), np.concatenate(nodes), buckets)
+
+    sent = texts.mapInArrow(signed, "bucket long, sigs binary, nodes binary, hot binary")
+    shared = sent.repartition(width(texts.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "sig long, node long, alike long")
+    shared = materialize(shared, "jaccard-shared")
+    standing = shared.groupBy("alike").agg(F.min("sig").alias("sig")).select("sig")
+    return materialize(shared.join(standing, "sig").select("sig", "node").distinct(), "jaccard-open")
+
+
+def _elements(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, elements) of the vertices in ``wanted``, each from one text, found by a bounded filter on the hashes of texts."""
+    picked = materialize(described.join(wanted, "node").groupBy("node").agg(F.min("h").alias("h")), "jaccard-wanted")
+    bloom, bits = repeated_filter(picked.select("h"), picked.count(), again=False)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def given(batches):
         seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(held_in(shared.value, bits, batch.column(1).to_numpy())))
             for _, _, data, offs in tk.blocks(batch.column(0)):
-                h, at, n, whole = sets(data, offs)
-                asked = n > 0
-                for slot in _slots(whole, bits):
-                    asked &= (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                rows = [d for d in np.flatnonzero(asked) if not (int(whole[d]) in seen or seen.add(int(whole[d])))]
+                h, _, n, whole = sets(data, offs)
+                rows = [d for d in np.flatnonzero(n) if not (int(whole[d]) in seen or seen.add(int(whole[d])))]
                 if rows:
                     first = np.concatenate([[0], np.cumsum(n)])
                     parts = [h[first[d] : first[d + 1]] for d in rows]
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)), _longs(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([_longs(whole[rows]), lists], ["node", "elements"])
 
-    return materialize(texts.mapInArrow(given, "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    return materialize(docs.select("text", "h").mapInArrow(given, "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -222,16 +403,6 @@ def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
 BLOCK = 1024  # vertices of one side of a block
 
 
-def _narrowed(elements: DataFrame) -> DataFrame:
-    """(sig, node) after the prefix principle on single elements: of n elements the n - H - 1 that most vertices share are dropped."""
-    each = elements.select("node", F.size("elements").alias("n"), F.explode("elements").alias("sig"))
-    shared = each.withColumn("rows", F.count("*").over(Window.partitionBy("sig"))).filter("rows > 1")
-    loose = F.expr("n - (n + cast(4 * n div 3 as int)) div 7 - 1")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("rows").desc(), "sig"))
-    kept = shared.withColumn("place", place).filter(F.col("place") > loose).select("sig", "node")
-    return kept.withColumn("rows", F.count("*").over(Window.partitionBy("sig"))).filter("rows > 1").select("sig", "node")
-
-
 def _block_links(key, frame):
     """Links across roots between the two sides of a block, as many as connect what they connect."""
     left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
@@ -281,53 +452,94 @@ def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
         mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("sig")
         rows = materialize(rows.join(mixed, "sig"), "jaccard-parted")
         open_ = rows.select("sig", "node")
-    # what may still be similar is connected by shared signatures: those neighbourhoods are compared in blocks
-    least = rows.groupBy("sig").agg(F.min("node").alias("a"))
-    near = components(rows.join(least, "sig").select("a", F.col("node").alias("b")))
-    placed = rows.select("node", "root").distinct().join(near.select("node", F.col("root").alias("place")), "node")
-    by_root = placed.groupBy("place", "root").agg(F.count("*").alias("k"))
-    by_place = by_root.groupBy("place").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).select("place", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.k")).alias("minor"))
-    placed = placed.join(by_place, "place").withColumns({"chunks": F.ceil(F.col("n") / BLOCK), "minors": F.ceil(F.col("minor") / BLOCK)})
+    # what may still be similar shares a signature across components: those are compared in blocks
+    by_root = rows.groupBy("sig", "root").agg(F.count("*").alias("k"))
+    by_sig = by_root.groupBy("sig").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).select("sig", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.k")).alias("minor"))
+    # small signatures share blocks, each vertex once a block; a large one has blocks of its own
+    small = F.col("n") <= BLOCK // 4
+    bins = max(1, rows.count() // BLOCK)
+    placed = rows.join(by_sig, "sig").withColumns({"large": ~small, "place": F.when(small, F.pmod(F.xxhash64("sig"), F.lit(bins))).otherwise(F.col("sig"))})
+    placed = placed.withColumns({"chunks": F.when(small, 1).otherwise(F.ceil(F.col("n") / BLOCK)), "minors": F.when(small, 1).otherwise(F.ceil(F.col("minor") / BLOCK))})
     chunk, minor = F.pmod(F.xxhash64("node"), "chunks"), F.pmod(F.xxhash64("node"), "minors")
-    right = placed.select("place", "node", "root", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m"), F.lit(1).alias("side"))
-    left = placed.filter("root != major").select("place", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), minor.alias("m"), F.lit(0).alias("side"))
-    blocks = left.unionByName(right).join(elements, "node")
-    more = blocks.groupBy("place", "c", "m").applyInPandas(_block_links, "a long, b long")
+    block = ["large", "place", "c", "m"]
+    right = placed.select("large", "place", "node", "root", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m"), F.lit(1).alias("side"))
+    left = placed.filter("root != major").select("large", "place", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), minor.alias("m"), F.lit(0).alias("side"))
+    blocks = left.unionByName(right).distinct().join(elements, "node")
+    more = blocks.groupBy(*block).applyInPandas(_block_links, "a long, b long")
     return components(links.union(more))
 
 
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, text, h: a hash of the text): the rows as (doc_id, n, node, h), and (node, component_id) of every vertex."""
+    spark = docs.sparkSession
+    described = materialize(docs.mapInArrow(_described, "doc_id long, n long, node long, h long, band int, sums binary"), "jaccard-described")
+    sums = described.filter("band is not null").select("band", "sums").repartition(min(width(spark), 64)).mapInArrow(_merged, "band int, sums binary")
+    costs = Costs()
+    for row in sums.collect():  # 64 rows a band at most, of up to SLOTS segments
+        costs.merge(row["band"], np.frombuffer(bytes(row["sums"])).reshape(Costs.WIDTH, -1))
+    described = described.filter("band is null").select("doc_id", "n", "node", "h")
+    total = described.agg(F.sum("n")).first()[0] or 0
+    open_ = _candidates(docs.select("text"), costs.steps(), total)
+    elements = _elements(docs, described, open_.select("node").distinct())
+    roots = materialize(_linked(elements, open_), "jaccard-roots")
+    # the smallest id of each vertex, then of each component: one row a task before the shuffle
+    smallest = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    placed = materialize(smallest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "jaccard-placed")
+    by_root = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-components")
+    return described, placed.join(by_root, "root").select("node", "root", "component_id")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     A null, empty or blank text has no shingles and is linked with nothing; its
     component is its own id. Repeated rows and ids keep a row each. Rows with a
     null id link others and get their component's smallest id, null if it has
-    none. Other columns are not read, whatever their names.
+    none. Texts of any length are one set each, held whole by one task. Other
+    columns are not read, whatever their names. An empty table gives an empty
+    table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.select("text")
-    described = materialize(rows.mapInArrow(_described, "doc_id long, n long, node long"), "jaccard-described")
-    signed = texts.mapInArrow(_signed, "sig long, node long, slack long")
-    bucket = Window.partitionBy("sig")
-    # distinct vertices that share a signature, and how many rows it has: a common measure for all who share it
-    shared = signed.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "rows": F.count("*").over(bucket)}).filter("low != high or slack >= 0").select("sig", "node", "slack", "rows")
-    shared = materialize(shared.distinct(), "jaccard-shared")
-    slack = shared.filter("slack >= 0").select("node", "slack").distinct()
-    band = F.col("sig").bitwiseAND(F.lit(1))
-    place = F.row_number().over(Window.partitionBy("node", band).orderBy(F.col("rows").desc(), "sig"))
-    loose = F.coalesce(F.when(band == 0, F.shiftright("slack", 31)).otherwise(F.col("slack").bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0))
-    kept = shared.filter("slack < 0").drop("slack").join(slack, "node", "left").withColumn("place", place).filter(F.col("place") > loose).select("sig", "node")
-    nodes = kept.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).filter("low != high").select("node")
-    elements = _elements(texts, materialize(nodes.distinct(), "jaccard-nodes"))
-    roots = materialize(_linked(elements, materialize(_narrowed(elements), "jaccard-open")), "jaccard-roots")
-    # the smallest id of each vertex, then of each component: one row a task before the shuffle
-    smallest = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = materialize(smallest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "jaccard-placed")
-    by_root = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-components")
-    by_node = materialize(placed.join(by_root, "root").select("node", "component_id"), "jaccard-nodes")
-    out = described.join(by_node, "node", "left")
+    described, found = _components(_rows(docs, id_col, text_col))
+    out = described.join(materialize(found.select("node", "component_id"), "jaccard-nodes"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays, with all its columns.
+
+    A null id comes after all others; of rows with the same id the one with the
+    smallest text hash stays, and of rows with the same id and text one. Rows
+    without shingles all stay. Rows are told apart by id and text hash, so an
+    id that two texts share loses neither for the other. Only rows that a
+    filter of the hashes of texts in components of two rows or more lets
+    through are shuffled.
+    """
+    described, found = _components(_rows(docs, id_col, text_col))
+    rows = described.filter("n > 0").join(found.select("node", "root"), "node").select("root", "doc_id", "h")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = materialize(rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"), "jaccard-groups")
+    linked = rows.join(groups, "root").select("doc_id", "h", ((F.col("h") == F.col("first.h")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).alias("stays"))
+    linked = materialize(linked.distinct(), "jaccard-linked")
+    bloom, bits = repeated_filter(linked.select("h"), linked.count(), again=False)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(held_in(shared.value, bits, h.to_numpy()))
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text).alias("own_h"))
+    whole = whole.withColumn("asked", maybe("own_h"))
+    asked = whole.filter("asked").join(linked, F.col("own_id").eqNullSafe(linked["doc_id"]) & (F.col("own_h") == linked["h"]), "left")
+    # rows that repeat id and text are as good as each other
+    firsts = asked.filter("stays").groupBy("own_id", "own_h").agg(F.first("row").alias("row"))
+    return whole.filter("not asked").select("row").unionByName(asked.filter("stays is null").select("row")).unionByName(firsts.select("row")).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
