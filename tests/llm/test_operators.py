@@ -122,8 +122,9 @@ def test_ngram_join_is_brute_force(unique):
 
 def test_similar_sets_share_a_signature_at_every_size():
     r = np.random.default_rng(1)
-    for s in [1, 2, 3, 4, 5, 6, 7, 9, 11, 12, 13, 17, 23, 24, 30, 47, 48, 64, 95, 96, 130, 191, 192, 260, 400, 500]:
-        for _ in range(30):
+    slots = {k: min(m, ngram_join.SLOTS) for k, m in enumerate(ngram_join.SEGMENTS) if k > 1}
+    for s in [1, 2, 3, 4, 5, 6, 7, 9, 11, 12, 13, 17, 23, 24, 30, 47, 48, 64, 95, 96, 130, 191, 192, 260, 400, 500, 9000]:
+        for turn in range(30 if s < 1000 else 3):
             a = np.unique(r.integers(1 << 62, size=s)).astype(np.uint64)
             drop = int(r.integers(0, s // 4 + 1))
             add = max(0, min(s // 3, (4 * (s - drop) - 3 * s) // 3))
@@ -131,12 +132,84 @@ def test_similar_sets_share_a_signature_at_every_size():
             common = len(np.intersect1d(a, b))
             if 100 * common < 75 * (len(a) + len(b) - common) or not len(b):
                 continue
+            # in any order of steps that has a segment whole before its neighbourhoods
+            steps = {}
+            for k, n in slots.items():
+                place = r.permutation(2 * n).reshape(2, n)
+                steps[k] = np.sort(place, axis=0)
             n = np.array([len(a), len(b)])
-            sig, of, slack = ngram_join.signatures(np.concatenate([a, b]), np.repeat([0, 1], n), n)
-            shared = set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
-            assert shared, (len(a), len(b), common)
-            # and more than either may drop of those with the same bit
-            assert any(sum(x & 1 == bit for x in shared) > max(slack[0, bit], slack[1, bit]) for bit in (0, 1)), (len(a), len(b), common)
+            sig, of = ngram_join.signatures(np.concatenate([a, b]), n, steps if turn else {})
+            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (len(a), len(b), common)
+
+
+def test_steps_put_common_segments_last():
+    r = np.random.default_rng(2)
+    costs, k = ngram_join.Costs(), 8
+    lo, hi = ngram_join.BANDS[k]
+    line = r.integers(1 << 62, size=20).astype(np.uint64)  # in every set
+    for _ in range(200):
+        own = np.concatenate([line, r.integers(1 << 62, size=hi - 60).astype(np.uint64)])
+        for cells in ngram_join.bands(own, np.array([len(own)])):
+            costs.add(cells)
+    segments = np.unique(np.concatenate([c.segment for c in ngram_join.bands(np.concatenate([line, line, own])[: lo + 20], np.array([lo + 20])) if c.k == k]))
+    assert len(segments)
+    places = costs.steps()[k]
+    assert (np.sort(places, axis=0) == places).all()  # whole before neighbourhoods
+    with np.errstate(over="ignore"):
+        base = tk.mix(np.array([k + 1], np.uint64))
+        hot = np.unique(tk.mix(line ^ base) % np.uint64(ngram_join.SEGMENTS[k])).astype(int)
+    cold = np.setdiff1d(np.arange(places.shape[1]), hot)
+    assert np.median(places[0, hot]) > np.median(places[0, cold])
+
+
+def test_ngram_join_is_brute_force_on_families(spark):
+    """Families of near copies around the threshold, a line that all share, tiny sets, copies with other case."""
+    ship(spark)
+    r = random.Random(11)
+    word = lambda: f"v{r.randint(0, 5000)}"
+    line = " ".join(word() for _ in range(12))
+    texts = []
+    for size in (3, 6, 9, 14, 25, 60, 150):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            for _ in range(7):
+                w = list(base)
+                for _ in range(r.randint(0, max(1, size // 18))):
+                    w[r.randrange(size)] = word()
+                if r.random() < 0.3:
+                    w = w[r.randint(0, size // 6) :]
+                texts.append(" ".join(w) + (" " + line if r.random() < 0.4 else ""))
+    texts += [t.upper() for t in texts[::9]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(words, texts)]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.similar_groups(docs).collect()}
+    assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
+
+
+def test_hot_signatures_go_apart_and_come_back(monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    r = np.random.default_rng(5)
+    sig, node = r.integers(40, size=600).astype(np.uint64) * np.uint64(1 << 58), r.integers(200, size=600).astype(np.uint64)
+    sig[:300] = np.uint64(7 << 57)
+    parts = sorted((row for half in (slice(0, 400), slice(400, 600)) for batch in ngram_join._sent(sig[half], node[half], 8) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda row: row[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "nodes", "hot"])
+    got = {(s, n) for out in ngram_join._gathered([batch]) for s, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    pairs = set(zip(sig.view(np.int64).tolist(), node.view(np.int64).tolist(), strict=True))
+    counts = collections.Counter(s for s, _ in pairs)
+    assert {p for p in pairs if counts[p[0]] > 1} == {p for p in got if counts[p[0]] > 1}
+    assert all(p in pairs for p in got)
 
 
 @pytest.mark.parametrize("most", [4000, 1])
