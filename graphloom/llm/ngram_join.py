@@ -11,18 +11,18 @@ neighbourhood (all that is left when one element goes), or not at all:
   differ in one element, one whole is in the other's neighbourhood;
 * what is not indexed covers 0.
 
-If a set's indexed segments cover H + 1, a similar set shares a signature with
-it. Which segments are indexed, and how, is allocated by cost. A first pass
-measures in each segment of each band, over all documents, how many rows its
-signatures have and how many partners a row meets there, by signed sums whose
-squares estimate the sum of squared counts. From that every band gets one
-order of steps ("index segment i whole", "add the neighbourhoods of segment
-i") by cost per unit of cover. A set goes through that order until it covers
-H + 1; common lines come last and are hardly ever reached. Of two similar sets
-the one that stops first has its guarantee from steps that the other took too,
-so the two meet. A set that can't cover H + 1 takes all steps and gives each of
-its elements besides; two such sets meet there. The two smallest bands have a
-single segment: whole where H is 0, with its neighbourhood where H is 1.
+What is indexed is allocated by cost, in two steps. A first pass over all
+documents measures for each segment of each band how many rows its signatures
+have and how many partners a row meets there, by signed sums whose squares
+estimate the sum of squared counts. From that each band gets a level for every
+segment: whole where that is cheap, nothing where common lines make it dear,
+and neighbourhoods of the cheapest segments where the rest would not cover
+enough. Then each set allocates among its own signatures by their exact lists:
+of two similar sets, one that covers T shares at least T - H signatures with
+the other, so by the prefix principle each may drop the T - H - 1 that most sets
+share, and the two still meet. A set that can't cover H + 1 gives each of its
+elements besides and drops nothing; two such sets meet there. The two smallest bands
+have a single segment: whole where H is 0, with its neighbourhood where H is 1.
 
 A set near the lower end of its band may resemble smaller sets, so it also
 gives its signatures in the band below.
@@ -30,9 +30,10 @@ gives its signatures in the band below.
 Equal sets are one vertex from the start. Signatures are shuffled as arrays, in
 buckets of bounded size; a signature that many sets of one task share is taken
 out of the buckets but for a marker. Only those of two vertices or more come
-out, and of signatures with the same vertices one stands for all. Their
+out, and after the drop one stands for all that have the same vertices. Their
 vertices are compared with the smallest (a star, not all pairs), then with one
-drawn for each signature. Components of what is verified leave only those
+drawn for each signature; a pair whose parity bits differ in more than H places
+can't be similar and goes no further. Components of what is verified leave only those
 signatures open that join different components; these are compared in blocks
 of bounded size, vertices outside a signature's largest component with all. Every
 comparison is exact, of whole sets.
@@ -45,7 +46,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
@@ -60,7 +61,10 @@ _SEED = np.uint64(0xA24BAED4963EE407)
 SLOTS = 1 << 12  # segments of a band whose costs are told apart
 SIGNS = 4  # signed sums of a segment
 PARTNER = 1.0  # cost of a partner that a row meets, in rows
+DEAR = 4.0  # times the median cost of a band's segments, from which one is indexed only if it must be
+ROOM = 1.3  # average cover of a band's sets, in what they need
 FLUSH = 1 << 20  # signatures that a task holds before it sends them, and about as many go to a bucket
+LEAST_BITS = 512  # of a set, by which pairs are compared first
 HOT = 256  # sets of one flush with the same signature from which it goes apart
 
 
@@ -70,17 +74,18 @@ def _need(size, hi: int):
 
 
 def _segments(lo: int, hi: int) -> int:
-    """The fewest segments that leave sets of the band a seventh more filled segments than they need, all but one in a hundred."""
+    """The fewest segments that leave sets of the band half as much again as they need on average, and enough for all but one in a hundred."""
     sizes = np.unique((lo + (hi - lo) * np.linspace(0, 1, 5)).astype(int))
     for i in range(60):
         m = max(2, int(hi * (0.3 + 0.05 * i)))
-        short = 0.0
+        short, room = 0.0, math.inf
         for s in sizes:
             load = s / m
             empty = math.exp(-load)
             spread = math.sqrt(max(1e-9, m * empty * (1 - (1 + load) * empty)))
-            short = max(short, 0.5 * math.erfc((m * (1 - empty) - 8 / 7 * int(_need(s, hi)) + 0.5) / spread / math.sqrt(2)))
-        if short < 0.01:
+            short = max(short, 0.5 * math.erfc((m * (1 - empty) - int(_need(s, hi)) + 0.5) / spread / math.sqrt(2)))
+            room = min(room, m * (1 - empty) / int(_need(s, hi)))
+        if short < 0.01 and room > 1.4:
             break
     return m
 
@@ -158,9 +163,9 @@ def bands(h: np.ndarray, n: np.ndarray):
 
 
 class Costs:
-    """Rows and signed sums of each segment (those of a band by number modulo ``SLOTS``), and the steps that follow from them."""
+    """Sums over the sets of each band, by segment (number modulo ``SLOTS``), and the levels that follow from them."""
 
-    WIDTH = 3 + 2 * SIGNS  # subsets, those of two or more, their elements; signed sums of subsets and of deletions
+    WIDTH = 2 + SIGNS + 1  # filled subsets, those of two or more; signed sums; in the first column, what the sets need
 
     def __init__(self):
         self.sums: dict[int, np.ndarray] = {}
@@ -169,67 +174,69 @@ class Costs:
         if cells.k < 2:
             return
         slot, slots = cells.segment % cells.slots, cells.slots
-        many = np.flatnonzero(cells.count > 1)
-        gone, of = cells.deletions(many)
-        parts = [np.bincount(slot, minlength=slots), np.bincount(slot[many], minlength=slots), np.bincount(slot[many], cells.count[many], slots)]
-        for sig, at in ((cells.whole(np.arange(len(slot))), slot), (gone, slot[of])):
-            parts += [np.bincount(at, 1.0 - 2.0 * ((sig >> np.uint64(r + 20)) & np.uint64(1)), slots) for r in range(SIGNS)]
-        self.merge(cells.k, np.array(parts, float))
+        sig = cells.whole(np.arange(len(slot)))
+        parts = [np.bincount(slot, minlength=slots), np.bincount(slot[cells.count > 1], minlength=slots)]
+        parts += [np.bincount(slot, 1.0 - 2.0 * ((sig >> np.uint64(r + 20)) & np.uint64(1)), slots) for r in range(SIGNS)]
+        need = np.zeros(slots)
+        need[0] = _need(cells.size, BANDS[cells.k][1]).sum()
+        self.merge(cells.k, np.array([*parts, need], float))
 
     def merge(self, k: int, sums: np.ndarray) -> None:
         self.sums[k] = self.sums[k] + sums if k in self.sums else sums
 
-    def steps(self) -> dict[int, np.ndarray]:
-        """For each band (2, slots): the places of both steps of a segment in the order by cost per unit of cover."""
+    def levels(self) -> dict[int, np.ndarray]:
+        """For each band how its segments are indexed: 0 not at all, 1 whole, 2 with neighbourhoods."""
         out = {}
         for k, s in self.sums.items():
-            rows, many, inside = (np.maximum(x, 1e-9) for x in s[:3])
-            partners = [np.maximum((signed**2).mean(0) - n, 0) / n for signed, n in ((s[3 : 3 + SIGNS], rows), (s[3 + SIGNS :], inside))]
-            whole = 1 + PARTNER * partners[0]
-            more = inside * (1 + PARTNER * partners[1]) / many  # rows of neighbourhoods for each set that they cover another unit of
-            cost = np.concatenate([whole, np.maximum(more, whole)])
-            place = np.empty(len(cost), np.int64)
-            place[np.argsort(cost, kind="stable")] = np.arange(len(cost))  # of equal cost the whole comes first
-            out[k] = place.reshape(2, -1)
+            rows, many, need = np.maximum(s[0], 1e-9), np.maximum(s[1], 1e-9), s[-1, 0]
+            # what a row meets: the sum of squared counts less the rows, over the rows
+            cost = 1 + PARTNER * np.maximum((s[2:-1] ** 2).mean(0) - rows, 0) / rows
+            more = cost * (2 + SEGMENT_LOAD * rows / many)  # a neighbourhood's rows meet at least as many, for each unit that it covers
+            level = (cost <= DEAR * np.median(cost)).astype(np.int64)
+            cover = s[0][level > 0].sum()
+            # (cost per unit, unit, segment, level) of the steps not taken, cheapest first
+            steps = sorted([*((cost[i], s[0][i], i, 1) for i in np.flatnonzero(level == 0)), *((max(more[i], cost[i]), s[1][i], i, 2) for i in range(len(cost)))], key=lambda x: (x[0], x[3], x[2]))
+            for _, unit, i, up in steps:
+                if cover >= ROOM * need:
+                    break
+                if level[i] == up - 1:
+                    level[i] = up
+                    cover += unit
+            out[k] = level
         return out
 
 
-def signatures(h: np.ndarray, n: np.ndarray, steps: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, set numbers) of sets of n elements each, given set by set in h; similar sets share one."""
+SEGMENT_LOAD = 2.0  # elements of a filled segment, about
+
+
+def signatures(h: np.ndarray, n: np.ndarray, levels: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, set numbers, slack) of sets of n elements each, given set by set in h; similar sets share one.
+
+    The last bit of a signature is that of its band, so it tells a set's own
+    band from the one below. slack[d, bit]: how many signatures set d may drop
+    among those with that bit.
+    """
     out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    slack = np.zeros((len(n), 2), np.int64)
+
+    def give(sig, docs, k):
+        out.append((sig & ~np.uint64(1)) | np.uint64(k & 1))
+        of.append(docs)
+
     for cells in bands(h, n):
         k, every = cells.k, np.arange(len(cells.start))
-        if k < 2:
-            out.append(cells.whole(every))
-            of.append(cells.docs)
-            if k == 1:
-                sig, at = cells.deletions(every)
-                out.append(sig)
-                of.append(cells.docs[at])
-            continue
-        slots = cells.slots
-        rounds = -(-SEGMENTS[k] // slots)
-        place = steps.get(k, np.arange(2 * slots).reshape(2, slots))
-        many = np.flatnonzero(cells.count > 1)
-        which, level = np.concatenate([every, many]), np.repeat([0, 1], [len(every), len(many)])
-        rank = place[level, cells.segment[which] % slots] * rounds + cells.segment[which] // slots
-        order = np.argsort(cells.of[which] * (2 * slots * rounds) + rank)
-        which, level = which[order], level[order]
-        who = cells.of[which]
-        steps_of = np.bincount(who, minlength=len(cells.docs))
-        before = np.concatenate([[0], np.cumsum(steps_of)[:-1]])
-        need = _need(cells.size, BANDS[k][1])
-        taken = np.arange(len(who)) - before[who] < need[who]
-        picked = which[taken & (level == 0)]
-        out.append(cells.whole(picked))
-        of.append(cells.docs[cells.of[picked]])
-        sig, at = cells.deletions(which[taken & (level == 1)])
-        out.append(sig)
-        of.append(cells.docs[cells.of[at]])
-        alone = np.repeat((steps_of < need)[cells.of], cells.count)
-        out.append(tk.mix(cells.e[alone] ^ cells.base))
-        of.append(np.repeat(cells.docs[cells.of], cells.count)[alone])
-    return np.concatenate(out), np.concatenate(of)
+        level = levels.get(k, np.ones(cells.slots, np.int64))[cells.segment % cells.slots] if k > 1 else np.full(len(every), k + 1)
+        whole, near = np.flatnonzero(level > 0), np.flatnonzero((level > 1) & (cells.count > (k > 1)))
+        give(cells.whole(whole), cells.docs[cells.of[whole]], k)
+        sig, at = cells.deletions(near)
+        give(sig, cells.docs[cells.of[at]], k)
+        if k > 1:
+            cover = np.bincount(cells.of[whole], minlength=len(cells.docs)) + np.bincount(cells.of[near], minlength=len(cells.docs))
+            need = _need(cells.size, BANDS[k][1])
+            slack[cells.docs, k & 1] = np.maximum(0, cover - need)
+            alone = np.repeat((cover < need)[cells.of], cells.count)
+            give(tk.mix(cells.e[alone] ^ cells.base), np.repeat(cells.docs[cells.of], cells.count)[alone], k)
+    return np.concatenate(out), np.concatenate(of), slack
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -271,12 +278,16 @@ def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
     return ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _sent(sig: np.ndarray, node: np.ndarray, buckets: int):
-    """Batches of (bucket, sigs, nodes, hot): signatures in order and their vertices as arrays, hot ones apart.
+_SENT = "bucket long, kind int, sigs binary, nodes binary, hot binary"
 
-    Of a signature that more than ``HOT`` of the sets have, all rows go in
-    pieces of their own to buckets drawn by vertex, and one marker, with hot
-    set, goes to the signature's bucket.
+
+def _sent(sig: np.ndarray, node: np.ndarray, buckets: int, slack: np.ndarray | None = None):
+    """Rows of ``_SENT``: signatures in order and their vertices as arrays.
+
+    Kind 0: the signatures of a bucket. Of a signature that more than ``HOT``
+    of the sets have, all rows go in pieces of their own (kind 1) to buckets
+    drawn by vertex, and one marker, with hot set, goes to the signature's
+    bucket. Kind 2: vertices, and in place of signatures their ``slack``.
     """
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
@@ -287,7 +298,9 @@ def _sent(sig: np.ndarray, node: np.ndarray, buckets: int):
     rows = []
     for i in range(0, int(apart.sum()), FLUSH // 8):
         s, v = sig[apart][i : i + FLUSH // 8], node[apart][i : i + FLUSH // 8]
-        rows.append((int(v[0] % np.uint64(buckets)), s.tobytes(), v.tobytes(), None))
+        rows.append((int(v[0] % np.uint64(buckets)), 1, s.tobytes(), v.tobytes(), None))
+    if slack is not None and len(slack):
+        rows.append((int(slack[0, 0] % buckets), 2, slack[:, 1].tobytes(), slack[:, 0].tobytes(), None))
     hot = np.zeros(len(sig), bool)
     hot[start[many]] = True
     stay = ~apart | hot
@@ -295,55 +308,63 @@ def _sent(sig: np.ndarray, node: np.ndarray, buckets: int):
     bucket = _bucket(sig, buckets)
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for i, j in zip(cut, np.append(cut[1:], len(sig)), strict=True):
-        rows.append((int(bucket[i]), sig[i:j].tobytes(), node[i:j].tobytes(), np.packbits(hot[i:j]).tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "nodes", "hot"])
+        rows.append((int(bucket[i]), 0, sig[i:j].tobytes(), node[i:j].tobytes(), np.packbits(hot[i:j]).tobytes()))
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "kind", "sigs", "nodes", "hot"])
+
+
+MANY = 1 << 40  # rows of a signature that some have apart: more than any other
 
 
 def _shared(parts: list[tuple[bytes, bytes, bytes]]):
-    """(sig, node, likeness) batches of one bucket: of signatures with two vertices or more, or with rows apart; equal likeness: the same vertices."""
+    """(sig, node, rows) of one bucket's signatures with two vertices or more, or with rows apart."""
     sig, node = (np.concatenate([np.frombuffer(p[k], np.uint64) for p in parts]) for k in (0, 1))
     hot = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in parts]).astype(bool)
-    order = np.lexsort((node, sig))
+    order = np.argsort(sig, kind="stable")
     sig, node, hot = sig[order], node[order], hot[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-    hot = np.logical_or.reduceat(hot, np.flatnonzero(new))
-    sig, node = sig[new], node[new]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     count = np.diff(start, append=len(sig))
     marked = np.logical_or.reduceat(hot, start)
-    with np.errstate(over="ignore"):
-        alike = tk.chain(count.astype(np.uint64), np.add.reduceat(tk.mix(node), start))
-    alike = np.where(marked, tk.mix(sig[start]), alike)
     keep = np.repeat((count > 1) | marked, count)
-    if keep.any():
-        yield pa.RecordBatch.from_arrays([_longs(sig[keep]), _longs(node[keep]), _longs(np.repeat(alike, count)[keep])], ["sig", "node", "alike"])
+    marked = np.repeat(marked, count)[keep]
+    sig, node = sig[keep], node[keep]
+    order = np.lexsort((node, sig))
+    sig, node, marked = sig[order], node[order], marked[order]
+    if len(sig):
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node, marked = sig[new], node[new], marked[new]
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        count = np.diff(start, append=len(sig))
+        rows = np.where(marked, MANY, np.repeat(count, count))
+        keep = rows > 1
+        yield pa.RecordBatch.from_arrays([_longs(sig[keep]), _longs(node[keep]), pa.array(rows[keep])], ["sig", "node", "rows"])
 
 
 def _gathered(batches):
-    """``_shared`` of each bucket; buckets come one after the other."""
+    """(sig, node, rows) by ``_shared`` of each bucket, which come one after the other; with rows -1 a vertex and its slack in place of sig."""
     bucket, parts = None, []
     for batch in batches:
-        for own, sigs, nodes, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for own, kind, sigs, nodes, hot in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if own != bucket and parts:
                 yield from _shared(parts)
                 parts = []
             bucket = own
-            if hot is None:  # rows apart are shared
+            if kind:
                 sig, node = (np.frombuffer(x, np.uint64) for x in (sigs, nodes))
-                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(node), _longs(tk.mix(sig))], ["sig", "node", "alike"])
+                yield pa.RecordBatch.from_arrays([_longs(sig), _longs(node), pa.array(np.full(len(sig), MANY if kind == 1 else -1))], ["sig", "node", "rows"])
             else:
                 parts.append((sigs, nodes, hot))
     if parts:
         yield from _shared(parts)
 
 
-def _candidates(texts: DataFrame, steps: dict[int, np.ndarray], elements: int) -> DataFrame:
-    """(sig, node): vertices that share a signature; of signatures with the same vertices one stands for all."""
+def _candidates(texts: DataFrame, levels: dict[int, np.ndarray], elements: int) -> DataFrame:
+    """(sig, node): vertices that share a signature after each has dropped what it may; of signatures with the same vertices one stands for all."""
     buckets = max(4 * width(texts.sparkSession), elements // FLUSH)
 
     def signed(batches):
         seen: set[int] = set()  # equal sets are signed once a task
-        sigs, nodes, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for _, _, data, offs in tk.blocks(batch.column(0)):
                 h, at, n, whole = sets(data, offs)
@@ -352,21 +373,66 @@ def _candidates(texts: DataFrame, steps: dict[int, np.ndarray], elements: int) -
                     if int(whole[d]) not in seen:
                         seen.add(int(whole[d]))
                         new[d] = True
-                sig, of = signatures(h[new[at]], np.where(new, n, 0), steps)
-                sigs.append(sig)
-                nodes.append(whole[of])
+                sig, of, slack = signatures(h[new[at]], np.where(new, n, 0), levels)
+                loose = np.flatnonzero(new & slack.any(1))
+                held.append((sig, whole[of], np.stack([whole[loose].view(np.int64), slack[loose, 0] << 31 | slack[loose, 1]], 1)))
                 size += len(sig)
                 if size >= FLUSH:
-                    yield from _sent(np.concatenate(sigs), np.concatenate(nodes), buckets)
-                    sigs, nodes, size = [], [], 0
+                    sig, node, slack = (np.concatenate([x[k] for x in held]) for k in range(3))
+                    yield from _sent(sig, node, buckets, slack)
+                    held, size = [], 0
         if size:
-            yield from _sent(np.concatenate(sigs), np.concatenate(nodes), buckets)
+            sig, node, slack = (np.concatenate([x[k] for x in held]) for k in range(3))
+            yield from _sent(sig, node, buckets, slack)
 
-    sent = texts.mapInArrow(signed, "bucket long, sigs binary, nodes binary, hot binary")
-    shared = sent.repartition(width(texts.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "sig long, node long, alike long")
+    sent = texts.mapInArrow(signed, _SENT)
+    shared = sent.repartition(width(texts.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "sig long, node long, rows long")
     shared = materialize(shared, "jaccard-shared")
-    standing = shared.groupBy("alike").agg(F.min("sig").alias("sig")).select("sig")
-    return materialize(shared.join(standing, "sig").select("sig", "node").distinct(), "jaccard-open")
+    slack = shared.filter("rows < 0").select("node", F.col("sig").alias("slack")).distinct()
+    band = F.col("sig").bitwiseAND(F.lit(1))
+    place = F.row_number().over(Window.partitionBy("node", band).orderBy(F.col("rows").desc(), "sig"))
+    loose = F.coalesce(F.when(band == 0, F.shiftright("slack", 31)).otherwise(F.col("slack").bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0))
+    # a vertex's own signatures are as many as its set, never more
+    kept = shared.filter("rows > 0").distinct().join(slack, "node", "left").withColumn("place", place).filter(F.col("place") > loose).select("sig", "node")
+    kept = materialize(kept, "jaccard-kept")
+    alike = kept.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("alike")).filter("n > 1")
+    standing = alike.groupBy("n", "alike").agg(F.min("sig").alias("sig")).select("sig")
+    return materialize(kept.join(standing, "sig").select("sig", "node"), "jaccard-open")
+
+
+def _parities(x: np.ndarray) -> bytes:
+    """Bits of a set, as many as its size to the next power of two, each turned over by the elements at its place.
+
+    Two sets differ in as many elements as bits, or more. The two halves
+    together, by exclusive or, are the bits of the same set at half the number.
+    """
+    bits = 1 << max(LEAST_BITS.bit_length() - 1, int(len(x) - 1).bit_length())
+    at = (tk.mix(x) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _half(bits: np.ndarray) -> np.ndarray:
+    return bits[..., : bits.shape[-1] // 2] ^ bits[..., bits.shape[-1] // 2 :]
+
+
+def _may_be_similar(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """By the bits of sets, rows of the same width or one twice as wide, and their sizes."""
+    if a.shape[-1] > b.shape[-1]:
+        a = _half(a)
+    elif a.shape[-1] < b.shape[-1]:
+        b = _half(b)
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= (n_a + n_b) // 7
+
+
+def _near(n_a: pd.Series, bits_a: pd.Series, n_b: pd.Series, bits_b: pd.Series) -> pd.Series:
+    """``_may_be_similar`` of pairs whose sizes are within 4/3 of each other, so that widths are within 2."""
+    out = np.zeros(len(n_a), bool)
+    wide = bits_a.str.len().to_numpy() * (1 << 32) + bits_b.str.len().to_numpy()
+    for w in np.unique(wide):
+        at = np.flatnonzero(wide == w)
+        a, b = (np.frombuffer(b"".join(x.iloc[at]), np.uint64).reshape(len(at), -1) for x in (bits_a, bits_b))
+        out[at] = _may_be_similar(a, n_a.to_numpy()[at], b, n_b.to_numpy()[at])
+    return pd.Series(out)
 
 
 def _elements(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -386,23 +452,47 @@ def _elements(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataF
                     first = np.concatenate([[0], np.cumsum(n)])
                     parts = [h[first[d] : first[d + 1]] for d in rows]
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)), _longs(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([_longs(whole[rows]), lists], ["node", "elements"])
+                    yield pa.RecordBatch.from_arrays([_longs(whole[rows]), pa.array(n[rows]), pa.array([_parities(x) for x in parts], pa.binary()), lists], ["node", "n", "bits", "elements"])
 
-    return materialize(docs.select("text", "h").mapInArrow(given, "node long, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    return materialize(docs.select("text", "h").mapInArrow(given, "node long, n long, bits binary, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: vertices) whose sets are similar."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    left = pairs.join(elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
+    """Those of ``pairs`` (a, b: vertices) whose sets are similar: by bits first, which are few bytes, and then whole."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda name, *columns: elements.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    near = near.filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").filter(F.pandas_udf(_near, "boolean")("n_a", "bits_a", "n_b", "bits_b"))
+    near = materialize(near.select("a", "b"), "jaccard-pairs")
+    both = near.join(side("a", "elements"), "a").join(side("b", "elements"), "b")
+    common = F.size(F.array_intersect("elements_a", "elements_b"))
+    return both.filter(100 * common >= 75 * (F.size("elements_a") + F.size("elements_b") - common)).select("a", "b")
 
 
 BLOCK = 1024  # vertices of one side of a block
 
 
+def _block_near(key, frame):
+    """The rows of a block, of both sides, that may be similar to one across roots, by their bits."""
+    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    near_left, near_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    wide = [side["bits"].str.len().to_numpy() for side in (left, right)]
+    tables = {}
+    for w in np.unique(wide[1]):
+        at = np.flatnonzero(wide[1] == w)
+        tables[w] = at, np.frombuffer(b"".join(right["bits"].iloc[at]), np.uint64).reshape(len(at), -1), right["n"].to_numpy()[at], right["root"].to_numpy()[at]
+    for i, (own, n, root) in enumerate(zip(left["bits"], left["n"], left["root"], strict=True)):
+        for w in (len(own) // 2, len(own), 2 * len(own)):
+            if w in tables:
+                at, bits, size, roots = tables[w]
+                ask = np.flatnonzero((roots != root) & (4 * np.minimum(size, n) >= 3 * np.maximum(size, n)))
+                if len(ask):
+                    ask = ask[_may_be_similar(np.frombuffer(own, np.uint64)[None], n, bits[ask], size[ask])]
+                    near_right[at[ask]] = True
+                    near_left[i] |= len(ask) > 0
+    return pd.concat([left[near_left], right[near_right]])[["large", "place", "c", "m", "side", "node", "root"]]
+
+
 def _block_links(key, frame):
     """Links across roots between the two sides of a block, as many as connect what they connect."""
     left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
@@ -448,6 +538,8 @@ def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
         found = _verified(elements, stars.select(F.col("drawn.node").alias("a"), F.col("node").alias("b")))
         links = materialize(links.union(found) if k else found, "jaccard-links")
         roots = components(links)
+        # a centre has been compared with all others of its signature
+        open_ = open_.join(drawn.select("sig", F.col("drawn.node").alias("centre")), "sig").filter("node != centre").select("sig", "node")
         rows = open_.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("sig")
         rows = materialize(rows.join(mixed, "sig"), "jaccard-parted")
@@ -464,7 +556,9 @@ def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
     block = ["large", "place", "c", "m"]
     right = placed.select("large", "place", "node", "root", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("m"), F.lit(1).alias("side"))
     left = placed.filter("root != major").select("large", "place", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), minor.alias("m"), F.lit(0).alias("side"))
-    blocks = left.unionByName(right).distinct().join(elements, "node")
+    blocks = left.unionByName(right).distinct().join(elements.select("node", "n", "bits"), "node")
+    near = materialize(blocks.groupBy(*block).applyInPandas(_block_near, "large boolean, place long, c long, m long, side int, node long, root long"), "jaccard-near")
+    blocks = near.join(elements.select("node", "elements"), "node")
     more = blocks.groupBy(*block).applyInPandas(_block_links, "a long, b long")
     return components(links.union(more))
 
@@ -479,7 +573,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         costs.merge(row["band"], np.frombuffer(bytes(row["sums"])).reshape(Costs.WIDTH, -1))
     described = described.filter("band is null").select("doc_id", "n", "node", "h")
     total = described.agg(F.sum("n")).first()[0] or 0
-    open_ = _candidates(docs.select("text"), costs.steps(), total)
+    open_ = _candidates(docs.select("text"), costs.levels(), total)
     elements = _elements(docs, described, open_.select("node").distinct())
     roots = materialize(_linked(elements, open_), "jaccard-roots")
     # the smallest id of each vertex, then of each component: one row a task before the shuffle
