@@ -132,34 +132,47 @@ def test_similar_sets_share_a_signature_at_every_size():
             common = len(np.intersect1d(a, b))
             if 100 * common < 75 * (len(a) + len(b) - common) or not len(b):
                 continue
-            # in any order of steps that has a segment whole before its neighbourhoods
-            steps = {}
-            for k, n in slots.items():
-                place = r.permutation(2 * n).reshape(2, n)
-                steps[k] = np.sort(place, axis=0)
+            levels = {k: r.integers(0, 3, n) for k, n in slots.items()} if turn else {}  # whatever is allocated
             n = np.array([len(a), len(b)])
-            sig, of = ngram_join.signatures(np.concatenate([a, b]), n, steps if turn else {})
-            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (len(a), len(b), common)
+            sig, of, slack = ngram_join.signatures(np.concatenate([a, b]), n, levels)
+            shared = set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+            assert shared, (len(a), len(b), common)
+            # and more than either may drop of those with the same bit
+            assert any(sum(x & 1 == bit for x in shared) > max(slack[0, bit], slack[1, bit]) for bit in (0, 1)), (len(a), len(b), common)
 
 
-def test_steps_put_common_segments_last():
+def test_common_segments_are_left_out_and_others_cover_for_them():
     r = np.random.default_rng(2)
-    costs, k = ngram_join.Costs(), 8
+    k = 8
     lo, hi = ngram_join.BANDS[k]
-    line = r.integers(1 << 62, size=20).astype(np.uint64)  # in every set
-    for _ in range(200):
+    line = r.integers(1 << 62, size=30).astype(np.uint64)  # in every set
+    costs = ngram_join.Costs()
+    for _ in range(300):
         own = np.concatenate([line, r.integers(1 << 62, size=hi - 60).astype(np.uint64)])
         for cells in ngram_join.bands(own, np.array([len(own)])):
             costs.add(cells)
-    segments = np.unique(np.concatenate([c.segment for c in ngram_join.bands(np.concatenate([line, line, own])[: lo + 20], np.array([lo + 20])) if c.k == k]))
-    assert len(segments)
-    places = costs.steps()[k]
-    assert (np.sort(places, axis=0) == places).all()  # whole before neighbourhoods
+    level = costs.levels()[k]
     with np.errstate(over="ignore"):
         base = tk.mix(np.array([k + 1], np.uint64))
         hot = np.unique(tk.mix(line ^ base) % np.uint64(ngram_join.SEGMENTS[k])).astype(int)
-    cold = np.setdiff1d(np.arange(places.shape[1]), hot)
-    assert np.median(places[0, hot]) > np.median(places[0, cold])
+    cold = np.setdiff1d(np.arange(len(level)), hot)
+    assert level[hot].mean() < 0.7 < level[cold].mean()
+    s = costs.sums[k]
+    assert s[0][level > 0].sum() + s[1][level > 1].sum() >= ngram_join.ROOM * s[-1, 0]
+
+
+def test_parity_bits_never_part_similar_sets():
+    r = np.random.default_rng(4)
+    for s in (3, 20, 255, 257, 511, 513, 1500, 4000):
+        for _ in range(20):
+            a = r.integers(1 << 62, size=s).astype(np.uint64)
+            b = np.concatenate([a[int(r.integers(0, s // 4 + 1)) :], r.integers(1 << 62, size=int(r.integers(0, s // 4 + 1))).astype(np.uint64)])
+            x, y = (np.frombuffer(ngram_join._parities(v), np.uint64)[None] for v in (a, b))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                assert ngram_join._may_be_similar(x, np.array([len(a)]), y, np.array([len(b)])).all()
+        other = r.integers(1 << 62, size=s).astype(np.uint64)
+        assert not ngram_join._may_be_similar(x, np.array([len(b)]), np.frombuffer(ngram_join._parities(other), np.uint64)[None], np.array([s])).any()
 
 
 def test_ngram_join_is_brute_force_on_families(spark):
@@ -203,13 +216,16 @@ def test_hot_signatures_go_apart_and_come_back(monkeypatch):
     r = np.random.default_rng(5)
     sig, node = r.integers(40, size=600).astype(np.uint64) * np.uint64(1 << 58), r.integers(200, size=600).astype(np.uint64)
     sig[:300] = np.uint64(7 << 57)
-    parts = sorted((row for half in (slice(0, 400), slice(400, 600)) for batch in ngram_join._sent(sig[half], node[half], 8) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda row: row[0])
-    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "nodes", "hot"])
-    got = {(s, n) for out in ngram_join._gathered([batch]) for s, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    sig[300:350] += np.arange(50, dtype=np.uint64)
+    batches = [b for half in (slice(0, 400), slice(400, 600)) for b in ngram_join._sent(sig[half], node[half], 8, np.array([[5, 9]]))]
+    rows = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda row: row[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], batches[0].schema.names)
+    got = [row for out in ngram_join._gathered([batch]) for row in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert [x for x in got if x[2] < 0] == [(9, 5, -1)] * 2
     pairs = set(zip(sig.view(np.int64).tolist(), node.view(np.int64).tolist(), strict=True))
     counts = collections.Counter(s for s, _ in pairs)
-    assert {p for p in pairs if counts[p[0]] > 1} == {p for p in got if counts[p[0]] > 1}
-    assert all(p in pairs for p in got)
+    assert {p for p in pairs if counts[p[0]] > 1} <= {x[:2] for x in got if x[2] > 0} <= pairs
+    assert all(len({x[2] for x in got if x[0] == s and x[2] > 0}) == 1 for s in counts if counts[s] > 1)
 
 
 @pytest.mark.parametrize("most", [4000, 1])
