@@ -364,7 +364,7 @@ def test_language_model_base_and_sums(docs, texts):
 def test_classifiers_learn(spark):
     ship(spark)
     r = random.Random(6)
-    plain = ["w" + chr(97 + k // 8) + chr(97 + k % 8) for k in range(50)]  # toxicity takes runs of letters as words
+    plain = ["w" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(400)]  # toxicity takes runs of letters as words
     rows, labels = [], []
     for i in range(400):
         bad = i % 3 == 0
@@ -409,3 +409,59 @@ def test_language_model_knows_the_words_before_beyond_the_top_ones(spark):
     inside = inside[model.leaf_room[inside] > 0]
     one, two = (np.full(len(inside), x, np.uint64) for x in (12345, 678))
     assert np.isclose(np.exp(model.tail_log(inside, one, two) + np.log(model.leaf_room[inside])).sum(), 1, atol=1e-3)
+
+
+def test_toxicity_is_kneser_ney_by_hand(spark):
+    """Log-likelihoods of both models against a plain Python count, and each model against one."""
+    ship(spark)
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    plain = [letters(4) for _ in range(600)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        w = [r.choice(plain) for _ in range(40)]
+        if toxic:
+            for k in r.sample(range(40), 6):
+                w[k] = r.choice(["vile", "nasty", "awful"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    used = {x["label_id"]: x["label"] for x in toxicity.labelled_sample(known, "doc_id", "toxic", toxicity.MAX_DOCS).collect() if not x["curve"]}
+    n, contexts = [collections.Counter(), collections.Counter()], [collections.defaultdict(set), collections.defaultdict(set)]
+    for i, t in rows:
+        if i in used:
+            w = t.split()
+            pairs = list(zip([""] + w, w))
+            n[used[i]].update(pairs)
+            for v, x in pairs:
+                contexts[used[i]][x].add(v)
+
+    def differs(x, t):
+        p, both = (x[0] / t[0], x[1] / t[1]), sum(x) / sum(t)
+        return abs(p[1] - p[0]) > toxicity.MARKED * math.sqrt(both * (1 - both) * (1 / t[0] + 1 / t[1])) and max(p) > toxicity.FACTOR * min(p)
+
+    vocabulary = sorted(set(contexts[0]) | set(contexts[1]))
+    total = [sum(map(len, contexts[c].values())) for c in (0, 1)]
+    own_word = {x for x in vocabulary if differs([len(contexts[c][x]) for c in (0, 1)], total)}
+    assert {"vile", "nasty", "awful"} <= own_word
+    cont = {x: len(contexts[0][x] | contexts[1][x]) for x in vocabulary}
+    room = sum(cont.values()) + 0.5 * (len(vocabulary) + 1)
+
+    def probability(c, v, x):
+        share = lambda y: (len(contexts[c][y]) - toxicity.DISCOUNT if len(contexts[c][y]) and y in own_word else 0) / total[c]
+        uni = share(x) + (1 - sum(map(share, vocabulary))) * (cont.get(x, 0) + 0.5) / room
+        after = sum(k for (a, _), k in n[c].items() if a == v) or 1
+        seen = {b: k for (a, b), k in n[c].items() if a == v and b in own_word}
+        kept = {b: max(k - toxicity.DISCOUNT, 0) / after for b, k in seen.items()}
+        return kept.get(x, 0) + (1 - sum(kept.values())) * uni
+
+    for c in (0, 1):
+        assert math.isclose(sum(probability(c, "vile", x) for x in [*vocabulary, "new"]), 1, abs_tol=1e-9)
+    for text in ["vile " + plain[0] + " nasty unseen", plain[1] + " " + plain[2], rows[1][1], ""]:
+        w = text.split()
+        expected = sum(math.log(probability(1, v, x) / probability(0, v, x)) for v, x in zip([""] + w, w)) / max(1, len(w))
+        (_, _, data, offs), = tk.blocks(pa.array([text]))
+        assert math.isclose(model.evidence(data, offs)[0], expected, abs_tol=1e-6)
