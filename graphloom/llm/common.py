@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,23 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, max_docs: in
     known = known.groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     rows = [r for c in (0, 1) for r in known.filter(F.col("label") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs).collect()]
     return spark.createDataFrame([(r["label_id"], r["label"], i % 4 == 0) for i, r in enumerate(rows)], "label_id long, label int, curve boolean")
+
+
+def tidy(f):
+    """``f``, a function of batches for ``mapInArrow``; when a task is done its worker gives back the memory that it no longer uses.
+
+    Workers outlive a task, and what the allocators hold on to adds up to an
+    executor's memory in the stages that follow.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, table, width
+from graphloom.llm.common import materialize, table, tidy, width
 
 MAX_BITS = 1 << 28
 BITS_PER_ROW = 16
@@ -102,9 +102,9 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS, agai
         if pieces:
             yield _rows(pieces).select(["piece", plane])
 
-    parts = hashes.mapInArrow(first, "piece int, once binary, again binary").repartition(min(width(hashes.sparkSession), max(1, bits // 8 // SLICE)), "piece")
+    parts = hashes.mapInArrow(tidy(first), "piece int, once binary, again binary").repartition(min(width(hashes.sparkSession), max(1, bits // 8 // SLICE)), "piece")
     out = np.zeros(bits // 8, np.uint8)
-    for piece, held in parts.mapInArrow(merged, f"piece int, {plane} binary").collect():  # at most bits / 8 bytes
+    for piece, held in parts.mapInArrow(tidy(merged), f"piece int, {plane} binary").collect():  # at most bits / 8 bytes
         out[piece * len(held) : (piece + 1) * len(held)] = np.frombuffer(bytes(held), np.uint8)
     return out, bits
 

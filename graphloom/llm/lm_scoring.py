@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import fold, materialize, table, width
+from graphloom.llm.common import fold, materialize, table, tidy, width
 
 TOP, IN_CLASS, SHAPES = 768, 32, 40
 OWN = TOP // IN_CLASS
@@ -279,7 +279,7 @@ def train_round(texts: DataFrame, model: MaxEnt) -> MaxEnt:
 
     # each task gives moves as large as the weights, so there are only as many as the root of the tokens asks for
     tasks = max(spark.sparkContext.defaultParallelism, model.hashed >> 12)
-    sums = texts.coalesce(tasks).mapInArrow(moved, "slice int, move binary").repartition(width(spark), "slice").mapInArrow(_summed, "slice int, move binary").collect()  # as large as the weights
+    sums = texts.coalesce(tasks).mapInArrow(tidy(moved), "slice int, move binary").repartition(width(spark), "slice").mapInArrow(tidy(_summed), "slice int, move binary").collect()  # as large as the weights
     for row in sums:
         i, k = divmod(row["slice"], len(TABLES))
         weights = getattr(model, TABLES[k])
@@ -291,7 +291,7 @@ def train_round(texts: DataFrame, model: MaxEnt) -> MaxEnt:
 
 def train(texts: DataFrame, key: str, text_col: str = "text", rounds: int = ROUNDS) -> tuple[MaxEnt, DataFrame, dict]:
     """(model, table of counts h, shape, n, totals) from all of ``texts``; ``key`` deals them to rounds."""
-    counts = materialize(texts.select(text_col).mapInArrow(_counted, "h long, shape long, n long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "lm-counts")
+    counts = materialize(texts.select(text_col).mapInArrow(tidy(_counted), "h long, shape long, n long").groupBy("h").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "lm-counts")
     best = counts.orderBy(F.col("n").desc(), "h").limit(TOP).toPandas()
     end = np.int64(END.view(np.int64)) if hasattr(END, "view") else int(END)
     if len(best) and not (best["h"] == end).any():
@@ -310,7 +310,7 @@ def train(texts: DataFrame, key: str, text_col: str = "text", rounds: int = ROUN
             rest = ~np.isin(h, top)
             yield pa.RecordBatch.from_arrays([pa.array(leaves(h.view(np.uint64), shape, depth)[rest]), pa.array(n[rest] + 0.5)], ["leaf", "room"])
 
-    places = counts.mapInArrow(placed, "leaf long, room double").groupBy("leaf").agg(F.sum("room").alias("room")).toArrow()  # a row a word at most
+    places = counts.mapInArrow(tidy(placed), "leaf long, room double").groupBy("leaf").agg(F.sum("room").alias("room")).toArrow()  # a row a word at most
     model = MaxEnt(top.view(np.uint64), best["n"].to_numpy(float), shape_n, shape_v, places["leaf"].to_numpy(), places["room"].to_numpy(), depth, hashed_rows(totals["n"]))
     for k in range(rounds):
         model = train_round(texts.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).select(text_col), model)
@@ -362,7 +362,7 @@ def score(docs: DataFrame, model: MaxEnt, counts: DataFrame, totals: dict, id_co
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(rows.mapInArrow(scored, "row_key long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<struct<h:long,unseen:double>>"), "lm-scored")
+    rows = materialize(rows.mapInArrow(tidy(scored), "row_key long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<struct<h:long,unseen:double>>"), "lm-scored")
     if not complete:
         # words beyond the frequent ones: no such word has many rows
         asked = rows.select("row_key", F.inline("rare"))

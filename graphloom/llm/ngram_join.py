@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import materialize, table, width
+from graphloom.llm.common import materialize, table, tidy, width
 from graphloom.llm.components import components
 from graphloom.llm.exact_dedup import held_in, repeated_filter
 
@@ -63,7 +63,8 @@ SIGNS = 4  # signed sums of a segment
 PARTNER = 1.0  # cost of a partner that a row meets, in rows
 DEAR = 4.0  # times the median cost of a band's segments, from which one is indexed only if it must be
 ROOM = 1.3  # average cover of a band's sets, in what they need
-FLUSH = 1 << 20  # signatures that a task holds before it sends them, and about as many go to a bucket
+FLUSH = 1 << 18  # signatures that a task holds before it sends them
+BUCKET = 1 << 20  # elements for which there is a bucket
 LEAST_BITS = 512  # of a set, by which pairs are compared first
 HOT = 256  # sets of one flush with the same signature from which it goes apart
 
@@ -360,7 +361,7 @@ def _gathered(batches):
 
 def _candidates(texts: DataFrame, levels: dict[int, np.ndarray], elements: int) -> DataFrame:
     """(sig, node): vertices that share a signature after each has dropped what it may; of signatures with the same vertices one stands for all."""
-    buckets = max(4 * width(texts.sparkSession), elements // FLUSH)
+    buckets = max(4 * width(texts.sparkSession), elements // BUCKET)
 
     def signed(batches):
         seen: set[int] = set()  # equal sets are signed once a task
@@ -385,8 +386,8 @@ def _candidates(texts: DataFrame, levels: dict[int, np.ndarray], elements: int)
             sig, node, slack = (np.concatenate([x[k] for x in held]) for k in range(3))
             yield from _sent(sig, node, buckets, slack)
 
-    sent = texts.mapInArrow(signed, _SENT)
-    shared = sent.repartition(width(texts.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "sig long, node long, rows long")
+    sent = texts.mapInArrow(tidy(signed), _SENT)
+    shared = sent.repartition(width(texts.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_gathered), "sig long, node long, rows long")
     shared = materialize(shared, "jaccard-shared")
     slack = shared.filter("rows < 0").select("node", F.col("sig").alias("slack")).distinct()
     band = F.col("sig").bitwiseAND(F.lit(1))
@@ -454,7 +455,7 @@ def _elements(docs: DataFrame, described: DataFrame, wanted: DataFrame) -> DataF
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)), _longs(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([_longs(whole[rows]), pa.array(n[rows]), pa.array([_parities(x) for x in parts], pa.binary()), lists], ["node", "n", "bits", "elements"])
 
-    return materialize(docs.select("text", "h").mapInArrow(given, "node long, n long, bits binary, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    return materialize(docs.select("text", "h").mapInArrow(tidy(given), "node long, n long, bits binary, elements array<long>").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _verified(elements: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -544,7 +545,10 @@ def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
         mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("sig")
         rows = materialize(rows.join(mixed, "sig"), "jaccard-parted")
         open_ = rows.select("sig", "node")
-    # what may still be similar shares a signature across components: those are compared in blocks
+    # what may still be similar shares a signature across components: those are compared in blocks. Signatures with the
+    # same smallest vertex are one from here on, for they have much the same vertices
+    least = rows.groupBy("sig").agg(F.min("node").alias("least"))
+    rows = materialize(rows.join(least, "sig").select(F.col("least").alias("sig"), "node", "root").distinct(), "jaccard-gathered")
     by_root = rows.groupBy("sig", "root").agg(F.count("*").alias("k"))
     by_sig = by_root.groupBy("sig").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).select("sig", "n", F.col("most.root").alias("major"), (F.col("n") - F.col("most.k")).alias("minor"))
     # small signatures share blocks, each vertex once a block; a large one has blocks of its own
@@ -566,8 +570,8 @@ def _linked(elements: DataFrame, open_: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (doc_id, text, h: a hash of the text): the rows as (doc_id, n, node, h), and (node, component_id) of every vertex."""
     spark = docs.sparkSession
-    described = materialize(docs.mapInArrow(_described, "doc_id long, n long, node long, h long, band int, sums binary"), "jaccard-described")
-    sums = described.filter("band is not null").select("band", "sums").repartition(min(width(spark), 64)).mapInArrow(_merged, "band int, sums binary")
+    described = materialize(docs.mapInArrow(tidy(_described), "doc_id long, n long, node long, h long, band int, sums binary"), "jaccard-described")
+    sums = described.filter("band is not null").select("band", "sums").repartition(min(width(spark), 64)).mapInArrow(tidy(_merged), "band int, sums binary")
     costs = Costs()
     for row in sums.collect():  # 64 rows a band at most, of up to SLOTS segments
         costs.merge(row["band"], np.frombuffer(bytes(row["sums"])).reshape(Costs.WIDTH, -1))

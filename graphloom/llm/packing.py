@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import materialize, table
-from graphloom.llm.idle import Idle
+from graphloom.llm.common import materialize, table, tidy
 
 CAPACITY = 4096
 GROUP = 4096
 END = 1
-CACHE = 600_000  # words that a worker remembers, and twice as many of their cores
+CACHE = 1 << 26  # bytes of words and ids that a worker remembers, with ENTRY for each
+ENTRY = 200
 #: a run of letters and a run of ASCII marks without the apostrophe, which may begin a token with letters
 _CORE = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 LOOK = 8  # levels of room that are compared; a sequence beyond them fits worse
@@ -49,25 +49,19 @@ class WordTokens:
         self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
-        self.idle = Idle(self.forget)
-
-    def forget(self) -> None:
-        # new dictionaries, so that a text at work keeps those it has
-        self.known, self.cores = {}, {}
+        self.held = 0
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of UTF-8 texts, parted at their ASCII white space."""
-        self.idle.touch()
         words = [text.split() for text in texts]
         known = self.learn(set().union(*words))
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A dictionary that has all of ``words``; a word of letters and marks is two tokens' worth, whatever its ASCII case."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.cores) > 2 * CACHE:
-            self.cores.clear()
+        if self.held > CACHE:
+            # new dictionaries, so that a text at work keeps those it has
+            self.known, self.cores, self.held = {}, {}, 0
         known, cores = self.known, self.cores
         parted = {}
         for word in words.difference(known):
@@ -86,6 +80,7 @@ class WordTokens:
             cores[part] = np.array(found.ids, "<u4").tobytes()
         for word, parts in parted.items():
             known[word] = b"".join(map(cores.__getitem__, parts))
+            self.held += 2 * (len(word) + len(known[word]) + ENTRY)
         return known
 
 
@@ -124,7 +119,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(cut), "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(length: np.ndarray, capacity: int, max_pieces: int, max_cost: float, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> tuple[np.ndarray, np.ndarray]:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import table
-from graphloom.llm.idle import Idle
+from graphloom.llm.common import table, tidy
 
 N_BEST = 3
 UNKNOWN = 10.0
-CACHE = 600_000  # words that a worker remembers, and half as many again of their parts
+CACHE = 1 << 27  # bytes of words and ids that a worker remembers, with ENTRY for each
+ENTRY = 250
 SPACE = "▁"
 
 
@@ -67,11 +67,7 @@ class Lattice:
         self.pairs = {p[k : k + 2] for p in normal for k in range(len(p) - 1)}
         self.parts: dict[str, tuple] = {}  # part -> (score, ids, loss of the second best)
         self.words: dict[str, tuple] = {}
-        self.idle = Idle(self.forget)
-
-    def forget(self) -> None:
-        # new dictionaries, so that a text at work keeps those it has
-        self.parts, self.words = {}, {}
+        self.held = 0
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple]]]:
         """For each place the pieces that end there: (start, score, ids)."""
@@ -175,13 +171,13 @@ class Lattice:
         try:
             coded = list(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            if len(self.parts) > CACHE * 3 // 2:
-                self.parts.clear()
+            if self.held > CACHE:
+                self.parts, self.words, self.held = {}, {}, 0
+                known = self.words
             for word in set(words):
                 if word not in known:
                     known[word] = self._word(word)
+                    self.held += 2 * (4 * len(word) + len(known[word][1]) + ENTRY)
             coded = list(map(known.__getitem__, words))
         score = sum(c[0] for c in coded)
         loose = heapq.nsmallest(n - 1, ((c[2], k) for k, c in enumerate(coded) if c[2] is not None))
@@ -252,7 +248,6 @@ def segment_documents(docs: DataFrame, n: int = N_BEST, path: str | None = None,
         lattice = lattice_of(path)
         for batch in batches:
             for i, j, _, _ in tk.blocks(batch.column(1)):
-                lattice.idle.touch()
                 out = []
                 for text in batch.column(1).slice(i, j - i).to_pylist():
                     text = text or ""
@@ -263,7 +258,7 @@ def segment_documents(docs: DataFrame, n: int = N_BEST, path: str | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_pieces", "score", "ids", "scores", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(coded, "doc_id long, n_pieces long, score double, ids binary, scores array<double>, ids_crc32 array<long>, round_trip boolean")
+    return rows.mapInArrow(tidy(coded), "doc_id long, n_pieces long, score double, ids binary, scores array<double>, ids_crc32 array<long>, round_trip boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import fold, labelled_sample, table
+from graphloom.llm.common import fold, labelled_sample, table, tidy
 
 MAX_DOCS = 1500
 PASSAGE = 64
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 rows = [x[g == k].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary()), batch.column(2).slice(i, j - i)], ["label_id", "x", "label"])
 
-    got = texts.mapInArrow(encoded, "label_id long, x binary, label int").toPandas().sort_values(["label_id", "x"])
+    got = texts.mapInArrow(tidy(encoded), "label_id long, x binary, label int").toPandas().sort_values(["label_id", "x"])
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"]]
     x = np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32)
     return Attention().fit(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["label"].to_numpy(np.float32))
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
                 out[i:j] = shared.value.score(data, offs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(scored), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

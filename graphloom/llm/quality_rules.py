@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import table
+from graphloom.llm.common import table, tidy
 
 SAMPLE = 2000
 _SYMBOL = np.zeros(256, bool)
@@ -193,7 +193,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"],
                 )
 
-    return rows.mapInArrow(judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return rows.mapInArrow(tidy(judged), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import materialize, table, tidy
 
 MIN = 100
 GRAM = 24
@@ -371,18 +371,18 @@ def _cut(batches):
 
 def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     """(key, first, end), overlapping, of what is covered in ``texts`` (key long in corpus order, text binary)."""
-    rows = texts.mapInArrow(_anchored, "own boolean, gram long, context long, key long, at long")
+    rows = texts.mapInArrow(tidy(_anchored), "own boolean, gram long, context long, key long, at long")
     rows = rows.repartition(F.when(F.col("own"), F.xxhash64("key", "at")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "context", "key", "at")
-    settled = materialize(rows.mapInArrow(_settled(most), "kind long, gram long, key long, first long, end long, at long"), "suffix-settled")
+    settled = materialize(rows.mapInArrow(tidy(_settled(most)), "kind long, gram long, key long, first long, end long, at long"), "suffix-settled")
     covered = settled.filter("kind = 0").select("key", "first", "end")
     asked = settled.filter("kind > 0").groupBy("key").agg(F.collect_list(F.struct("gram", "at", (F.col("kind") == 2).alias("hot"))).alias("asked"))  # at most one for each start of the text
-    beside = materialize(texts.join(asked, "key").select("key", "text", "asked").mapInArrow(_contexts, "gram long, key long, at long, bytes binary, hot boolean"), "suffix-contexts")
-    small = beside.filter("not hot").select("gram", "key", "at", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_arrays, "key long, first long, end long")
+    beside = materialize(texts.join(asked, "key").select("key", "text", "asked").mapInArrow(tidy(_contexts), "gram long, key long, at long, bytes binary, hot boolean"), "suffix-contexts")
+    small = beside.filter("not hot").select("gram", "key", "at", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(_arrays), "key long, first long, end long")
     hot = beside.filter("hot").select("key", "at", "bytes")
-    steps = hot.mapInArrow(_steps, "step binary, key long, at long, k int")
+    steps = hot.mapInArrow(tidy(_steps), "step binary, key long, at long, k int")
     several = materialize(steps.groupBy("step").agg(F.count("*").alias("n")).filter("n > 1").select("step"), "suffix-steps")
     open_ = steps.join(several, "step").groupBy("key", "at").agg(F.collect_list("k").alias("steps"))  # at most MIN - GRAM + 1
-    starts = hot.join(open_, ["key", "at"]).select("key", "at", "bytes", "steps").mapInArrow(_starts, "string binary, key long, first long")
+    starts = hot.join(open_, ["key", "at"]).select("key", "at", "bytes", "steps").mapInArrow(tidy(_starts), "string binary, key long, first long")
     least = materialize(starts.groupBy("string").agg(F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "suffix-strings")
     large = starts.join(least.select("string", "least"), "string").filter(F.struct("key", "first") != F.col("least")).select("key", "first", (F.col("first") + MIN).alias("end"))
     return covered.unionByName(small).unionByName(large)
@@ -409,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # at most one for each start of the text
     whole = texts.select("key", "text", F.struct("doc_id", "rest").alias("rest"))
     kinds = whole.schema["rest"].dataType.simpleString()
-    cut = whole.join(spans, "key", "left").mapInArrow(_cut, f"key long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary, kept_sha256 string, rest {kinds}")
+    cut = whole.join(spans, "key", "left").mapInArrow(tidy(_cut), f"key long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary, kept_sha256 string, rest {kinds}")
     return cut.select("rest.doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "rest.rest")
 
 
