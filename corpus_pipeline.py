@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.ship import shipped
 from graphloom.llm import toxicity
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import materialize, prepared, table
 from graphloom.llm.exact_dedup import keep_last
 from graphloom.llm.ngram_join import keep_first
 from graphloom.llm.packing import pack_documents
@@ -55,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    (name, shipped(stage))
+    (name, prepared(stage))
     for name, stage in (
         ("toxicity", drop_toxic),
         ("exact_dedup", keep_one_exact),

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -28,6 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+BATCH_ROWS = 1000  # of an Arrow batch
+
+
+def prepared(f):
+    """``f``, whose first argument is a session, with the package sent to the executors and small Arrow batches before it.
+
+    Texts are some kilobytes each, and a batch is held by the JVM and by its
+    worker at once, so Spark's 10,000 rows would take much of a small executor.
+    A session that names another number keeps it.
+    """
+
+    @functools.wraps(f)
+    def run(spark, *args, **kwargs):
+        ship(spark)
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(rows) == "10000":
+            spark.conf.set(rows, str(BATCH_ROWS))
+        return f(spark, *args, **kwargs)
+
+    return run
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

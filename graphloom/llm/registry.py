@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.functions.ship import shipped
 from graphloom.llm import exact_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, toxicity
+from graphloom.llm.common import prepared
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -17,7 +17,7 @@ QUERIES = {
     "op9_quality_classifier": quality_model.query,
     "op10_toxicity": toxicity.query,
 }
-QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
+QUERIES = {name: prepared(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.SQL,
