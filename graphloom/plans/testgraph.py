@@ -21,7 +21,7 @@ FUNCTION = """
 SELECT c_custkey AS k, c_name AS name, p.path, p.language, c_custkey % 3 = 0 AS exported,
   CAST(c_custkey % 100 + 1 AS INT) AS start_line, CAST(c_custkey % 100 + 1 + c_nationkey AS INT) AS end_line,
   'fn:' || p.path || '#' || c_name AS id
-FROM {customer} JOIN (SELECT count(*) AS n FROM {part}) t ON true JOIN ({PART}) p ON p.k = c_custkey % t.n"""
+FROM (SELECT c.*, c_custkey % n AS part_k FROM {customer} c CROSS JOIN (SELECT count(*) AS n FROM {part}) t) JOIN ({PART}) p ON p.k = part_k"""
 
 NODES = """
 SELECT 'f:' || path AS id, 'file' AS type, path AS name, path, CAST(NULL AS INT) AS start_line, CAST(NULL AS INT) AS end_line, false AS external, false AS exported, language FROM ({PART})
