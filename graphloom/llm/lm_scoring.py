@@ -1,25 +1,24 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 The model gives each token the probability of its class and of the word in its
-class, both log-linear in hashed features of the three words before it: the
-word before (bigram), the two before (trigram), and the second and third before
-alone (skips). The ``TOP`` most frequent tokens, in classes of ``IN_CLASS``,
-have a softmax of their own in their class; every other word belongs to a class
-by the look of its end, and is found there by the digits of its hash: each digit
-is a softmax over ``BRANCH`` branches, which starts from the branches' training
-counts and has features of the words before. There are as many digits as it
-takes to tell the counted words apart, but for a few; words that share all
-digits part by their add-half counts, and each class has room for one unseen word. All
-probabilities of a context sum to one. Words outside the top ones are told
-apart as history too, by hashed rows.
-
-Training is distributed: in each of ``ROUNDS`` rounds every task takes the
-current weights, makes AdaGrad updates over its own texts, and returns how far
-its weights moved; the moves of each row are added up, weighted by the tokens that
-used it, in slices on the executors. A round takes its own share of the training
-texts, so training reads each of them once. The hashed rows of words grow with
-the root of the training tokens (``hashed_rows``), the digits' starting points
-with the number of words.
+class, log-linear in hashed features of the words before it: the word before
+(bigram), the two before (trigram), and the second before alone (skip). The
+``TOP`` most frequent tokens, in classes of ``IN_CLASS``, have a softmax of
+their own in their class; every other word belongs to a class by the look of
+its end and is found there by the bits of its hash: each bit is a softmax of
+two, which starts from the training counts of both sides and has features of
+the words before, so every word has evidence of its own. Words that share all
+bits part by their add-half counts, and each class has room for one unseen
+word. All probabilities of a context sum to one. Words outside the top ones are
+told apart as history too, by hashed rows.
+
+Training is distributed: in each of ``ROUNDS`` rounds the tasks, with the same
+weights, sum the gradient and the curvature of their texts for every weight;
+the sums of all tasks are added up in slices on the executors, and the weights
+take one step of gradient over curvature. So the model is the same however the
+texts are split, but for rounding. A round takes its own share of the training
+texts, so training reads each of them once. Hashed weights grow with the root
+of the training tokens (``hashed_rows``), and so do the bits.
 
 Counts cover the whole training part. Words are told apart by 64-bit hashes.
 The ``KNOWN`` most frequent words and their counts are broadcast (16 MB at
@@ -41,35 +40,35 @@ OWN = TOP // IN_CLASS
 CLASSES = OWN + SHAPES
 SYMBOLS = TOP + SHAPES + 1  # the last: before the text
 TRIGRAMS = 4096
-ROWS = 1 + 3 * SYMBOLS + TRIGRAMS
-WORD_ROWS = OWN + 8192
-BRANCH, BITS = 32, 5
+ROWS = 2 * SYMBOLS + TRIGRAMS  # and then those of the word before, hashed
+WORD_ROWS = 8192
 KNOWN = 1 << 20
 ROUNDS = 3
-BATCH = 4096
-RATE = 0.08
-DAMPED = 4.0  # squares that a hashed row begins with
+STEPS = (0.9, 0.6, 0.4)  # of gradient over curvature, in each round; the last goes on
+PRIOR = 2.0  # curvature that every weight has beside the texts'
+MOST = 2.0  # a weight moves no further in a round
+BATCH = 8192
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
-_SLICE = 1 << 8  # rows
+_SLICE = 1 << 14  # weights that travel together
 _MIX, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def hashed_rows(tokens: float) -> int:
-    """Rows of hashed word features: a power of two that grows with the root of the training tokens."""
-    return 1 << max(12, int(np.ceil(np.log2(4 * np.sqrt(max(tokens, 1))))))
+    """Hashed weights of bits: a power of two that grows with the root of the training tokens, 4 MB at 100 million tokens."""
+    return 1 << max(16, int(np.ceil(np.log2(128 * np.sqrt(max(tokens, 1))))))
 
 
-def digits(words: float) -> int:
-    """Digits that leave four words of so many, at most, to a place on average: a place takes memory, used or not."""
+def bits(words: float, hashed: int) -> int:
+    """Bits that leave four words of so many to a place on average; places are no more than a quarter of the hashed weights."""
     n = 1
-    while 4 * SHAPES * BRANCH**n < words:
+    while 4 * SHAPES << n < words and SHAPES << n + 3 <= hashed:
         n += 1
     return n
 
 
 def leaves(h: np.ndarray, shape: np.ndarray, depth: int) -> np.ndarray:
-    """The place of each word after all its digits; a shape's first place is the unseen word's too."""
-    return shape * BRANCH**depth + (h * _MIX >> np.uint64(64 - BITS * depth)).astype(np.int64)
+    """The place of each word after all its bits; a shape's first place is the unseen word's too."""
+    return shape * (1 << depth) + (h * _MIX >> np.uint64(64 - depth)).astype(np.int64)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +86,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, shape, ptr + np.arange(n + 1)
 
 
-TABLES = ("weights", "word_weights", "tail_weights")
+TABLES = ("weights", "word_weights", "bit_weights")
 
 
 class MaxEnt:
@@ -99,37 +98,39 @@ class MaxEnt:
         counts = np.zeros(TOP)
         counts[: len(top)] = top_count
         self.depth, self.hashed = depth, hashed
-        self.leaf_room = np.zeros(SHAPES * BRANCH**depth, np.float32)
+        self.leaf_room = np.zeros(SHAPES << depth, np.float32)
         self.leaf_room[leaf] = leaf_room
-        self.leaf_room[:: BRANCH**depth] += 0.5  # the unseen word
-        levels = [self.leaf_room.reshape(SHAPES * BRANCH**k, BRANCH, -1).sum(2) for k in range(depth)]
+        self.leaf_room[:: 1 << depth] += 0.5  # the unseen word
+        levels = [self.leaf_room.reshape(SHAPES << k, 2, -1).sum(2) for k in range(depth)]
         self.level = np.cumsum([0, *(len(x) for x in levels)])
         share = np.concatenate(levels)
-        self.parted = (share > 0).sum(1) > 1  # elsewhere a digit is certain
-        self.prior = np.log(share + 1e-9).astype(np.float32)
-        self.tail_weights = np.zeros((hashed, BRANCH), np.float32)
-        self.weights = np.zeros((ROWS + hashed, CLASSES), np.float32)
-        self.weights[0] = np.log(np.concatenate([counts.reshape(OWN, IN_CLASS).sum(1), self.room]) + 1e-3)
+        self.parted = (share > 0).all(1)  # elsewhere a bit is certain
+        self.bit_prior = np.log((share[:, 1] + 1e-9) / (share[:, 0] + 1e-9)).astype(np.float32)
+        self.prior = np.log(np.concatenate([counts.reshape(OWN, IN_CLASS).sum(1), self.room]) + 1e-3).astype(np.float32)
+        self.word_prior = np.log(counts.reshape(OWN, IN_CLASS) + 1e-3).astype(np.float32)
+        self.weights = np.zeros((ROWS + (hashed >> 8), CLASSES), np.float32)
         self.word_weights = np.zeros((WORD_ROWS, IN_CLASS), np.float32)
-        self.word_weights[:OWN] = np.log(counts.reshape(OWN, IN_CLASS) + 1e-3)
+        self.bit_weights = np.zeros(hashed, np.float32)
 
     def encode(self, h: np.ndarray, shape: np.ndarray, ptr: np.ndarray):
-        """(class, word in class or -1, features (n, 6), word features (n, 3)) of every token."""
+        """(class, word in class or -1, features (4, n), word features (2, n)) of every token."""
         at, found = self.index.find(h)
         rank = self.rank[at] if len(self.rank) else at
         symbol = np.where(found, rank, TOP + shape)
         back = []
         inside = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr))
-        for k in (1, 2, 3):
+        for k in (1, 2):
             s = np.full(len(h), SYMBOLS - 1)
             s[k:] = np.where(inside[k:] >= k, symbol[:-k] if k < len(h) else s[k:], SYMBOLS - 1)
             back.append(s)
         group = np.where(found, rank // IN_CLASS, OWN + shape)
         word = np.where(found, rank % IN_CLASS, -1)
         pair = (back[0] * 7919 + back[1] * 104729) % 1000003
-        features = np.stack([np.zeros(len(h), np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair % TRIGRAMS, ROWS + self._row(self.before(h, ptr, 1), _MIX_2)], 1).astype(np.int32)
+        before = self._place(self.before(h, ptr, 1), _MIX_2, self.hashed >> 8)
+        kind = np.uint16 if len(self.weights) <= 1 << 16 else np.int32
+        features = np.stack([back[0], SYMBOLS + back[1], 2 * SYMBOLS + pair % TRIGRAMS, ROWS + before]).astype(kind)
         own = np.where(found, group, 0)
-        word_features = np.stack([own, OWN + (back[0] * 31 + own * 2477) % (WORD_ROWS - OWN), OWN + (pair * 17 + own * 2477 + 4099) % (WORD_ROWS - OWN)], 1).astype(np.uint16)
+        word_features = np.stack([(back[0] * 31 + own * 2477) % WORD_ROWS, (pair * 17 + own * 2477 + 4099) % WORD_ROWS]).astype(np.uint16)
         return group, word, features, word_features
 
     @staticmethod
@@ -142,97 +143,113 @@ class MaxEnt:
             out[at[at < ptr[1:]]] = 0
         return out
 
-    def _row(self, what: np.ndarray, salt: np.uint64) -> np.ndarray:
+    @staticmethod
+    def _place(what: np.ndarray, salt: np.uint64, size: int) -> np.ndarray:
         x = (what ^ (what >> np.uint64(29))) * salt
-        return ((x ^ (x >> np.uint64(32))) * _MIX >> np.uint64(65 - self.hashed.bit_length())).astype(np.int64)
+        return (x >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
     def tail(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """For each digit (tokens whose digit is not certain, rows of prior, features (n, 2), digits); one, two: hashes of the words before."""
+        """For each bit (tokens whose bit is not certain, logits, places of both features, bits); one, two: hashes of the words before."""
         for k in range(self.depth):
-            node = self.level[k] + (leaf >> BITS * (self.depth - k))
+            node = self.level[k] + (leaf >> self.depth - k)
             at = np.flatnonzero(self.parted[node])
             node = node[at]
             salted = node.astype(np.uint64) * _MIX
-            features = np.stack([self._row(one[at] + salted, _MIX_2), self._row(one[at] * _MIX_2 + two[at] + salted, _MIX)], 1)
-            yield at, node, features, leaf[at] >> BITS * (self.depth - k - 1) & BRANCH - 1
+            places = self._place(one[at] + salted, _MIX_2, self.hashed), self._place((two[at] ^ salted) + _MIX_2, _MIX, self.hashed)
+            yield at, self.bit_prior[node] + self.bit_weights[places[0]] + self.bit_weights[places[1]], places, leaf[at] >> self.depth - k - 1 & 1
 
     def tail_log(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logs of a place's probability in its shape, without the share of the word's count in it."""
-        out = -np.log(self.leaf_room[leaf] + 1e-30)
+        out = -np.log(self.leaf_room[leaf] + 1e-30).astype(np.float64)
         for i in range(0, len(leaf), BATCH):
             s = slice(i, i + BATCH)
-            for at, node, features, digit in self.tail(leaf[s], one[s], two[s]):
-                if len(at):
-                    logits, total = self._softmax(self.tail_weights, features, self.prior[node])
-                    out[i + at] += logits[np.arange(len(at)), digit] - total
+            for at, logit, _, bit in self.tail(leaf[s], one[s], two[s]):
+                out[i + at] -= np.log1p(np.exp(np.where(bit == 1, -logit, logit)))
         return out
 
     @staticmethod
-    def _softmax(weights: np.ndarray, features: np.ndarray, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(shifted logits, log of the sum of their exponentials)."""
-        logits = np.take(weights, features[:, 0], axis=0)
-        if base is not None:
-            logits += base
+    def _softmax(weights: np.ndarray, features: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shifted logits, their exponentials, the sums of these)."""
+        logits = np.take(weights, features[0], axis=0)
+        logits += base
         more = np.empty_like(logits)
-        for k in range(1, features.shape[1]):
-            logits += np.take(weights, features[:, k], axis=0, out=more, mode="clip")
+        for f in features[1:]:
+            logits += np.take(weights, f, axis=0, out=more, mode="clip")
         logits -= logits.max(1, keepdims=True)
-        return logits, np.log(np.exp(logits).sum(1))
+        np.exp(logits, out=more)
+        return logits, more, more.sum(1)
 
     def log_probability(self, h: np.ndarray, shape: np.ndarray, ptr: np.ndarray, unseen: np.ndarray, doubtful: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(natural logs without the counts of words outside the top ones, whether a token is a top one, what is added if a doubtful one is unseen)."""
-        out, own = np.zeros(len(h)), np.zeros(len(h), bool)
+        out = np.zeros(len(h))
         group, word, features, word_features = self.encode(h, shape, ptr)
         for i in range(0, len(h), BATCH):
             s = slice(i, i + BATCH)
-            logits, total = self._softmax(self.weights, features[s])
-            out[s] = logits[np.arange(len(logits)), group[s]] - total
+            logits, _, total = self._softmax(self.weights, features[:, s], self.prior)
+            out[s] = logits[np.arange(len(logits)), group[s]] - np.log(total)
             top = np.flatnonzero(word[s] >= 0)
-            logits, total = self._softmax(self.word_weights, word_features[s][top])
-            out[i + top] += logits[np.arange(len(top)), word[s][top]] - total
+            logits, _, total = self._softmax(self.word_weights, word_features[:, s][:, top], self.word_prior[group[s][top]])
+            out[i + top] += logits[np.arange(len(top)), word[s][top]] - np.log(total)
         own = word >= 0
         rest = np.flatnonzero(~own)
         one, two = self.before(h, ptr, 1), self.before(h, ptr, 2)
-        first = shape * BRANCH**self.depth
+        first = shape << self.depth
         leaf = np.where(unseen, first, leaves(h, shape, self.depth))
         out[rest] += self.tail_log(leaf[rest], one[rest], two[rest])
         doubtful = np.flatnonzero(doubtful)
         more = self.tail_log(first[doubtful], one[doubtful], two[doubtful]) - self.tail_log(leaf[doubtful], one[doubtful], two[doubtful])
         return out, own, more
 
-    def update(self, state: list[tuple[np.ndarray, np.ndarray]], h: np.ndarray, shape: np.ndarray, ptr: np.ndarray) -> None:
-        """AdaGrad over the tokens in sparse batches; state: (sums of squares, uses of rows) for each table."""
+    def sums(self) -> list[np.ndarray]:
+        """Room for gradient and curvature of each table."""
+        return [np.zeros((2, getattr(self, name).size), np.float32) for name in TABLES]
+
+    def gradient(self, sums: list[np.ndarray], h: np.ndarray, shape: np.ndarray, ptr: np.ndarray) -> None:
+        """Add the tokens' gradients of the log-likelihood and its curvatures to ``sums``, in sparse batches."""
         group, word, features, word_features = self.encode(h, shape, ptr)
         one, two, leaf = self.before(h, ptr, 1), self.before(h, ptr, 2), leaves(h, shape, self.depth)
+        events: list[list[np.ndarray]] = [[], [], []]
         for i in range(0, len(h), BATCH):
             s = slice(i, i + BATCH)
-            self._step(self.weights, state[0], features[s], group[s])
+            self._expected(sums[0], self.weights, features[:, s], self.prior)
             top = np.flatnonzero(word[s] >= 0)
             if len(top):
-                self._step(self.word_weights, state[1], word_features[s][top], word[s][top])
+                self._expected(sums[1], self.word_weights, word_features[:, s][:, top], self.word_prior[group[s][top]])
             rest = i + np.flatnonzero(word[s] < 0)
-            for at, node, tail_features, digit in self.tail(leaf[rest], one[rest], two[rest]):
-                if len(at):
-                    self._step(self.tail_weights, state[2], tail_features, digit, self.prior[node])
-
-    def _step(self, weights: np.ndarray, state: tuple[np.ndarray, np.ndarray], features: np.ndarray, target: np.ndarray, base: np.ndarray | None = None) -> None:
-        squares, uses = state
-        logits, total = self._softmax(weights, features, base)
-        error = np.exp(logits - total[:, None].astype(np.float32))
-        error[np.arange(len(target)), target] -= 1
-        for k in range(features.shape[1]):
-            f = features[:, k]
-            if f[0] == f[-1] and (f == f[0]).all():  # the feature that all tokens have
-                grad, rows = error.sum(0, keepdims=True), f[:1]
-                uses[rows] += len(f)
-            else:
-                order = np.argsort(f, kind="stable")
-                f = f[order]
-                begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-                grad, rows = np.add.reduceat(np.take(error, order, axis=0), begin, axis=0), f[begin]
-                uses[rows] += np.diff(begin, append=len(f))
-            squares[rows] += grad * grad
-            weights[rows] -= RATE * grad / (np.sqrt(squares[rows]) + 1e-6)
+            for _, logit, places, bit in self.tail(leaf[rest], one[rest], two[rest]):
+                p = 1 / (1 + np.exp(-logit))
+                for place in places:
+                    for kept, x in zip(events, (place, bit - p, p * (1 - p)), strict=True):
+                        kept.append(x)
+        if events[0]:
+            place = np.concatenate(events[0])
+            for k in (0, 1):
+                sums[2][k] += np.bincount(place, np.concatenate(events[k + 1]), self.hashed)
+        top = np.flatnonzero(word >= 0)
+        for table, f, target in ((0, features, group), (1, word_features[:, top], word[top])):
+            # what was seen: a gradient of one, and half the curvature of a class seen as often as expected
+            seen = np.bincount((f.astype(np.int64) * (CLASSES, IN_CLASS)[table] + target).ravel(), minlength=sums[table].shape[1])
+            sums[table][0] += seen
+            sums[table][1] += 0.5 * seen
+
+    @staticmethod
+    def _expected(sums: np.ndarray, weights: np.ndarray, features: np.ndarray, base: np.ndarray) -> None:
+        _, p, total = MaxEnt._softmax(weights, features, base)
+        p /= total[:, None]
+        both = sums.reshape(2, *weights.shape)
+        for f in features:
+            order = np.argsort(f, kind="stable")
+            f = f[order]
+            begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+            expected = np.add.reduceat(np.take(p, order, axis=0), begin, axis=0)
+            rows = f[begin]
+            both[0, rows] -= expected
+            both[1, rows] += 0.5 * expected
+
+    def step(self, table: int, start: int, gradient: np.ndarray, curvature: np.ndarray, rate: float) -> None:
+        """Move the weights of ``table`` from ``start`` on."""
+        weights = getattr(self, TABLES[table]).reshape(-1)
+        weights[start : start + len(gradient)] += rate * np.clip(gradient / (curvature + PRIOR), -MOST, MOST)
 
 
 def _counted(batches):
@@ -244,47 +261,37 @@ def _counted(batches):
 
 
 def _summed(batches):
-    """Moves of slices, added up."""
+    """Sums of slices, added up."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            move = np.frombuffer(raw, np.float32)
-            sums[k] = sums[k] + move if k in sums else move.astype(np.float64)
+            part = np.frombuffer(raw, np.float32)
+            sums[k] = sums[k] + part if k in sums else part.astype(np.float64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["slice", "move"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["slice", "sums"])
 
 
-def train_round(texts: DataFrame, model: MaxEnt) -> MaxEnt:
-    """``model`` after one round of updates over ``texts`` (its only column)."""
+def train_round(texts: DataFrame, model: MaxEnt, rate: float) -> MaxEnt:
+    """``model`` after one step by the gradient over ``texts`` (its only column)."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def moved(batches):
-        start = shared.value
-        mine = MaxEnt.__new__(MaxEnt)
-        mine.__dict__ = start.__dict__ | {name: getattr(start, name).copy() for name in TABLES}
-        state = [(np.zeros_like(w), np.zeros(len(w), np.float32)) for w in (getattr(mine, name) for name in TABLES)]
-        # rows of hashed words move little on few tokens
-        state[0][0][ROWS:] = state[2][0][:] = DAMPED
+    def summed(batches):
+        sums = shared.value.sums()
         for batch in batches:
             for _, _, data, offs in tk.blocks(batch.column(0)):
-                mine.update(state, *tokens(data, offs))
-        for k, name in enumerate(TABLES):
-            old, new, uses = getattr(start, name), getattr(mine, name), state[k][1]
-            for i in range(0, len(uses), _SLICE):
-                n = uses[i : i + _SLICE, None]
-                if n.any():
-                    move = np.concatenate([(new[i : i + _SLICE] - old[i : i + _SLICE]) * n, n], 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([i * len(TABLES) + k], pa.int32()), pa.array([move.tobytes()], pa.binary())], ["slice", "move"])
-
-    # each task gives moves as large as the weights, so there are only as many as the root of the tokens asks for
-    tasks = max(spark.sparkContext.defaultParallelism, model.hashed >> 12)
-    sums = texts.coalesce(tasks).mapInArrow(tidy(moved), "slice int, move binary").repartition(width(spark), "slice").mapInArrow(tidy(_summed), "slice int, move binary").collect()  # as large as the weights
-    for row in sums:
+                shared.value.gradient(sums, *tokens(data, offs))
+        for k, both in enumerate(sums):
+            for i in range(0, both.shape[1], _SLICE):
+                part = both[:, i : i + _SLICE]
+                if part[1].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i // _SLICE * len(TABLES) + k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "sums"])
+
+    # each task gives sums as large as the weights, so there are only as many as the cluster has cores
+    parts = texts.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(tidy(summed), "slice int, sums binary")
+    for row in parts.repartition(width(spark), "slice").mapInArrow(tidy(_summed), "slice int, sums binary").collect():  # twice as large as the weights
         i, k = divmod(row["slice"], len(TABLES))
-        weights = getattr(model, TABLES[k])
-        move = np.frombuffer(bytes(row["move"]), np.float32).reshape(-1, weights.shape[1] + 1)
-        weights[i : i + _SLICE] += move[:, :-1] / np.maximum(move[:, -1:], 1)
+        model.step(k, i * _SLICE, *np.frombuffer(bytes(row["sums"]), np.float32).reshape(2, -1), rate)
     shared.destroy()
     return model
 
@@ -302,7 +309,8 @@ def train(texts: DataFrame, key: str, text_col: str = "text", rounds: int = ROUN
     np.subtract.at(shape_n, best["shape"].to_numpy(np.int64), best["n"].to_numpy(float))
     np.subtract.at(shape_v, best["shape"].to_numpy(np.int64), 1.0)
     totals = {"n": sum(r["n"] for r in shapes.values()), "v": sum(r["v"] for r in shapes.values())}
-    depth, top = digits(totals["v"]), best["h"].to_numpy(np.int64)
+    hashed = hashed_rows(totals["n"])
+    depth, top = bits(totals["v"], hashed), best["h"].to_numpy(np.int64)
 
     def placed(batches):
         for batch in batches:
@@ -310,10 +318,10 @@ def train(texts: DataFrame, key: str, text_col: str = "text", rounds: int = ROUN
             rest = ~np.isin(h, top)
             yield pa.RecordBatch.from_arrays([pa.array(leaves(h.view(np.uint64), shape, depth)[rest]), pa.array(n[rest] + 0.5)], ["leaf", "room"])
 
-    places = counts.mapInArrow(tidy(placed), "leaf long, room double").groupBy("leaf").agg(F.sum("room").alias("room")).toArrow()  # a row a word at most
-    model = MaxEnt(top.view(np.uint64), best["n"].to_numpy(float), shape_n, shape_v, places["leaf"].to_numpy(), places["room"].to_numpy(), depth, hashed_rows(totals["n"]))
+    places = counts.mapInArrow(tidy(placed), "leaf long, room double").groupBy("leaf").agg(F.sum("room").alias("room")).toArrow()  # at most a quarter as many as hashed weights
+    model = MaxEnt(top.view(np.uint64), best["n"].to_numpy(float), shape_n, shape_v, places["leaf"].to_numpy(), places["room"].to_numpy(), depth, hashed)
     for k in range(rounds):
-        model = train_round(texts.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).select(text_col), model)
+        model = train_round(texts.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).select(text_col), model, STEPS[min(k, len(STEPS) - 1)])
     return model, counts, totals
 
 
