@@ -357,8 +357,14 @@ def test_language_model_base_and_sums(docs, texts):
     # classes and words in a class share out one
     h, shape, ptr = lm_scoring.tokens(*tk.buffers(pa.array(["the end of it"])))
     group, word, f, wf = model.encode(h, shape, ptr)
-    logits, total = model._softmax(model.weights, f)
-    assert np.allclose(np.exp(logits - total[:, None]).sum(1), 1, atol=1e-4)
+    logits, odds, total = model._softmax(model.weights, f, model.prior)
+    assert np.allclose(odds.sum(1), total) and np.allclose(np.exp(logits), odds, rtol=1e-4)
+    # the model is the same however the texts are split
+    scores = []
+    for parts in (1, 8):
+        model, counts, totals = lm_scoring.train(docs.select("doc_id", "text").repartition(parts), "doc_id", rounds=2)
+        scores.append(sorted(r["score"] for r in lm_scoring.score(docs, model, counts, totals).collect()))
+    assert np.allclose(*scores, rtol=1e-3)
 
 
 def test_classifiers_learn(spark):
@@ -405,10 +411,23 @@ def test_language_model_knows_the_words_before_beyond_the_top_ones(spark):
     mean = {x["doc_id"]: x["s"] for x in scored.groupBy("doc_id").agg(F.avg("score").alias("s")).collect()}
     assert mean[0] > mean[1] + 0.3  # the same words, in pairs as in training and not
     # the places of a shape that have words share out one
-    inside = np.arange(lm_scoring.BRANCH**model.depth) + 5 * lm_scoring.BRANCH**model.depth
+    inside = np.arange(1 << model.depth) + (5 << model.depth)
     inside = inside[model.leaf_room[inside] > 0]
     one, two = (np.full(len(inside), x, np.uint64) for x in (12345, 678))
     assert np.isclose(np.exp(model.tail_log(inside, one, two) + np.log(model.leaf_room[inside])).sum(), 1, atol=1e-3)
+    # and so do all words, with one unseen in each shape, after the same two words
+    known = counts.toPandas()
+    after = lm_scoring.tokens(*tk.buffers(pa.array([f"{told[0]} {told[1]}"])))
+    h = np.concatenate([known["h"].to_numpy(np.int64).view(np.uint64), np.arange(1, lm_scoring.SHAPES + 1, dtype=np.uint64)])
+    shape = np.concatenate([known["shape"].to_numpy(np.int64), np.arange(lm_scoring.SHAPES)])
+    last, room = np.arange(len(h)) * 3 + 2, np.concatenate([known["n"].to_numpy(float) + 0.5, np.full(lm_scoring.SHAPES, 0.5)])
+    every = [np.tile(np.append(x[:2], x[:1]), len(h)) for x in after[:2]]
+    for x, w in zip(every, (h, shape), strict=True):
+        x[last] = w
+    unseen = np.zeros(len(every[0]), bool)
+    unseen[last[len(known) :]] = True
+    logs, own, _ = model.log_probability(*every, np.arange(len(h) + 1) * 3, unseen, np.zeros(len(unseen), bool))
+    assert np.isclose(np.exp(logs[last] + np.where(own[last], 0, np.log(room))).sum(), 1, atol=1e-3)
 
 
 def test_toxicity_is_kneser_ney_by_hand(spark):
