@@ -236,12 +236,13 @@ class MaxEnt:
     def _expected(sums: np.ndarray, weights: np.ndarray, features: np.ndarray, base: np.ndarray) -> None:
         _, p, total = MaxEnt._softmax(weights, features, base)
         p /= total[:, None]
+        p = np.ascontiguousarray(p.T)  # sums run over neighbours in memory
         both = sums.reshape(2, *weights.shape)
         for f in features:
             order = np.argsort(f, kind="stable")
             f = f[order]
             begin = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-            expected = np.add.reduceat(np.take(p, order, axis=0), begin, axis=0)
+            expected = np.add.reduceat(np.take(p, order, axis=1), begin, axis=1).T
             rows = f[begin]
             both[0, rows] -= expected
             both[1, rows] += 0.5 * expected
