@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[tuple, str] = {}
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and (not context.master.startswith("local") or "cluster" in context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written as a table in the shared folder once an application and ``key``, and read from there after.
+
+    Inputs must not change while the application runs.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _WRITTEN:
+        path = f"{_folder(spark)}/once-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keep import keep
-from graphloom.operators.reach import closure
 from graphloom.schema import RESOLVED
 
-SMALL = 200_000
-LONGEST = 10_000  # members of a component that one task searches; larger ones are searched in rounds
+LONGEST = 100_000  # edges of a component that one task walks; larger ones are walked in rounds
 
 
 def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
@@ -23,153 +19,194 @@ def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
     return found.select("src", "dst").distinct()
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(component, id) of strongly connected components of two members or more; a component is named by its smallest id.
 
-    Distributed: nodes without edges in or out are trimmed; every node learns
-    the smallest id that reaches it (its colour), and what reaches the colour's
-    own node within that colour is a component, which is then taken out. Small
-    edge lists (counted first) are solved on the driver in one pass.
+    Rounds take out nodes that nothing leads to or from, and draw edges past
+    nodes with one edge in and one out: of neighbours among them those go that
+    come first in an order drawn for the round, so that paths and trees are
+    gone in about as many rounds as their size has digits. Such a node is in
+    the component of the two beside it if these are in the same one. When that
+    gets on no more, every node learns which node of least drawn number reaches
+    it, and of the nodes that this one reaches, which it is led back to; labels
+    of labels are looked up too, so that the distance learned over grows by a
+    factor a round. Who has the same node both ways is its component, and edges
+    between different labels are in none. ``rounds`` gets an entry for each.
     """
-    spark = edges.sparkSession
-    edges = keep(edges.filter("src != dst").distinct())
-    if edges.count() <= small:
-        rows = _tarjan(edges.toPandas())
-        return spark.createDataFrame(rows, "component string, id string")
-    done = spark.createDataFrame([], "component string, id string")
-    while True:
-        edges = _trim(edges)
-        if edges.isEmpty():
-            return done
-        colour = _least(edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("colour", F.col("id")))
-        within = keep(_coloured(edges, colour).filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
-        # what reaches the colour's own node, backwards within the colour
-        reach = front = keep(colour.filter("id = colour"))
-        while not front.isEmpty():
-            front = keep(within.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "colour").distinct().join(reach, "id", "left_anti"))
-            reach = keep(reach.union(front))
-        done = keep(done.union(reach.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").join(reach, "colour").select(F.col("colour").alias("component"), "id")))
-        edges = keep(edges.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti"))
-
-
-def _trim(edges: DataFrame) -> DataFrame:
+    rounds = [] if rounds is None else rounds
+    left = keep(edges.select("src", "dst").filter("src != dst").distinct())
+    past, looped, named = [], [], []
+    n = left.count()
+    while n:
+        while n:
+            rounds.append(n)
+            gone, both = _contract(left, len(rounds))
+            past.append(gone)
+            looped.append(both.filter("src = dst").select(F.col("src").alias("id")))
+            left = both.filter("src != dst")
+            before, n = n, left.count()
+            if n > 0.8 * before:
+                break
+        if n:
+            left, found = _coloured_out(left, rounds)
+            named.append(found)
+            n = left.count()
+    return _named(edges.sparkSession, past, looped, named)
+
+
+def _drawn(turn: int, c: str) -> Column:
+    return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
+
+
+def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that go (id, and those beside it if it is drawn past), and the edges that are left, those of a node to itself included."""
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), none.alias("pred"), F.col("dst").alias("succ"))
+    ends = ends.union(edges.select("dst", F.lit(1), F.lit(0), "src", none))
+    nodes = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.max("pred").alias("pred"), F.max("succ").alias("succ"))
+    nodes = keep(nodes.filter("i = 0 or o = 0 or (i = 1 and o = 1)"))
+    chain = nodes.filter("i = 1 and o = 1").select("id", "pred", "succ")
+    chosen = chain
+    for side in ("pred", "succ"):
+        other = chain.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_too"))
+        chosen = chosen.join(other, side, "left").filter(F.col(f"{side}_too").isNull() | (_drawn(turn, "id") < _drawn(turn, side)))
+    gone = keep(nodes.filter("i = 0 or o = 0").select("id", none.alias("pred"), none.alias("succ")).unionByName(chosen.select("id", "pred", "succ")))
+    stay = edges
+    for end in ("src", "dst"):
+        stay = stay.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+    drawn = gone.filter("pred is not null").select(F.col("pred").alias("src"), F.col("succ").alias("dst"))
+    return gone.filter("pred is not null"), keep(stay.select("src", "dst").union(drawn).distinct())
+
+
+def _least(edges: DataFrame, turn: int, rounds: list) -> DataFrame:
+    """(id, best): of the nodes that reach it, itself included, the one that is drawn first."""
+    best = keep(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().select("id", _drawn(turn, "id").alias("best")))
     while True:
-        n = edges.count()
-        left = keep(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if left.count() == n:
-            return left
-        edges = left
-
-
-def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    one = edges.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("src_colour")), "src")
-    return one.join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("dst_colour")), "dst")
-
-
-def _least(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    while True:
-        given = edges.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("given"))
-        new = keep(colour.join(given, "id", "left").select("id", F.least("colour", F.coalesce("given", "colour")).alias("colour"), (F.col("given") < F.col("colour")).alias("changed")))
+        rounds.append(None)
+        given = edges.join(best.select(F.col("id").alias("src"), "best"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("given"))
+        beyond = best.select(F.col("id").alias("through"), F.col("best").alias("beyond"))
+        new = best.join(given, "id", "left").withColumn("through", F.col("best.id")).join(beyond, "through", "left")
+        new = keep(new.select("id", F.least("best", "given", "beyond").alias("new"), "best").select("id", F.col("new").alias("best"), (F.col("new") != F.col("best")).alias("changed")))
         if new.filter("changed").isEmpty():
-            return keep(new.select("id", "colour"))
-        colour = new.select("id", "colour")
+            return new.select("id", F.col("best.id").alias("best"))
+        best = new.select("id", "best")
+
+
+def _same(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` between nodes of one label, with it as ``best``."""
+    one = edges.join(labels.select(F.col("id").alias("src"), "best"), "src")
+    return one.join(labels.select(F.col("id").alias("dst"), F.col("best").alias("other")), "dst").filter("best = other").select("src", "dst", "best")
+
+
+def _coloured_out(edges: DataFrame, rounds: list) -> tuple[DataFrame, DataFrame]:
+    """The edges that may still be in components, and (label, id) of those found."""
+    turn = len(rounds)
+    within = keep(_same(edges, _least(edges, turn, rounds)))
+    back = _least(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), turn, rounds)
+    both = keep(_same(within.select("src", "dst"), back).join(within.withColumnRenamed("best", "ahead"), ["src", "dst"]))
+    found = both.filter("best = ahead")
+    found = keep(found.select(F.col("best").alias("label"), F.col("src").alias("id")).union(found.select("best", "dst")).distinct())
+    return keep(both.filter("best != ahead").select("src", "dst")), found
+
+
+def _named(spark, past: list, looped: list, named: list) -> DataFrame:
+    labels = None
+    for found in [*named, *(x.select(F.col("id").alias("label"), "id") for x in looped)]:
+        labels = found if labels is None else labels.unionByName(found)
+    if labels is None:
+        return spark.createDataFrame([], "component string, id string")
+    # a node with an edge to itself may be in a larger component too, whose label counts; larger ones come from ``named``
+    alone = F.col("label") == F.col("id")
+    labels = keep(labels.groupBy("id").agg(F.min_by("label", F.struct(alone, "label")).alias("label")))
+    for gone in reversed(past):
+        if gone.isEmpty():
+            continue
+        own = gone.join(labels.select(F.col("id").alias("pred"), "label"), "pred").join(labels.select(F.col("id").alias("succ"), F.col("label").alias("other")), "succ").filter("label = other")
+        own = keep(own.select("id", "label"))
+        labels = keep(labels.join(own, "id", "left_anti").select("id", "label").unionByName(own))
+    sizes = labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    return keep(labels.join(sizes, "label").select("component", "id"))
 
 
-def _tarjan(frame: pd.DataFrame) -> list[tuple[str, str]]:
-    """Tarjan's algorithm with its own stack."""
-    out: dict[str, list[str]] = {}
-    for src, dst in frame.sort_values(["src", "dst"]).itertuples(index=False):
-        out.setdefault(src, []).append(dst)
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_: list[str] = []
-    on: set[str] = set()
-    rows: list[tuple[str, str]] = []
-    for start in out:
-        if start in number:
-            continue
-        work = [(start, iter(out[start]))]
-        number[start] = low[start] = len(number)
-        open_.append(start)
-        on.add(start)
-        while work:
-            node, rest = work[-1]
-            for to in rest:
-                if to not in number:
-                    number[to] = low[to] = len(number)
-                    open_.append(to)
-                    on.add(to)
-                    work.append((to, iter(out.get(to, ()))))
-                    break
-                if to in on:
-                    low[node] = min(low[node], number[to])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = []
-                    while True:
-                        members.append(open_.pop())
-                        on.discard(members[-1])
-                        if members[-1] == node:
-                            break
-                    if len(members) > 1:
-                        rows += [(min(members), m) for m in members]
-    return rows
-
-
-def _shortest(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """A shortest cycle through the smallest member, neighbours in order."""
-    start, size = key[0], len(set(frame["src"]))
+def _walk(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """The first cycle that a walk in depth from the smallest member closes, neighbours in order.
+
+    A member that the walk has come back from can't reach the start but through
+    the walk's own members, so it is not tried again.
+    """
+    start, size = key[0], int(frame["size"].iloc[0])
     out: dict[str, list[str]] = {}
     for src, dst in frame.sort_values(["src", "dst"])[["src", "dst"]].itertuples(index=False):
         out.setdefault(src, []).append(dst)
-    before, queue, path = {start: None}, deque([start]), [start]
-    while queue:
-        node = queue.popleft()
-        if start in out.get(node, ()):
-            path = []
-            while node is not None:
-                path.append(node)
-                node = before[node]
-            path.reverse()
-            break
-        for to in out.get(node, ()):
-            if to not in before:
-                before[to] = node
-                queue.append(to)
-    return pd.DataFrame([(start, size, len(path), path)], columns=["component", "size", "length", "path"])
-
-
-def _in_rounds(inside: DataFrame) -> DataFrame:
-    """As ``_shortest`` for components of any size: a distributed search from each smallest member, and its ways back.
-
-    The members of a path are found by jumps of 1, 2, 4 and so on to the
-    parents, so that a long path takes few joins.
+    seen, path, rest = {start}, [start], [iter(out[start])]
+    while True:
+        to = next(rest[-1], None)
+        if to is None:
+            path.pop()
+            rest.pop()
+        elif to == start:
+            return pd.DataFrame([(start, size, len(path), path)], columns=["component", "size", "length", "path"])
+        elif to not in seen:
+            seen.add(to)
+            path.append(to)
+            rest.append(iter(out.get(to, ())))
+
+
+def _walk_in_rounds(inside: DataFrame) -> DataFrame:
+    """As ``_walk``, of one component of any size.
+
+    Each node points to its first neighbour that is not on the walk and not
+    given up. The walk follows the pointers by jumps of 1, 2, 4 and so on, to
+    where they close, end or come round; what ends is given up, and from what
+    comes round the pointers are drawn anew.
     """
-    starts = inside.select(F.col("component").alias("root"), F.col("component").alias("node")).distinct()
-    ways = keep(closure(starts, inside.select("src", "dst", F.lit("").alias("relation"))))
-    closing = keep(ways.filter("node = root"))  # where an edge leads back to the start
-    length = closing.agg(F.max("depth")).first()[0]
-    jumps = [ways.filter("node != root").select("root", "node", "parent")]
-    while 1 << len(jumps) < length:
-        on = jumps[-1].select("root", F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumps.append(keep(jumps[-1].join(on, ["root", "parent"]).select("root", "node", F.col("above").alias("parent"))))
-    path = closing.select("root", F.col("parent").alias("node"))
-    for jump in reversed(jumps):
-        path = keep(path.union(path.join(jump, ["root", "node"]).select("root", F.col("parent").alias("node"))).distinct())
-    placed = path.join(ways.select("root", "node", "depth"), ["root", "node"]).withColumn("depth", F.when(F.col("node") == F.col("root"), 0).otherwise(F.col("depth")))
-    paths = placed.groupBy(F.col("root").alias("component")).agg(F.array_sort(F.collect_list(F.struct("depth", "node")))["node"].alias("path"))
-    sizes = inside.select("component", "size").distinct()
-    return paths.join(sizes, "component").select("component", "size", F.size("path").cast("long").alias("length"), "path")
+    spark = inside.sparkSession
+    start, size = inside.select("component", "size").first()
+    edges = keep(inside.select("src", "dst"))
+    members = inside.select("src").distinct().count()
+    path = keep(spark.createDataFrame([(0, start)], "place long, node string"))
+    failed = spark.createDataFrame([], "node string")
+    at, place = start, 0
+    while True:
+        barred = failed.union(path.filter(F.col("node") != start).select("node")).select(F.col("node").alias("dst"))
+        first = edges.join(barred, "dst", "left_anti").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to"))
+        # where the start is a neighbour, it is the first one, and the walk closes there
+        jumps = [keep(first)]
+        while 1 << len(jumps) <= members:
+            last = jumps[-1]
+            jumps.append(keep(last.filter(F.col("to") != start).join(last.select(F.col("node").alias("to"), F.col("to").alias("then")), "to").select("node", F.col("then").alias("to"))))
+        steps = keep(spark.createDataFrame([(0, at)], "place long, node string"))
+        for k, jump in enumerate(jumps):
+            new = steps.join(jump, "node").filter(F.col("to") != start).select((F.col("place") + (1 << k)).alias("place"), F.col("to").alias("node"))
+            steps = keep(steps.union(new))
+        # the first time each node comes; what follows the first return is round again
+        own = keep(steps.groupBy("node").agg(F.min("place").alias("place")).filter((F.col("node") != start) | (F.lit(at) == start)))
+        end = own.orderBy(F.col("place").desc()).first()
+        path = keep(path.union(own.filter("place > 0").select((F.col("place") + place).alias("place"), "node")))
+        at, place = end["node"], place + end["place"]
+        if edges.filter((F.col("src") == at) & (F.col("dst") == start)).count():
+            listed = path.agg(F.array_sort(F.collect_list(F.struct("place", "node")))["node"].alias("path"))
+            return listed.select(F.lit(start).alias("component"), F.lit(size).alias("size"), F.size("path").cast("long").alias("length"), "path")
+        barred = failed.union(path.select("node")).select(F.col("node").alias("dst"))
+        if edges.filter(F.col("src") == at).join(barred, "dst", "left_anti").isEmpty():
+            failed = keep(failed.union(path.filter(F.col("node") == at).select("node")))
+            path = keep(path.filter(F.col("node") != at))
+            place -= 1
+            at = path.filter(F.col("place") == place).first()["node"]
 
 
 def representative_cycles(edges: DataFrame, members: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(component, size, length, path): a shortest cycle through the smallest member of each component; an edge of a member to itself is none."""
+    """(component, size, length, path), largest components first, then by name: one cycle through the smallest member of each.
+
+    It is the one that a walk in depth from that member closes first, trying
+    neighbours in order; an edge of a member to itself is none.
+    """
     inside = edges.join(members.select(F.col("id").alias("src"), "component"), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").filter("component = other and src != dst")
     sizes = members.groupBy("component").agg(F.count_distinct("id").alias("size"))
-    inside = keep(inside.select("component", "src", "dst").join(sizes, "component"))
-    found = inside.filter(F.col("size") <= longest).select("component", "src", "dst").groupBy("component").applyInPandas(_shortest, "component string, size long, length long, path array<string>")
-    large = inside.filter(F.col("size") > longest)
-    return found if large.isEmpty() else found.unionByName(_in_rounds(large))
+    inside = keep(inside.select("component", "src", "dst").distinct().join(sizes, "component"))
+    edges_of = inside.groupBy("component").agg(F.count("*").alias("k"))
+    large = [r["component"] for r in edges_of.filter(F.col("k") > longest).select("component").collect()]  # as many as have that many edges
+    found = inside.filter(~F.col("component").isin(large)).groupBy("component").applyInPandas(_walk, "component string, size long, length long, path array<string>")
+    for component in large:
+        found = found.unionByName(_walk_in_rounds(inside.filter(F.col("component") == component)))
+    return found.orderBy(F.col("size").desc(), "component")

@@ -1,28 +1,93 @@
-"""Reachability over edges: blast radius, coverage closure, scope seeds, ancestors.
-
-Each is a semi-naive loop: a round joins only what the last round found with
-the edges, and what was seen before is taken out by an anti-join. Rounds are
-checkpointed in the shared folder, so plans don't grow with depth. Where the
-edge list is small (its size is counted, ``SMALL`` rows at most) and the result
-is of one root, the same search runs on the driver instead, which saves a job
-per level.
+"""Reachability over edges: blast radius, scope seeds, what a set reaches.
+
+Searches run breadth-first for all roots at once. Roots are numbered, 64 make a
+block, and a row of a search is a node and a block with the bits of the roots
+that have come there, so that one row and one join serve up to 64 roots. A
+round joins only what the last round found with the edges, and takes out the
+bits that were there before. Rounds are checkpointed in the shared folder, so
+that plans don't grow with depth; what was found is appended, and runs of like
+size are merged, so that each row is written again a few times at most.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keep import keep
 from graphloom.functions.paths import last_segment
 from graphloom.schema import AMBIGUOUS, DEPENDENCY, RESOLVED
 
-SMALL = 100_000
+RUNS = 4  # that are left unmerged
+
+
+class Found:
+    """What a search has found, as a few runs; small ones are merged as they come."""
+
+    def __init__(self):
+        self.runs: list[tuple[DataFrame, int]] = []
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.runs.append((rows, n))
+        while len(self.runs) > RUNS and self.runs[-2][1] <= 2 * self.runs[-1][1]:
+            (a, n), (b, m) = self.runs[-2:]
+            self.runs[-2:] = [(keep(a.unionByName(b)), n + m)]
+        if len(self.runs) > 4 * RUNS:
+            self.runs = [(keep(self.all()), sum(n for _, n in self.runs))]
+
+    def all(self) -> DataFrame:
+        out = self.runs[0][0]
+        for rows, _ in self.runs[1:]:
+            out = out.unionByName(rows)
+        return out
 
 
-def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """(root, block, bit): neighbours in order share blocks, as they tend to reach the same nodes."""
+    numbered = seeds.select("root").distinct().sort("root").withColumn("number", F.monotonically_increasing_id())
+    return keep(numbered.select("root", F.shiftright("number", 6).alias("block"), F.expr("shiftleft(1L, cast(number & 63 as int))").alias("bit")))
+
+
+def _fresh(step: DataFrame, found: Found) -> DataFrame:
+    """``step`` (node, block, bits, ...) without the bits that were found before."""
+    if not found.runs:
+        return step
+    old = found.all().groupBy("node", "block").agg(F.bit_or("bits").alias("old"))
+    left = step.join(old, ["node", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))))
+    return left.filter("bits != 0").drop("old")
+
+
+def _search(seeds: DataFrame, edges: DataFrame, ways: bool) -> tuple[DataFrame, Found]:
+    """The numbered roots, and (node, block, bits, depth) of all that they reach; with ``ways`` a row for each (parent, relation) that bits came by first."""
+    roots = _numbered(seeds)
+    front = seeds.join(roots, "root").groupBy("node", "block").agg(F.bit_or("bit").alias("bits"))
+    found, depth = Found(), 0
+    while True:
+        depth += 1
+        step = front.join(edges, front["node"] == edges["src"])
+        if ways:
+            step = _fresh(step.select(F.col("dst").alias("node"), "block", "bits", F.col("src").alias("parent"), "relation"), found)
+            before = Window.partitionBy("node", "block").orderBy("parent", "relation").rowsBetween(Window.unboundedPreceding, -1)
+            taken = F.coalesce(F.bit_or("bits").over(before), F.lit(0).cast("long"))
+            step = step.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(taken))).filter("bits != 0")
+        else:
+            step = _fresh(step.groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("bits")), found)
+        step = keep(step.withColumn("depth", F.lit(depth)))
+        n = step.count()
+        if not n:
+            return roots, found
+        found.add(step, n)
+        front = step.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def _each(roots: DataFrame, found: Found, columns: list[str]) -> DataFrame:
+    """A row for each root and node."""
+    blocks = roots.groupBy("block").agg(F.collect_list(F.struct("root", "bit")).alias("own"))
+    inside = F.filter("own", lambda x: x["bit"].bitwiseAND(F.col("bits")) != 0)
+    return found.all().join(blocks, "block").select(F.explode(F.transform(inside, lambda x: x["root"])).alias("root"), "node", *columns)
+
+
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node, depth, parent, relation) of all nodes that ``seeds`` (root, node) reach over ``edges`` (src, dst, relation).
 
     depth is the least number of edges, at least 1; seeds are in the result only
@@ -31,53 +96,40 @@ def closure(seeds: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame
     """
     spark = seeds.sparkSession
     edges = keep(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("relation").alias("relation")))
-    if edges.count() <= small:
-        return _on_driver(spark, seeds, edges)
-    front = keep(seeds.select("root", "node").distinct())
-    found, depth = None, 0
+    roots, found = _search(keep(seeds.select("root", "node").distinct()), edges, True)
+    if not found.runs:
+        return spark.createDataFrame([], "root string, node string, depth int, parent string, relation string")
+    return _each(roots, found, ["depth", "parent", "relation"])
+
+
+def reach_sets(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node) as ``closure``, without ways."""
+    edges = keep(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    roots, found = _search(keep(seeds.select("root", "node").distinct()), edges, False)
+    if not found.runs:
+        return seeds.sparkSession.createDataFrame([], "root string, node string")
+    return _each(roots, found, [])
+
+
+def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): what any of ``seeds`` (node) reaches by one edge or more; one row a node, whoever came first."""
+    edges = keep(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    front, found = seeds.select("node").distinct(), Found()
     while True:
-        depth += 1
-        step = front.join(edges, front["node"] == edges["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("src").alias("parent"), "relation")).alias("way"))
-        if found is not None:
-            step = step.join(found, ["root", "node"], "left_anti")
-        step = keep(step.select("root", "node", F.lit(depth).alias("depth"), "way.parent", "way.relation"))
-        if step.isEmpty():
-            break
-        found = keep(step if found is None else found.unionByName(step))
-        front = step.select("root", "node")
-    return found if found is not None else spark.createDataFrame([], "root string, node string, depth int, parent string, relation string")
-
-
-def _on_driver(spark, seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    import pandas as pd
-
-    out = defaultdict(list)
-    for src, dst, relation in edges.toPandas().sort_values(["src", "relation"]).itertuples(index=False):
-        out[src].append((dst, relation))
-    starts = defaultdict(list)
-    for root, node in seeds.select("root", "node").distinct().toPandas().itertuples(index=False):
-        starts[root].append(node)
-    rows: list[tuple] = []
-    for root, front in starts.items():
-        seen, depth = set(), 0
-        while front:
-            depth += 1
-            ways: dict[str, tuple] = {}
-            for node in front:
-                for dst, relation in out.get(node, ()):
-                    if dst not in seen and (node, relation) < ways.get(dst, ("\U0010ffff",)):
-                        ways[dst] = (node, relation)
-            seen.update(ways)
-            rows += [(root, dst, depth, *way) for dst, way in ways.items()]
-            front = list(ways)
-    frame = pd.DataFrame(rows, columns=["root", "node", "depth", "parent", "relation"])
-    return spark.createDataFrame(frame, "root string, node string, depth int, parent string, relation string") if rows else spark.createDataFrame([], "root string, node string, depth int, parent string, relation string")
-
-
-def confirmed(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        if found.runs:
+            step = step.join(found.all(), "node", "left_anti")
+        front = keep(step)
+        n = front.count()
+        if not n:
+            return found.all() if found.runs else front
+        found.add(front, n)
+
+
+def confirmed(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Dependents of ``roots`` (root) over resolved calls, imports and inherits, backwards."""
     back = edges.filter((F.col("confidence") == RESOLVED) & F.col("type").isin(*DEPENDENCY)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("type").alias("relation"))
-    return closure(roots.select("root", F.col("root").alias("node")), back, small)
+    return closure(roots.select("root", F.col("root").alias("node")), back)
 
 
 def ambiguous_only(nodes: DataFrame, edges: DataFrame, roots: DataFrame, certain: DataFrame) -> DataFrame:
@@ -89,13 +141,14 @@ def ambiguous_only(nodes: DataFrame, edges: DataFrame, roots: DataFrame, certain
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, root_id: str | DataFrame) -> DataFrame:
-    """(root, node, depth, parent, relation, via) of everything that depends on a root.
+    """(root, node, depth, parent, relation, via) of everything that depends on a root, or on each of many (root).
 
     A root on a cycle, or one that calls itself, is among its own dependents.
     An unknown root is an error.
     """
     spark = nodes.sparkSession
     roots = root_id if isinstance(root_id, DataFrame) else spark.createDataFrame([(root_id,)], "root string")
+    roots = keep(roots.select("root").distinct())
     if roots.join(nodes, roots["root"] == nodes["id"], "left_anti").limit(1).count():
         raise ValueError("blast radius of an unknown node")
     certain = confirmed(edges, roots)
@@ -106,17 +159,6 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, root_id: str | DataFrame) -
 
 def scope_seeds(edges: DataFrame, scopes: DataFrame) -> DataFrame:
     """(scope, id): each scope and what it defines, down to methods."""
-    defines = edges.filter((F.col("type") == "defines") & (F.col("confidence") == RESOLVED)).select("src", "dst", F.lit("defines").alias("relation"))
-    below = closure(scopes.select(F.col("scope").alias("root"), F.col("scope").alias("node")), defines)
+    defines = edges.filter((F.col("type") == "defines") & (F.col("confidence") == RESOLVED))
+    below = reach_sets(scopes.select(F.col("scope").alias("root"), F.col("scope").alias("node")), defines)
     return scopes.select("scope", F.col("scope").alias("id")).union(below.select("root", "node")).distinct()
-
-
-def coverage_pairs(nodes: DataFrame, edges: DataFrame, is_test) -> DataFrame:
-    """(test, path): files that are no tests and that a test file reaches over resolved imports, also through other tests."""
-    files = nodes.filter("type = 'file'").select("id", "path", is_test(F.col("path")).alias("test"))
-    imports = edges.filter((F.col("type") == "imports") & (F.col("confidence") == RESOLVED)).select("src", "dst", F.lit("imports").alias("relation"))
-    tests = files.filter("test").select(F.col("id").alias("root"), F.col("id").alias("node"))
-    reached = closure(tests, imports)
-    targets = files.filter("not test").select(F.col("id").alias("node"), "path")
-    named = files.select(F.col("id").alias("root"), F.col("path").alias("test_path"))
-    return reached.join(targets, "node").join(named, "root").select(F.col("test_path").alias("test"), "path")
