@@ -10,6 +10,7 @@ from graphloom.functions.keep import keep
 from graphloom.schema import RESOLVED
 
 LONGEST = 100_000  # edges of a component that one task walks; larger ones are walked in rounds
+REST = 2_000  # edges, counted, that one task finishes once rounds have left no more
 
 
 def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
@@ -19,7 +20,7 @@ def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
     return found.select("src", "dst").distinct()
 
 
-def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+def components(edges: DataFrame, rounds: list | None = None, rest: int = REST) -> DataFrame:
     """(component, id) of strongly connected components of two members or more; a component is named by its smallest id.
 
     Rounds take out nodes that nothing leads to or from, and draw edges past
@@ -32,13 +33,15 @@ def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     of labels are looked up too, so that the distance learned over grows by a
     factor a round. Who has the same node both ways is its component, and edges
     between different labels are in none. ``rounds`` gets an entry for each.
+    Once ``rest`` edges or fewer are left, one task finishes them, as a round
+    costs about as much however few they are.
     """
     rounds = [] if rounds is None else rounds
     left = keep(edges.select("src", "dst").filter("src != dst").distinct())
     past, looped, named = [], [], []
     n = left.count()
     while n:
-        while n:
+        while n > (rest if rounds else 0):
             rounds.append(n)
             gone, both = _contract(left, len(rounds))
             past.append(gone)
@@ -47,7 +50,10 @@ def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
             before, n = n, left.count()
             if n > 0.8 * before:
                 break
-        if n:
+        if 0 < n <= rest:
+            named.append(keep(left.groupBy(F.lit(0).alias("all")).applyInPandas(_finish, "label string, id string")))
+            n = 0
+        elif n:
             left, found = _coloured_out(left, rounds)
             named.append(found)
             n = left.count()
@@ -64,7 +70,7 @@ def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), none.alias("pred"), F.col("dst").alias("succ"))
     ends = ends.union(edges.select("dst", F.lit(1), F.lit(0), "src", none))
     nodes = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.max("pred").alias("pred"), F.max("succ").alias("succ"))
-    nodes = keep(nodes.filter("i = 0 or o = 0 or (i = 1 and o = 1)"))
+    nodes = nodes.filter("i = 0 or o = 0 or (i = 1 and o = 1)")
     chain = nodes.filter("i = 1 and o = 1").select("id", "pred", "succ")
     chosen = chain
     for side in ("pred", "succ"):
@@ -109,6 +115,36 @@ def _coloured_out(edges: DataFrame, rounds: list) -> tuple[DataFrame, DataFrame]
     return keep(both.filter("best != ahead").select("src", "dst")), found
 
 
+def _finish(frame: pd.DataFrame) -> pd.DataFrame:
+    """(label, id) of components of few edges: by the order that a walk leaves nodes in, then walks backwards from the last left."""
+    ahead: dict[str, list[str]] = {}
+    behind: dict[str, list[str]] = {}
+    for src, dst in frame[["src", "dst"]].itertuples(index=False):
+        ahead.setdefault(src, []).append(dst)
+        behind.setdefault(dst, []).append(src)
+    left, seen = [], set()
+    for node in ahead:
+        open_ = [] if node in seen else [(node, iter(ahead[node]))]
+        seen.add(node)
+        while open_:
+            to = next((x for x in open_[-1][1] if x not in seen), None)
+            if to is None:
+                left.append(open_.pop()[0])
+            else:
+                seen.add(to)
+                open_.append((to, iter(ahead.get(to, ()))))
+    label: dict[str, str] = {}
+    for node in reversed(left):
+        open_ = [] if node in label else [node]
+        label.setdefault(node, node)
+        while open_:
+            new = [x for x in behind.get(open_.pop(), ()) if x not in label]
+            label.update((x, node) for x in new)
+            open_ += new
+    sizes = pd.Series(label).value_counts()
+    return pd.DataFrame([(c, i) for i, c in label.items() if sizes[c] > 1], columns=["label", "id"], dtype=object)
+
+
 def _named(spark, past: list, looped: list, named: list) -> DataFrame:
     labels = None
     for found in [*named, *(x.select(F.col("id").alias("label"), "id") for x in looped)]:

@@ -66,7 +66,7 @@ def plain_cycle(members, edges):
 
 
 def test_closure_of_many_roots(spark):
-    edges = graph(1, 150, 260) + [("n0001", "n0001")]
+    edges = sorted({*graph(1, 150, 600), ("n0001", "n0001")})
     roots = [f"n{i:04}" for i in range(150)] + ["nowhere"]
     frame = spark.createDataFrame([(*e, "x") for e in edges] + [(*edges[0], "a"), (None, "n0001", "x"), ("n0001", None, "x")], f"{PAIR}, relation string")
     seeds = spark.createDataFrame([(n, n) for n in roots] * 2, "root string, node string")
@@ -79,23 +79,24 @@ def test_closure_of_many_roots(spark):
 
 
 def test_closure_of_a_long_path_merges_its_runs(spark):
-    edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(60)]
+    edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(24)]
     frame = spark.createDataFrame([(*e, "x") for e in edges], f"{PAIR}, relation string")
     got = reach.closure(spark.createDataFrame([("r", "n0000")], "root string, node string"), frame).collect()
-    assert sorted((r["node"], r["depth"]) for r in got) == [(f"n{i:04}", i) for i in range(1, 61)]
+    assert sorted((r["node"], r["depth"]) for r in got) == [(f"n{i:04}", i) for i in range(1, 25)]
 
 
-@pytest.mark.parametrize(("seed", "n", "m"), [(1, 60, 66), (2, 60, 90), (3, 60, 140), (4, 200, 210), (5, 30, 300)])
-def test_components_equal_mutual_reach(spark, seed, n, m):
+@pytest.mark.parametrize(("seed", "n", "m", "rest"), [(3, 30, 60, 0), (4, 200, 220, 20), (5, 30, 300, 1000)])
+def test_components_equal_mutual_reach(spark, seed, n, m, rest):
+    ship(spark)
     edges = graph(seed, n, m)
-    got = {r["id"]: r["component"] for r in cycles.components(spark.createDataFrame(edges, PAIR)).collect()}
+    got = {r["id"]: r["component"] for r in cycles.components(spark.createDataFrame(edges, PAIR), rest=rest).collect()}
     assert got == plain_components(edges)
 
 
 def test_components_of_rings_with_tails(spark):
     ring = lambda p, k: [(f"{p}{i:03}", f"{p}{(i + 1) % k:03}") for i in range(k)]
     edges = ring("a", 50) + ring("b", 2) + ring("c", 7) + [("a003", "c001"), ("c004", "t1"), ("t1", "t2"), ("s", "a000"), ("x", "x"), ("c002", "c005"), ("a010", "u1"), ("u1", "u2"), ("u2", "a010")]
-    got = {r["id"]: r["component"] for r in cycles.components(spark.createDataFrame(edges, PAIR)).collect()}
+    got = {r["id"]: r["component"] for r in cycles.components(spark.createDataFrame(edges, PAIR), rest=0).collect()}
     assert got == plain_components(edges)
     assert cycles.components(spark.createDataFrame([], PAIR)).count() == 0
 
@@ -104,16 +105,16 @@ def test_components_of_a_long_path_take_few_rounds(spark):
     n, rounds = 10_000, []
     order = [f"n{i:05}" for i in random.Random(0).sample(range(n), n)]
     path = [*zip(order, order[1:], strict=False), ("r1", "r2"), ("r2", "r1")]
-    got = cycles.components(spark.createDataFrame(path, PAIR), rounds).collect()
+    got = cycles.components(spark.createDataFrame(path, PAIR), rounds, 0).collect()
     assert {tuple(r) for r in got} == {("r1", "r1"), ("r1", "r2")}
     assert len(rounds) < 40
 
 
 def test_components_of_a_long_ring(spark):
-    n, rounds = 5_000, []
+    n, rounds = 500, []
     order = [f"n{i:05}" for i in random.Random(1).sample(range(n), n)]
     ring = [*zip(order, order[1:] + order[:1], strict=True)]
-    got = cycles.components(spark.createDataFrame(ring, PAIR), rounds)
+    got = cycles.components(spark.createDataFrame(ring, PAIR), rounds, 0)
     assert got.count() == n and [r["component"] for r in got.select("component").distinct().collect()] == ["n00000"]
     assert len(rounds) < 40
 
@@ -121,7 +122,7 @@ def test_components_of_a_long_ring(spark):
 @pytest.mark.parametrize("longest", [cycles.LONGEST, 0])
 def test_representative_cycles_follow_the_walk(spark, longest):
     ship(spark)
-    edges = graph(7, 14, 26) + [(f"m{a}", f"m{b}") for a, b in graph(8, 12, 30)] + [("p", "q"), ("q", "p"), ("q", "q")]
+    edges = graph(7, 9, 16) + [("p", "q"), ("q", "p"), ("q", "q")]
     frame = spark.createDataFrame(edges, PAIR)
     members = cycles.components(frame)
     wanted, known = {}, plain_components(edges)
