@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a target and a scope look like, what is trimmed from the end of questions and of targets, and phrasings in order, with the intent of each and what its group is.
 _TARGET = r"""["']?([A-Za-z0-9_./@#:~-]+)["']?"""
 _SCOPE = r"""(?:\s+in\s+["']?([A-Za-z0-9_./:-]+)["']?)?"""
-# Phrasings in order, with the intent of each and what its group is.
+QUESTION_END = r"[?.!,;:\s]+$"
+VALUE_END = r"[.,;:!?]+$"
 RULES = (
     (rf"(?:blast\s*radius(?:\s+of)?|impact\s+of\s+(?:changing|removing|deleting)|what\s+depends\s+on|who\s+calls|who\s+uses)\s+{_TARGET}\s*$", "blast-radius", "target"),
     (rf"\bis\s+{_TARGET}\s+(?:a\s+)?dead(?:\s+code)?\b", "dead-code-check", "target"),
@@ -23,25 +25,27 @@ RULES = (
 
 
 def trimmed(question: Column) -> Column:
-    return F.regexp_replace(F.trim(question), r"[?.!,;:\s]+$", "")
+    return F.regexp_replace(F.trim(question), QUESTION_END, "")
 
 
 def intent(question: Column) -> Column:
-    """struct(intent, target, scope); intent is null where no rule fits."""
+    """struct(intent, target, scope); null where no rule fits. A rule whose target is nothing but marks is passed over."""
     text, out = trimmed(question), F.lit(None).cast("struct<intent:string,target:string,scope:string>")
     for pattern, name, group in reversed(RULES):
-        found = F.nullif(F.regexp_replace(F.regexp_extract(text, f"(?i){pattern}", 1), r"[.,;:!?]+$", ""), F.lit(""))
+        found = F.nullif(F.regexp_replace(F.regexp_extract(text, f"(?i){pattern}", 1), VALUE_END, ""), F.lit(""))
         none = F.lit(None).cast("string")
         made = F.struct(F.lit(name).alias("intent"), (found if group == "target" else none).alias("target"), (found if group == "scope" else none).alias("scope"))
-        out = F.when(text.rlike(f"(?i){pattern}"), made).otherwise(out)
+        fits = text.rlike(f"(?i){pattern}")
+        out = F.when(fits & found.isNotNull() if group == "target" else fits, made).otherwise(out)
     return out
 
 
 def parse(question: str) -> dict | None:
     """As ``intent``, of one question; None is the refusal."""
-    text = re.sub(r"[?.!,;:\s]+$", "", question.strip())
+    text = re.sub(QUESTION_END, "", question.strip())
     for pattern, name, group in RULES:
         if found := re.search(pattern, text, re.IGNORECASE):
-            value = found[1] and re.sub(r"[.,;:!?]+$", "", found[1])
-            return {"intent": name, group: value}
+            value = re.sub(VALUE_END, "", found[1] or "") or None
+            if value or group == "scope":
+                return {"intent": name, group: value}
     return None

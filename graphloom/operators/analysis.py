@@ -33,6 +33,12 @@ def dependent_counts(edges: DataFrame) -> DataFrame:
     return used.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("dependents"))
 
 
+def inbound_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, n) of every node: resolved calls, imports, inherits and references into it."""
+    used = edges.filter(F.col("type").isin(*DEPENDENCY, "references") & (F.col("confidence") == RESOLVED)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
+    return nodes.select("id").join(used, "id", "left").select("id", F.coalesce("k", F.lit(0)).cast("long").alias("n"))
+
+
 def _used(edges: DataFrame) -> DataFrame:
     """Targets of resolved calls and inherits."""
     return edges.filter(F.col("type").isin("calls", "inherits") & (F.col("confidence") == RESOLVED) & F.col("dst").isNotNull()).select(F.col("dst").alias("id")).distinct()
@@ -69,7 +75,7 @@ def dead_methods(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFra
 
 
 def coverage_summary(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: test files, source files, covered ones, and their share to 4 places."""
+    """One row: test files, source files, covered ones (``path`` of ``pairs``, or of covered files), and their share to 4 places."""
     files = nodes.filter("type = 'file' and path is not null").select("path", paths.is_test(F.col("path")).alias("test"))
     covered = pairs.select("path").distinct().withColumn("covered", F.lit(1))
     totals = files.join(covered, "path", "left").agg(

@@ -46,7 +46,7 @@ def coverage_pairs(nodes: DataFrame, edges: DataFrame, is_test, members: DataFra
     placed = keep(files.join(members, "id", "left").withColumns({"round": F.col("component").isNotNull(), "component": F.coalesce("component", "id")}))
     tests = placed.filter("test").select(F.col("path").alias("root"), F.col("component").alias("node"), "round")
     found = reach_sets(tests, condensed(imports, members)).union(tests.filter("round").select("root", "node"))
-    return found.join(placed.filter("not test").select(F.col("component").alias("node"), "path"), "node").select(F.col("root").alias("test"), "path").distinct()
+    return found.join(placed.filter("not test").select(F.col("component").alias("node"), "path"), "node").select(F.col("root").alias("test"), "path")
 
 
 def covered_files(nodes: DataFrame, edges: DataFrame, is_test) -> DataFrame:

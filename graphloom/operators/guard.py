@@ -64,8 +64,8 @@ def module_breaches(wanted: DataFrame, files: DataFrame, grants: DataFrame, exte
     rows = wanted.withColumns({"class": classify(F.col("specifier")), "category": category(F.col("specifier")), "stem": F.regexp_replace("specifier", r"^\.?/", "")})
     tries = F.array(F.col("stem"), F.regexp_replace("stem", r"\.js$", ".ts"), *[F.concat("stem", F.lit(s)) for s in (".js", ".ts", ".py")])
     hits = rows.filter(F.col("class") == "relative").select("specifier", "line", F.explode(tries).alias("path"))
-    base = files.select("path", F.substring_index("path", "/", -1).alias("name"))
-    allowed = hits.join(base, (hits["path"] == base["path"]) | (hits["path"] == base["name"]), "left_semi").select("specifier", "line").distinct().withColumn("file_ok", F.lit(True))
+    allowed_as = files.select("path").union(files.select(F.substring_index("path", "/", -1)))
+    allowed = hits.join(allowed_as, "path", "left_semi").select("specifier", "line").distinct().withColumn("file_ok", F.lit(True))
     rows = rows.join(allowed, ["specifier", "line"], "left").join(grants.select("category").distinct().withColumn("granted", F.lit(True)), "category", "left")
     rows = rows.join(externals.select(F.col("module").alias("specifier")).distinct().withColumn("known", F.lit(True)), "specifier", "left")
     kind = (

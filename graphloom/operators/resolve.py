@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import closure
+from graphloom.functions.keep import keep
+from graphloom.operators.reach import Found
 from graphloom.schema import AMBIGUOUS, RESOLVED, class_id, file_id, function_id, guarded, method_id, module_id
 
 JS_SUFFIXES = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts")
@@ -22,24 +23,23 @@ def _null(kind: str) -> Column:
 
 
 def symbol_nodes(files: DataFrame) -> DataFrame:
-    """One node a file, function, class and method; the last of equal ids wins."""
-    fn, cl = F.explode("functions"), F.explode("classes")
-    plain = lambda df, kind, name, x, exported: df.select(kind.alias("id"), F.lit(name).alias("type"), F.col(f"{x}.name").alias("name"), "path", F.col(f"{x}.start_line").alias("start_line"), F.col(f"{x}.end_line").alias("end_line"), F.lit(False).alias("external"), exported.alias("exported"), "language")
-    file_rows = files.select(file_id(F.col("path")).alias("id"), F.lit("file").alias("type"), F.col("path").alias("name"), "path", _null("int").alias("start_line"), _null("int").alias("end_line"), F.lit(False).alias("external"), F.lit(False).alias("exported"), "language")
-    functions = files.select("path", "language", fn.alias("f"))
-    classes = files.select("path", "language", cl.alias("c"))
-    methods = classes.select("path", "language", F.col("c.name").alias("owner"), F.explode("c.methods").alias("m"))
+    """One node a file, function, class and method; of equal ids the last in the file's order wins."""
+    plain = lambda df, kind, name, x, exported: df.select(F.array(*[F.col(c) for c in ("place", "inner") if c in df.columns]).alias("order"), kind.alias("id"), F.lit(name).alias("type"), F.col(f"{x}.name").alias("name"), "path", F.col(f"{x}.start_line").alias("start_line"), F.col(f"{x}.end_line").alias("end_line"), F.lit(False).alias("external"), exported.alias("exported"), "language")
+    file_rows = files.select(F.array(F.lit(-1)).alias("order"), file_id(F.col("path")).alias("id"), F.lit("file").alias("type"), F.col("path").alias("name"), "path", _null("int").alias("start_line"), _null("int").alias("end_line"), F.lit(False).alias("external"), F.lit(False).alias("exported"), "language")
+    functions = files.select("path", "language", F.posexplode("functions").alias("place", "f"))
+    classes = files.select("path", "language", F.posexplode("classes").alias("place", "c"))
+    methods = classes.select("path", "language", "place", F.col("c.name").alias("owner"), F.posexplode("c.methods").alias("inner", "m"))
     rows = (
         file_rows.unionByName(plain(functions, function_id(F.col("path"), F.col("f.name")), "function", "f", F.col("f.exported")))
         .unionByName(plain(classes, class_id(F.col("path"), F.col("c.name")), "class", "c", F.col("c.exported")))
         .unionByName(plain(methods, method_id(F.col("path"), F.col("owner"), F.col("m.name")), "method", "m", F.lit(False)))
     )
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), F.struct("start_line", "end_line")).alias("n")).select("id", "n.*")
+    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "order")]), "order").alias("n")).select("id", "n.*")
 
 
-def _edge(df: DataFrame, src: Column, dst: Column, kind: str, line: Column, text: Column | None = None) -> DataFrame:
+def _edge(df: DataFrame, src: Column, dst: Column, kind: str, line: Column, text: Column | None = None, *more: Column) -> DataFrame:
     known = dst.isNotNull()
-    return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), line.cast("int").alias("line"), F.when(known, _null("string")).otherwise(text if text is not None else _null("string")).alias("callee_text"), F.when(known, RESOLVED).otherwise(AMBIGUOUS).alias("confidence"))
+    return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), line.cast("int").alias("line"), F.when(known, _null("string")).otherwise(text if text is not None else _null("string")).alias("callee_text"), F.when(known, RESOLVED).otherwise(AMBIGUOUS).alias("confidence"), *more)
 
 
 def define_edges(files: DataFrame) -> DataFrame:
@@ -54,19 +54,25 @@ def define_edges(files: DataFrame) -> DataFrame:
 
 
 def local_names(files: DataFrame) -> DataFrame:
-    """(path, name, kind, id): 0 functions, 1 classes; 2 methods by bare name."""
+    """(path, name, kind, id, order): 0 functions, 1 classes; 2 methods by bare name.
+
+    order is that in which a file's names are told: functions, then each class
+    and its methods. Of a name told again the last counts where kinds don't matter.
+    """
     path = F.col("path")
-    functions = files.select("path", F.explode("functions").alias("x")).select("path", F.col("x.name").alias("name"), F.lit(0).alias("kind"), function_id(path, F.col("x.name")).alias("id"))
-    classes = files.select("path", F.explode("classes").alias("x"))
-    own = classes.select("path", F.col("x.name").alias("name"), F.lit(1).alias("kind"), class_id(path, F.col("x.name")).alias("id"))
-    methods = classes.select("path", F.col("x.name").alias("owner"), F.explode("x.methods").alias("m")).select("path", F.col("m.name").alias("name"), F.lit(2).alias("kind"), method_id(path, F.col("owner"), F.col("m.name")).alias("id"))
-    return functions.unionByName(own).unionByName(methods).distinct()
+    functions = files.select("path", F.posexplode("functions").alias("place", "x")).select("path", F.col("x.name").alias("name"), F.lit(0).alias("kind"), function_id(path, F.col("x.name")).alias("id"), F.array(F.lit(0), "place", F.lit(0)).alias("order"))
+    classes = files.select("path", F.posexplode("classes").alias("place", "x"))
+    own = classes.select("path", F.col("x.name").alias("name"), F.lit(1).alias("kind"), class_id(path, F.col("x.name")).alias("id"), F.array(F.lit(1), "place", F.lit(0)).alias("order"))
+    methods = classes.select("path", "place", F.col("x.name").alias("owner"), F.posexplode("x.methods").alias("inner", "m"))
+    methods = methods.select("path", F.col("m.name").alias("name"), F.lit(2).alias("kind"), method_id(path, F.col("owner"), F.col("m.name")).alias("id"), F.array(F.lit(1), "place", F.col("inner") + 1).alias("order"))
+    return functions.unionByName(own).unionByName(methods).groupBy("path", "name", "kind", "id").agg(F.max("order").alias("order"))
 
 
 def reference_edges(files: DataFrame) -> DataFrame:
-    """A file to the symbols of its own that it names without calling, first line each."""
+    """A file to the symbols of its own that it names without calling, first line each; of a name told again, the last one told."""
     sites = files.select("path", F.explode("references").alias("r")).select("path", F.col("r.name").alias("name"), F.col("r.line").alias("line"))
-    found = sites.join(local_names(files), ["path", "name"]).groupBy("path", "id").agg(F.min("line").alias("line"))
+    last = local_names(files).groupBy("path", "name").agg(F.max_by("id", "order").alias("id"))
+    found = sites.join(last, ["path", "name"]).groupBy("path", "id").agg(F.min("line").alias("line"))
     return _edge(found, file_id(F.col("path")), F.col("id"), "references", F.col("line"))
 
 
@@ -143,7 +149,10 @@ def exported_symbols(files: DataFrame) -> DataFrame:
 
 
 def inherit_edges(files: DataFrame, bound: DataFrame, exported: DataFrame) -> DataFrame:
-    """Class to base: same file, then bindings in order, then the one class of that name anywhere; else ambiguous."""
+    """Class to base: same file, then bindings in order, then the one class of that name anywhere; else ambiguous.
+
+    Edges, and with them ``place``, the base's position in the class's own list.
+    """
     sites = files.select("path", F.explode("classes").alias("c")).select("path", class_id(F.col("path"), F.col("c.name")).alias("src"), F.col("c.start_line").alias("line"), F.posexplode("c.extends").alias("n", "text"))
     sites = sites.withColumns({"head": F.substring_index("text", ".", 1), "plain": ~F.contains("text", F.lit("."))})
     classes = local_names(files).filter("kind = 1").select("path", "name", "id")
@@ -156,14 +165,29 @@ def inherit_edges(files: DataFrame, bound: DataFrame, exported: DataFrame) -> Da
     best = links.groupBy("src", "path", "line", "n", "text", "own").agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("ordinal"))).alias("linked"))
     single = classes.groupBy("name").agg(F.count("*").alias("k"), F.min("id").alias("only")).filter("k = 1").select(F.col("name").alias("text"), "only")
     done = best.join(single, "text", "left").withColumn("dst", F.coalesce("own", "linked", F.when(F.col("only") != F.col("src"), F.col("only"))))
-    return _edge(done, F.col("src"), F.col("dst"), "inherits", F.col("line"), F.col("text"))
+    return _edge(done, F.col("src"), F.col("dst"), "inherits", F.col("line"), F.col("text"), F.col("n").alias("place"))
 
 
 def ancestors(inherits: DataFrame) -> DataFrame:
-    """(src, ancestor, depth) over resolved bases inside the repository."""
-    inside = inherits.filter((F.col("confidence") == RESOLVED) & F.col("dst").startswith("cls:")).select("src", "dst", F.lit("inherits").alias("relation"))
-    seeds = inside.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
-    return closure(seeds, inside).filter("root != node").select(F.col("root").alias("src"), F.col("node").alias("ancestor"), "depth")
+    """(src, ancestor, way) over resolved bases inside the repository.
+
+    way is the positions of the bases that lead there: of the shortest ways
+    that first in declared order. Ways of equal length compare as arrays, and
+    shorter ones come first, which is the order of a search in breadth.
+    """
+    parents = inherits.filter((F.col("confidence") == RESOLVED) & F.col("dst").startswith("cls:"))
+    parents = keep(parents.groupBy(F.col("src").alias("child"), F.col("dst").alias("parent")).agg(F.min("place").alias("place")))
+    front = parents.select(F.col("child").alias("src"), F.col("parent").alias("ancestor"), F.array("place").alias("way"))
+    found = Found()
+    while True:
+        front = keep(front.filter("src != ancestor"))
+        n = front.count()
+        if not n:
+            break
+        found.add(front, n)
+        on = front.join(parents, front["ancestor"] == parents["child"]).select("src", F.col("parent").alias("ancestor"), F.concat("way", F.array("place")).alias("way"))
+        front = on.groupBy("src", "ancestor").agg(F.min("way").alias("way")).join(found.all().select("src", "ancestor"), ["src", "ancestor"], "left_anti")
+    return found.all() if found.runs else front
 
 
 def call_edges(files: DataFrame, bound: DataFrame, exported: DataFrame, inherits: DataFrame) -> DataFrame:
@@ -186,9 +210,9 @@ def call_edges(files: DataFrame, bound: DataFrame, exported: DataFrame, inherits
     linked = links.withColumn("hit", hit).filter("hit is not null").groupBy("path", "n").agg(F.min_by("hit", F.struct("ordinal", "hit")).alias("linked"))
     # own methods, then those of ancestors, nearest first
     methods = names.filter("kind = 2").select(F.concat(F.lit("cls:"), F.expr("substring(substring_index(id, '.', size(split(id, '[.]')) - 1), 3)")).alias("ancestor"), "name", F.col("id").alias("method"))
-    chain = ancestors(inherits).unionByName(sites.select(F.col("owner").alias("src"), F.col("owner").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    chain = ancestors(inherits).unionByName(sites.select(F.col("owner").alias("src"), F.col("owner").alias("ancestor"), F.array().cast("array<int>").alias("way")).distinct())
     asked = sites.filter("kind in ('self', 'this', 'super')").select("path", "n", "kind", "name", F.col("owner").alias("src"))
-    chained = asked.join(chain, "src").filter("kind != 'super' or depth > 0").join(methods, ["ancestor", "name"]).groupBy("path", "n").agg(F.min_by("method", F.struct("depth", "ancestor")).alias("chained"))
+    chained = asked.join(chain, "src").filter("kind != 'super' or size(way) > 0").join(methods, ["ancestor", "name"]).groupBy("path", "n").agg(F.min_by("method", F.struct(F.size("way"), "way", "ancestor")).alias("chained"))
     done = sites.join(linked, ["path", "n"], "left").join(chained, ["path", "n"], "left")
     dst = F.when(F.col("kind") == "plain", F.coalesce("fn", "linked", "cls")).when(F.col("kind") == "member", F.col("linked")).otherwise(F.col("chained"))
     return _edge(done, F.col("src"), dst, "calls", F.col("line"), F.concat_ws(".", "object", "name"))
@@ -199,7 +223,7 @@ def build_graph(files: DataFrame, every_path: DataFrame | None = None, go_module
     resolved = resolve_imports(files, every_path, go_module, crate)
     bound, exported = bindings(files, resolved), exported_symbols(files)
     imports, inherits = import_edges(files, resolved), inherit_edges(files, bound, exported)
-    edges = define_edges(files).unionByName(reference_edges(files)).unionByName(imports).unionByName(inherits).unionByName(call_edges(files, bound, exported, inherits))
+    edges = define_edges(files).unionByName(reference_edges(files)).unionByName(imports).unionByName(inherits.drop("place")).unionByName(call_edges(files, bound, exported, inherits))
     nodes = symbol_nodes(files)
     kinds = F.when(F.col("id").startswith("xm:"), "module").when(F.col("id").startswith("xf:"), "function").when(F.col("id").startswith("xc:"), "class").otherwise("file")
     name = F.when(F.col("id").startswith("xm:") | F.col("id").startswith("f:"), F.expr("substring(id, instr(id, ':') + 1)")).otherwise(F.substring_index("id", "#", -1))

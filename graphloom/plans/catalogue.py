@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions import questions as Q
+from graphloom.functions.keep import once
 from graphloom.functions.ship import ship
 from graphloom.operators import analysis as A
+from graphloom.operators import coverage as V
 from graphloom.operators import cycles as C
 from graphloom.operators import guard as U
 from graphloom.operators import reach as R
@@ -61,20 +63,22 @@ query("external_modules", "SELECT name FROM nodes WHERE type = 'module' AND exte
 query("ambiguous_hotspots", "SELECT callee_text, count(*) AS n FROM edges WHERE confidence = 'ambiguous' AND callee_text IS NOT NULL GROUP BY 1 ORDER BY n DESC, callee_text LIMIT 6")(lambda s, d: A.ambiguous_hotspots(G.edges(s, d)))
 query("most_imported_files", "SELECT substr(dst, 3) AS path, count(*) AS n FROM edges WHERE type = 'imports' AND dst LIKE 'f:%' GROUP BY dst ORDER BY n DESC, dst LIMIT 5")(lambda s, d: A.most_imported(G.edges(s, d)))
 query("dependent_counts", "SELECT dst AS id, count(*) AS dependents FROM edges WHERE type IN ('calls', 'imports', 'inherits') AND confidence = 'resolved' GROUP BY dst")(lambda s, d: A.dependent_counts(G.edges(s, d)))
-query("inbound_reference_count", f"SELECT root AS id, (SELECT count(*) FROM edges WHERE dst = root AND type IN ('calls', 'imports', 'inherits', 'references') AND confidence = 'resolved') AS n FROM ({BUSIEST})")(
-    lambda s, d: (lambda e: busiest(e).join(e.filter("type in ('calls', 'imports', 'inherits', 'references') and confidence = 'resolved'"), F.col("root") == F.col("dst")).groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")))(G.edges(s, d))
+query("inbound_reference_count", "SELECT id, (SELECT count(*) FROM edges WHERE dst = id AND type IN ('calls', 'imports', 'inherits', 'references') AND confidence = 'resolved') AS n FROM nodes")(
+    lambda s, d: A.inbound_counts(G.nodes(s, d), G.edges(s, d))
 )
 
-_WALK = f"""WITH RECURSIVE roots AS ({BUSIEST}),
+_WALK = """WITH RECURSIVE roots AS ({roots}),
 dep AS (SELECT DISTINCT dst, src FROM edges WHERE type IN ('calls', 'imports', 'inherits') AND confidence = 'resolved'),
 walk AS (SELECT root, src AS node, 1 AS depth FROM roots JOIN dep ON dst = root
-  UNION SELECT root, src, depth + 1 FROM walk JOIN dep ON dst = node WHERE depth < 80),
+  UNION SELECT root, src, depth + 1 FROM walk JOIN dep ON dst = node WHERE depth < 60),
 sure AS (SELECT root, node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, node),
-loose AS (SELECT DISTINCT root, src AS node FROM edges JOIN nodes n ON true JOIN roots ON n.id = root
-  WHERE confidence = 'ambiguous' AND split_part(callee_text, '.', -1) = n.name),
+loose AS (SELECT DISTINCT root, src AS node FROM edges JOIN nodes n ON split_part(callee_text, '.', -1) = n.name JOIN roots ON n.id = root
+  WHERE confidence = 'ambiguous'),
 every AS (SELECT root, node, depth, 'resolved' AS via FROM sure
   UNION ALL SELECT root, node, CAST(1 AS INT), 'ambiguous' FROM loose WHERE NOT EXISTS (SELECT 1 FROM sure WHERE sure.root = loose.root AND sure.node = loose.node))
 """
+_ALL = _WALK.format(roots="SELECT id AS root FROM nodes WHERE type = 'function'")
+_WALK = _WALK.format(roots=BUSIEST)
 
 
 def _blast(s, d):
@@ -85,6 +89,7 @@ def _blast(s, d):
 query("blast_radius", _WALK + "SELECT * FROM every")(lambda s, d: _blast(s, d).select("root", "node", "depth", "via"))
 query("blast_radius_confirmed", _WALK + "SELECT root, node, depth FROM sure")(lambda s, d: (lambda e: R.confirmed(e, busiest(e)).select("root", "node", "depth"))(G.edges(s, d)))
 query("blast_radius_ambiguous", _WALK + "SELECT root, node FROM every WHERE via = 'ambiguous'")(lambda s, d: _blast(s, d).filter("via = 'ambiguous'").select("root", "node"))
+query("blast_radius_all", _ALL + "SELECT * FROM every")(lambda s, d: R.blast_radius(G.nodes(s, d), G.edges(s, d), G.nodes(s, d).filter("type = 'function'").select(F.col("id").alias("root"))).select("root", "node", "depth", "via"))
 query("blast_radius_summary", _WALK + "SELECT root, depth, via, count(*) AS n FROM every GROUP BY root, depth, via")(lambda s, d: _blast(s, d).groupBy("root", "depth", "via").agg(F.count("*").alias("n")))
 
 _DEAD = f"""WITH used AS (SELECT DISTINCT dst FROM edges WHERE type IN ('calls', 'inherits') AND confidence = 'resolved'),
@@ -116,14 +121,29 @@ m AS (SELECT p.a, p.b FROM r p JOIN r q ON q.a = p.b AND q.b = p.a WHERE p.a <>
 SELECT least(a, min(b)) AS component, a AS id FROM m GROUP BY a"""
 
 
-query("call_cycles_scc", _scc_named("calls", "dst NOT LIKE 'x%'"))(lambda s, d: C.components(C.cycle_edges(G.edges(s, d), "calls")))
-query("import_cycles_scc", _scc_named("imports", "dst LIKE 'f:%'"))(lambda s, d: C.components(C.cycle_edges(G.edges(s, d), "imports")))
+def _components(s, d, kind):
+    return once(s, (d, "components", kind), lambda: C.components(C.cycle_edges(G.edges(s, d), kind)))
 
 
-@query("representative_cycles")
-def _cycles(s, d):
-    edges = C.cycle_edges(G.edges(s, d), "calls")
-    return C.representative_cycles(edges, C.components(edges))
+query("call_cycles_scc", _scc_named("calls", "dst NOT LIKE 'x%'"))(lambda s, d: _components(s, d, "calls"))
+query("import_cycles_scc", _scc_named("imports", "dst LIKE 'f:%'"))(lambda s, d: _components(s, d, "imports"))
+
+
+def _ranked(s, d, kind):
+    ship(s)
+    found = C.representative_cycles(C.cycle_edges(G.edges(s, d), kind), _components(s, d, kind))
+    return found.withColumn("path", F.array_join("path", " > "))
+
+
+# every simple path from the smallest member, in order; the first that closes is the walk's
+_FIRST = _scc_named("calls", "dst NOT LIKE 'x%'").replace("SELECT least(a, min(b)) AS component, a AS id FROM m GROUP BY a", """, c AS (SELECT least(a, min(b)) AS component, a AS id FROM m GROUP BY a),
+inside AS (SELECT x.component, e.src, e.dst FROM e JOIN c x ON x.id = e.src JOIN c y ON y.id = e.dst AND y.component = x.component),
+p AS (SELECT component, [component] AS path, component AS at, 0 AS closed FROM (SELECT DISTINCT component FROM c) s
+  UNION ALL SELECT p.component, CASE WHEN i.dst = p.component THEN path ELSE list_append(path, i.dst) END, i.dst, CASE WHEN i.dst = p.component THEN 1 ELSE 0 END
+  FROM p JOIN inside i ON i.component = p.component AND i.src = p.at WHERE closed = 0 AND (i.dst = p.component OR NOT list_contains(path, i.dst)))
+SELECT component, (SELECT count(*) FROM c WHERE c.component = p.component) AS size, len(min(path)) AS length, array_to_string(min(path), ' > ') AS path FROM p WHERE closed = 1 GROUP BY component""")
+query("representative_cycles", _FIRST)(lambda s, d: _ranked(s, d, "calls"))
+query("representative_import_cycles")(lambda s, d: _ranked(s, d, "imports"))
 
 
 _COVER = f"""WITH RECURSIVE imp AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'imports' AND confidence = 'resolved'),
@@ -134,13 +154,17 @@ pairs AS (SELECT substr(r.test, 3) AS test, path FROM r JOIN nodes ON id = node
 
 
 def _pairs(s, d):
-    return R.coverage_pairs(G.nodes(s, d), G.edges(s, d), paths.is_test)
+    return V.coverage_pairs(G.nodes(s, d), G.edges(s, d), paths.is_test, _components(s, d, "imports"))
+
+
+def _covered(s, d):
+    return V.covered_files(G.nodes(s, d), G.edges(s, d), paths.is_test)
 
 
 query("test_coverage_pairs", _COVER + "SELECT * FROM pairs")(_pairs)
 query("test_coverage_summary", _COVER + f"""SELECT test_files, source_files, covered_files, round(covered_files / source_files, 4) AS ratio FROM (
-  SELECT count(*) FILTER ({TEST}) AS test_files, count(*) FILTER (NOT {TEST}) AS source_files, (SELECT count(DISTINCT path) FROM pairs) AS covered_files FROM nodes WHERE type = 'file')""")(lambda s, d: A.coverage_summary(G.nodes(s, d), _pairs(s, d)))
-query("uncovered_files", _COVER + f"SELECT path FROM nodes WHERE type = 'file' AND NOT {TEST} AND path NOT IN (SELECT path FROM pairs)")(lambda s, d: A.uncovered(G.nodes(s, d), _pairs(s, d)))
+  SELECT count(*) FILTER ({TEST}) AS test_files, count(*) FILTER (NOT {TEST}) AS source_files, (SELECT count(DISTINCT path) FROM pairs) AS covered_files FROM nodes WHERE type = 'file')""")(lambda s, d: A.coverage_summary(G.nodes(s, d), _covered(s, d)))
+query("uncovered_files", _COVER + f"SELECT path FROM nodes WHERE type = 'file' AND NOT {TEST} AND path NOT IN (SELECT path FROM pairs)")(lambda s, d: A.uncovered(G.nodes(s, d), _covered(s, d)))
 
 
 def _history(s, d):
@@ -171,23 +195,36 @@ _PLAIN = "SELECT NULL::VARCHAR AS path, NULL::INT AS c"
 _MEASURED = "SELECT path, max(complexity) AS c FROM complexity GROUP BY path"
 
 
-def _risk(s, d, measured=False):
-    scores = A.risk(G.nodes(s, d), _history(s, d), _pairs(s, d), A.complexity_by_file(_facts(s, d)) if measured else None)
+def _risk(s, d, measured=False, named=True):
+    """With ``named``, the tests of each file; else only whether there are any."""
+    pairs = _pairs(s, d) if named else _covered(s, d).withColumn("test", F.lit(None).cast("string"))
+    scores = A.risk(G.nodes(s, d), _history(s, d), pairs, A.complexity_by_file(_facts(s, d)) if measured else None)
     return scores.withColumn("tests", F.array_join("tests", ","))
 
 
 query("risk_scores", _risk_sql(_PLAIN) + "SELECT * FROM scores")(lambda s, d: _risk(s, d))
 query("risk_with_complexity", _risk_sql(_MEASURED) + "SELECT * FROM scores")(lambda s, d: _risk(s, d, True))
-query("riskiest_files_top5", _risk_sql(_MEASURED) + "SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 5")(lambda s, d: A.riskiest(_risk(s, d, True), 5).select("path", "score"))
-query("untested_churning_files", _risk_sql(_PLAIN) + "SELECT path, commits_in_window FROM scores WHERE NOT tested AND commits_in_window > 0")(lambda s, d: _risk(s, d).filter("not tested and commits_in_window > 0").select("path", "commits_in_window"))
+query("riskiest_files_top5", _risk_sql(_MEASURED) + "SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 5")(lambda s, d: A.riskiest(_risk(s, d, True, False), 5).select("path", "score"))
+query("untested_churning_files", _risk_sql(_PLAIN) + "SELECT path, commits_in_window FROM scores WHERE NOT tested AND commits_in_window > 0")(lambda s, d: _risk(s, d, named=False).filter("not tested and commits_in_window > 0").select("path", "commits_in_window"))
 query("complexity_file_max", "SELECT path, max(complexity) AS max_complexity, count(*) AS functions FROM complexity GROUP BY path")(lambda s, d: A.complexity_by_file(_facts(s, d)))
 query("complexity_top_functions", "SELECT path, name, complexity FROM complexity ORDER BY complexity DESC, path, name LIMIT 10")(lambda s, d: _facts(s, d).orderBy(F.col("complexity").desc(), "path", "name").limit(10).select("path", "name", "complexity"))
 
 query("find_symbol_exact", "SELECT id, type, name, path FROM nodes WHERE lower(name) = lower('CUSTOMER#000000007') OR lower(name) = 'europe' ORDER BY id LIMIT 20")(lambda s, d: S.find_exact(G.nodes(s, d), ["CUSTOMER#000000007", "europe"]))
 query("find_symbol_substring", "SELECT id, type, name, path FROM nodes WHERE contains(lower(name), 'er#00000001') ORDER BY id LIMIT 20")(lambda s, d: S.find_symbol(G.nodes(s, d), "ER#00000001"))
-query("resolve_target", """SELECT 'p7.py' AS target, CASE count(*) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found' ELSE 'multiple' END AS status, min(id) AS id FROM nodes WHERE type = 'file' AND path LIKE '%/p7.py'
-  UNION ALL SELECT 'nowhere', 'not-found', NULL UNION ALL SELECT 'Asia', CASE count(*) WHEN 0 THEN 'not-found' WHEN 1 THEN 'found' ELSE 'multiple' END, min(id) FROM nodes WHERE lower(name) = 'asia' AND NOT external
-  UNION ALL SELECT 'f:src/geo.py', 'found', 'f:src/geo.py' UNION ALL SELECT 'xm:outside', 'not-found', NULL""")(lambda s, d: S.resolve_targets(G.nodes(s, d), ["p7.py", "nowhere", "Asia", "f:src/geo.py", "xm:outside"]))
+# what is asked for: every file by its end, whole path and id, every function and class by name in other letters, external ids, and names that nothing has
+_TARGETS = """SELECT DISTINCT target FROM (SELECT regexp_replace(path, '^.*/', '') AS target FROM nodes WHERE type = 'file' UNION ALL SELECT 'SRC/' || regexp_replace(path, '^.*/', '') FROM nodes WHERE type = 'file'
+  UNION ALL SELECT regexp_replace(id, '^f:', '') FROM nodes WHERE type = 'file' UNION ALL SELECT id FROM nodes UNION ALL SELECT upper(name) FROM nodes WHERE type <> 'file' UNION ALL SELECT 'no' || name FROM nodes WHERE type = 'function'
+  UNION ALL SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') FROM nodes WHERE type = 'file') t"""
+query("resolve_target", f"""WITH asked AS ({_TARGETS}), own AS (SELECT * FROM nodes WHERE NOT external),
+kinds AS (SELECT target, CASE WHEN regexp_matches(target, '^(f|fn|cls|m|xm|xf|xc):') THEN 'id' WHEN regexp_matches(lower(target), '/|[.](js|jsx|mjs|cjs|ts|tsx|mts|cts|py)$') THEN 'path' ELSE 'name' END AS kind FROM asked),
+ends AS (SELECT id, path, lower(regexp_replace(path, '^[^/]*/', '')) AS tail, regexp_replace(path, '^.*/', '') AS base FROM own WHERE type = 'file'),
+hits AS (SELECT target, 1 AS rank, id FROM kinds JOIN own ON id = target WHERE kind = 'id' UNION ALL SELECT target, 2, id FROM kinds JOIN ends ON path = target WHERE kind = 'path'
+  UNION ALL SELECT target, 3, id FROM kinds JOIN ends ON tail = lower(target) WHERE kind = 'path' AND path LIKE '%/%'
+  UNION ALL SELECT target, 4, id FROM kinds JOIN own ON lower(name) = lower(target) WHERE kind = 'name' AND type IN ('function', 'class', 'method') UNION ALL SELECT target, 5, id FROM kinds JOIN ends ON base = target WHERE kind = 'name'),
+best AS (SELECT target, rank, count(DISTINCT id) AS n, min(id) AS id FROM hits GROUP BY target, rank QUALIFY row_number() OVER (PARTITION BY target ORDER BY rank) = 1)
+SELECT a.target, CASE WHEN n IS NULL THEN 'not-found' WHEN n = 1 THEN 'found' ELSE 'multiple' END AS status, best.id FROM asked a LEFT JOIN best ON best.target = a.target""")(
+    lambda s, d: (lambda n: S.resolve_targets(n, s.sql(_TARGETS.replace("FROM nodes", "FROM {nodes}"), nodes=n)))(G.nodes(s, d))
+)
 query("enclosing_symbol", """WITH places AS (SELECT DISTINCT path, start_line + 1 AS line FROM nodes WHERE type = 'function')
   SELECT p.path, p.line, arg_min(id, struct_pack(w := end_line - start_line, i := id)) AS id FROM places p JOIN nodes n ON n.path = p.path AND start_line <= line AND end_line >= line GROUP BY p.path, p.line""")(
     lambda s, d: (lambda n: A.enclosing_symbol(n, n.filter("type = 'function'").select("path", (F.col("start_line") + 1).alias("line")).distinct()))(G.nodes(s, d))
@@ -232,11 +269,11 @@ query("allowlist_symbols", _USED + """SELECT scope, id, arg_max(via, r) AS via F
 
 
 def _callers(s, edges):
-    """Scopes with unresolved calls: the first functions that have any."""
-    return edges.filter("confidence = 'ambiguous'").select(F.col("src").alias("scope")).distinct().orderBy("scope").limit(5)
+    """Scopes with unresolved calls."""
+    return edges.filter("confidence = 'ambiguous'").select(F.col("src").alias("scope")).distinct()
 
 
-query("allowlist_unresolved", "WITH scopes AS (SELECT DISTINCT src AS scope FROM edges WHERE confidence = 'ambiguous' ORDER BY 1 LIMIT 5) SELECT DISTINCT scope, src, callee_text, line FROM edges JOIN scopes ON scope = src WHERE confidence = 'ambiguous'")(
+query("allowlist_unresolved", "WITH scopes AS (SELECT DISTINCT src AS scope FROM edges WHERE confidence = 'ambiguous') SELECT DISTINCT scope, src, callee_text, line FROM edges JOIN scopes ON scope = src WHERE confidence = 'ambiguous'")(
     lambda s, d: (lambda e: U.allowlist(e, _callers(s, e))[2])(G.edges(s, d))
 )
 
@@ -253,18 +290,45 @@ query("derived_grants", f"SELECT src AS scope, CASE module WHEN 'node:fs' THEN '
     lambda s, d: (lambda e: U.derived_grants(e, e.select(F.col("src").alias("scope")).distinct()))(_module_edges(s, d))
 )
 
-_WANTED = (("./geo", 1), ("../up", 2), ("fs", 3), ("node:https", 4), ("os", 5), ("left-pad", 6), ("chalk", 7), ("./missing.js", 8), ("src/geo.py", 9))
-query("module_access_breaches", """SELECT * FROM (VALUES ('../up', 2::BIGINT, 'unverifiable-import', 'files'), ('node:https', 4, 'ungranted-resource', 'resources.network'), ('os', 5, 'disallowed-import', NULL),
-  ('chalk', 7, 'disallowed-import', 'symbols'), ('./missing.js', 8, 'disallowed-import', 'files'), ('src/geo.py', 9, 'disallowed-import', 'symbols')) t(specifier, line, kind, area)""")(
-    lambda s, d: U.module_breaches(s.createDataFrame(_WANTED, "specifier string, line long"), G.nodes(s, d).filter("type = 'file'").select("path"), s.createDataFrame([("filesystem",)], "category string"), s.createDataFrame([("left-pad",)], "module string"))
-)
+# every file asks for the files it imports by a path beside it, for one above it, for modules of the runtime and for its packages
+_WANTED = """SELECT DISTINCT './' || regexp_replace(dst, '^f:.*/', '') AS specifier, CAST(line AS BIGINT) AS line FROM edges WHERE type = 'imports' AND dst LIKE 'f:%'
+UNION SELECT DISTINCT './no' || regexp_replace(dst, '^f:.*/', ''), CAST(line AS BIGINT) FROM edges WHERE type = 'imports' AND dst LIKE 'f:%' UNION SELECT DISTINCT '../' || regexp_replace(dst, '^f:.*/', ''), CAST(line AS BIGINT) FROM edges WHERE type = 'imports' AND dst LIKE 'f:%'
+UNION SELECT DISTINCT module, CAST(k AS BIGINT) FROM ({NAMED}) m UNION SELECT DISTINCT regexp_replace(dst, '^xm:', ''), 1 FROM edges WHERE dst LIKE 'xm:%'"""
+_RUNTIME = "SELECT CASE k % 5 WHEN 0 THEN 'fs' WHEN 1 THEN 'node:https' WHEN 2 THEN 'os' WHEN 3 THEN 'left-pad' ELSE 'chalk' END AS module, k FROM (SELECT CAST(regexp_extract(dst, '([0-9]+)', 1) AS BIGINT) AS k FROM edges WHERE dst LIKE 'xm:%') x"
+_WANTED = _WANTED.replace("{NAMED}", _RUNTIME)
+# allowed: the files below src, the file system, and packages of even numbers
+_EVEN = "SELECT DISTINCT regexp_replace(dst, '^xm:', '') AS module FROM edges WHERE dst LIKE 'xm:%' AND CAST(regexp_extract(dst, '([0-9]+)', 1) AS BIGINT) % 2 = 0"
 
-_ASKED = ("What depends on src/a.py?", "is `x` dead", "Is helper dead code?", "is m:a#B.c unused", "what's the riskiest file in src/", "which file is the riskiest", "What is untested in lib?", "untested files", "what lacks coverage", "tell me a story")
-query("question_intents", """SELECT * FROM (VALUES ('What depends on src/a.py?', 'blast-radius', 'src/a.py', NULL), ('is `x` dead', NULL, NULL, NULL), ('Is helper dead code?', 'dead-code-check', 'helper', NULL),
-  ('is m:a#B.c unused', 'dead-code-check', 'm:a#B.c', NULL), ('what''s the riskiest file in src/', 'riskiest-file', NULL, 'src'), ('which file is the riskiest', 'riskiest-file', NULL, NULL), ('What is untested in lib?', 'untested', NULL, 'lib'),
-  ('untested files', 'untested', NULL, NULL), ('what lacks coverage', 'untested', NULL, NULL), ('tell me a story', NULL, NULL, NULL)) t(question, intent, target, scope)""")(
-    lambda s, d: s.createDataFrame([(q,) for q in _ASKED], "question string").withColumn("i", Q.intent(F.col("question"))).select("question", "i.intent", "i.target", "i.scope")
-)
+
+def _breaches(s, d):
+    edges = G.edges(s, d)
+    sql = lambda text: s.sql(text.replace("FROM edges", "FROM {edges}"), edges=edges)
+    return U.module_breaches(sql(_WANTED), G.nodes(s, d).filter("type = 'file' and path like 'src/%'").select("path"), s.createDataFrame([("filesystem",)], "category string"), sql(_EVEN))
+
+
+query("module_access_breaches", f"""WITH w AS ({_WANTED}), base AS (SELECT regexp_replace(path, '^.*/', '') AS name FROM nodes WHERE type = 'file' AND path LIKE 'src/%'), even AS ({_EVEN}),
+t AS (SELECT w.*, CASE WHEN specifier LIKE '../%' THEN 'unverifiable-import' WHEN specifier LIKE './%' AND substr(specifier, 3) NOT IN (SELECT name FROM base) THEN 'disallowed-import' WHEN specifier LIKE './%' THEN NULL
+  WHEN specifier = 'node:https' THEN 'ungranted-resource' WHEN specifier = 'os' THEN 'disallowed-import' WHEN specifier = 'fs' THEN NULL WHEN specifier NOT IN (SELECT module FROM even) THEN 'disallowed-import' END AS kind FROM w)
+SELECT specifier, line, kind, CASE WHEN specifier LIKE './%' OR specifier LIKE '../%' THEN 'files' WHEN specifier = 'node:https' THEN 'resources.network' WHEN specifier <> 'os' THEN 'symbols' END AS area FROM t WHERE kind IS NOT NULL""")(_breaches)
+
+# questions about what the tables name, in several phrasings, some of which fit no intent
+_PHRASES = (("What depends on {0}?", "path", "blast-radius", True), ("Is {0} dead code?", "name", "dead-code-check", True), ("what's the riskiest file in {0}", "folder", "riskiest-file", False), ("What is untested in {0}?", "folder", "untested", False), ("tell me of {0}", "name", None, None))
+_TOPICS = "SELECT path, name, regexp_replace(path, '/[^/]*$', '') AS folder FROM nodes WHERE type = 'function'"
+
+
+def _asked(s, d):
+    topics = s.sql(_TOPICS.replace("FROM nodes", "FROM {nodes}"), nodes=G.nodes(s, d))
+    parts = lambda text: [F.lit(t) for t in text.split("{0}")]
+    each = F.array(*[F.concat(parts(text)[0], F.col(c), parts(text)[1]) for text, c, _, _ in _PHRASES])
+    return topics.select(F.explode(each).alias("question")).distinct()
+
+
+def _asked_sql() -> str:
+    one = lambda text, c, intent, to: f"SELECT {' || '.join(repr(p).replace(chr(34), chr(39)) if chr(39) not in p else chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for p in [text.split('{0}')[0]])} || {c} || '{text.split('{0}')[1]}' AS question, {f'{chr(39)}{intent}{chr(39)}' if intent else 'NULL'} AS intent, {c if to else 'NULL'} AS target, {c if to is False else 'NULL'} AS scope FROM t"
+    return f"WITH t AS ({_TOPICS}) SELECT DISTINCT * FROM (" + " UNION ALL ".join(one(*p) for p in _PHRASES) + ") q"
+
+
+query("question_intents", _asked_sql())(lambda s, d: _asked(s, d).withColumn("i", Q.intent(F.col("question"))).select("question", "i.intent", "i.target", "i.scope"))
 query("import_candidates_first_match", """WITH c AS (SELECT k, 'src/p' || k || '.py' AS candidate, 0 AS ordinal FROM (SELECT p_partkey AS k FROM part) UNION ALL SELECT k, 'tests/p' || k || '.py', 1 FROM (SELECT p_partkey AS k FROM part)
   UNION ALL SELECT k, 'src/geo.py', 2 FROM (SELECT p_partkey AS k FROM part)) SELECT k, arg_min(candidate, ordinal) AS target FROM c WHERE candidate IN (SELECT path FROM nodes WHERE type = 'file') GROUP BY k""")(
     lambda s, d: A.first_match(
@@ -273,34 +337,43 @@ query("import_candidates_first_match", """WITH c AS (SELECT k, 'src/p' || k || '
     )
 )
 
-# A small repository of our own, for what SQL can't state.
-_SOURCES = (
-    ("app/core.py", "class Base:\n    def run(self):\n        return self.step()\n\n    def step(self):\n        return 1\n\n\ndef helper(x):\n    return 1 if x else 2\n"),
-    ("app/use.py", "import os\nfrom app.core import Base, helper\n\n\nclass Child(Base):\n    def go(self):\n        self.run()\n        helper(os.getcwd())\n        unknown()\n"),
-)
-
-
-def _records(s):
-    ship(s)
-    files = s.createDataFrame([(p, "python", t.encode()) for p, t in _SOURCES], "path string, language string, content binary")
-    return facts.extract(files.withColumn("content_hash", F.sha2("content", 256)))
+# Python sources written from the tables: a module for each region, with its nations as classes, and their suppliers as methods that call each other and a helper
+_MODULES_OF = """SELECT r_name, r_regionkey, n_name, s_suppkey, lead(s_suppkey) OVER (PARTITION BY n_name ORDER BY s_suppkey) AS then
+FROM {region} JOIN {nation} ON n_regionkey = r_regionkey JOIN {supplier} ON s_nationkey = n_nationkey"""
 
 
-@query("extract_python_symbols")
-def _symbols(s, d):
-    return resolve.local_names(_records(s))
+def _ident(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^a-z0-9]+', '_')"
 
 
-@query("resolved_source_edges")
-def _resolved(s, d):
-    return resolve.build_graph(_records(s))[1]
+def _records(s, d):
+    ship(s)
+    rows = s.sql(G.expand(_MODULES_OF, {t: f"parquet.`{d}/{t}.parquet`" for t in G.BASE}))
+    method = F.concat(F.format_string("    def m%d(self):\n        helper()\n        return ", "s_suppkey"), F.when(F.col("then").isNotNull(), F.format_string("self.m%d()", "then")).otherwise("unknown_name()"), F.lit("\n\n"))
+    classes = rows.groupBy("r_name", "r_regionkey", "n_name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("s_suppkey", method.alias("text"))))["text"], "").alias("body"))
+    named = classes.withColumn("text", F.concat(F.lit("class "), F.expr(_ident("n_name")), F.lit(":\n"), "body"))
+    files = named.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    text = F.concat(F.lit("import os\nfrom lib.base import helper\n\n\n"), "text")
+    base = s.sql("SELECT 'lib/base.py' AS path, 'def helper():\n    return os.getcwd()\n' AS text")
+    files = files.select(F.concat(F.lit("app/"), F.expr(_ident("r_name")), F.lit(".py")).alias("path"), text.alias("text")).unionByName(base)
+    return facts.extract(files.select("path", F.lit("python").alias("language"), F.encode("text", "utf-8").alias("content"), F.sha2("text", 256).alias("content_hash")))
+
+
+_SOURCE_VIEW = f"WITH src AS ({G.expand(_MODULES_OF, {t: t for t in G.BASE})}), named AS (SELECT 'app/' || {_ident('r_name').replace(chr(39) + '_' + chr(39) + ')', chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} || '.py' AS path, {_ident('n_name').replace(chr(39) + '_' + chr(39) + ')', chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS cls, 'm' || s_suppkey AS m, 'm' || \"then\" AS next FROM src)\n".replace('\\"', '"')
+query("extract_python_symbols", _SOURCE_VIEW + """SELECT DISTINCT path, cls AS name, 1 AS kind, 'cls:' || path || '#' || cls AS id FROM named UNION ALL SELECT path, m, 2, 'm:' || path || '#' || cls || '.' || m FROM named
+  UNION ALL SELECT 'lib/base.py', 'helper', 0, 'fn:lib/base.py#helper'""")(lambda s, d: resolve.local_names(_records(s, d)).drop("order"))
+query("resolved_source_edges", _SOURCE_VIEW + """SELECT 'calls' AS type, 'm:' || path || '#' || cls || '.' || m AS src, 'fn:lib/base.py#helper' AS dst, NULL AS callee_text FROM named
+  UNION ALL SELECT 'calls', 'm:' || path || '#' || cls || '.' || m, CASE WHEN next IS NOT NULL THEN 'm:' || path || '#' || cls || '.' || next END, CASE WHEN next IS NULL THEN 'unknown_name' END FROM named
+  UNION ALL SELECT DISTINCT 'imports', 'f:' || path, 'xm:os', NULL FROM named UNION ALL SELECT DISTINCT 'imports', 'f:' || path, 'f:lib/base.py', NULL FROM named
+  UNION ALL SELECT DISTINCT 'defines', 'f:' || path, 'cls:' || path || '#' || cls, NULL FROM named UNION ALL SELECT 'defines', 'cls:' || path || '#' || cls, 'm:' || path || '#' || cls || '.' || m, NULL FROM named
+  UNION ALL SELECT 'defines', 'f:lib/base.py', 'fn:lib/base.py#helper', NULL UNION ALL SELECT 'calls', 'fn:lib/base.py#helper', NULL, 'os.getcwd'""")(lambda s, d: resolve.build_graph(_records(s, d))[1].select("type", "src", "dst", "callee_text"))
 
 
 # File records made from the tables: parts are files, their customers functions, lines imports, orders calls and references.
 _FUNCTIONS = "SELECT path, name, start_line, end_line, exported FROM ({FUNCTION}) f"
 _IMPORTED = "SELECT DISTINCT a.path, b.path AS target, replace(replace(b.path, '.py', ''), '/', '.') AS specifier FROM ({LINES}) l JOIN ({PART}) a ON a.k = l_partkey JOIN ({PART}) b ON b.k = next_part WHERE a.path <> b.path"
 _SITES = "SELECT f.path, f.name AS container, g.name, c.line FROM ({CALLS}) c JOIN ({FUNCTION}) f ON f.k = caller JOIN ({FUNCTION}) g ON g.k = callee"
-_NAMED = "SELECT f.path, g.name, CAST(a.o_custkey % 90 + 1 AS INT) AS line FROM {orders} a JOIN {orders} b ON b.o_orderkey = a.o_orderkey + 1 JOIN ({FUNCTION}) f ON f.k = a.o_custkey JOIN ({FUNCTION}) g ON g.k = b.o_custkey"
+_NAMED = "SELECT f.path, g.name, CAST(o_custkey % 90 + 1 AS INT) AS line FROM {orders} JOIN ({FUNCTION}) f ON f.k = o_custkey JOIN ({FUNCTION}) g ON g.path = f.path"
 _PLAIN_TABLES = {t: t for t in G.BASE}
 
 
@@ -321,7 +394,11 @@ def _table_records(s, d):
         "functions": "array<struct<name:string,start_line:int,end_line:int,exported:boolean>>", "imports": "array<struct<specifier:string,default_import:string,namespace_import:string,named_imports:array<string>,line:int>>",
         "calls": "array<struct<kind:string,object:string,name:string,line:int,container:string>>", "references": "array<struct<name:string,line:int,container:string>>",
     }
-    none_of = {"classes": "array<struct<name:string,start_line:int,end_line:int,exported:boolean,methods:array<struct<name:string,start_line:int,end_line:int>>,extends:array<string>>>", "exports": "array<struct<kind:string,names:array<string>,line:int>>"}
+    own_class = F.struct("first.name", "first.start_line", "first.end_line", F.lit(False).alias("exported"), F.array(F.struct(F.col("last.name").alias("name"), F.col("last.start_line").alias("start_line"), F.col("last.end_line").alias("end_line"))).alias("methods"), F.array().cast("array<string>").alias("extends"))
+    classes = own.groupBy("path").agg(F.min(F.struct("name", "start_line", "end_line")).alias("first"), F.max(F.struct("name", "start_line", "end_line")).alias("last")).select("path", F.array(own_class).alias("classes"))
+    rows = rows.join(classes, "path", "left")
+    empty["classes"] = "array<struct<name:string,start_line:int,end_line:int,exported:boolean,methods:array<struct<name:string,start_line:int,end_line:int>>,extends:array<string>>>"
+    none_of = {"exports": "array<struct<kind:string,names:array<string>,line:int>>"}
     filled = {k: F.coalesce(F.col(k).cast(kind), F.array().cast(kind)) for k, kind in empty.items()} | {k: F.array().cast(kind) for k, kind in none_of.items()}
     return rows.withColumns(filled)
 
@@ -347,7 +424,10 @@ ORACLE_SQL["call_resolution_plain"] = _records_oracle("""
 done AS (SELECT s.*, coalesce('fn:' || f.path || '#' || f.name, hit) AS dst FROM sites s LEFT JOIN fns f ON f.path = s.path AND f.name = s.name LEFT JOIN hits h ON h.path = s.path AND h.name = s.name)
 SELECT 'fn:' || path || '#' || container AS src, dst, line, CASE WHEN dst IS NULL THEN name END AS callee_text, CASE WHEN dst IS NULL THEN 'ambiguous' ELSE 'resolved' END AS confidence FROM done""")
 QUERIES["reference_edges"] = lambda s, d: resolve.reference_edges(_table_records(s, d)).select("src", "dst", "line")
-ORACLE_SQL["reference_edges"] = _records_oracle("SELECT 'f:' || n.path AS src, 'fn:' || n.path || '#' || n.name AS dst, min(line) AS line FROM named n JOIN fns f ON f.path = n.path AND f.name = n.name GROUP BY n.path, n.name")
+ORACLE_SQL["reference_edges"] = _records_oracle("""
+, ends AS (SELECT path, min(name) AS a, max(name) AS b FROM fns GROUP BY path)
+SELECT 'f:' || n.path AS src, CASE WHEN n.name = b THEN 'm:' || n.path || '#' || a || '.' || b WHEN n.name = a THEN 'cls:' || n.path || '#' || a ELSE 'fn:' || n.path || '#' || n.name END AS dst, min(line) AS line
+FROM named n JOIN fns f ON f.path = n.path AND f.name = n.name JOIN ends e ON e.path = n.path GROUP BY n.path, n.name, a, b""")
 
 _CLASSES = """SELECT 'src/c' || CAST(n_nationkey % 7 AS STRING) || '.py' AS path, n_name AS name, r_name AS base, n_nationkey + 1 AS line FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
 UNION ALL SELECT 'src/c' || CAST(r_regionkey AS STRING) || '.py', r_name, NULL, r_regionkey + 100 FROM {region} UNION ALL SELECT 'src/c6.py', r_name, NULL, r_regionkey + 200 FROM {region} WHERE r_regionkey < 2"""
@@ -381,3 +461,48 @@ QUERIES["call_resolution_chain"] = lambda s, d: resolve.call_edges(*_class_edges
 ORACLE_SQL["call_resolution_chain"] = _CLASS_VIEWS + """, asked AS (SELECT path, name, line, dst AS up, unnest([name, base, 'NOBODY']) AS m, base FROM inh)
 SELECT 'm:' || path || '#' || name || '.of_' || name AS src, CASE WHEN m = name THEN 'm:' || path || '#' || name || '.of_' || name WHEN m = base AND up IS NOT NULL THEN 'm:' || substr(up, 5) || '.of_' || base END AS dst, line,
   CASE WHEN m = 'NOBODY' OR m = base AND up IS NULL THEN 'self.of_' || m END AS callee_text FROM asked"""
+
+# Diamonds: a nation extends its own region and the one after, a region the customers' segments from its own on, segments nothing.
+_SEGMENTS = "SELECT c_mktsegment AS name, row_number() OVER (ORDER BY c_mktsegment) - 1 AS k, count(*) AS n, min(c_custkey) AS first FROM {customer} GROUP BY c_mktsegment"
+_DIAMONDS = """SELECT n_name AS name, 1 AS kind, n_nationkey AS k, array_r AS bases FROM (SELECT n_name, n_nationkey, {list}(a.r_name, b.r_name) AS array_r FROM {nation} JOIN {region} a ON a.r_regionkey = n_regionkey JOIN {region} b ON b.r_regionkey = (n_regionkey + 1) % 5) t
+UNION ALL SELECT r_name, 2, r_regionkey, {list}(a.name, b.name) FROM {region} JOIN ({SEGMENTS}) a ON a.k = (r_regionkey + 2) % 5 JOIN ({SEGMENTS}) b ON b.k = (r_regionkey + 4) % 5
+UNION ALL SELECT name, 3, CAST(k AS INT), {none} FROM ({SEGMENTS}) s"""
+
+
+def _diamonds(tables, many, none):
+    return G.expand(_DIAMONDS.replace("{SEGMENTS}", _SEGMENTS).replace("{list}", many).replace("{none}", none), tables)
+
+
+def _diamond_records(s, d):
+    """One file; all segments have ``deep``, those that begin with a customer of an odd key ``odd`` too, regions and segments ``both``."""
+    rows = s.sql(_diamonds({t: f"parquet.`{d}/{t}.parquet`" for t in G.BASE}, "array", "CAST(array() AS ARRAY<STRING>)"))
+    segments = s.sql(G.expand(_SEGMENTS, {t: f"parquet.`{d}/{t}.parquet`" for t in G.BASE})).select("name", (F.col("first") % 2 == 1).alias("odd"))
+    rows = rows.join(segments, "name", "left")
+    line = (F.col("kind") * 100 + F.col("k")).cast("int")
+    method = lambda n: F.struct(F.lit(n).alias("name"), line.alias("start_line"), line.alias("end_line"))
+    methods = F.array_compact(F.array(F.when(F.col("kind") == 1, method("go")), F.when(F.col("kind") > 1, method("both")), F.when(F.col("kind") == 3, method("deep")), F.when(F.coalesce("odd", F.lit(False)), method("odd"))))
+    one = F.struct("name", line.alias("start_line"), line.alias("end_line"), F.lit(True).alias("exported"), methods.alias("methods"), F.col("bases").alias("extends"))
+    calls = F.transform(F.array(*map(F.lit, ("both", "deep", "odd", "nobody"))), lambda m: F.struct(F.lit("self").alias("kind"), F.lit("self").alias("object"), m.alias("name"), line.alias("line"), F.concat("name", F.lit(".go")).alias("container")))
+    files = rows.groupBy(F.lit("src/all.py").alias("path")).agg(F.array_sort(F.collect_list(one)).alias("classes"), F.flatten(F.collect_list(F.when(F.col("kind") == 1, calls))).alias("calls"))
+    empty = {"functions": "array<struct<name:string,start_line:int,end_line:int,exported:boolean>>", "imports": "array<struct<specifier:string,default_import:string,namespace_import:string,named_imports:array<string>,line:int>>", "exports": "array<struct<kind:string,names:array<string>,line:int>>"}
+    return files.withColumn("language", F.lit("python")).withColumns({k: F.array().cast(v) for k, v in empty.items()})
+
+
+def _diamond_edges(s, d):
+    files = _diamond_records(s, d)
+    bound, exported = resolve.bindings(files, resolve.resolve_imports(files)), resolve.exported_symbols(files)
+    return files, bound, exported, resolve.inherit_edges(files, bound, exported)
+
+
+_WAYS = f"""WITH c AS ({_diamonds(_PLAIN_TABLES, "list_value", "CAST([] AS VARCHAR[])")}), seg AS ({G.expand(_SEGMENTS, _PLAIN_TABLES)}),
+up AS (SELECT c.name, c.kind, c.k, generate_subscripts(bases, 1) - 1 AS place, unnest(bases) AS base FROM c),
+ways AS (SELECT name, base AS ancestor, [place] AS way FROM up UNION ALL SELECT u.name, v.base, [u.place, v.place] FROM up u JOIN up v ON v.name = u.base),
+best AS (SELECT name, ancestor, min(way) AS way FROM ways GROUP BY name, ancestor)
+"""
+QUERIES["ancestor_order"] = lambda s, d: resolve.ancestors(_diamond_edges(s, d)[3]).select("src", "ancestor", F.array_join(F.col("way").cast("array<string>"), "-").alias("way"))
+ORACLE_SQL["ancestor_order"] = _WAYS + "SELECT 'cls:src/all.py#' || name AS src, 'cls:src/all.py#' || ancestor AS ancestor, array_to_string(way, '-') AS way FROM best"
+QUERIES["call_resolution_diamond"] = lambda s, d: resolve.call_edges(*_diamond_edges(s, d)).select("src", "dst", "line", "callee_text")
+ORACLE_SQL["call_resolution_diamond"] = _WAYS + """, has AS (SELECT name, 'both' AS m FROM c WHERE kind > 1 UNION ALL SELECT name, 'deep' FROM c WHERE kind = 3 UNION ALL SELECT name, 'odd' FROM seg WHERE first % 2 = 1),
+asked AS (SELECT name, CAST(100 + k AS INT) AS line, unnest(['both', 'deep', 'odd', 'nobody']) AS m FROM c WHERE kind = 1),
+hit AS (SELECT a.name, a.m, arg_min(b.ancestor, struct_pack(n := len(way), w := way)) AS owner FROM asked a JOIN best b ON b.name = a.name JOIN has h ON h.name = b.ancestor AND h.m = a.m GROUP BY a.name, a.m)
+SELECT 'm:src/all.py#' || a.name || '.go' AS src, 'm:src/all.py#' || owner || '.' || a.m AS dst, line, CASE WHEN owner IS NULL THEN 'self.' || a.m END AS callee_text FROM asked a LEFT JOIN hit ON hit.name = a.name AND hit.m = a.m"""

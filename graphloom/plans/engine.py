@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, questions
-from graphloom.operators import analysis, cycles, reach, symbols
+from graphloom.operators import analysis, coverage, cycles, reach, symbols
 from graphloom.schema import AMBIGUOUS
 
 
@@ -21,7 +21,11 @@ class Engine:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return reach.coverage_pairs(self.nodes, self.edges, paths.is_test)
+        return coverage.coverage_pairs(self.nodes, self.edges, paths.is_test)
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        return coverage.covered_files(self.nodes, self.edges, paths.is_test)
 
     @cached_property
     def dead(self) -> DataFrame:
@@ -45,7 +49,7 @@ class Engine:
             "languages": count(self.nodes.filter("type = 'file'"), "language"),
             "dead_code": count(self.dead, "tier"),
             "cycles": {k: cycles.components(cycles.cycle_edges(self.edges, k)).select("component").distinct().count() for k in ("imports", "calls")},
-            "coverage": analysis.coverage_summary(self.nodes, self.pairs).first().asDict(),
+            "coverage": analysis.coverage_summary(self.nodes, self.covered).first().asDict(),
             "risks": [r.asDict() for r in analysis.riskiest(self.risks, top).collect()],
             "most_imported": [r.asDict() for r in analysis.most_imported(self.edges).collect()],
             "hotspots": hot,
@@ -69,7 +73,7 @@ class Engine:
         if kind == "riskiest-file":
             rows = analysis.riskiest(self.risks.filter(F.startswith("path", F.lit(scope))), 1).collect()
             return asked | {"file": rows[0].asDict() if rows else None}
-        rows = analysis.uncovered(self.nodes, self.pairs).filter(F.startswith("path", F.lit(scope))).orderBy("path")
+        rows = analysis.uncovered(self.nodes, self.covered).filter(F.startswith("path", F.lit(scope))).orderBy("path")
         return asked | {"untested": [r["path"] for r in rows.limit(10).collect()], "count": rows.count()}
 
     def blast_radius(self, node_id: str) -> dict:
@@ -92,7 +96,7 @@ class Engine:
             limit = max(1, int(args.get("limit") or 5))
             return {"files": [r.asDict() for r in analysis.riskiest(self.risks, limit).collect()]}
         if name == "whats-not-tested":
-            rows = analysis.uncovered(self.nodes, self.pairs).filter(F.startswith("path", F.lit(args.get("scope") or ""))).orderBy("path").collect()
+            rows = analysis.uncovered(self.nodes, self.covered).filter(F.startswith("path", F.lit(args.get("scope") or ""))).orderBy("path").collect()
             return {"files": [r["path"] for r in rows]}
         if name == "find-symbol":
             return {"matches": [r.asDict() for r in symbols.find_symbol(self.nodes, args["name"]).collect()]}

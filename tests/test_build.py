@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.ship import ship
-from graphloom.operators import analysis, reach, resolve
+from graphloom.operators import analysis, coverage, reach, resolve
 from graphloom.sources import facts, gitlog, walk
 
 FILES = {
@@ -77,41 +77,10 @@ def test_blast_radius_and_coverage(spark, graph):
         reach.blast_radius(nodes, edges, "fn:none")
     from graphloom.functions import paths
 
-    pairs = {(r["test"], r["path"]) for r in reach.coverage_pairs(nodes, edges, paths.is_test).collect()}
+    pairs = {(r["test"], r["path"]) for r in coverage.coverage_pairs(nodes, edges, paths.is_test).collect()}
     assert ("tests/test_use.py", "app/core.py") in pairs and ("tests/test_use.py", "app/use.py") in pairs
 
 
-def test_distributed_closure_equals_the_driver_one(spark):
-    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "y"), ("a", "d", "z"), ("e", "f", "x")], "src string, dst string, relation string")
-    seeds = spark.createDataFrame([("1", "a"), ("2", "e")], "root string, node string")
-    one, two = (sorted(map(tuple, reach.closure(seeds, edges, small).collect())) for small in (100, 0))
-    assert one == two and ("1", "a", 3, "c", "x") in one
-
-
-def test_distributed_components_equal_the_driver_ones(spark):
-    from graphloom.operators import cycles
-
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a")], "src string, dst string")
-    one, two = (sorted(map(tuple, cycles.components(edges, small).collect())) for small in (100, 0))
-    assert one == two == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e")]
-    ship(spark)
-    rows = cycles.representative_cycles(edges, cycles.components(edges)).collect()
-    assert {tuple(r["path"]) for r in rows} == {("a", "b", "c"), ("d", "e")}
-
-
-def test_representative_cycles_of_large_components(spark):
-    from graphloom.operators import cycles
-
-    ship(spark)
-    ring = [f"n{i:05}" for i in range(cycles.LONGEST + 5)]
-    pairs = [*zip(ring, ring[1:] + ring[:1], strict=True), ("n00006", "n00000"), ("n00000", "n00000"), ("y", "z"), ("z", "y"), ("y", "y")]
-    edges = spark.createDataFrame(pairs, "src string, dst string")
-    members = cycles.components(edges)
-    for longest in (cycles.LONGEST, 1):
-        rows = {r["component"]: (r["size"], r["length"], r["path"]) for r in cycles.representative_cycles(edges, members, longest).collect()}
-        assert rows == {"n00000": (len(ring), 7, ring[:7]), "y": (2, 2, ["y", "z"])}
-
-
 def test_git_history_and_risk(spark, tmp_path):
     run = lambda *a, **e: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, env={"PATH": "/usr/bin:/bin", "GIT_AUTHOR_DATE": e.get("at", ""), "GIT_COMMITTER_DATE": e.get("at", "")})
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)

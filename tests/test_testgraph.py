@@ -16,22 +16,42 @@ def tables(spark):
     return {t: spark.read.parquet(f"{SMALL}/{t}.parquet").toPandas() for t in testgraph.BASE}
 
 
-def test_every_line_and_order_is_in_the_graph(spark, tables):
-    lines, orders, customers = tables["lineitem"], tables["orders"], tables["customer"]
+def most(rows, keys, target):
+    """Of each key the target with most rows, the smallest of equals."""
+    counted = rows.groupby([*keys, target]).size().rename("n").reset_index().sort_values(["n", target], ascending=[False, True])
+    return {tuple(r) for r in counted.groupby(keys, dropna=False).head(1)[[*keys, target]].itertuples(index=False)}
+
+
+def test_every_line_and_order_counts(spark, tables):
+    lines, orders, customers, parts = tables["lineitem"], tables["orders"], tables["customer"], tables["part"]
     edges = testgraph.edges(spark, SMALL)
-    external = edges.filter("type = 'imports' and dst like 'xm:%'").count()
-    assert external == len(lines[["l_partkey", "l_suppkey"]].drop_duplicates())
+    assert edges.filter("type = 'imports' and dst like 'xm:%'").count() == len(most(lines, ["l_partkey"], "l_suppkey"))
     # the total order of an order's lines, as in LINES
     lines = lines.sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    follows = lines.assign(next_part=lines.groupby("l_orderkey")["l_partkey"].shift(-1)).dropna(subset="next_part")
-    assert edges.filter("type = 'imports' and dst like 'f:%'").count() == len(follows[["l_partkey", "next_part"]].drop_duplicates())
+    follows = lines.assign(b=lines.groupby("l_orderkey")["l_partkey"].shift(-1)).dropna(subset="b").rename(columns={"l_partkey": "a"})
+    follows = follows[follows["a"] != follows["b"]]
+    layer = parts.set_index("p_partkey")["p_size"]
+    la, lb = follows["a"].map(layer), follows["b"].map(layer)
+    turned = follows.assign(src=follows["a"].where(la <= lb, follows["b"]).astype(int), dst=follows["b"].where(la <= lb, follows["a"]).astype(int), kind=follows["l_linestatus"].where(la != lb, "same"))
+    both = {(a, int(b)) for a, b in zip(follows["a"], follows["b"], strict=True)}
+    wanted = {(src, dst) for src, _, dst in most(turned, ["src", "kind"], "dst")} | {(a, b) for a, b in both if (b, a) in both}
+    number = F.regexp_extract  # of a path
+    got = edges.filter("type = 'imports' and dst like 'f:%'").select(number("src", "p([0-9]+)[.]py", 1).cast("long"), number("dst", "p([0-9]+)[.]py", 1).cast("long")).collect()
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
     after = orders.assign(o_orderkey=orders["o_orderkey"] - 1)[["o_orderkey", "o_custkey"]].rename(columns={"o_custkey": "callee"})
-    calls = orders.merge(after, on="o_orderkey").assign(ambiguous=lambda x: x["o_orderstatus"] == "P", line=lambda x: x["o_orderkey"] % 500 + 1)
-    assert edges.filter("type = 'calls'").count() == len(calls[["o_custkey", "callee", "ambiguous", "line"]].drop_duplicates())
+    loose = orders.merge(after, on="o_orderkey").query("o_orderstatus == 'P' and o_custkey != callee")
+    assert edges.filter("type = 'calls' and dst is null").count() == loose["o_custkey"].nunique()
     kept = customers[customers["c_custkey"] % 3 != 0]["c_custkey"]
     assert edges.filter("type = 'references'").count() == orders[orders["o_custkey"].isin(kept)]["o_custkey"].nunique()
 
 
+def test_the_graph_has_structure(spark):
+    figures = catalogue.QUERIES["test_coverage_summary"](spark, "/root/testdata/sf0.01").first()
+    assert 0.2 < figures["ratio"] < 0.8
+    parts = catalogue.QUERIES["import_cycles_scc"](spark, "/root/testdata/sf0.01").groupBy("component").count().collect()
+    assert len(parts) > 20
+
+
 def test_every_line_is_a_commit_and_measured(spark, tables):
     lines = tables["lineitem"]
     assert testgraph.commits(spark, SMALL).count() == len(lines[["l_orderkey", "l_partkey"]].drop_duplicates())
@@ -41,8 +61,15 @@ def test_every_line_is_a_commit_and_measured(spark, tables):
 def test_records_take_every_line_and_order(spark, tables):
     records = catalogue._table_records(spark, SMALL)
     calls = records.select(F.sum(F.size("calls"))).first()[0]
-    assert calls == testgraph.edges(spark, SMALL).filter("type = 'calls'").count()
-    pairs = len(tables["orders"].merge(tables["orders"].assign(o_orderkey=tables["orders"]["o_orderkey"] - 1), on="o_orderkey"))
-    assert records.select(F.sum(F.size("references"))).first()[0] == pairs
-    inner = testgraph.edges(spark, SMALL).filter("type = 'imports' and dst like 'f:%' and src <> dst").count()
-    assert records.select(F.sum(F.size("imports"))).first()[0] == inner
+    orders, parts = tables["orders"], tables["part"]
+    after = orders.assign(o_orderkey=orders["o_orderkey"] - 1)[["o_orderkey", "o_custkey"]].rename(columns={"o_custkey": "callee"})
+    pairs = orders.merge(after, on="o_orderkey").assign(ambiguous=lambda x: x["o_orderstatus"] == "P", line=lambda x: x["o_orderkey"] % 500 + 1)
+    assert calls == len(pairs[["o_custkey", "callee", "ambiguous", "line"]].drop_duplicates())
+    in_file = tables["customer"]["c_custkey"] % len(parts)
+    beside = in_file.map(in_file.value_counts())
+    named = orders["o_custkey"].map(dict(zip(tables["customer"]["c_custkey"], beside, strict=True))).sum()
+    assert records.select(F.sum(F.size("references"))).first()[0] == named
+    lines = tables["lineitem"].sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    follows = lines.assign(b=lines.groupby("l_orderkey")["l_partkey"].shift(-1)).dropna(subset="b")
+    follows = follows[follows["l_partkey"] != follows["b"]]
+    assert records.select(F.sum(F.size("imports"))).first()[0] == len(follows[["l_partkey", "b"]].drop_duplicates())
