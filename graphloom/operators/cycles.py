@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keep import keep
+from graphloom.functions.ship import ship
 from graphloom.schema import RESOLVED
 
 LONGEST = 100_000  # edges of a component that one task walks; larger ones are walked in rounds
-REST = 2_000  # edges, counted, that one task finishes once rounds have left no more
+REST = 50_000  # edges, counted, that one task finishes once rounds have left no more: some 20 MB
 
 
 def cycle_edges(edges: DataFrame, kind: str) -> DataFrame:
@@ -36,6 +37,7 @@ def components(edges: DataFrame, rounds: list | None = None, rest: int = REST) -
     Once ``rest`` edges or fewer are left, one task finishes them, as a round
     costs about as much however few they are.
     """
+    ship(edges.sparkSession)
     rounds = [] if rounds is None else rounds
     left = keep(edges.select("src", "dst").filter("src != dst").distinct())
     past, looped, named = [], [], []
@@ -237,6 +239,7 @@ def representative_cycles(edges: DataFrame, members: DataFrame, longest: int = L
     It is the one that a walk in depth from that member closes first, trying
     neighbours in order; an edge of a member to itself is none.
     """
+    ship(edges.sparkSession)
     inside = edges.join(members.select(F.col("id").alias("src"), "component"), "src").join(members.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").filter("component = other and src != dst")
     sizes = members.groupBy("component").agg(F.count_distinct("id").alias("size"))
     inside = keep(inside.select("component", "src", "dst").distinct().join(sizes, "component"))

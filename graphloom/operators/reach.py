@@ -19,6 +19,7 @@ from graphloom.functions.paths import last_segment
 from graphloom.schema import AMBIGUOUS, DEPENDENCY, RESOLVED
 
 RUNS = 4  # that are left unmerged
+SENT = 50_000  # rows of a front, counted, up to which it goes to the edges, rather than the edges to it
 
 
 class Found:
@@ -61,10 +62,10 @@ def _search(seeds: DataFrame, edges: DataFrame, ways: bool) -> tuple[DataFrame,
     """The numbered roots, and (node, block, bits, depth) of all that they reach; with ``ways`` a row for each (parent, relation) that bits came by first."""
     roots = _numbered(seeds)
     front = seeds.join(roots, "root").groupBy("node", "block").agg(F.bit_or("bit").alias("bits"))
-    found, depth = Found(), 0
+    found, depth, n = Found(), 0, SENT + 1
     while True:
         depth += 1
-        step = front.join(edges, front["node"] == edges["src"])
+        step = (F.broadcast(front) if n <= SENT else front).join(edges, front["node"] == edges["src"])
         if ways:
             step = _fresh(step.select(F.col("dst").alias("node"), "block", "bits", F.col("src").alias("parent"), "relation"), found)
             before = Window.partitionBy("node", "block").orderBy("parent", "relation").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,9 +115,9 @@ def reach_sets(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): what any of ``seeds`` (node) reaches by one edge or more; one row a node, whoever came first."""
     edges = keep(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
-    front, found = seeds.select("node").distinct(), Found()
+    front, found, n = seeds.select("node").distinct(), Found(), SENT + 1
     while True:
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        step = (F.broadcast(front) if n <= SENT else front).join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         if found.runs:
             step = step.join(found.all(), "node", "left_anti")
         front = keep(step)
