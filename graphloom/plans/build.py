@@ -51,7 +51,7 @@ def build(spark: SparkSession, root: str, store: str | None = None, incremental:
         files = facts.extract(now.join(again, "path", "left_semi")).unionByName(kept)
     else:
         files = facts.extract(now)
-    every = spark.createDataFrame([(p,) for p in walk.walk(root, every=True)], "path string")
+    every = walk.every_path(spark, root)
     nodes, edges = resolve.build_graph(files, every, _manifest(root, "go.mod", r"^module\s+(\S+)"), _manifest(root, "Cargo.toml", r'^name\s*=\s*"([^"]+)"'))
     if store:
         snapshot.write(store, nodes, edges, files, {"root": root, "build_mode": "incremental" if incremental else "full"})

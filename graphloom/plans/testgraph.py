@@ -12,6 +12,8 @@ members beside a large one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.functions.keep import once
@@ -97,10 +99,13 @@ BASE = ("part", "customer", "supplier", "orders", "lineitem", "nation", "region"
 VIEWS = {"PART": PART, "FUNCTION": FUNCTION, "LINES": LINES, "CALLS": CALLS, "PAIRS": PAIRS, "IMPORTS": IMPORTS, "CALLED": CALLED, "NODES": NODES, "EDGES": EDGES, "COMMITS": COMMITS, "COMPLEXITY": COMPLEXITY}
 
 
-def expand(text: str, base: dict[str, str]) -> str:
-    """``text`` with the views put in place of their names, and ``base`` for the tables'."""
+SHARED = {"EDGES": ("PAIRS", "CALLS")}  # views that another uses several times, which are written too
+
+
+def expand(text: str, base: dict[str, str], given: dict[str, str] | None = None) -> str:
+    """``text`` with the views, or what is ``given`` for them, put in place of their names, and ``base`` for the tables'."""
     for name in ("EDGES", "NODES", "COMMITS", "COMPLEXITY", "IMPORTS", "CALLED", "PAIRS", "CALLS", "LINES", "FUNCTION", "PART"):
-        text = text.replace(f"{{{name}}}", VIEWS[name])
+        text = text.replace(f"{{{name}}}", (given or {}).get(name, VIEWS[name]))
     for name, what in base.items():
         text = text.replace(f"{{{name}}}", what)
     return text
@@ -108,8 +113,16 @@ def expand(text: str, base: dict[str, str]) -> str:
 
 def _frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The view, made and written once an application: nearly every query reads it."""
-    sql = expand(VIEWS[view], {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE})
-    return once(spark, (sf_dir, view), lambda: spark.sql(sql))
+
+    def make() -> DataFrame:
+        given = {}
+        for name in SHARED.get(view, ()):
+            named = f"graphloom_{name.lower()}_{uuid.uuid4().hex}"
+            _frame(spark, sf_dir, name).createOrReplaceTempView(named)
+            given[name] = f"SELECT * FROM {named}"
+        return spark.sql(expand(VIEWS[view], {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE}, given))
+
+    return once(spark, (sf_dir, view), make)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
