@@ -484,3 +484,15 @@ def test_toxicity_is_kneser_ney_by_hand(spark):
         expected = sum(math.log(probability(1, v, x) / probability(0, v, x)) for v, x in zip([""] + w, w)) / max(1, len(w))
         (_, _, data, offs), = tk.blocks(pa.array([text]))
         assert math.isclose(model.evidence(data, offs)[0], expected, abs_tol=1e-6)
+
+
+def test_rules_are_ordered_by_what_they_add(monkeypatch):
+    clock = iter(range(10**6))
+    monkeypatch.setattr(quality_rules.time, "perf_counter", lambda: float(next(clock)))
+    good = " ".join(f"word{i}" for i in range(60))
+    texts = pa.array([good + " #" * 40, good + " #" * 30, good + " !" * 200, "short", "#" * 5] + [good] * 5)
+    asked = []
+    rules = {"symbols": quality_rules.CASCADE["symbols"], "never": lambda b: np.zeros(b.n, bool), "seen": lambda b: asked.append(b.n) or 4 * b.n_symbols < 0}
+    order = quality_rules.order_rules(texts, rules)
+    assert order[0] == "symbols"
+    assert 0 < sum(asked) <= 8  # the two short texts are rejected by the base and not asked about
