@@ -31,22 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH_ROWS = 1000  # of an Arrow batch
+BATCH_BYTES = 8 << 20
 
 
 def prepared(f):
     """``f``, whose first argument is a session, with the package sent to the executors and small Arrow batches before it.
 
-    Texts are some kilobytes each, and a batch is held by the JVM and by its
-    worker at once, so Spark's 10,000 rows would take much of a small executor.
-    A session that names another number keeps it.
+    Texts are some kilobytes each, some of them megabytes, and a batch is held
+    by the JVM and by its worker at once, so Spark's 10,000 rows or 64 MB would
+    take much of a small executor. A session that names other numbers keeps them.
     """
 
     @functools.wraps(f)
     def run(spark, *args, **kwargs):
         ship(spark)
-        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if spark.conf.get(rows) == "10000":
-            spark.conf.set(rows, str(BATCH_ROWS))
+        for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
+            name = f"spark.sql.execution.arrow.{name}"
+            if spark.conf.get(name, "") in (usual, usual.rstrip("b")):
+                spark.conf.set(name, str(ours))
         return f(spark, *args, **kwargs)
 
     return run
