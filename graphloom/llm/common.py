@@ -47,7 +47,7 @@ def prepared(f):
         ship(spark)
         for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
             name = f"spark.sql.execution.arrow.{name}"
-            if spark.conf.get(name, "") in (usual, usual.rstrip("b")):
+            if spark.conf.get(name) in (usual, usual.rstrip("b")):
                 spark.conf.set(name, str(ours))
         return f(spark, *args, **kwargs)
 
