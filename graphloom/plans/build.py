@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.keep import keep
 from graphloom.functions.ship import ship
 from graphloom.operators import analysis, resolve
 from graphloom.sources import facts, snapshot, walk
@@ -45,13 +46,13 @@ def build(spark: SparkSession, root: str, store: str | None = None, incremental:
     changes = None
     if incremental and store:
         before = snapshot.read(spark, store, "files")
-        changes = analysis.incremental_diff(before.select("path", "content_hash"), now.select("path", "content_hash"))
+        changes = keep(analysis.incremental_diff(before.select("path", "content_hash"), now.select("path", "content_hash")))
         again = changes.filter("change in ('added', 'changed')").select("path").union(analysis.reverse_dependents(snapshot.read(spark, store, "edges"), changes).select("path"))
         kept = before.join(changes.filter("change = 'unchanged'").join(again, "path", "left_anti"), "path", "left_semi")
         files = facts.extract(now.join(again, "path", "left_semi")).unionByName(kept)
     else:
         files = facts.extract(now)
-    every = walk.every_path(spark, root)
+    files, every = keep(files), keep(walk.every_path(spark, root))  # read and parsed once; names are looked up in them many times
     nodes, edges = resolve.build_graph(files, every, _manifest(root, "go.mod", r"^module\s+(\S+)"), _manifest(root, "Cargo.toml", r'^name\s*=\s*"([^"]+)"'))
     if store:
         snapshot.write(store, nodes, edges, files, {"root": root, "build_mode": "incremental" if incremental else "full"})

@@ -7,6 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.keep import keep
 from graphloom.operators import resolve
 from graphloom.sources import facts, gitlog, snapshot, walk
 from graphloom.streaming import watch
@@ -87,7 +88,7 @@ def test_snapshots_of_two_writers(spark, tmp_path):
 
 def test_snapshot_keyed_reads(spark, repo, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("store"))
-    files = facts.extract(walk.source_files(spark, repo))
+    files = keep(facts.extract(walk.source_files(spark, repo)))
     nodes, edges = resolve.build_graph(files)
     assert snapshot.write(root, nodes, edges, files, {"root": repo}) == 1
     one = snapshot.read_files(spark, root, ["lib/b.py", "none.py"])
@@ -120,7 +121,7 @@ def test_a_stream_of_changes_equals_a_full_build(spark, tmp_path):
             told.append(sorted((r["path"], r["change"]) for r in spark.read.parquet(table).filter(F.col("seq") > seq - len(step)).collect()))
         assert told == [[("a.py", "added"), ("b.py", "added"), ("c.py", "added")], [("b.py", "changed"), ("c.py", "removed")], [("d.py", "added")], [("c.py", "added"), ("d.py", "removed")]]
         full = facts.extract(spark.createDataFrame([(p, "python", t.encode()) for p, t in now.items()], "path string, language string, content binary").withColumn("content_hash", F.sha2("content", 256)))
-        kept = watch.current_records(spark, table)
+        full, kept = keep(full), keep(watch.current_records(spark, table))
         for one, two in zip(resolve.build_graph(kept), resolve.build_graph(full), strict=True):
             assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
     finally:
