@@ -9,6 +9,8 @@ that dies leaves a claim that nobody publishes.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,19 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
 
 
 def _create(spark: SparkSession, path: str) -> bool:
-    """Whether the file was not there and is now."""
+    """Whether the file was not there and is now; of several that try at once, one is told so.
+
+    Hadoop's own client of a local disk looks first and creates then, so there the system's exclusive creation is asked for.
+    """
     fs, at = _store(spark, path)
+    if fs.getScheme() == "file":
+        local = at.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
     try:
         return fs.createNewFile(at)
     except Exception as error:
