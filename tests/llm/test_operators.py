@@ -343,6 +343,34 @@ def test_shards_are_even_and_keep_equal_texts(docs, texts):
     for s in range(4):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s]))
     assert collections.Counter((r["size"], r["text_crc32"]) for r in rows) == collections.Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in texts)
+    homes = collections.defaultdict(set)
+    for r in rows:
+        homes[r["size"], r["text_crc32"]].add(r["shard"])
+    assert all(len(v) == 1 for v in homes.values())  # no group here is larger than a shard
+
+
+@pytest.mark.parametrize("placed", [sharding.PLACED, 0])  # 0: all groups go by running sums
+def test_only_groups_without_room_are_parted(spark, monkeypatch, placed):
+    monkeypatch.setattr(sharding, "PLACED", placed)
+    texts = ["hot"] * 40 + [f"pair {i // 2}" for i in range(30)] + [f"five {i // 5}" for i in range(20)] + [f"one {i}" for i in range(31)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs, shards=6).collect()  # quotas of 20 and 21
+    counts = collections.Counter(r["shard"] for r in rows)
+    assert sorted(counts.values()) == [20] * 5 + [21]
+    for s in range(6):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s]))
+    homes = collections.defaultdict(set)
+    for r in rows:
+        homes[texts[r["doc_id"]]].add(r["shard"])
+    pieces_of_hot = len(homes.pop("hot"))
+    assert pieces_of_hot == 2 if placed else pieces_of_hot >= 2  # what goes by running sums fills the rooms that are left, however many
+    assert all(len(v) == 1 for v in homes.values())
+
+
+def test_seats_are_whole_where_they_fit_else_in_few_pieces():
+    room = [10, 10, 10]
+    whole, runs = sharding.seat([(b"a", 12, 0), (b"b", 7, 1), (b"c", 6, 1), (b"d", 5, 2)], room)
+    assert whole == {b"b": 1, b"c": 2} and runs == [(b"a", 0, 10), (b"a", 1, 2), (b"d", 2, 4), (b"d", 1, 1)] and sum(room) == 0
 
 
 def test_language_model_base_and_sums(docs, texts):
