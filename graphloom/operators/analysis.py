@@ -74,6 +74,18 @@ def dead_methods(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFra
     return found.select("id", "name", "path", "owner", F.when(F.col("loose"), "no-resolved-references").otherwise("confirmed-unreferenced").alias("tier"))
 
 
+def verdicts(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame:
+    """(id, verdict, tier, inbound) of every node of the repository itself; ``dead`` (id, tier) may hold methods too.
+
+    Files are no candidates. Others are dead candidates with a tier, or
+    referenced; inbound counts resolved calls and inherits.
+    """
+    into = edges.filter(F.col("type").isin("calls", "inherits") & (F.col("confidence") == RESOLVED)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
+    rows = nodes.filter("not external").select("id", "type").join(dead.select("id", "tier"), "id", "left").join(into, "id", "left")
+    verdict = F.when(~F.col("type").isin("function", "class", "method"), "not-a-candidate").when(F.col("tier").isNotNull(), "dead-candidate").otherwise("referenced")
+    return rows.select("id", verdict.alias("verdict"), "tier", F.coalesce("k", F.lit(0)).cast("long").alias("inbound"))
+
+
 def coverage_summary(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: test files, source files, covered ones (``path`` of ``pairs``, or of covered files), and their share to 4 places."""
     files = nodes.filter("type = 'file' and path is not null").select("path", paths.is_test(F.col("path")).alias("test"))
@@ -104,6 +116,24 @@ def complexity_by_file(facts: DataFrame) -> DataFrame:
     return facts.groupBy("path").agg(F.max("complexity").alias("max_complexity"), F.count("*").alias("functions"))
 
 
+def complexity_totals(facts: DataFrame) -> DataFrame:
+    """One row: files with functions, functions, the largest complexity (0 without functions)."""
+    return facts.agg(F.count_distinct("path").alias("files"), F.count("*").alias("functions"), F.coalesce(F.max("complexity"), F.lit(0)).cast("int").alias("max_complexity"))
+
+
+def most_complex(facts: DataFrame, top: int = 10) -> DataFrame:
+    return facts.orderBy(F.col("complexity").desc(), "path", "name").limit(top)
+
+
+def signals(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row: unresolved edges of the six commonest texts and of all, outside modules, files that change without tests."""
+    top = ambiguous_hotspots(edges).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("unresolved_top"))
+    loose = edges.filter(F.col("confidence") == AMBIGUOUS).agg(F.count("*").alias("unresolved"))
+    outside = nodes.filter("external and type = 'module'").agg(F.count("*").alias("external_modules"))
+    changing = scores.filter("not tested and commits_in_window > 0").agg(F.count("*").alias("untested_changing"))
+    return top.crossJoin(loose).crossJoin(outside).crossJoin(changing)  # one row each
+
+
 def risk(nodes: DataFrame, history: DataFrame, pairs: DataFrame, complexity: DataFrame | None = None) -> DataFrame:
     """(path, score, commits_in_window, untracked, tested, tests, max_complexity) of each source file."""
     files = nodes.filter("type = 'file' and path is not null").filter(~paths.is_test(F.col("path"))).select("path").distinct()

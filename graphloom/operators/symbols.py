@@ -35,8 +35,8 @@ def _folded(c: str) -> Column:
     return F.translate(F.col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def resolve_targets(nodes: DataFrame, targets: list[str] | DataFrame) -> DataFrame:
-    """(target, status, id) of each target: found, multiple (with the smallest id) or not-found.
+def target_hits(nodes: DataFrame, targets: list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target) asked for, and (target, rank, id) of all nodes that a rule names; the rule of least rank counts.
 
     What begins as a node id is one or nothing. What has a slash or a known
     suffix is a whole path, else the end of one, whatever the case of A to Z.
@@ -64,6 +64,19 @@ def resolve_targets(nodes: DataFrame, targets: list[str] | DataFrame) -> DataFra
     for rank, found in enumerate(tries):
         one = found.select("target", F.lit(rank).alias("rank"), "id")
         hits = one if hits is None else hits.unionByName(one)
+    return asked, hits
+
+
+def resolve_targets(nodes: DataFrame, targets: list[str] | DataFrame) -> DataFrame:
+    """(target, status, id) of each target: found, multiple (with the smallest id) or not-found, by the rules of ``target_hits``."""
+    asked, hits = target_hits(nodes, targets)
     best = hits.groupBy("target", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).groupBy("target").agg(F.min_by(F.struct("n", "id"), "rank").alias("hit"))
     status = F.when(F.col("hit").isNull(), "not-found").when(F.col("hit.n") == 1, "found").otherwise("multiple")
     return asked.select("target").join(best, "target", "left").select("target", status.alias("status"), F.col("hit.id").alias("id"))
+
+
+def candidates(nodes: DataFrame, targets: list[str] | DataFrame) -> DataFrame:
+    """(target, id, type, path) of every node that a target may mean: those of its first rule that names any."""
+    _, hits = target_hits(nodes, targets)
+    first = hits.groupBy("target").agg(F.min("rank").alias("rank"))
+    return hits.join(first, ["target", "rank"]).select("target", "id").distinct().join(nodes.select("id", "type", "path"), "id").select("target", "id", "type", "path")

@@ -106,6 +106,18 @@ query("dead_methods", _DEAD + """SELECT m.id, m.name, m.path, e.src AS owner, CA
   FROM nodes m JOIN edges e ON e.dst = m.id AND e.type = 'defines' JOIN dead ON dead.id = e.src AND dead.type = 'class' AND dead.tier = 'confirmed-unreferenced'
   WHERE m.type = 'method' AND m.id NOT IN (SELECT dst FROM used)""")(lambda s, d: A.dead_methods(G.nodes(s, d), G.edges(s, d), A.dead_code(G.nodes(s, d), G.edges(s, d))))
 
+query("dead_code_verdicts", _DEAD + """, gone AS (SELECT id, tier FROM dead UNION ALL SELECT m.id, CASE WHEN m.name IN (SELECT name FROM loose) THEN 'no-resolved-references' ELSE 'confirmed-unreferenced' END
+  FROM nodes m JOIN edges e ON e.dst = m.id AND e.type = 'defines' JOIN dead ON dead.id = e.src AND dead.type = 'class' AND dead.tier = 'confirmed-unreferenced' WHERE m.type = 'method' AND m.id NOT IN (SELECT dst FROM used)),
+calls_in AS (SELECT dst, count(*) AS k FROM edges WHERE type IN ('calls', 'inherits') AND confidence = 'resolved' GROUP BY dst)
+SELECT n.id, CASE WHEN n.type NOT IN ('function', 'class', 'method') THEN 'not-a-candidate' WHEN g.id IS NOT NULL THEN 'dead-candidate' ELSE 'referenced' END AS verdict, g.tier, coalesce(k, 0) AS inbound
+FROM nodes n LEFT JOIN gone g ON g.id = n.id LEFT JOIN calls_in c ON c.dst = n.id WHERE NOT n.external""")(lambda s, d: _verdicts(s, d))
+
+
+def _verdicts(s, d):
+    dead = A.dead_code(G.nodes(s, d), G.edges(s, d))
+    methods = A.dead_methods(G.nodes(s, d), G.edges(s, d), dead)
+    return A.verdicts(G.nodes(s, d), G.edges(s, d), dead.select("id", "tier").unionByName(methods.select("id", "tier")))
+
 
 def _scc(kind: str, where: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM edges WHERE type = '{kind}' AND confidence = 'resolved' AND {where} AND src <> dst),
@@ -207,6 +219,10 @@ query("risk_with_complexity", _risk_sql(_MEASURED) + "SELECT * FROM scores")(lam
 query("riskiest_files_top5", _risk_sql(_MEASURED) + "SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 5")(lambda s, d: A.riskiest(_risk(s, d, True, False), 5).select("path", "score"))
 query("untested_churning_files", _risk_sql(_PLAIN) + "SELECT path, commits_in_window FROM scores WHERE NOT tested AND commits_in_window > 0")(lambda s, d: _risk(s, d, named=False).filter("not tested and commits_in_window > 0").select("path", "commits_in_window"))
 query("complexity_file_max", "SELECT path, max(complexity) AS max_complexity, count(*) AS functions FROM complexity GROUP BY path")(lambda s, d: A.complexity_by_file(_facts(s, d)))
+query("security_signals", _risk_sql(_PLAIN) + """SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM edges WHERE confidence = 'ambiguous' AND callee_text IS NOT NULL GROUP BY callee_text ORDER BY n DESC LIMIT 6)) AS unresolved_top,
+  (SELECT count(*) FROM edges WHERE confidence = 'ambiguous') AS unresolved, (SELECT count(*) FROM nodes WHERE external AND type = 'module') AS external_modules,
+  (SELECT count(*) FROM scores WHERE NOT tested AND commits_in_window > 0) AS untested_changing""")(lambda s, d: A.signals(G.nodes(s, d), G.edges(s, d), _risk(s, d, named=False)))
+query("complexity_totals", "SELECT count(DISTINCT path) AS files, count(*) AS functions, coalesce(max(complexity), 0)::INT AS max_complexity FROM complexity")(lambda s, d: A.complexity_totals(_facts(s, d)))
 query("complexity_top_functions", "SELECT path, name, complexity FROM complexity ORDER BY complexity DESC, path, name LIMIT 10")(lambda s, d: _facts(s, d).orderBy(F.col("complexity").desc(), "path", "name").limit(10).select("path", "name", "complexity"))
 
 query("find_symbol_exact", "SELECT id, type, name, path FROM nodes WHERE lower(name) = lower('CUSTOMER#000000007') OR lower(name) = 'europe' ORDER BY id LIMIT 20")(lambda s, d: S.find_exact(G.nodes(s, d), ["CUSTOMER#000000007", "europe"]))
@@ -215,16 +231,19 @@ query("find_symbol_substring", "SELECT id, type, name, path FROM nodes WHERE con
 _TARGETS = """SELECT DISTINCT target FROM (SELECT regexp_replace(path, '^.*/', '') AS target FROM nodes WHERE type = 'file' UNION ALL SELECT 'SRC/' || regexp_replace(path, '^.*/', '') FROM nodes WHERE type = 'file'
   UNION ALL SELECT regexp_replace(id, '^f:', '') FROM nodes WHERE type = 'file' UNION ALL SELECT id FROM nodes UNION ALL SELECT upper(name) FROM nodes WHERE type <> 'file' UNION ALL SELECT 'no' || name FROM nodes WHERE type = 'function'
   UNION ALL SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '') FROM nodes WHERE type = 'file') t"""
-query("resolve_target", f"""WITH asked AS ({_TARGETS}), own AS (SELECT * FROM nodes WHERE NOT external),
+_HITS = f"""WITH asked AS ({_TARGETS}), own AS (SELECT * FROM nodes WHERE NOT external),
 kinds AS (SELECT target, CASE WHEN regexp_matches(target, '^(f|fn|cls|m|xm|xf|xc):') THEN 'id' WHEN regexp_matches(lower(target), '/|[.](js|jsx|mjs|cjs|ts|tsx|mts|cts|py)$') THEN 'path' ELSE 'name' END AS kind FROM asked),
 ends AS (SELECT id, path, lower(regexp_replace(path, '^[^/]*/', '')) AS tail, regexp_replace(path, '^.*/', '') AS base FROM own WHERE type = 'file'),
 hits AS (SELECT target, 1 AS rank, id FROM kinds JOIN own ON id = target WHERE kind = 'id' UNION ALL SELECT target, 2, id FROM kinds JOIN ends ON path = target WHERE kind = 'path'
   UNION ALL SELECT target, 3, id FROM kinds JOIN ends ON tail = lower(target) WHERE kind = 'path' AND path LIKE '%/%'
-  UNION ALL SELECT target, 4, id FROM kinds JOIN own ON lower(name) = lower(target) WHERE kind = 'name' AND type IN ('function', 'class', 'method') UNION ALL SELECT target, 5, id FROM kinds JOIN ends ON base = target WHERE kind = 'name'),
+  UNION ALL SELECT target, 4, id FROM kinds JOIN own ON lower(name) = lower(target) WHERE kind = 'name' AND type IN ('function', 'class', 'method') UNION ALL SELECT target, 5, id FROM kinds JOIN ends ON base = target WHERE kind = 'name'),"""
+query("resolve_target", _HITS + """
 best AS (SELECT target, rank, count(DISTINCT id) AS n, min(id) AS id FROM hits GROUP BY target, rank QUALIFY row_number() OVER (PARTITION BY target ORDER BY rank) = 1)
 SELECT a.target, CASE WHEN n IS NULL THEN 'not-found' WHEN n = 1 THEN 'found' ELSE 'multiple' END AS status, best.id FROM asked a LEFT JOIN best ON best.target = a.target""")(
     lambda s, d: (lambda n: S.resolve_targets(n, s.sql(_TARGETS.replace("FROM nodes", "FROM {nodes}"), nodes=n)))(G.nodes(s, d))
 )
+query("target_candidates", _HITS.rstrip(",") + """ SELECT DISTINCT h.target, h.id, o.type, o.path FROM (SELECT *, min(rank) OVER (PARTITION BY target) AS first FROM hits) h JOIN own o ON o.id = h.id WHERE rank = first""")(
+    lambda s, d: (lambda n: S.candidates(n, s.sql(_TARGETS.replace("FROM nodes", "FROM {nodes}"), nodes=n)))(G.nodes(s, d)))
 query("enclosing_symbol", """WITH places AS (SELECT DISTINCT path, start_line + 1 AS line FROM nodes WHERE type = 'function')
   SELECT p.path, p.line, arg_min(id, struct_pack(w := end_line - start_line, i := id)) AS id FROM places p JOIN nodes n ON n.path = p.path AND start_line <= line AND end_line >= line GROUP BY p.path, p.line""")(
     lambda s, d: (lambda n: A.enclosing_symbol(n, n.filter("type = 'function'").select("path", (F.col("start_line") + 1).alias("line")).distinct()))(G.nodes(s, d))

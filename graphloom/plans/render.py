@@ -47,6 +47,10 @@ def report(figures: dict) -> str:
         f"cycles: {pairs(figures['cycles'])}",
         f"covered by imports of tests: {c['covered_files']} of {c['source_files']} files ({100 * c['ratio']:.1f} %)",
         f"changing without tests: {figures['untested_and_changing']}",
+        *(f"  {p}" for p in figures.get("untested_and_changing_first", ())),
+        *(f"{kind} cycle of {c['size']}: {' > '.join(c['path'])}" for kind, found in figures.get("cycle_paths", {}).items() for c in found),
+        *([f"functions: {m['functions']} in {m['files']} files, complexity up to {m['max_complexity']}"] if (m := figures.get("complexity")) else []),
+        *([f"files with syntax errors: {figures['parse_errors']}"] if "parse_errors" in figures else []),
         "riskiest:",
         *(f"  {r['score']:3d} {r['path']}" for r in figures["risks"]),
     ]
@@ -58,11 +62,14 @@ def answer(told: dict) -> str:
     if told.get("refused"):
         return f"That is no question I can answer; I know about: {', '.join(told['supported'])}."
     if told.get("status"):
-        return f"{told['target']} is not one thing here ({told['status']})."
+        first = f"{told['target']} is not one thing here ({told['status']})."
+        return "\n".join([first, *(f"  {c['id']}" for c in told.get("candidates", ()))])
     kind = told["intent"]
     if kind == "blast-radius":
         return blast_flat(told)
     if kind == "dead-code-check":
+        if told.get("verdict") == "not-a-candidate":
+            return f"{told['node']} is no function, class or method, so it is not judged."
         texts = {
             "confirmed-unreferenced": "is dead: nothing refers to it.",
             "referenced-but-uncalled": "is passed around but never called as far as can be proven.",

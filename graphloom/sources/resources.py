@@ -86,6 +86,15 @@ def load(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, GRANT)
 
 
+def given(spark: SparkSession, scope: str, inline: dict | None = None, config: str | None = None) -> DataFrame:
+    """Grants of one scope, told either in place or by a configuration, not both; a scope that isn't told has none."""
+    if inline is not None and config is not None:
+        raise ValueError("give grants in place or a configuration, not both")
+    if inline is not None:
+        return load(spark, json.dumps({"scopes": {scope: inline}}))
+    return load(spark, config if config is not None else '{"scopes": {}}').filter(F.col("scope") == scope)
+
+
 def merged(given: DataFrame, derived: DataFrame) -> DataFrame:
     """Given category grants, and those derived from the graph whose (scope, category, module) isn't given."""
     own = given.filter("area = 'categoryLevel'").select("scope", "category", F.col("via_module").alias("module"), "origin")

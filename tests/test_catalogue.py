@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["node_counts_by_type", "edge_guard_violations", "ambiguous_hotspots", "dependent_counts", "file_churn", "enclosing_symbol", "incremental_diff", "question_intents", "module_access_breaches", "reference_edges", "resolve_target", "ancestor_order", "call_resolution_diamond", "representative_cycles", "test_coverage_pairs", "extract_python_symbols", "resolved_source_edges"])
+@pytest.mark.parametrize("name", ["node_counts_by_type", "edge_guard_violations", "ambiguous_hotspots", "dependent_counts", "file_churn", "enclosing_symbol", "incremental_diff", "question_intents", "module_access_breaches", "reference_edges", "resolve_target", "target_candidates", "dead_code_verdicts", "security_signals", "complexity_totals", "ancestor_order", "call_resolution_diamond", "representative_cycles", "test_coverage_pairs", "extract_python_symbols", "resolved_source_edges"])
 def test_query_equals_sql(spark, duck, name):
     found = catalogue.QUERIES[name](spark, SMALL)
     wanted = duck.sql(catalogue.ORACLE_SQL[name])

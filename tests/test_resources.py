@@ -25,6 +25,15 @@ def test_grants_cover_what_they_say(spark):
     assert {(r["module"], r["origin"]) for r in resources.merged(given, derived).collect()} == {("http", "config"), ("fs", "graph-import")}
 
 
+def test_grants_come_in_one_of_two_ways(spark):
+    inline, text = {"environment": [{"name": "HOME", "access": "read"}]}, config(network=[{"host": "h"}])
+    assert [r["area"] for r in resources.given(spark, "f:a.js", inline=inline).collect()] == ["environment"]
+    assert [r["host"] for r in resources.given(spark, "f:a.js", config=text).collect()] == ["h"]
+    assert resources.given(spark, "f:other.js", config=text).isEmpty() and resources.given(spark, "f:a.js").isEmpty()
+    with pytest.raises(ValueError):
+        resources.given(spark, "f:a.js", inline=inline, config=text)
+
+
 @pytest.mark.parametrize("areas", [
     {"disk": []}, {"network": [{"host": ""}]}, {"network": [{"host": "a", "port": 0}]}, {"network": [{"host": "a", "port": True}]}, {"subprocess": [{"commands": []}]},
     {"environment": [{"name": "A", "access": "own"}]}, {"filesystem": [{"path": "a", "access": []}]}, {"filesystem": {"path": "a"}}, {"network": [{"host": "a", "extra": 1}]},
