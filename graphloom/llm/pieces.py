@@ -211,7 +211,7 @@ class Lattice:
     def decode(self, ids: bytes) -> str:
         """The text that a segmentation came from."""
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw[1:].decode() if ids else ""
+        return raw[1:].decode(errors="replace") if ids else ""
 
 
 #: spaces and what follows them: pieces with a space inside are all spaces
@@ -261,5 +261,26 @@ def segment_documents(docs: DataFrame, n: int = N_BEST, path: str | None = None,
     return rows.mapInArrow(tidy(coded), "doc_id long, n_pieces long, score double, ids binary, scores array<double>, ids_crc32 array<long>, round_trip boolean")
 
 
+def decode_documents(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and text of every row of ids (unsigned little-endian 32-bit numbers of pieces), as ``segment_documents`` gives them.
+
+    Null ids give a null text, no ids an empty one. Ids that aren't whole
+    numbers of 32 bits or that no piece has fail the job, and bytes that are
+    not UTF-8, which no text's own ids give, become U+FFFD. Rows of any length
+    are decoded whole; repeated rows and null ids of documents keep a row each,
+    an empty table gives an empty table, and other columns are not read.
+    """
+    path = path or vocabulary()
+
+    def decoded(batches):
+        lattice = lattice_of(path)
+        for batch in batches:
+            texts = [None if ids is None else lattice.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    rows = coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids"))
+    return rows.mapInArrow(tidy(decoded), "doc_id long, text string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return segment_documents(table(spark, sf_dir, "documents")).drop("ids")

@@ -336,6 +336,20 @@ def test_n_best_is_brute_force():
         assert all(lattice.decode(g[1]) == text for g in got)
 
 
+def test_segmentations_decode_to_the_texts(spark):
+    r = random.Random(5)
+    texts = ["", None, " ", "a", "  two  spaces ", "tab\tand\nline", "é中🙂 mixed", "x" * 3000, *("".join(r.choice("the an. é中\n|Z9") for _ in range(r.randint(20, 2000))) for _ in range(20))]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no id"), (3, "a")], "doc_id long, text string").withColumn("ids", F.lit("other"))
+    coded = pieces.segment_documents(docs)
+    back = pieces.decode_documents(coded.withColumn("text", F.lit(0)))
+    want = sorted((str(i), t or "") for i, t in [*enumerate(texts), (None, "no id"), (3, "a")])
+    assert sorted((str(x["doc_id"]), x["text"]) for x in back.collect()) == want
+    assert coded.filter("octet_length(ids) <> 4 * n_pieces").isEmpty()
+    odd = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id long, ids binary")
+    assert {(x["doc_id"], x["text"]) for x in pieces.decode_documents(odd).collect()} == {(1, None), (2, "")}
+    assert pieces.decode_documents(odd.limit(0)).isEmpty()
+
+
 def test_shards_are_even_and_keep_equal_texts(docs, texts):
     rows = sharding.shard_documents(docs, shards=4).collect()
     counts = collections.Counter(r["shard"] for r in rows)
