@@ -20,22 +20,45 @@ from graphloom.llm.suffix_dedup import remove_repeats
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models score 0.7 or more go."""
+    """Documents that the toxicity models score 0.7 or more go.
+
+    A text is scored whole, a null one as empty; rows that repeat an id or a
+    text are judged alike, each for itself. Labels of one class, or none, let
+    all rows stay, and an empty table gives an empty one. Other columns are
+    carried, whatever their names.
+    """
     return toxicity.keep_ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, and one of those that share it; null counts as empty."""
+    """Of equal texts the row with the largest doc_id stays, and one of those that share it.
+
+    A null text counts as empty and a null id as the smallest. An id with two
+    texts keeps both. An empty table gives an empty one; other columns are
+    carried, whatever their names.
+    """
     return keep_last(docs)
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays; texts without words all stay."""
+    """Of each group of near-duplicates the row with the smallest doc_id stays; texts without words, null ones too, all stay.
+
+    A null id counts as the largest. Rows are told apart by id and text, so of
+    an id with two texts each is judged for itself. An empty table gives an
+    empty one; other columns are carried, whatever their names.
+    """
     return keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of strings of 100 bytes are cut out of the texts; bytes of a character cut in two go with it."""
+    """Later copies of strings of 100 bytes are cut out of the texts; bytes of a character cut in two go with it.
+
+    All rows stay, those whose text is cut away with an empty one, and null
+    texts become empty. Earlier is the smaller doc_id, null first; rows of one
+    id are in an order of their own. ``n_chars`` tells the new length where
+    something was cut. An empty table gives an empty one; other columns are
+    carried, whatever their names.
+    """
     cut = remove_repeats(docs)
     # a cut within a character leaves bytes that try_validate_utf8 refuses; make_valid_utf8 marks them, and the mark is taken out
     text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(
@@ -49,7 +72,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences: the last stage, so documents' columns end here.
+
+    A null or empty text is one piece of one token; rows that repeat an id or
+    a text, or have no id, have pieces of their own. An empty table gives an
+    empty one.
+    """
     return pack_documents(docs)
 
 
@@ -64,7 +92,8 @@ STAGES = [
     )
 ]
 
-#: Class-conditional models can't be stated in SQL; tests hold each stage against brute force.
+#: Class-conditional models can't be stated in SQL. tests/llm/test_pipeline.py holds exact dedup, near duplicates and cuts against
+#: brute force, packing against the tokens there are, and toxicity against labels that a plain rule gave.
 ORACLE_SQL = None
 
 
