@@ -538,3 +538,14 @@ def test_rules_are_ordered_by_what_they_add(monkeypatch):
     order = quality_rules.order_rules(texts, rules)
     assert order[0] == "symbols"
     assert 0 < sum(asked) <= 8  # the two short texts are rejected by the base and not asked about
+
+
+def test_no_evidence_is_never_rather_toxic():
+    y = np.repeat([0.0, 1.0], [30, 30])
+    apart = np.append(np.linspace(-3, -2, 30), np.linspace(-0.5, 0.5, 30))  # the best threshold lies below 0
+    slope, offset = toxicity._logistic(apart, y)
+    assert offset == 0 and slope > 0
+    grid = np.linspace(0, 50, 20001)[:, None] * apart / apart.std()
+    loss = np.logaddexp(0, grid).sum(1) - (grid * y).sum(1) + np.linspace(0, 50, 20001) ** 2 / 2
+    assert abs(slope * apart.std() - np.linspace(0, 50, 20001)[loss.argmin()]) < 0.005
+    assert toxicity._logistic(apart + 3, y)[1] < 0
