@@ -45,10 +45,26 @@ def test_every_line_and_order_counts(spark, tables):
     assert edges.filter("type = 'references'").count() == orders[orders["o_custkey"].isin(kept)]["o_custkey"].nunique()
 
 
-def test_the_graph_has_structure(spark):
-    figures = catalogue.QUERIES["test_coverage_summary"](spark, "/root/testdata/sf0.01").first()
-    assert 0.2 < figures["ratio"] < 0.8
-    parts = catalogue.QUERIES["import_cycles_scc"](spark, "/root/testdata/sf0.01").groupBy("component").count().collect()
+def test_all_edges_are_every_pair(spark, tables):
+    lines, orders = tables["lineitem"], tables["orders"]
+    edges = testgraph.all_edges(spark, SMALL)
+    lines = lines.sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    follows = lines.assign(b=lines.groupby("l_orderkey")["l_partkey"].shift(-1)).dropna(subset="b")
+    assert edges.filter("type = 'imports' and dst like 'f:%'").count() == len(follows[["l_partkey", "b"]].drop_duplicates())
+    assert edges.filter("type = 'imports' and dst like 'xm:%'").count() == len(lines[["l_partkey", "l_suppkey"]].drop_duplicates())
+    after = orders.assign(o_orderkey=orders["o_orderkey"] - 1)[["o_orderkey", "o_custkey"]].rename(columns={"o_custkey": "callee"})
+    calls = orders.merge(after, on="o_orderkey").assign(loose=lambda x: x["o_orderstatus"] == "P", line=lambda x: x["o_orderkey"] % 500 + 1)
+    assert edges.filter("type = 'calls'").count() == len(calls[["o_custkey", "callee", "loose", "line"]].drop_duplicates())
+    # what the queries take
+    by_type = {r["type"]: r["n"] for r in catalogue.QUERIES["edge_counts_by_type"](spark, SMALL).collect()}
+    assert by_type == {r["type"]: r["count"] for r in edges.groupBy("type").count().collect()}
+
+
+def test_the_main_edges_have_structure(spark):
+    small = "/root/testdata/sf0.01"
+    covered = catalogue._covered(spark, small, testgraph.edges)
+    assert 0.2 < catalogue.A.coverage_summary(testgraph.nodes(spark, small), covered).first()["ratio"] < 0.8
+    parts = catalogue._components(spark, small, "imports", testgraph.edges).groupBy("component").count().collect()
     assert len(parts) > 20
 
 
