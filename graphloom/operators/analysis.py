@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
+from graphloom.operators import coverage
 from graphloom.schema import AMBIGUOUS, DEPENDENCY, RESOLVED
 
 MAIN_NAMES = ("main", "__main__")
@@ -134,20 +135,27 @@ def signals(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
     return top.crossJoin(loose).crossJoin(outside).crossJoin(changing)  # one row each
 
 
-def risk(nodes: DataFrame, history: DataFrame, pairs: DataFrame, complexity: DataFrame | None = None) -> DataFrame:
-    """(path, score, commits_in_window, untracked, tested, tests, max_complexity) of each source file."""
+def risk(nodes: DataFrame, history: DataFrame, pairs: DataFrame, complexity: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """(path, score, commits_in_window, untracked, tested, tests, max_complexity) of each source file.
+
+    ``pairs`` is (test, path), or with ``sets`` (of, tests) it is (path, of); the
+    lists are then joined last, so that they are not shuffled with the files.
+    """
     files = nodes.filter("type = 'file' and path is not null").filter(~paths.is_test(F.col("path"))).select("path").distinct()
-    tests = pairs.groupBy("path").agg(F.sort_array(F.collect_set("test")).alias("tests"))
+    tests = pairs.select("path", "of") if sets is not None else pairs.groupBy("path").agg(F.sort_array(F.collect_set("test")).alias("tests"))
+    of = F.col("of" if sets is not None else "tests")
     rows = files.join(history, "path", "left").join(tests, "path", "left")
     rows = rows.join(complexity.select("path", "max_complexity"), "path", "left") if complexity is not None else rows.withColumn("max_complexity", F.lit(None).cast("int"))
     recent = F.coalesce("commits_in_window", F.lit(0))
     measured = F.coalesce("max_complexity", F.lit(0))
     score = (
         F.round(F.least(recent, F.lit(CHURN_MOST)) / CHURN_MOST * CHURN_WEIGHT)
-        + F.when(F.col("tests").isNull(), NO_TEST_WEIGHT).otherwise(0)
+        + F.when(of.isNull(), NO_TEST_WEIGHT).otherwise(0)
         + F.when(measured > 0, F.round(F.least(measured, F.lit(COMPLEXITY_MOST)) / COMPLEXITY_MOST * COMPLEXITY_WEIGHT)).otherwise(0)
     )
-    return rows.select("path", score.cast("long").alias("score"), recent.alias("commits_in_window"), F.col("commits_total").isNull().alias("untracked"), F.col("tests").isNotNull().alias("tested"), F.coalesce("tests", F.array().cast("array<string>")).alias("tests"), measured.alias("max_complexity"))
+    rows = rows.select("path", score.cast("long").alias("score"), recent.alias("commits_in_window"), F.col("commits_total").isNull().alias("untracked"), of.isNotNull().alias("tested"), of, measured.alias("max_complexity"))
+    rows = coverage.with_tests(rows, sets, "left") if sets is not None else rows
+    return rows.select("path", "score", "commits_in_window", "untracked", "tested", F.coalesce("tests", F.array().cast("array<string>")).alias("tests"), "max_complexity")
 
 
 def riskiest(scores: DataFrame, top: int = 10) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.keep import keep
 from graphloom.operators.cycles import components
-from graphloom.operators.reach import reach_sets, reached
+from graphloom.operators.reach import reach_lists, reached
 from graphloom.schema import RESOLVED
 
+SENT_NAMES = 1_000_000  # names of tests, counted, that are sent to the files: some 25 MB
+
 
 def _files(nodes: DataFrame, is_test) -> DataFrame:
     return nodes.filter("type = 'file' and path is not null").select("id", "path", is_test(F.col("path")).alias("test"))
@@ -36,17 +38,34 @@ def condensed(edges: DataFrame, members: DataFrame) -> DataFrame:
     return named.filter("src != dst").distinct()
 
 
-def coverage_pairs(nodes: DataFrame, edges: DataFrame, is_test, members: DataFrame | None = None) -> DataFrame:
-    """(test, path): files that are no tests and that a test file reaches over resolved imports, also through other tests.
+def coverage_sets(nodes: DataFrame, edges: DataFrame, is_test, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, of) of the covered files that are no tests, and (of, tests): the test files, sorted, that reach them over resolved imports, also through other tests.
 
-    ``members`` are the components of the imports, if they are known already.
+    Files of a component share a list, so lists grow with the components and
+    not with the files. ``members`` are the components of the imports, if they
+    are known already.
     """
     files, imports = _files(nodes, is_test), keep(_imports(edges))
     members = keep(components(imports) if members is None else members)
     placed = keep(files.join(members, "id", "left").withColumns({"round": F.col("component").isNotNull(), "component": F.coalesce("component", "id")}))
     tests = placed.filter("test").select(F.col("path").alias("root"), F.col("component").alias("node"), "round")
-    found = reach_sets(tests, condensed(imports, members)).union(tests.filter("round").select("root", "node"))
-    return found.join(placed.filter("not test").select(F.col("component").alias("node"), "path"), "node").select(F.col("root").alias("test"), "path")
+    found = reach_lists(tests, condensed(imports, members)).union(tests.filter("round").select("node", F.array("root")))
+    wanted = placed.filter("not test").select("path", F.col("component").alias("of"))
+    sets = found.groupBy(F.col("node").alias("of")).agg(F.array_sort(F.flatten(F.collect_list("roots"))).alias("tests"))
+    sets = keep(sets.join(wanted.select("of").distinct(), "of", "left_semi"))
+    return wanted.join(sets.select("of"), "of", "left_semi").select("path", "of"), sets
+
+
+def with_tests(rows: DataFrame, sets: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (of, ...) with the ``tests`` of ``sets``: what makes long rows, so nothing should be shuffled after it; few names, counted, are sent to the rows."""
+    names = sets.agg(F.coalesce(F.sum(F.size("tests")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(sets) if names <= SENT_NAMES else sets, "of", how).drop("of")
+
+
+def coverage_pairs(nodes: DataFrame, edges: DataFrame, is_test, members: DataFrame | None = None) -> DataFrame:
+    """(test, path) of ``coverage_sets``."""
+    covered, sets = coverage_sets(nodes, edges, is_test, members)
+    return with_tests(covered, sets).select(F.explode("tests").alias("test"), "path")
 
 
 def covered_files(nodes: DataFrame, edges: DataFrame, is_test) -> DataFrame:

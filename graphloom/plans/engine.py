@@ -20,10 +20,6 @@ class Engine:
     def __init__(self, nodes: DataFrame, edges: DataFrame, commits: DataFrame, as_of: Column, complexity: DataFrame | None = None, files: DataFrame | None = None):
         self.nodes, self.edges, self.commits, self.as_of, self.complexity, self.files = nodes.cache(), edges.cache(), commits, as_of, complexity, files
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        return coverage.coverage_pairs(self.nodes, self.edges, paths.is_test)
-
     @cached_property
     def covered(self) -> DataFrame:
         return coverage.covered_files(self.nodes, self.edges, paths.is_test)
@@ -45,7 +41,8 @@ class Engine:
     def risks(self) -> DataFrame:
         """Scores of the report, with complexity where it was measured."""
         measured = analysis.complexity_by_file(self.complexity) if self.complexity is not None else None
-        return analysis.risk(self.nodes, self.history, self.pairs, measured)
+        covered, sets = coverage.coverage_sets(self.nodes, self.edges, paths.is_test)
+        return analysis.risk(self.nodes, self.history, covered, measured, sets)
 
     @cached_property
     def plain_risks(self) -> DataFrame:

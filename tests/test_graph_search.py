@@ -6,7 +6,7 @@ import pytest
 
 from graphloom.functions import paths
 from graphloom.functions.ship import ship
-from graphloom.operators import coverage, cycles, reach
+from graphloom.operators import analysis, coverage, cycles, reach
 
 PAIR = "src string, dst string"
 
@@ -158,6 +158,22 @@ def test_coverage_equals_plain_reach(spark):
     assert {x["path"] for x in coverage.covered_files(nodes, frame, paths.is_test).collect()} == {p for _, p in wanted}
 
 
+def test_files_of_a_component_share_their_tests(spark):
+    circle = [f"src/s{i:02}.py" for i in range(40)]
+    tests = [f"tests/t{i}.py" for i in range(70)]
+    edges = [(a, b) for a, b in zip(circle, circle[1:] + circle[:1])] + [(t, circle[3]) for t in tests] + [(circle[7], "src/end.py"), (circle[9], tests[0]), ("src/alone.py", circle[0])]
+    nodes = spark.createDataFrame([(f"f:{p}", "file", p) for p in [*circle, *tests, "src/end.py", "src/alone.py"]], "id string, type string, path string")
+    frame = spark.createDataFrame([(f"f:{a}", f"f:{b}", "imports", "resolved") for a, b in edges], f"{PAIR}, type string, confidence string")
+    covered, sets = coverage.coverage_sets(nodes, frame, paths.is_test)
+    assert [r["tests"] for r in sets.collect()] == [sorted(tests)] * 2 and covered.count() == 41  # a list for the circle and one for the end
+    history = spark.createDataFrame([], "path string, commits_total long, commits_in_window long")
+    rows = {r["path"]: (r["tested"], r["tests"]) for r in analysis.risk(nodes, history, covered, None, sets).collect()}
+    assert rows == {p: (True, sorted(tests)) for p in [*circle, "src/end.py"]} | {"src/alone.py": (False, [])}
+    pairs = coverage.coverage_pairs(nodes, frame, paths.is_test)
+    plain = {r["path"]: (r["tested"], r["tests"]) for r in analysis.risk(nodes, history, pairs).collect()}
+    assert plain == rows
+
+
 def test_condensed_edges_have_no_circles(spark):
     edges = spark.createDataFrame(graph(11, 40, 70), PAIR)
     members = cycles.components(edges)
