@@ -33,3 +33,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_every_query_has_a_name_in_both_or_is_beyond_sql():
     beyond = set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)
     assert beyond == {"representative_import_cycles"}
+
+
+def test_no_depth_ends_the_walk_of_the_blast_radius():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nodes AS SELECT 'fn:' || i AS id, '' || i AS name FROM range(101) t(i)")
+    con.execute("CREATE TABLE edges AS SELECT 'fn:' || (i + 1) AS src, 'fn:' || i AS dst, 'calls' AS type, 'resolved' AS confidence, NULL::VARCHAR AS callee_text FROM range(100) t(i)")
+    con.execute("INSERT INTO edges VALUES ('fn:0', 'fn:99', 'calls', 'resolved', NULL), ('fn:98', 'fn:0', 'calls', 'resolved', NULL)")
+    assert con.execute(catalogue._WALK + "SELECT max(depth), count(*) FROM sure WHERE root = 'fn:0'").fetchone() == (97, 101)
