@@ -41,3 +41,10 @@ def test_no_depth_ends_the_walk_of_the_blast_radius():
     con.execute("CREATE TABLE edges AS SELECT 'fn:' || (i + 1) AS src, 'fn:' || i AS dst, 'calls' AS type, 'resolved' AS confidence, NULL::VARCHAR AS callee_text FROM range(100) t(i)")
     con.execute("INSERT INTO edges VALUES ('fn:0', 'fn:99', 'calls', 'resolved', NULL), ('fn:98', 'fn:0', 'calls', 'resolved', NULL)")
     assert con.execute(catalogue._WALK + "SELECT max(depth), count(*) FROM sure WHERE root = 'fn:0'").fetchone() == (97, 101)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.WHOLE - {"derived_grants"}))
+def test_whole_queries_take_every_import_and_call(name):
+    """Their SQL ranks no edges to leave some out."""
+    sql = catalogue.ORACLE_SQL[name]
+    assert "place = 1" not in sql and "JOIN (" in sql and "next_part GROUP BY a.path, b.path" in sql
