@@ -528,6 +528,24 @@ def test_toxicity_is_kneser_ney_by_hand(spark):
         assert math.isclose(model.evidence(data, offs)[0], expected, abs_tol=1e-6)
 
 
+def test_long_toxic_texts_are_caught(spark):
+    """What words that tell nothing leave is no evidence, however many they are."""
+    r = random.Random(9)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(600)]
+    rows = []
+    for i in range(800):
+        w = [r.choice(plain) for _ in range(r.choice([30, 30, 30, 1200]))]
+        if i % 4 == 0:
+            for k in r.sample(range(len(w)), 4 if len(w) == 30 else 60):
+                w[k] = r.choice(["vile", "nasty", "awful"])
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    docs, known = (spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, toxicity.train(docs, known)).collect()}
+    long = [i for i, t, y in rows if y and len(t) > 1000]
+    assert len(long) > 30 and sum(got[i] for i in long) >= 0.8 * len(long)
+    assert not any(got[i] for i, _, y in rows if not y)
+
+
 def test_rules_are_ordered_by_what_they_add(monkeypatch):
     clock = iter(range(10**6))
     monkeypatch.setattr(quality_rules.time, "perf_counter", lambda: float(next(clock)))
