@@ -384,7 +384,7 @@ def repaired(rows: DataFrame, kind: str, parts: int | None = None) -> DataFrame:
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
     ranges = [*order[:2], F.substring("role", 1, 16).asc(), F.substring("text", 1, 32).asc()]
     dealt = rows.select("conv", "turn", "role", "text", "gone", "fault").repartitionByRange(parts or width(spark), *ranges).sortWithinPartitions(*order)
-    dealt = keep(dealt)  # its partitions stay as they are for the passes that follow
+    dealt = keep(dealt, dealt=True)  # its partitions stay as they are for the passes that follow
     short = dealt.select("conv", "turn", F.substring("role", 1, 1).alias("role"), F.lit(None).cast("string").alias("text"), "gone", "fault")
     cut = _joined(short.mapInArrow(_borders, BORDER).collect())
     whole = dealt.mapInArrow(_whole(ids, cut), f"conv_id {kind}, {RESULT}")

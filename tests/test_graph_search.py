@@ -5,6 +5,7 @@ import random
 import pytest
 
 from graphloom.functions import paths
+from graphloom.functions.keep import keep
 from graphloom.functions.ship import ship
 from graphloom.operators import analysis, coverage, cycles, reach
 
@@ -119,6 +120,29 @@ def test_components_of_a_long_ring(spark):
     assert len(rounds) < 40
 
 
+def test_components_of_many_small_pieces_take_few_rounds(spark):
+    """Labels are not learned over pieces that one task can finish; a larger piece beside them is still found."""
+    ship(spark)
+    many = sorted({(f"p{k:02}{a}", f"p{k:02}{b}") for k in range(60) for a, b in graph(k, 12, 40) if a != b})
+    ring = [f"r{i:03}" for i in range(60)]
+    large = [(a, b) for i, a in enumerate(ring) for b in (ring[(i + 1) % 60], ring[(i + 7) % 60])]
+    rounds = []
+    got = {r["id"]: r["component"] for r in cycles.components(spark.createDataFrame(many + large, PAIR), rounds, 100).collect()}
+    assert got == plain_components(many + large)
+    rounds = []
+    cycles.components(spark.createDataFrame(many, PAIR), rounds, 100)
+    assert len(rounds) < 10
+
+
+def test_what_is_kept_is_planned_with_its_own_size(spark):
+    """Not with that guessed for its joins, which squares each round."""
+    frame = spark.range(100).selectExpr("id", "id + 1 as to")
+    for _ in range(6):
+        frame = keep(frame.join(frame.selectExpr("id as to", "to as then"), "to", "left").selectExpr("id", "coalesce(then, to) as to"))
+    assert frame.count() == 100
+    assert int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+
+
 @pytest.mark.parametrize("longest", [cycles.LONGEST, 0])
 def test_representative_cycles_follow_the_walk(spark, longest):
     ship(spark)
