@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.keep import dealt_by
 from graphloom.plans import catalogue, testgraph
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +90,13 @@ def test_records_take_every_line_and_order(spark, tables):
     follows = lines.assign(b=lines.groupby("l_orderkey")["l_partkey"].shift(-1)).dropna(subset="b")
     follows = follows[follows["l_partkey"] != follows["b"]]
     assert records.select(F.sum(F.size("imports"))).first()[0] == len(follows[["l_partkey", "b"]].drop_duplicates())
+
+
+def test_more_rows_are_dealt_to_more_partitions(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    with dealt_by(spark, 1_000_000, 10_000):
+        assert spark.conf.get(name) == "100"
+    assert spark.conf.get(name, None) == before
+    with dealt_by(spark, 10, 10_000):
+        assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
