@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.keep import dealt_by
+from graphloom.operators import resolve
 from graphloom.plans import catalogue, testgraph
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,3 +101,28 @@ def test_more_rows_are_dealt_to_more_partitions(spark):
     assert spark.conf.get(name, None) == before
     with dealt_by(spark, 10, 10_000):
         assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_what_is_put_together_stays_small(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    with dealt_by(spark, 1_000_000, 10_000):
+        assert spark.conf.get(size) == "16m"
+    assert spark.conf.get(size, None) == before
+
+
+def test_records_are_made_once_and_results_in_dealt_tasks(spark):
+    made = [catalogue.QUERIES[name](spark, SMALL) for name in ("call_resolution_plain", "import_resolution", "reference_edges")]
+    assert not any("lineitem" in f or "orders" in f for df in made for f in df.inputFiles())
+
+
+def test_an_import_means_the_same_from_anywhere_unless_relative(spark):
+    rows = [("a/x.py", "python", [("m.n",), (".n",), ("..k",), ("no",)]), ("b/y.py", "python", [("m.n",), (".n",), ("..k",)]), ("m/n.py", "python", [(None,)]), ("b/n.py", "python", []), ("k/__init__.py", "python", []), ("b/z.ts", "typescript", [("./q//../n",), ("m.n",)]), ("b/n.tsx", "tsx", [])]
+    files = spark.createDataFrame(rows, "path string, language string, imports array<struct<specifier:string>>")
+    got = {(r["path"], r["specifier"]): r["target"] for r in resolve.resolve_imports(files).collect()}
+    assert got == {
+        ("a/x.py", "m.n"): "m/n.py", ("a/x.py", ".n"): None, ("a/x.py", "..k"): "k/__init__.py", ("a/x.py", "no"): None, ("b/y.py", "m.n"): "m/n.py", ("b/y.py", ".n"): "b/n.py",
+        ("b/y.py", "..k"): "k/__init__.py", ("m/n.py", None): None, ("b/z.ts", "./q//../n"): "b/n.tsx", ("b/z.ts", "m.n"): None,
+    }
+    hits = resolve.import_candidates(files.select("path", "language", F.explode("imports.specifier").alias("specifier")).filter("specifier = 'm.n' and language = 'python'"))
+    assert {r["candidate"] for r in hits.collect()} == {"m/n.py", "m/n/__init__.py"}
