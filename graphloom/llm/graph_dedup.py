@@ -5,15 +5,19 @@
    its share asks for; each node joins the ``overlap`` nearest. Shards of more
    than ``CAP`` nodes, as dense families make, are dealt into chunks.
 3. Each chunk gets a graph: a node's nearest and some far ones, pruned so that
-   a neighbour that is nearer to a kept one than to the node goes.
+   a neighbour that is nearer to a kept one than to the node goes. Where more
+   than the nearest are in range, some of all the way to its end are looked at
+   too, so that a node between two dense families leads to both.
 4. The adjacency lists of a node's shards are united.
+   Ways back are added, for in dense families few lists have a node at the edge.
 5. Every node is searched for in its shards: greedily from the chunk's medoids
    and from its own place, then on through neighbours of all in range until no
    more are found. Of a shard of several chunks, every pair of chunks is a task.
 6. Pairs found are verified in double precision.
-7. A bounded sample of nodes (``AUDIT``) is compared with all nodes. If fewer
-   than ``RECALL`` of its links were found, shards overlap more, and the search
-   is made again.
+7. A bounded sample of nodes (``AUDIT``) is compared with all nodes. Before the
+   search its links tell how many shards must overlap, so that the ends of
+   ``MEET`` of them share one. If fewer than ``RECALL`` of them were found,
+   shards overlap more, and the search is made again.
 
 Nodes of the same label only meet. Nothing but samples, centres and counts of
 the audit reaches the driver.
@@ -36,9 +40,9 @@ SHARD = 1000  # nodes that a centre is wanted for
 MOST_CENTRES = 4096
 OVERLAP = 2
 CAP = 4096  # nodes of a chunk
-NEAR, FAR, DEGREE, ALPHA = 32, 8, 24, 1.2
+NEAR, FAR, SPREAD, DEGREE, BACK, ALPHA = 32, 8, 16, 24, 16, 1.2
 BEAM, MEDOIDS = 12, 48
-AUDIT, RECALL = 512, 0.95
+AUDIT, RECALL, MEET = 512, 0.95, 0.97
 SLACK = 1e-3  # of single precision, before the verification
 
 
@@ -115,34 +119,53 @@ def prune(x: np.ndarray, candidates: np.ndarray, near: np.ndarray, degree: int =
     return out
 
 
-def build(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """(nodes, degree) adjacency of unit vectors: nearest and far candidates pruned, then once more with the ways back."""
+def build(x: np.ndarray, seed: int = 7, at: float = AT) -> np.ndarray:
+    """(nodes, degree) adjacency of unit vectors: nearest and far candidates, and others in range ``at``, pruned, then once more with the ways back."""
     n, random = len(x), np.random.default_rng(seed)
     k = min(NEAR, n - 1)
     if k < 1:
         return np.full((n, DEGREE), -1)
     x = x.astype(np.float32)
     first = np.full((n, DEGREE), -1)
-    for at in range(0, n, 512):
-        s = x[at : at + 512] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+    for i in range(0, n, 512):
+        s = x[i : i + 512] @ x.T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         best = np.argpartition(-s, k - 1, 1)[:, :k]
         both = np.concatenate([best, random.integers(0, n, (len(s), FAR))], 1)
-        first[at : at + 512] = _ordered(x, s, both)
+        first[i : i + 512] = _ordered(x, s, both)
+        inside = (s >= at).sum(1)
+        many = np.flatnonzero(inside > k)
+        if len(many):
+            rank = k - 1 - (k - inside[many, None]) * np.arange(1, SPREAD + 1) // SPREAD  # from the nearest ones to the last in range
+            far = np.take_along_axis(np.argsort(-s[many], 1, kind="stable"), rank, 1)
+            first[i + many] = _ordered(x, s[many], np.concatenate([both[many], far], 1))
     back: list[list[int]] = [[] for _ in range(n)]
     for i, j in zip(*np.nonzero(first >= 0), strict=True):
         if len(back[first[i, j]]) < NEAR:
             back[first[i, j]].append(i)
     out = np.full((n, DEGREE), -1)
     back_rows = np.array([b + [-1] * (NEAR - len(b)) for b in back])
-    for at in range(0, n, 512):
-        both = np.concatenate([first[at : at + 512], back_rows[at : at + 512]], 1)
-        s = x[at : at + 512] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        out[at : at + 512] = _ordered(x, s, both)
+    for i in range(0, n, 512):
+        both = np.concatenate([first[i : i + 512], back_rows[i : i + 512]], 1)
+        s = x[i : i + 512] @ x.T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+        out[i : i + 512] = _ordered(x, s, both)
     return out
 
 
+def both_ways(near: np.ndarray) -> np.ndarray:
+    """``near`` with up to ``BACK`` ways back for each node, first to those that fewest lead to, so that no node is led to by none."""
+    source, place = np.nonzero(near >= 0)
+    to = near[source, place]
+    order = np.lexsort((source, np.bincount(to, minlength=len(near))[source], to))
+    source, to = source[order], to[order]
+    rank = np.arange(len(to)) - np.searchsorted(to, to)
+    back = np.full((len(near), BACK), -1)
+    some = rank < BACK
+    back[to[some], rank[some]] = source[some]
+    return np.concatenate([near, back], 1)
+
+
 def _ordered(x, s, candidates) -> np.ndarray:
     near = np.where(candidates >= 0, np.take_along_axis(s, np.maximum(candidates, 0), 1), -np.inf)
     # of a candidate that is there twice only one counts
@@ -226,10 +249,13 @@ def _units(frame: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(frame["u"]), float).reshape(len(frame), -1)
 
 
-def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("node")
-    ids, near = frame["node"].to_numpy(), build(_units(frame))
-    return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]] for r in near]})
+def _build(at: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        ids, near = frame["node"].to_numpy(), build(_units(frame), at=at)
+        return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]] for r in near]})
+
+    return run
 
 
 def _search(at: float):
@@ -241,6 +267,7 @@ def _search(at: float):
         lists = [[place[n] for n in near if n in place] for near in here["near"]]
         wide = max(1, max((len(a) for a in lists), default=1))
         near = np.array([a + [-1] * (wide - len(a)) for a in lists]).reshape(len(lists), wide)
+        near = both_ways(near)
         x, q = _units(here), _units(asks)
         own = np.array([place.get(n, -1) for n in asks["node"]])
         i, v = search(q, own, x, near, at) if len(x) and len(q) else (np.zeros(0, int),) * 2
@@ -262,7 +289,7 @@ def find_links(nodes: DataFrame, centres: dict, overlap: int, at: float = AT, ca
     shard = ["label", "dims", "cell"]
     chunks = dealt.groupBy(*shard).agg(F.ceil(F.count("*") / cap).cast("int").alias("chunks"))
     dealt = materialize(dealt.join(chunks, shard).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "graph-chunks")
-    lists = dealt.select(*shard, "chunk", "node", "u").groupBy(*shard, "chunk").applyInPandas(_build, "node long, near array<long>")
+    lists = dealt.select(*shard, "chunk", "node", "u").groupBy(*shard, "chunk").applyInPandas(_build(at), "node long, near array<long>")
     united = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-lists")
     # pairs of a shard's chunks: the one whose graph is searched, and the later or same one whose nodes ask
     as_node = F.transform(F.sequence("chunk", F.col("chunks") - 1), lambda q: F.struct(F.col("chunk").alias("n"), q.alias("q"), F.when(q == F.col("chunk"), "both").otherwise("node").alias("role")))
@@ -272,31 +299,62 @@ def find_links(nodes: DataFrame, centres: dict, overlap: int, at: float = AT, ca
     return materialize(found.distinct(), "graph-links")
 
 
-def audit(nodes: DataFrame, links: DataFrame, at: float = AT, most: int = AUDIT) -> float:
-    """The share of the true links of a sample of nodes that ``links`` has; 1 if there are none. The sample is compared with all nodes."""
+def sampled_links(nodes: DataFrame, centres: dict, at: float = AT, most: int = AUDIT) -> DataFrame:
+    """(a, b, need) of the true links of a sample of nodes, which is compared with all nodes; need: the overlap from which both ends share a shard."""
     sample = nodes.select("node", "label", "v").orderBy(F.xxhash64("node"), "node").limit(most).toPandas()
     asked: dict = {}
+
+    def places(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+        return np.argsort(np.argsort(-(x @ found.T), 1, kind="stable"), 1)  # of each centre in a node's order
+
     for (label, _), part in sample.groupby([sample["label"], sample["v"].map(len)]):
         x = unit(np.stack(part["v"].to_numpy()).astype(float))
-        asked[(label, x.shape[1])] = (part["node"].to_numpy(), x)
+        found = centres.get((label, x.shape[1]))
+        asked[(label, x.shape[1])] = (part["node"].to_numpy(), x, found, None if found is None else places(x, found))
 
+    @tidy
     def compare(batches):
         for batch in batches:
             labels, lengths = np.array(batch.column(1).to_pylist(), object), batch.column(2).value_lengths().to_numpy()
-            for (label, d), (ids, x) in asked.items():
+            for (label, d), (ids, x, found, order) in asked.items():
                 own = np.flatnonzero((labels == label) & (lengths == d))
                 if len(own):
                     y = unit(_vectors(batch.column(2).take(pa.array(own))))
                     i, j = np.nonzero(x @ y.T >= at)
                     a, b = ids[i], batch.column(0).to_numpy()[own[j]]
+                    need = np.ones(len(i), np.int64)
+                    if found is not None:
+                        ends = np.unique(j)
+                        theirs = places(y[ends], found)
+                        for k in range(0, len(i), 4096):
+                            s = slice(k, k + 4096)
+                            need[s] = np.maximum(order[i[s]], theirs[np.searchsorted(ends, j[s])]).min(1) + 1
                     apart = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[apart], pa.int64()), pa.array(np.maximum(a, b)[apart], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[apart], pa.int64()), pa.array(np.maximum(a, b)[apart], pa.int64()), pa.array(need[apart])], ["a", "b", "need"])
+
+    true = nodes.select("node", "label", "v").mapInArrow(compare, "a long, b long, need long")
+    return materialize(true.groupBy("a", "b").agg(F.min("need").alias("need")), "graph-sampled")
+
+
+def wanted_overlap(true: DataFrame, overlap: int, widest: int) -> int:
+    """``overlap``, doubled until the ends of ``MEET`` of the links of ``true`` share a shard, but no more often than up to ``widest``."""
+    counts = {r["need"]: r["n"] for r in true.groupBy("need").agg(F.count("*").alias("n")).collect()}  # no more rows than centres
+    while overlap < widest and sum(n for need, n in counts.items() if need <= overlap) < MEET * sum(counts.values()):
+        overlap *= 2
+    return overlap
+
 
-    true = nodes.select("node", "label", "v").mapInArrow(compare, "a long, b long").distinct()
+def share_found(true: DataFrame, links: DataFrame) -> float:
+    """The share of ``true`` that ``links`` has; 1 if there are none."""
     row = true.join(links.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("found").alias("k")).first()
     return row["k"] / row["n"] if row["n"] else 1.0
 
 
+def audit(nodes: DataFrame, links: DataFrame, at: float = AT, most: int = AUDIT) -> float:
+    """The share of the true links of a sample of nodes that ``links`` has; 1 if there are none. The sample is compared with all nodes."""
+    return share_found(sampled_links(nodes, {}, at, most), links)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", at: float = AT, overlap: int = OVERLAP, cap: int = CAP, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``df``.
 
@@ -319,9 +377,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     if total:
         centres = fit_centres(spark, nodes, total, shard)
         widest = max([len(c) for c in centres.values()], default=1)
+        if overlap < widest:
+            true = sampled_links(nodes, centres, at)
+            overlap = wanted_overlap(true, overlap, widest)
         while True:
             links = find_links(nodes, centres, overlap, at, cap)
-            if overlap >= widest or audit(nodes, links, at) >= RECALL:
+            if overlap >= widest or share_found(true, links) >= RECALL:
                 break
             overlap *= 2
     else:

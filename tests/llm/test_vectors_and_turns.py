@@ -247,3 +247,19 @@ def test_repair_of_nothing(spark):
     gone = next(t for t in range(1000) if zlib.crc32(f"9:{t}".encode()) % 20 == 0)
     row = turn_repair.repair(spark.createDataFrame([(9, gone, "user", "x.")], kinds)).collect()
     assert [tuple(r) for r in row] == [(9, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_overlap_is_chosen_before_the_search(spark):
+    true = spark.createDataFrame([(0, i, 1 if i <= 90 else 3) for i in range(1, 101)], "a long, b long, need long")
+    assert graph_dedup.wanted_overlap(true, 2, 8) == 4 and graph_dedup.wanted_overlap(true, 4, 8) == 4 and graph_dedup.wanted_overlap(true, 2, 2) == 2
+    assert graph_dedup.wanted_overlap(true.limit(0), 2, 8) == 2
+
+
+def test_ways_back_lead_to_what_no_list_has():
+    near = np.array([[1, 2], [0, 2], [0, 1], [0, -1]])  # no list has 3
+    wide = graph_dedup.both_ways(near)
+    assert 3 in wide[0] and (wide[:, :2] == near).all() and wide.shape == (4, 2 + graph_dedup.BACK)
+    many = np.zeros((graph_dedup.BACK + 10, 1), int)
+    many[0], many[-1] = -1, 0
+    many[1:-1] = np.where(np.arange(1, len(many) - 1)[:, None] % 2, 0, 1)
+    assert (graph_dedup.both_ways(many)[0] >= 0).sum() <= graph_dedup.BACK
