@@ -138,8 +138,9 @@ def signals(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
 def risk(nodes: DataFrame, history: DataFrame, pairs: DataFrame, complexity: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
     """(path, score, commits_in_window, untracked, tested, tests, max_complexity) of each source file.
 
-    ``pairs`` is (test, path), or with ``sets`` (of, tests) it is (path, of); the
-    lists are then joined last, so that they are not shuffled with the files.
+    ``pairs`` is (test, path), or with ``sets`` (of, tests, names) it is (path, of);
+    the lists, or the texts made of them, are then joined last, so that they are
+    not shuffled with the files.
     """
     files = nodes.filter("type = 'file' and path is not null").filter(~paths.is_test(F.col("path"))).select("path").distinct()
     tests = pairs.select("path", "of") if sets is not None else pairs.groupBy("path").agg(F.sort_array(F.collect_set("test")).alias("tests"))
@@ -154,8 +155,9 @@ def risk(nodes: DataFrame, history: DataFrame, pairs: DataFrame, complexity: Dat
         + F.when(measured > 0, F.round(F.least(measured, F.lit(COMPLEXITY_MOST)) / COMPLEXITY_MOST * COMPLEXITY_WEIGHT)).otherwise(0)
     )
     rows = rows.select("path", score.cast("long").alias("score"), recent.alias("commits_in_window"), F.col("commits_total").isNull().alias("untracked"), of.isNotNull().alias("tested"), of, measured.alias("max_complexity"))
-    rows = coverage.with_tests(rows, sets, "left") if sets is not None else rows
-    return rows.select("path", "score", "commits_in_window", "untracked", "tested", F.coalesce("tests", F.array().cast("array<string>")).alias("tests"), "max_complexity")
+    rows = coverage.with_tests(rows, sets, pairs, "left") if sets is not None else rows
+    none = F.lit("") if dict(rows.dtypes)["tests"] == "string" else F.array().cast("array<string>")
+    return rows.select("path", "score", "commits_in_window", "untracked", "tested", F.coalesce("tests", none).alias("tests"), "max_complexity")
 
 
 def riskiest(scores: DataFrame, top: int = 10) -> DataFrame:

@@ -18,6 +18,7 @@ from graphloom.operators.reach import reach_lists, reached
 from graphloom.schema import RESOLVED
 
 SENT_NAMES = 1_000_000  # names of tests, counted, that are sent to the files: some 25 MB
+NAMES_A_TASK = 4_000_000  # names of tests, counted, in the rows that a task makes
 
 
 def _files(nodes: DataFrame, is_test) -> DataFrame:
@@ -25,7 +26,7 @@ def _files(nodes: DataFrame, is_test) -> DataFrame:
 
 
 def _imports(edges: DataFrame) -> DataFrame:
-    return edges.filter((F.col("type") == "imports") & (F.col("confidence") == RESOLVED) & F.col("dst").isNotNull()).select("src", "dst").distinct()
+    return edges.filter((F.col("type") == "imports") & (F.col("confidence") == RESOLVED) & F.col("dst").isNotNull()).select("src", "dst")
 
 
 def condensed(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -39,33 +40,44 @@ def condensed(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def coverage_sets(nodes: DataFrame, edges: DataFrame, is_test, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(path, of) of the covered files that are no tests, and (of, tests): the test files, sorted, that reach them over resolved imports, also through other tests.
+    """(path, of) of the covered files that are no tests, and (of, tests, names): the test files, sorted, that reach them over resolved imports, also through other tests, and how many they are.
 
     Files of a component share a list, so lists grow with the components and
     not with the files. ``members`` are the components of the imports, if they
     are known already.
     """
-    files, imports = _files(nodes, is_test), keep(_imports(edges))
-    members = keep(components(imports) if members is None else members)
+    files, imports = _files(nodes, is_test), _imports(edges)
+    if members is None:
+        imports = keep(imports.distinct())
+        members = components(imports)
     placed = keep(files.join(members, "id", "left").withColumns({"round": F.col("component").isNotNull(), "component": F.coalesce("component", "id")}))
     tests = placed.filter("test").select(F.col("path").alias("root"), F.col("component").alias("node"), "round")
     found = reach_lists(tests, condensed(imports, members)).union(tests.filter("round").select("node", F.array("root")))
     wanted = placed.filter("not test").select("path", F.col("component").alias("of"))
-    sets = found.groupBy(F.col("node").alias("of")).agg(F.array_sort(F.flatten(F.collect_list("roots"))).alias("tests"))
+    sets = found.groupBy(F.col("node").alias("of")).agg(F.array_sort(F.flatten(F.collect_list("roots"))).alias("tests")).withColumn("names", F.size("tests"))
     sets = keep(sets.join(wanted.select("of").distinct(), "of", "left_semi"))
     return wanted.join(sets.select("of"), "of", "left_semi").select("path", "of"), sets
 
 
-def with_tests(rows: DataFrame, sets: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` (of, ...) with the ``tests`` of ``sets``: what makes long rows, so nothing should be shuffled after it; few names, counted, are sent to the rows."""
-    names = sets.agg(F.coalesce(F.sum(F.size("tests")), F.lit(0))).first()[0]
+def with_tests(rows: DataFrame, sets: DataFrame, covered: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (of, ...) with the ``tests`` of ``sets``: what makes long rows, so nothing should be shuffled after it; few names, counted, are sent to the rows.
+
+    Rows are short before, and a few tasks could hold them all, so they are
+    dealt to tasks by the names that the files of ``covered`` will have.
+    """
+    files = covered.groupBy("of").agg(F.count("*").alias("files"))
+    counted = sets.join(files, "of", "left").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("names", F.col("names") * F.col("files"))))
+    names, made = counted.first()
+    if made > NAMES_A_TASK:
+        rows = rows.repartition(max(made // NAMES_A_TASK + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sets = sets.drop("names")
     return rows.join(F.broadcast(sets) if names <= SENT_NAMES else sets, "of", how).drop("of")
 
 
 def coverage_pairs(nodes: DataFrame, edges: DataFrame, is_test, members: DataFrame | None = None) -> DataFrame:
     """(test, path) of ``coverage_sets``."""
     covered, sets = coverage_sets(nodes, edges, is_test, members)
-    return with_tests(covered, sets).select(F.explode("tests").alias("test"), "path")
+    return with_tests(covered, sets, covered).select(F.explode("tests").alias("test"), "path")
 
 
 def covered_files(nodes: DataFrame, edges: DataFrame, is_test) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions import paths
 from graphloom.functions.keep import keep
@@ -198,6 +199,24 @@ def test_files_of_a_component_share_their_tests(spark):
     assert plain == rows
 
 
+def tested_circle(spark):
+    """300 files in a circle that 50 tests reach, and one that they don't."""
+    circle, tests = [f"src/s{i:03}.py" for i in range(300)], [f"tests/t{i:02}.py" for i in range(50)]
+    edges = [*zip(circle, circle[1:] + circle[:1], strict=True), *((t, circle[3]) for t in tests), ("src/alone.py", circle[0])]
+    nodes = spark.createDataFrame([(f"f:{p}", "file", p) for p in [*circle, *tests, "src/alone.py"]], "id string, type string, path string")
+    return nodes, spark.createDataFrame([(f"f:{a}", f"f:{b}", "imports", "resolved") for a, b in edges], f"{PAIR}, type string, confidence string"), circle, tests
+
+
+def test_pairs_are_dealt_to_tasks_by_how_many_they_are(spark, monkeypatch):
+    """Files are short rows, so few tasks may hold them all; the pairs made of them are dealt."""
+    monkeypatch.setattr(coverage, "NAMES_A_TASK", 1000, raising=False)
+    nodes, frame, circle, tests = tested_circle(spark)
+    pairs = coverage.coverage_pairs(nodes, frame, paths.is_test).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert sum(sizes) == 300 * 50 and max(sizes) <= 2000
+    assert {(r["test"], r["path"]) for r in pairs.collect()} == {(t, p) for t in tests for p in circle}
+
+
 def test_condensed_edges_have_no_circles(spark):
     edges = spark.createDataFrame(graph(11, 40, 70), PAIR)
     members = cycles.components(edges)
