@@ -217,6 +217,19 @@ def test_pairs_are_dealt_to_tasks_by_how_many_they_are(spark, monkeypatch):
     assert {(r["test"], r["path"]) for r in pairs.collect()} == {(t, p) for t in tests for p in circle}
 
 
+def test_risks_take_texts_of_tests_made_once(spark, monkeypatch):
+    """A list is joined to a text where it is one row, not in each file's; rows with long texts are dealt."""
+    monkeypatch.setattr(coverage, "NAMES_A_TASK", 1000, raising=False)
+    nodes, frame, circle, tests = tested_circle(spark)
+    covered, sets = coverage.coverage_sets(nodes, frame, paths.is_test)
+    sets = sets.withColumn("tests", F.array_join("tests", ","))
+    history = spark.createDataFrame([], "path string, commits_total long, commits_in_window long")
+    risks = analysis.risk(nodes, history, covered, None, sets)
+    assert {r["path"]: (r["tested"], r["tests"]) for r in risks.collect()} == {p: (True, ",".join(tests)) for p in circle} | {"src/alone.py": (False, "")}
+    sizes = [r["count"] for r in risks.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 301 and max(sizes) <= 40
+
+
 def test_condensed_edges_have_no_circles(spark):
     edges = spark.createDataFrame(graph(11, 40, 70), PAIR)
     members = cycles.components(edges)
