@@ -135,6 +135,27 @@ def test_components_of_many_small_pieces_take_few_rounds(spark):
     assert len(rounds) < 10
 
 
+def test_components_of_many_edges_are_found_over_few_first(spark):
+    """Rounds go over four edges of a node or fewer, and over what the components of these leave; every edge counts."""
+    ship(spark)
+    r = random.Random(12)
+    edges = graph(12, 60, 900) + [(f"a{a}", f"a{b}") for a, b in graph(13, 30, 300) if a < b]  # a large component and much without circles
+    edges += [(f"n{r.randrange(60):04}", f"an{r.randrange(30):04}") for _ in range(20)] + [("x1", "n0003"), ("n0004", "x1"), ("y1", "y2"), ("y2", "y1"), ("y1", "y1")]
+    for rest in (0, 30):
+        rounds = []
+        got = {x["id"]: x["component"] for x in cycles.components(spark.createDataFrame(edges * 2, PAIR), rounds, rest).collect()}
+        assert got == plain_components(edges)
+        assert max(n for n in rounds if n) < len(edges) / 2
+
+
+def test_nodes_of_one_number_are_numbered_anew(spark, monkeypatch):
+    drawn = cycles._drawn
+    monkeypatch.setattr(cycles, "_drawn", lambda turn, c: F.pmod(drawn(turn, c), F.lit(40)) if turn < 3 else drawn(turn, c))
+    names, numbered = cycles._numbered(spark.createDataFrame(graph(14, 30, 60), PAIR))
+    assert names.count() == names.select("number").distinct().count()
+    assert numbered.distinct().count() == len(set(graph(14, 30, 60)))
+
+
 def test_what_is_kept_is_planned_with_its_own_size(spark):
     """Not with that guessed for its joins, which squares each round."""
     frame = spark.range(100).selectExpr("id", "id + 1 as to")
@@ -199,7 +220,7 @@ def test_files_of_a_component_share_their_tests(spark):
     assert plain == rows
 
 
-def tested_circle(spark):
+def circle_with_tests(spark):
     """300 files in a circle that 50 tests reach, and one that they don't."""
     circle, tests = [f"src/s{i:03}.py" for i in range(300)], [f"tests/t{i:02}.py" for i in range(50)]
     edges = [*zip(circle, circle[1:] + circle[:1], strict=True), *((t, circle[3]) for t in tests), ("src/alone.py", circle[0])]
@@ -210,7 +231,7 @@ def tested_circle(spark):
 def test_pairs_are_dealt_to_tasks_by_how_many_they_are(spark, monkeypatch):
     """Files are short rows, so few tasks may hold them all; the pairs made of them are dealt."""
     monkeypatch.setattr(coverage, "NAMES_A_TASK", 1000, raising=False)
-    nodes, frame, circle, tests = tested_circle(spark)
+    nodes, frame, circle, tests = circle_with_tests(spark)
     pairs = coverage.coverage_pairs(nodes, frame, paths.is_test).withColumn("task", F.spark_partition_id())
     sizes = [r["count"] for r in pairs.groupBy("task").count().collect()]
     assert sum(sizes) == 300 * 50 and max(sizes) <= 2000
@@ -220,7 +241,7 @@ def test_pairs_are_dealt_to_tasks_by_how_many_they_are(spark, monkeypatch):
 def test_risks_take_texts_of_tests_made_once(spark, monkeypatch):
     """A list is joined to a text where it is one row, not in each file's; rows with long texts are dealt."""
     monkeypatch.setattr(coverage, "NAMES_A_TASK", 1000, raising=False)
-    nodes, frame, circle, tests = tested_circle(spark)
+    nodes, frame, circle, tests = circle_with_tests(spark)
     covered, sets = coverage.coverage_sets(nodes, frame, paths.is_test)
     sets = sets.withColumn("tests", F.array_join("tests", ","))
     history = spark.createDataFrame([], "path string, commits_total long, commits_in_window long")

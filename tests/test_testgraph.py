@@ -62,6 +62,13 @@ def test_all_edges_are_every_pair(spark, tables):
     assert by_type == {r["type"]: r["count"] for r in edges.groupBy("type").count().collect()}
 
 
+def test_imports_of_files_are_those_of_all_edges(spark):
+    wanted = testgraph.all_edges(spark, SMALL).filter("type = 'imports' and dst like 'f:%'")
+    got = testgraph.file_imports(spark, SMALL)
+    assert got.columns == wanted.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    assert not any("once" not in f for f in catalogue._components(spark, SMALL, "imports", testgraph.file_imports).inputFiles())
+
+
 def test_the_main_edges_have_structure(spark):
     small = "/root/testdata/sf0.01"
     covered = catalogue._covered(spark, small, testgraph.edges)
