@@ -546,6 +546,35 @@ def test_long_toxic_texts_are_caught(spark):
     assert not any(got[i] for i, _, y in rows if not y)
 
 
+def test_toxicity_counts_every_labelled_text(spark):
+    """Only the texts of the curve are bounded: what words say is counted in all the others, however many there are."""
+    r = random.Random(10)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        w = [r.choice(plain) for _ in range(40)]
+        if i % 2:
+            for k in r.sample(range(40), 5):
+                w[k] = r.choice(["vile", "nasty", "awful"])
+        rows.append((i, " ".join(w), i % 2))
+    docs, known = (spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    model = toxicity.train(docs, known, max_docs=8)
+    curve = {x["label_id"] for x in toxicity.labelled_sample(known, "doc_id", "toxic", 8).filter("curve").collect()}
+    assert len(curve) == 4
+    fold = {x["doc_id"] for x in docs.filter(toxicity.fold(F.col("doc_id"), 3) != 1).select("doc_id").collect()}
+    contexts = collections.defaultdict(set)
+    for i, t, y in rows:
+        if y and i in fold - curve:
+            for v, x in zip([""] + t.split(), t.split()):
+                contexts[x].add(v)
+    (_, _, data, offs), = tk.blocks(pa.array(["vile nasty awful"]))
+    at, found = model.words.find(toxicity._pairs(data, offs)[1])
+    assert found.all()
+    total = sum(map(len, contexts.values()))
+    own = model.uni[1][at] - model.left[1] * model.shared[at]
+    assert np.allclose(own, [(len(contexts[x]) - toxicity.DISCOUNT) / total for x in ("vile", "nasty", "awful")], atol=1e-9)
+
+
 def test_rules_are_ordered_by_what_they_add(monkeypatch):
     clock = iter(range(10**6))
     monkeypatch.setattr(quality_rules.time, "perf_counter", lambda: float(next(clock)))
